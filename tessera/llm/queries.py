@@ -16,6 +16,13 @@ def query(f):
     return f
 
 
+@query
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .webp import store_texts
+
+    return store_texts(table(spark, sf_dir, "documents"), keep_media=False)
+
+
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
@@ -109,6 +116,37 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`pages` as an archive, audited against a replica in which a rule has flipped a byte of some records and lost others."""
+    from .common import stash
+    from .warc import archive, audit
+
+    left = stash(archive(table(spark, sf_dir, "pages")), "replica")
+    sign = F.substring(F.md5(F.encode(F.col("id").cast("string"), "UTF-8")), 1, 2)
+    flipped = F.concat(F.encode(F.lit("X"), "UTF-8"), F.expr("substring(record, 2)"))
+    right = left.filter(~sign.eqNullSafe("7f")).withColumn("record", F.when(sign == "1c", flipped).otherwise(F.col("record")))
+    return audit(left, stash(right, "replica")).select("file", "ord", F.col("id").alias("page_id"), "offset", "length", "kind")
+
+
+ORACLES["op10_warc"] = """
+WITH sized AS (
+    SELECT page_id, page_id // 256 + 1 AS file,
+           octet_length(encode(coalesce(html, ''))) AS n, octet_length(encode(coalesce(url, ''))) AS u, url IS NULL AS no_url
+    FROM pages),
+laid AS (
+    -- fixed lines of the record, the target line, the digits of the length, the payload and the closing lines
+    SELECT page_id, file,
+           10 + 21 + CASE WHEN no_url THEN 0 ELSE 17 + u + 2 END + 26 + 36 + 3 + 25 + 16 + length(n::VARCHAR) + 4 + n + 4 AS length
+    FROM sized),
+placed AS (
+    SELECT page_id, file, row_number() OVER w - 1 AS ord, sum(length) OVER w - length AS "offset", length, substr(md5(page_id::VARCHAR), 1, 2) AS sign
+    FROM laid WINDOW w AS (PARTITION BY file ORDER BY page_id))
+SELECT file, ord, page_id, "offset"::BIGINT AS "offset", length, CASE sign WHEN '7f' THEN 'missing' ELSE 'changed' END AS kind
+FROM placed WHERE sign IN ('7f', '1c')
+"""
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
