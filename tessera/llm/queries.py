@@ -55,6 +55,13 @@ SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM kept
 """
 
 
+@query
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import components
+
+    return components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list of the exact join is the URLs of the pages whose id is divisible by 50."""
