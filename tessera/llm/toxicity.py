@@ -77,26 +77,33 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 120, rate: float
     """Weights by bucket of words in at least `least` training documents. Full-batch gradient, momentum and an L1 shrink."""
     if not len(texts) or labels.min() == labels.max():
         return {"weight": np.zeros(BUCKETS, np.float32), "bias": -30.0}
-    x, _ = instances(texts)
     y, docs = labels.astype(float), len(texts)
     positive = max(1.0, y.sum())
-    pair = np.unique(x.sentence * BUCKETS + x.bucket)  # a word counts once a sentence
-    sentence, bucket = pair // BUCKETS, pair % BUCKETS
-    pair = np.unique(x.doc[sentence] * BUCKETS + bucket)  # and here once a document
-    df = np.bincount(pair % BUCKETS, minlength=BUCKETS)
-    of_positive = np.bincount(pair % BUCKETS, y[pair // BUCKETS], BUCKETS)
+    sentence, bucket, owner, many = [], [], [], 0
+    df, of_positive = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for a, b in groups_of([len(t) for t in texts], BLOCK):
+        x, _ = instances(texts[a:b])
+        pair = np.unique(x.sentence * BUCKETS + x.bucket)  # a word counts once a sentence
+        sentence.append((pair // BUCKETS + many).astype(np.int32))
+        bucket.append((pair % BUCKETS).astype(np.int32))
+        owner.append((x.doc + a).astype(np.int32))
+        pair = np.unique((x.doc[pair // BUCKETS] + a) * BUCKETS + pair % BUCKETS)  # and here once a document
+        df += np.bincount(pair % BUCKETS, minlength=BUCKETS)
+        of_positive += np.bincount(pair % BUCKETS, y[pair // BUCKETS], BUCKETS)
+        many += len(x.doc)
+    sentence, bucket, owner = np.concatenate(sentence), np.concatenate(bucket), np.concatenate(owner)
     odds = np.log((of_positive + 0.5) / (df - of_positive + 0.5)) - np.log(positive / (docs - positive))
     usable = (df >= least) & (odds > 0.5)  # a sentence is offending by what it says: only words commoner in toxic documents can weigh
     keep = usable[bucket]
     sentence = sentence[keep]
     used, bucket = np.unique(bucket[keep], return_inverse=True)
     weight = np.where((odds[used] > 1.5) & (of_positive[used] >= 3), odds[used], 0.0)
-    bias = -np.log(len(x.doc) / positive)
+    bias = -np.log(max(1, len(owner)) / positive)
     speed, scale = np.zeros_like(weight), np.sqrt(np.bincount(bucket, minlength=len(used)) + 1.0)
     class_weight = np.where(y > 0, 0.5 * docs / positive, 0.5 * docs / (docs - positive))
     told, sentence = np.unique(sentence, return_inverse=True)  # the other sentences of a document all weigh the same
-    doc = x.doc[told]
-    plain = np.bincount(x.doc, minlength=docs) - np.bincount(doc, minlength=docs)
+    doc = owner[told]
+    plain = np.bincount(owner, minlength=docs) - np.bincount(doc, minlength=docs)
     for _ in range(epochs):
         z = bias + np.bincount(sentence, weight[bucket], len(doc))
         log_none, p = noisy_or(z, doc, docs)
