@@ -103,6 +103,14 @@ def _crc_of_id(modulus: int):
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col("id").cast("string"), F.lit("")), "UTF-8")), F.lit(modulus))
 
 
+@query
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import dedup_substrings
+
+    out = dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, score_toxicity
