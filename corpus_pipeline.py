@@ -1,8 +1,62 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages from raw documents to training pieces.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; run() writes each stage's rows as Parquet to the
+shared folder and reads them back for the next. All but the last return the columns of documents. Labels, only read to train the
+classifier, come from sf_dir, and so does the benchmark. Null texts count as empty; empty tables pass through.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.common import NO_ID, stash, table
+from tessera.llm.decontaminate import find_leaks
+from tessera.llm.line_dedup import dedup_rows
+from tessera.llm.ngram_join import keep_one_of_each
+from tessera.llm.pieces import encode_column
+from tessera.llm.quality import fit, score_quality
+from tessera.llm.queries import crc_of_id
+
+#: A document below this quality goes.
+LEAST_QUALITY = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the classifier rejects. It is trained on a bounded sample of the labelled documents that are not held out."""
+    model = fit(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "quality", crc_of_id(5) != 0)
+    return score_quality(docs, model, keep=True).filter(F.col("score") >= LEAST_QUALITY).drop("score")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines that a document with a smaller id holds. A document that loses every line goes, one that was empty before stays."""
+    out = dedup_rows(docs)
+    return out.filter("n_dropped = 0 or kept <> ''").withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group linked by shingles."""
+    return keep_one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    docs = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    leaks = stash(find_leaks(docs, table(spark, sf_dir, "benchmark"), id_col="_id").select("_id").distinct(), "leaks")
+    return docs.join(leaks, "_id", "left_anti").drop("_id")
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sampled pieces of each document."""
+    return encode_column(docs)
+
+
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontaminate), ("SentencePiece encoding and decoding", pieces)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), "stage-" + name.split()[0])
+    return STAGES[-1][1](spark, docs, sf_dir)

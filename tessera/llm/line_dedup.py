@@ -59,9 +59,10 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     return keys.select("id", "th", "pos", h1.alias("h1"), h2.alias("h2"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
-    """One row per input row: id_col, n_lines, n_dropped, kept (the remaining lines joined by a line feed)."""
-    base = docs.select(F.col(id_col).alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
+    """The rows of docs with n_lines, n_dropped and kept (the remaining lines joined by a line feed; of a null text, empty)."""
+    ident, text = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest"), F.col(text_col).isNull().alias("no_text"), ident.alias("id"), text.alias("text"))
     lines = stash(lines_of(base.select("id", "text"), min_chars), "lines")
     cuts = lines.select(F.percentile_approx("id", [k / batches for k in range(1, batches)], 1000).alias("c")).first()["c"] or []
     edges = [None, *sorted(set(cuts)), None]
@@ -79,4 +80,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = F.array_except(F.sequence(F.lit(0), F.size("every") - 1), F.col("gone"))
     out = out.withColumn("left", F.when(F.col("gone").isNotNull(), left))
     kept = F.when(F.col("left").isNull(), F.col("text")).otherwise(F.array_join(F.transform("left", lambda i: F.get("every", i)), "\n"))
-    return out.select(F.col("own").alias(id_col), F.size("every").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
+    own = [F.when(~F.col("no_text"), F.col("text")).alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
+    return out.select(*own, F.size("every").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per input row: id_col, n_lines, n_dropped, kept."""
+    return dedup_rows(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, **options).drop(text_col)

@@ -228,3 +228,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = members.join(classes, "c", "left")
     name = lambda c: F.when(F.coalesce(c, "id") != NO_ID, F.coalesce(c, "id"))
     return out.select(name("id").alias(id_col), F.col("n").alias("n_shingles"), name("class_id").alias("class_id"), name("component_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of docs whose id is their component's least, and of equal rows with one id all. Rows with a null id go only if linked to a row with an id."""
+    own = stash(components(docs, id_col, text_col, percent).select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("_id"), F.coalesce("component_id", F.lit(NO_ID)).alias("_component")), "components")
+    late = own.filter("_component < _id").select("_id").distinct()
+    return docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(late, "_id", "left_anti").drop("_id")

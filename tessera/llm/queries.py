@@ -98,7 +98,7 @@ LEFT JOIN listed l ON l.canonical = c.canonical AND c.host <> ''
 """
 
 
-def _crc_of_id(modulus: int):
+def crc_of_id(modulus: int):
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col("id").cast("string"), F.lit("")), "UTF-8")), F.lit(modulus))
 
@@ -115,7 +115,7 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, score_toxicity
 
-    docs, crc = table(spark, sf_dir, "documents"), _crc_of_id(3)
+    docs, crc = table(spark, sf_dir, "documents"), crc_of_id(3)
     model = fit(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", crc != 1)
     out = score_toxicity(docs, model).withColumn("id", F.col("doc_id"))
     return out.select("doc_id", (crc == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "sentences")
@@ -139,7 +139,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit, score_quality
 
-    docs, crc = table(spark, sf_dir, "documents"), _crc_of_id(5)
+    docs, crc = table(spark, sf_dir, "documents"), crc_of_id(5)
     model = fit(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "quality", crc != 0)
     out = score_quality(docs, model).withColumn("id", F.col("doc_id"))
     return out.select("doc_id", (crc == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
