@@ -32,14 +32,14 @@ def payload_bits(codec: str, size: int, depth: int = 8) -> dict[str, int]:
 
 
 def block_tags(df: DataFrame, codec: str, size: int = 4, depth: int = 8) -> DataFrame:
-    """image_id, by, bx, tag, bits of every block of a long plane whose sides are multiples of the size."""
+    """image_id, block_y, block_x, tag, bits of every block of a long plane whose sides are multiples of the size."""
     top = (1 << int(codec[-1])) - 1 if codec.startswith("resolution-") else (1 << depth) - 1
     s = df.withColumn("s", F.expr(prepared(codec, depth=depth)))
-    g = s.groupBy("image_id", F.expr(f"y div {size}").cast("int").alias("by"), F.expr(f"x div {size}").cast("int").alias("bx"))
+    g = s.groupBy("image_id", F.expr(f"y div {size}").cast("int").alias("block_y"), F.expr(f"x div {size}").cast("int").alias("block_x"))
     out = g.agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.bool_and(F.col("s").isin(0, top)).alias("two"))
     tag = F.when(F.col("hi") == 0, "00").when(F.col("lo") == top, "01")
     tag = (tag.when(F.col("two"), "11") if codec == "bitmap" else tag).otherwise("10")
-    out = out.select("image_id", "by", "bx", tag.alias("tag"))
+    out = out.select("image_id", "block_y", "block_x", tag.alias("tag"))
     bits = payload_bits(codec, size, depth)
     return out.withColumn("bits", F.expr("case tag " + " ".join(f"when '{t}' then {n + 2}" for t, n in bits.items()) + " end"))
 

@@ -27,7 +27,7 @@ def with_analysis(results: DataFrame, analysis: DataFrame, left: str = "outfile"
 def averages(df: DataFrame, by: list[str], means: list[str], label: str = "infile", blank: tuple[str, ...] = ()) -> DataFrame:
     """One row a group, labelled `average`, with the means (nulls and NaN left out); other columns are null, `blank` ones empty."""
     clean = df.select(*by, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in means])
-    out = clean.groupBy(*by).agg(*[F.round(F.avg(c), 6).alias(c) for c in means])
+    out = clean.groupBy(*by).agg(*[F.avg(c).alias(c) for c in means])
     rest = [c for c in df.columns if c not in by and c not in means and c != label and c not in blank]
     kinds = dict(df.dtypes)
     return out.select(*[F.lit("average").alias(c) if c == label else F.lit("").alias(c) if c in blank else F.lit(None).cast(kinds[c]).alias(c) if c in rest else F.col(c) for c in df.columns])

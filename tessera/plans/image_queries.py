@@ -322,11 +322,11 @@ register("agg06_psnr_equal", lambda s, d: metrics.psnr(planes.pairs(s, d).withCo
 def _psnr_planes(s, d):
     p = planes.pairs(s, d).withColumn("plane", F.expr("substr('RGgB', (y % 2) * 2 + x % 2 + 1, 1)"))
     own = metrics.psnr(p, ["image_id", "plane"])
-    return own.groupBy("image_id").agg(F.round(F.avg("psnr"), 5).alias("psnr"), F.count(F.lit(1)).alias("planes"))
+    return own.groupBy("image_id").agg(F.round(F.avg("psnr"), 8).alias("psnr"), F.count(F.lit(1)).alias("planes"))
 
 
 register("agg07_psnr_of_planes", _psnr_planes, """WITH q AS (SELECT image_id, y % 2 AS py, x % 2 AS px, round(10 * log10(65025::DOUBLE / avg((a - b) * (a - b))), 6) AS psnr FROM pair GROUP BY ALL)
-    SELECT image_id, round(avg(psnr), 5) AS psnr, count(*) AS planes FROM q GROUP BY image_id""", "pair")
+    SELECT image_id, round(avg(psnr), 8) AS psnr, count(*) AS planes FROM q GROUP BY image_id""", "pair")
 register("agg08_aepp", lambda s, d: metrics.aepp(planes.pairs(s, d), ["image_id"]), "SELECT image_id, round(avg(abs(a - b)), 6) AS aepp FROM pair GROUP BY image_id", "pair")
 register("agg14_band_stats", lambda s, d: metrics.bands(long_plane()(s, d), 4, 8), f"SELECT image_id, CAST(y // 2 AS INT) AS band, {_st('v')} FROM plane WHERE y % 2 = 0 GROUP BY image_id, y // 2", "plane")
 register("agg15_ssim", lambda s, d: metrics.ssim(planes.pairs(s, d), ["image_id"]), """WITH m AS (SELECT image_id, avg(a) AS ma, avg(b) AS mb, avg(a * a) AS aa, avg(b * b) AS bb, avg(a * b) AS ab FROM pair GROUP BY image_id)
@@ -345,11 +345,11 @@ for _c in blocks.CODECS:
     _top = (1 << int(_c[-1])) - 1 if _c.startswith("resolution-") else 255
     _bits = blocks.payload_bits(_c, 2)
     _two = f"WHEN bool_and(s IN (0, {_top})) THEN '11'" if _c == "bitmap" else ""
-    _tags = f"t AS (SELECT image_id, CAST(y // 2 AS INT) AS by, CAST(x // 2 AS INT) AS bx, CASE WHEN max(s) = 0 THEN '00' WHEN min(s) = {_top} THEN '01' {_two} ELSE '10' END AS tag FROM (SELECT image_id, y, x, {_prep} AS s FROM ext) GROUP BY image_id, y // 2, x // 2)"
+    _tags = f"t AS (SELECT image_id, CAST(y // 2 AS INT) AS block_y, CAST(x // 2 AS INT) AS block_x, CASE WHEN max(s) = 0 THEN '00' WHEN min(s) = {_top} THEN '01' {_two} ELSE '10' END AS tag FROM (SELECT image_id, y, x, {_prep} AS s FROM ext) GROUP BY image_id, y // 2, x // 2)"
     _sized = "CASE tag " + " ".join(f"WHEN '{t}' THEN {n + 2}" for t, n in _bits.items()) + " END"
     _key = {"warhol": "alp01_warhol", "warhol2": "alp02_warhol2", "bitmap": "alp03_bitmap"}.get(_c, "alp04_" + _c.replace("-", ""))
     _long = lambda s, d: planes.samples(planes.extremes(planes.planes(s, d)).drop("label"))
-    register(_key, lambda s, d, c=_c: blocks.block_tags(planes.samples(planes.extremes(planes.planes(s, d)).drop("label")), c, 2), f"WITH {_tags} SELECT image_id, by, bx, tag, {_sized} AS bits FROM t", "ext")
+    register(_key, lambda s, d, c=_c: blocks.block_tags(planes.samples(planes.extremes(planes.planes(s, d)).drop("label")), c, 2), f"WITH {_tags} SELECT image_id, block_y, block_x, tag, {_sized} AS bits FROM t", "ext")
     register(f"agg12_tags_{_c.replace('-', '')}", lambda s, d, c=_c: blocks.tag_counts(blocks.block_tags(planes.samples(planes.extremes(planes.planes(s, d)).drop("label")), c, 2)), f"WITH {_tags} SELECT image_id, " + ", ".join(f"count(*) FILTER (tag = '{t}') AS n{t}" for t in _bits) + f", CAST((sum({_sized}) + 7) // 8 AS BIGINT) AS n_bytes FROM t GROUP BY image_id", "ext")
 
 

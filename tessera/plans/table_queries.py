@@ -185,8 +185,8 @@ def experiments(s, d) -> DataFrame:
 
 
 _exp = "e AS (SELECT l_partkey::VARCHAR AS infile, l_returnflag AS codec, l_linestatus AS preset, CAST(l_quantity AS INT) AS quality, l_extendedprice AS encoded_size, l_discount AS psnr, l_tax AS ssim FROM lineitem) "
-_mean = lambda *c: ", ".join(f"round(avg({x}), 4) AS {x}" for x in c)
-_shown = lambda df, *c: df.select(*[F.round(x, 4).alias(x) if x in c else F.col(x) for x in df.columns])
+_mean = lambda *c: ", ".join(f"round(avg({x}), 7) AS {x}" for x in c)
+_shown = lambda df, *c: df.select(*[F.round(x, 7).alias(x) if x in c else F.col(x) for x in df.columns])
 _M = ("encoded_size", "psnr", "ssim")
 register("agg09_average_by_preset", lambda s, d: _shown(results.averages(experiments(s, d), ["codec", "preset", "quality"], list(_M)), *_M), f"WITH {_exp}SELECT 'average' AS infile, codec, preset, quality, {_mean(*_M)} FROM e GROUP BY codec, preset, quality")
 register("agg10_average_by_approach", lambda s, d: _shown(results.averages(experiments(s, d).withColumnRenamed("codec", "approach").withColumn("encoded_size_breakdown", F.lit("1:2")), ["approach", "quality"], list(_M), blank=("encoded_size_breakdown",)), *_M), f"WITH {_exp}SELECT 'average' AS infile, codec AS approach, NULL::VARCHAR AS preset, quality, {_mean(*_M)}, '' AS encoded_size_breakdown FROM e GROUP BY codec, quality")
@@ -205,7 +205,7 @@ register("set02_equal_keys", lambda s, d: experiments(s, d).groupBy("infile").ag
 register("set03_union", lambda s, d: _read(s, d, "part").select("p_partkey", F.expr("array_sort(array_union(array(p_size, 10, 20), array(20, 30)))").alias("u")).select("p_partkey", F.array_join("u", ",").alias("u")), "SELECT p_partkey, array_to_string(list_sort(list_distinct([p_size, 10, 20, 30])), ',') AS u FROM part")
 register("win01_offsets", lambda s, d: _read(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum(F.col("l_quantity").cast("long")).alias("length")).withColumn("offset", F.coalesce(F.sum(F.col("length") + 2).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "WITH g AS (SELECT l_orderkey, l_linenumber, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS length FROM lineitem GROUP BY ALL) SELECT *, CAST(coalesce(sum(length + 2) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM g")
 register("win03_row_major", lambda s, d: _read(s, d, "events").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).select("event_id", F.expr("i div 4").cast("int").alias("row"), (F.col("i") % 4).alias("col")), "WITH n AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events) SELECT event_id, CAST(i // 4 AS INT) AS row, CAST(i % 4 AS INT) AS col FROM n")
-register("exp02_sweep_with_averages", lambda s, d: _shown(results.with_averages(experiments(s, d), ["codec", "preset", "quality"], list(_M)), *_M), f"WITH {_exp}SELECT infile, codec, preset, quality, round(encoded_size, 4) AS encoded_size, round(psnr, 4) AS psnr, round(ssim, 4) AS ssim FROM e UNION ALL SELECT 'average', codec, preset, quality, {_mean(*_M)} FROM e GROUP BY codec, preset, quality")
+register("exp02_sweep_with_averages", lambda s, d: _shown(results.with_averages(experiments(s, d), ["codec", "preset", "quality"], list(_M)), *_M), f"WITH {_exp}SELECT infile, codec, preset, quality, round(encoded_size, 7) AS encoded_size, round(psnr, 7) AS psnr, round(ssim, 7) AS ssim FROM e UNION ALL SELECT 'average', codec, preset, quality, {_mean(*_M)} FROM e GROUP BY codec, preset, quality")
 
 # ---- experiments without a codec ----
 
@@ -355,8 +355,8 @@ def _jpegs(s, d) -> DataFrame:
 
 
 _marks = "WITH t AS (SELECT doc_id, octet_length(encode(substr(coalesce(text, ''), 1, 200))) AS n FROM documents) "
-register("jpg01_segments", lambda s, d: jpeg.markers(_jpegs(s, d)).select("path", "seq", "marker_id", "marker", "offset", "length"), _marks + """SELECT doc_id::VARCHAR AS path, CAST(seq AS INT) AS seq, CAST(m AS INT) AS marker_id, name AS marker, CAST(CASE WHEN seq < 5 THEN at ELSE at + n END + CASE WHEN seq > 6 THEN n ELSE 0 END AS BIGINT) AS "offset", CAST(CASE WHEN seq IN (4, 6) THEN len + n ELSE len END AS INT) AS length
-    FROM t, (VALUES (0, 216, 'SOI', 0, 0), (1, 224, 'APP0', 2, 16), (2, 219, 'DQT', 20, 67), (3, 192, 'SOF0', 89, 17), (4, 254, 'COM', 108, 2), (5, 218, 'SOS', 112, 12), (6, 0, 'compressed_data', 126, 0), (7, 217, 'EOI', 126, 0)) q(seq, m, name, at, len) WHERE seq <> 6 OR true""")
+register("jpg01_segments", lambda s, d: jpeg.markers(_jpegs(s, d)).select("path", "seq", "marker_id", "marker", "offset", "length"), _marks + """SELECT doc_id::VARCHAR AS path, CAST(seq AS INT) AS seq, CAST(m AS INT) AS marker_id, name AS marker, CAST(CASE WHEN seq < 5 THEN place ELSE place + n END + CASE WHEN seq > 6 THEN n ELSE 0 END AS BIGINT) AS "offset", CAST(CASE WHEN seq IN (4, 6) THEN len + n ELSE len END AS INT) AS length
+    FROM t, (VALUES (0, 216, 'SOI', 0, 0), (1, 224, 'APP0', 2, 16), (2, 219, 'DQT', 20, 67), (3, 192, 'SOF0', 89, 17), (4, 254, 'COM', 108, 2), (5, 218, 'SOS', 112, 12), (6, 0, 'compressed_data', 126, 0), (7, 217, 'EOI', 126, 0)) q(seq, m, name, place, len)""")
 register("jpg02_marker_table", lambda s, d: jpeg.markers_table(s), "SELECT marker_id, marker FROM " + _values(sorted(jpeg.MARKERS.items()), "marker_id, marker"))
 register("jpg03_contents", lambda s, d: jpeg.markers(_jpegs(s, d)).filter("contents <> '{}'"))
 register("jpg11_frame_header", lambda s, d: jpeg.extract(jpeg.markers(_jpegs(s, d)), "SOF0").select("path", F.get_json_object("contents", "$.number_of_lines").cast("int").alias("h"), F.get_json_object("contents", "$.number_of_samples_per_line").cast("int").alias("w"), F.get_json_object("contents", "$.components[0].horizontal").cast("int").alias("horizontal")), "SELECT doc_id::VARCHAR AS path, 16 AS h, 24 AS w, 2 AS horizontal FROM documents")
