@@ -136,6 +136,21 @@ def demosaic(df: DataFrame, order: str, h: int = SIDE, w: int = SIDE, column: st
     return out.withColumnsRenamed({"_r": "r", "_g": "g", "_b": "b"})
 
 
+def demosaic_inner(df: DataFrame, order: str, h: int = SIDE, w: int = SIDE, column: str = "v") -> DataFrame:
+    """Columns r, g, b by rounded means of the 8 neighbours of the colour; the outermost pixels copy the pixel beside them inside."""
+    yy, xx = f"least({h - 2}, greatest(1, {{y}}))", f"least({w - 2}, greatest(1, {{x}}))"
+    near = [(f"({yy} + {dy})", f"({xx} + {dx})") for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
+    out = df
+    for c in "rgb":
+        own = ", ".join(str(k) for k, o in enumerate(order) if o.lower() == c)
+        is_own = lambda y, x, own=own: f"(({y} % 2) * 2 + {x} % 2) in ({own})"
+        value = lambda y, x: f"get({column}, cast({y} * {w} + {x} as int))"
+        total = " + ".join(f"(case when {is_own(y, x)} then {value(y, x)} else 0 end)" for y, x in near)
+        count = " + ".join(f"(case when {is_own(y, x)} then 1 else 0 end)" for y, x in near)
+        out = out.withColumn("_" + c, F.expr(grid(h, w, f"cast(case when {is_own(yy, xx)} then {value(yy, xx)} else ({total} + ({count}) div 2) div ({count}) end as int)")))
+    return out.withColumnsRenamed({"_r": "r", "_g": "g", "_b": "b"})
+
+
 def remosaic(order: str) -> Column:
     """The sample that a mosaic keeps of r, g, b at (y, x)."""
     cases = " ".join(f"when {k} then {c.lower()}" for k, c in enumerate(order))

@@ -158,7 +158,7 @@ for _name, _codec in packing.CODECS.items():
 
     _byte = ", ".join(f"max(v) FILTER ((8 * y + x) % {_n} = {i}) AS b{i}" for i in range(_n))
     _sql = f"WITH g AS (SELECT image_id, CAST((8 * y + x) // {_n} AS INT) AS g, {_byte} FROM plane WHERE 8 * y + x < {_groups * _n} GROUP BY ALL)"
-    _key = f"pck_{_name.replace('.', '_')}"
+    _key = f"pck{1 + list(packing.CODECS).index(_name):02d}_{_name.replace('.', '_')}"
     register(f"{_key}_unpack", _unpacked, _sql + " SELECT image_id, g, " + ", ".join(f"{e} AS c{i}" for i, e in enumerate(_codec.unpack(Duck, [f"b{i}" for i in range(_n)]))) + " FROM g", "plane")
 
     def _packed(s, d, c=_codec, m=_m):

@@ -160,3 +160,81 @@ def matrices(s, d) -> DataFrame:
 register("mth02_matrix_inverse", matrices, "SELECT mc, CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM (SELECT unnest([0, 1, 4, 5, 6, 7, 8, 9, 10, 11]) AS mc), (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j)")
 register("exp13_relabelled", lambda s, d: planes.samples(planes.mosaic_planes(planes.planes(s, d).drop("label"), "BGgR").select("image_id", F.col("R0").alias("first"), F.col("B0").alias("last")), 4, r="first", b="last"), "SELECT p.image_id, CAST(p.y // 2 AS INT) AS y, CAST(p.x // 2 AS INT) AS x, p.v AS r, q.v AS b FROM plane p JOIN plane q ON q.image_id = p.image_id AND q.y = p.y - 1 AND q.x = p.x - 1 WHERE p.y % 2 = 1 AND p.x % 2 = 1", "plane")
 register("exp01_computed_columns", lambda s, d: tq.experiments(s, d).select("infile", "codec", "quality", F.round(results.bits_per_pixel("encoded_size", "64", "48"), 9).alias("bpp")), f"WITH {tq._exp}SELECT infile, codec, quality, round(8 * encoded_size / (64 * 48), 9) AS bpp FROM e")
+
+
+# ---- wrappers and segments ----
+
+
+def inner(s, d) -> DataFrame:
+    return planes.samples(planes.demosaic_inner(planes.planes(s, d).drop("label"), "RGgB").drop("v"), r="r", g="g", b="b")
+
+
+def _inner_sql() -> str:
+    parts = []
+    for c in "rgb":
+        of = "(" + ", ".join(str(k) for k, o in enumerate("RGgB") if o.lower() == c) + ")"
+        hit = f"((n.y % 2) * 2 + n.x % 2) IN {of}"
+        parts.append(f"CAST(CASE WHEN (m.y % 2) * 2 + m.x % 2 IN {of} THEN any_value(m.v) ELSE (sum(n.v) FILTER ({hit}) + (count(*) FILTER ({hit})) // 2) // greatest(1, count(*) FILTER ({hit})) END AS INT) AS {c}")
+    inside = f"SELECT m.image_id, m.y, m.x, {', '.join(parts)} FROM plane m JOIN plane n ON n.image_id = m.image_id AND abs(n.y - m.y) <= 1 AND abs(n.x - m.x) <= 1 AND NOT (n.y = m.y AND n.x = m.x) WHERE m.y BETWEEN 1 AND 6 AND m.x BETWEEN 1 AND 6 GROUP BY m.image_id, m.y, m.x"
+    return f"WITH i AS ({inside}) SELECT p.image_id, p.y, p.x, i.r, i.g, i.b FROM plane p JOIN i ON i.image_id = p.image_id AND i.y = least(6, greatest(1, p.y)) AND i.x = least(6, greatest(1, p.x))"
+
+
+register("dem05_inner_border", inner, _inner_sql(), "plane")
+
+
+def packed_matrix(s, d) -> DataFrame:
+    from ..sources import raw
+
+    buffers = planes.planes(s, d).select("image_id", y4m.pack_samples("v").alias("content"))
+    return planes.samples(raw.mosaic_samples(buffers, "content", "bayer_rggb8").select("image_id", F.col("samples").alias("v")))
+
+
+register("pck13_packed_matrix", packed_matrix, "SELECT image_id, y, x, v FROM plane", "plane")
+_ranged = {c: ranges.rescale(Duck, c, (16, 235) if c == "r" else (16, 240), (0, 255))[0] for c in "rgb"}
+register("rng02_interleaved", lambda s, d: planes.triples(s, d).select(*PIXEL, *[F.expr(ranges.rescale(Spark, c, (16, 235) if c == "r" else (16, 240), (0, 255))[0]).alias(c) for c in "rgb"]), "SELECT image_id, y, x, " + ", ".join(f"{e} AS {c}" for c, e in _ranged.items()) + " FROM rgb", "rgb")
+
+
+def subsampled_chroma(s, d) -> DataFrame:
+    p = planes.with_neighbours(planes.planes(s, d).drop("label"), 2)
+    for c in ("v1", "v2"):
+        p = planes.subsample(p, "420", column=c, out=c)
+    return planes.samples(p.drop("v"), 4, u="v1", w="v2")
+
+
+register("sub04_yuv420", subsampled_chroma, "SELECT image_id, CAST(y // 2 AS INT) AS y, CAST(x // 2 AS INT) AS x, CAST(sum(g) // 4 AS INT) AS u, CAST(sum(b) // 4 AS INT) AS w FROM rgb GROUP BY image_id, y // 2, x // 2", "rgb")
+register("str22_item_listing", lambda s, d: texts.container_items(tq._listing(s, d), "t", ["o_orderkey"]).groupBy("type").agg(F.count(F.lit(1)).alias("n")), "SELECT type, count(*) AS n FROM orders, (VALUES ('hvc1'), ('Exif')) t(type) GROUP BY type")
+
+
+def colorimetry(s, d) -> DataFrame:
+    """Settings of a trace, of an SPS and of a colour box in one map."""
+    part = tq._read(s, d, "part").withColumn("_x", F.expr("concat('<a><ColourInformationBox colour_type=\"nclx\" full_range_flag=\"', p_size % 2, '\"/></a>')"))
+    text = lambda m: F.transform_values(m, lambda k, v: v.cast("string"))
+    m = F.map_concat(text(texts.settings(F.expr("concat('colour_primaries = ', p_size)"), texts.COLOUR_KEYS, "hevc:")), text(texts.settings(F.expr("concat('general_level_idc: ', p_size + 1)"), texts.SPS_KEYS, "hvcC:", ":")), texts.colour_box(F.col("_x")))
+    return part.select("p_partkey", m.alias("m")).select("p_partkey", F.explode("m").alias("k", "v"))
+
+
+register("meta10_colorimetry", colorimetry, "SELECT p_partkey, k, CASE k WHEN 'hevc:cp' THEN p_size::VARCHAR WHEN 'hvcC:level' THEN (p_size + 1)::VARCHAR WHEN 'colr:fr' THEN (p_size % 2)::VARCHAR ELSE 'nclx' END AS v FROM part, (VALUES ('hevc:cp'), ('hvcC:level'), ('colr:fr'), ('colr:colour_type')) t(k)")
+
+#: A segment of each kind: marker, its bytes, and what is read from it.
+SEGMENTS = {
+    "jpg03_app0": (0xE0, b"JFIF\0\1\2\1\0\x48\0\x48\0\0", '{"type": "JFIF", "version_major": 1, "version_minor": 2, "density_units": 1, "xdensity": 72, "ydensity": 72, "xthumbnail": 0, "ythumbnail": 0}'),
+    "jpg04_app1": (0xE1, b"Exif\0\0II", '{"type": "EXIF"}'), "jpg04_xmp": (0xE1, b"http://ns.adobe.com/xap/1.0/\0<x/>", '{"type": "Adobe XMP"}'), "jpg05_app2": (0xE2, b"ICC_PROFILE\0\1\3", '{"type": "ICC_PROFILE", "chunk": 1, "chunks": 3}'),
+    "jpg05_mpf": (0xE2, b"MPF\0II", '{"type": "MPF"}'), "jpg06_app14": (0xEE, b"Adobe\0\x64\0\0\1", '{"version": 100, "flags0": 0, "flags1": 0, "transform": "YCbCr"}'), "jpg07_comment": (0xFE, b"made here", '{"comment": "made here"}'),
+    "jpg08_quantisation": (0xDB, bytes([2] + [5] * 64), '{"tables": [{"Pq": 0, "Tq": 2, "Q": [' + ", ".join(["5"] * 64) + "]}]}"), "jpg09_restart": (0xDD, b"\0\x10", '{"interval": 16}'),
+    "jpg10_scan": (0xDA, bytes([1, 1, 0x12, 0, 63, 0x21]), '{"components": [{"component_id": 1, "component": "Y", "dc": 1, "ac": 2}], "spectral_selection": [0, 63], "approximation": [2, 1]}'),
+    "jpg11_frame": (0xC2, bytes([8, 0, 2, 0, 3, 1, 1, 0x21, 0]), '{"sof": 2, "sample_precision": 8, "number_of_lines": 2, "number_of_samples_per_line": 3, "components": [{"component_id": 1, "component": "Y", "horizontal": 2, "vertical": 1, "table": 0}]}'),
+    "jpg12_huffman": (0xC4, bytes([0x10, 1] + [0] * 15 + [9]), '{"tables": [{"Tc": 1, "Th": 0, "L": [1' + ", 0" * 15 + '], "V": [[9]' + ", []" * 15 + "]}]}"),
+    "jpg13_ls_parameters": (0xF8, bytes([1, 0, 255, 0, 3, 0, 7, 0, 21, 0, 64]), '{"lse_id": 1, "type": "Preset coding parameters", "MAXVAL": 255, "T1": 3, "T2": 7, "T3": 21, "RESET": 64}'),
+    "jpg13_ls_table": (0xF8, bytes([2, 1, 2, 9, 9, 9, 9]), '{"lse_id": 2, "type": "Mapping table specification", "table_id": 1, "entry_width": 2, "num_entries": 2}'), "jpg14_app13": (0xED, b"Photoshop 3.0\0x", '{"text": "Photoshop 3.0"}'), "jpg14_other": (0xE5, b"zz", "{}"),
+}
+
+
+def segment_of(s, d, key: str) -> DataFrame:
+    """A file for each document with the segment, and what its marker says."""
+    marker, data, _ = SEGMENTS[key]
+    files = tq._read(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit(jpeg.build([(marker, data)])).alias("content"))
+    return jpeg.markers(files).filter(f"marker_id = {marker}").select("path", "offset", "contents")
+
+
+for _key, (_, _, _said) in SEGMENTS.items():
+    register(_key, lambda s, d, k=_key: segment_of(s, d, k), f"SELECT doc_id::VARCHAR AS path, CAST(2 AS BIGINT) AS \"offset\", '{_said}' AS contents FROM documents")

@@ -132,3 +132,31 @@ def test_averages_leave_out_missing_values(spark):
     df = spark.createDataFrame([("a", "x", 1.0), ("b", "x", float("nan")), ("c", "x", None), ("d", "y", 4.0)], "infile string, codec string, psnr double")
     got = {r.codec: (r.infile, r.psnr) for r in results.averages(df, ["codec"], ["psnr"]).collect()}
     assert got == {"x": ("average", 1.0), "y": ("average", 4.0)}
+
+
+def test_convert_and_read_by_kind(spark, tmp_path):
+    from tessera.sources import images
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.raw").write_bytes(bytes(range(1, 21)))
+    images.convert_mosaics(spark, str(tmp_path / "in"), "pRAA", 4, 4, "bayer_rggb16le", str(tmp_path / "out"))
+    data = (tmp_path / "out" / "a.raw").read_bytes()
+    assert [int.from_bytes(data[i : i + 2], "little") for i in range(0, 8, 2)] == [5 << 6, 9 << 6, 12 << 6, 16 << 6]
+    rgb = images.demosaiced(spark, str(tmp_path / "in"), "pRAA", 4, 4).first()
+    assert len(rgb["r"]) == 16 and rgb["r"][0] == 5
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "a.jpg").write_bytes(jpeg.build([(0xFE, b"x")]))
+    assert images.read(spark, str(tmp_path / "j"), ".jpg").count() == 3
+    df = spark.createDataFrame([(0, 0, [1] * 16)], "clip long, frame_no int, v array<int>")
+    images.write_streams(df, str(tmp_path / "j"), "clip", 4, 4, "mono", ["v"], colorrange="limited")
+    assert images.read(spark, str(tmp_path / "j"), ".y4m").count() == 1
+    assert {r.range for r in images.colour_range(spark, str(tmp_path / "j")).collect()} == {"full", "limited"}
+    with pytest.raises(ValueError):
+        images.read(spark, str(tmp_path), ".xyz")
+
+
+def test_inner_border_demosaic(spark):
+    df = spark.createDataFrame([(0, list(range(16)))], "image_id long, v array<int>")
+    row = planes.demosaic_inner(df, "BGgR", 4, 4).first()
+    want = [5, 5, 6, 6] * 2 + [9, 9, 10, 10] * 2
+    assert row["r"] == row["g"] == row["b"] == want
