@@ -6,9 +6,10 @@ product. The order puts n-grams that many documents hold last (commonest at the
 Columns are dealt over the cluster by n-gram; a block's products are summed by pair, and a pair whose shared columns plus all that could
 still be shared stay below the overlap its sizes ask for is dropped. What is left is verified on whole sets.
 
-A column that m classes share is never expanded into m * m pairs at once. First each column links its classes to one hub (a few rounds with
-new hubs; verified links join components). Only pairs of different components of a column are then multiplied out, so that every link between
-different components is found and components are exact.
+Columns of at most LIGHT classes are multiplied out and summed by pair; what a pair could share besides, in other columns and behind the leading
+n-grams, bounds its overlap from above. A column that more classes share is never expanded into all pairs: it first links its classes to one
+hub (a few rounds with new hubs; verified links join components). Only pairs of different components of such a column are then multiplied
+out and bounded, so that every link between different components is found and components are exact.
 
 Rows: `components` gives one row per input row. Null, empty and blank texts have no set, link with nothing and are their own component.
 Repeated rows are members of one class. Null ids sort last (a component of nothing else has a null id). Empty tables give empty results. Only
@@ -21,16 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NO_ID, Words, groups_of, shingle_hashes, stash, utf8
+from .suffix_dedup import part as split_by_ids
 
 WORDS, PERCENT = 5, 80
 #: N-grams that the common order puts last: at most this many (2 MB for every task), from this many documents on.
 MOST_COMMON, COMMON_FROM = 1 << 18, 16
 #: Rounds of linking columns to hubs before pairs of components are multiplied out.
 HUB_ROUNDS = 3
+#: Columns of at most this many classes are multiplied out at once.
+LIGHT = 8
 BLOCK = 1 << 20
 
 
@@ -161,47 +165,81 @@ def connected(links: DataFrame) -> DataFrame:
         labels = step.select("c", "comp")
 
 
+def shared_columns(columns: DataFrame) -> DataFrame:
+    """g, c, n, m: the columns that at least two classes hold, with their number of classes. One exchange, by column."""
+    by = Window.partitionBy("g")
+    several = columns.withColumn("lo", F.min("c").over(by)).withColumn("hi", F.max("c").over(by)).filter("lo < hi")
+    return several.groupBy("g", "c", "n").agg(F.lit(1).alias("one")).withColumn("m", F.count(F.lit(1)).over(by)).select("g", "c", "n", "m")
+
+
+def could_reach(shared: Column, percent: int) -> Column:
+    """Whether n-grams known to be shared, and all behind the leading ones, suffice for sets of a and b n-grams."""
+    rest = F.greatest(F.ceil(F.col("a") * percent / 100), F.ceil(F.col("b") * percent / 100)) - 1
+    return (shared + rest) * (100 + percent) >= (F.col("a") + F.col("b")) * percent
+
+
+def products(left: DataFrame, right: DataFrame, keep: Column, percent: int) -> DataFrame:
+    """x, y, a, b, k: how many columns two classes share. left: g, x, nx, ...; right: g, y, ny, ...; pairs are ordered by class."""
+    both = left.join(right, "g").filter(keep & fits("nx", "ny", percent))
+    swap = F.col("x") < F.col("y")
+    return both.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("a"), F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("b")).agg(F.count(F.lit(1)).alias("k"))
+
+
+def bounded(sums: DataFrame, other: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may reach the similarity. other: c, more (columns of a class that the sums leave out)."""
+    for side, name in (("x", "mx"), ("y", "my")):
+        sums = sums.join(other.select(F.col("c").alias(side), F.col("more").alias(name)), side, "left")
+    more = F.least(F.coalesce("mx", F.lit(0)), F.coalesce("my", F.lit(0)))
+    return sums.filter(could_reach(F.col("k") + more, percent)).select("x", "y")
+
+
 def links_of(base: DataFrame, members: DataFrame, common: np.ndarray, percent: int = PERCENT) -> DataFrame | None:
-    """x, y: verified links between classes that hold together every component; None if no column has two classes."""
-    columns = stash(columns_of(base, common, percent), "columns")
-    ends = columns.groupBy("g").agg(F.min("c").alias("least_c"), F.max("c").alias("most_c")).filter("least_c <> most_c").select("g")
-    shared = stash(columns.join(ends, "g").distinct(), "shared")
-    needed = shared.select("c").distinct().join(members.groupBy("c").agg(F.min("id").alias("id")), "c").select("id").distinct()
-    sets = stash(sets_of(base.join(needed, "id", "left_semi")).dropDuplicates(["c"]), "sets")
+    """x, y: verified links between classes that hold together every component; None if there are none."""
+    shared = stash(shared_columns(columns_of(base, common, percent)), "shared")
+    light, heavy = shared.filter(F.col("m") <= LIGHT), shared.filter(F.col("m") > LIGHT)
+    counts = stash(shared.groupBy("c").agg(F.count_if(F.col("m") > LIGHT).alias("heavy"), F.count_if(F.col("m") <= LIGHT).alias("light")), "counts")
     links, labels = None, None
 
     def open_columns() -> DataFrame:
-        """g, c, n, comp of the columns that more than one component shares."""
-        own = shared.withColumn("comp", F.col("c")) if labels is None else shared.join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+        """g, c, n, comp of the heavy columns that more than one component shares."""
+        own = heavy.withColumn("comp", F.col("c")) if labels is None else heavy.join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
         several = own.groupBy("g").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p <> q").select("g")
         return stash(own.select("g", "c", "n", "comp").join(several, "g"), "open")
 
+    def hub_pairs(todo: DataFrame, k: int) -> DataFrame:
+        hub = todo.groupBy("g").agg(F.min(F.struct(F.xxhash64("comp", F.lit(k)).alias("r"), F.xxhash64("c", F.lit(k)).alias("q"), "c", "n", "comp")).alias("hub"))
+        pairs = todo.join(hub, "g").filter("comp <> hub.comp").withColumn("hn", F.col("hub.n")).filter(fits("n", "hn", percent))
+        return pairs.select(F.least("hub.c", "c").alias("x"), F.greatest("hub.c", "c").alias("y")).distinct()
+
     def add(pairs: DataFrame) -> bool:
         nonlocal links, labels
-        new = stash(verified(pairs, sets, percent), "links")
+        pairs = stash(pairs, "pairs")
+        needed = pairs.select(F.col("x").alias("c")).unionAll(pairs.select(F.col("y").alias("c"))).distinct().join(members.groupBy("c").agg(F.min("id").alias("id")), "c").select("id").distinct()
+        maybe, _ = split_by_ids(base, stash(needed, "needed"))
+        new = stash(verified(pairs, sets_of(maybe.join(needed, "id", "left_semi")), percent).distinct(), "links")
         if new.isEmpty():
             return False
         links = new if links is None else links.unionByName(new)
         labels = connected(links)
         return True
 
-    for k in range(HUB_ROUNDS):
-        todo = open_columns()
-        hub = todo.groupBy("g").agg(F.min(F.struct(F.xxhash64("comp", F.lit(k)).alias("r"), F.xxhash64("c", F.lit(k)).alias("q"), "c", "n", "comp")).alias("hub"))
-        pairs = todo.join(hub, "g").filter("comp <> hub.comp").withColumn("hn", F.col("hub.n")).filter(fits("n", "hn", percent))
-        if not add(pairs.select(F.col("hub.c").alias("x"), F.col("c").alias("y")).distinct()):
+    # columns of few classes: all products, exact sums of what they share there
+    l = light.select("g", F.col("c").alias("x"), F.col("n").alias("nx"))
+    r = light.select("g", F.col("c").alias("y"), F.col("n").alias("ny"))
+    few = bounded(products(l, r, F.col("x") < F.col("y"), percent), counts.select("c", F.col("heavy").alias("more")), percent)
+    # columns of many classes: hubs first, together with the pairs above
+    added = add(few.unionByName(hub_pairs(open_columns(), 0)).distinct())
+    for k in range(1, HUB_ROUNDS) if added else ():
+        if not add(hub_pairs(open_columns(), k)):
             break
-    todo = open_columns()
     # the component with most classes in a column meets the others; the others meet one another
+    todo = open_columns()
     per = todo.groupBy("g", "comp").count()
     major = per.groupBy("g").agg(F.max(F.struct("count", "comp")).alias("m")).select("g", F.col("m.comp").alias("major"))
     others = todo.join(major, "g").filter("comp <> major").select("g", F.col("c").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), "major")
     ally = todo.select("g", F.col("c").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-    products = others.join(ally, "g").filter((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x") < F.col("y"))) & fits("nx", "ny", percent))
-    sums = products.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("a"), F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("b")).agg(F.count(F.lit(1)).alias("k"))
-    rest = F.greatest(F.ceil(F.col("a") * percent / 100), F.ceil(F.col("b") * percent / 100)) - 1  # n-grams behind the leading ones
-    bounded = sums.filter((F.col("k") + rest) * (100 + percent) >= (F.col("a") + F.col("b")) * percent)
-    add(bounded.select("x", "y"))
+    apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x") < F.col("y")))
+    add(bounded(products(others, ally, apart, percent), counts.select("c", F.col("light").alias("more")), percent))
     return links
 
 
@@ -231,7 +269,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose id is their component's least, and of equal rows with one id all. Rows with a null id go only if linked to a row with an id."""
+    """The rows of docs whose id is their component's least (all rows of that id). Rows with a null id stay: nothing tells them apart."""
     own = stash(components(docs, id_col, text_col, percent).select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("_id"), F.coalesce("component_id", F.lit(NO_ID)).alias("_component")), "components")
-    late = own.filter("_component < _id").select("_id").distinct()
+    late = own.filter((F.col("_component") < F.col("_id")) & (F.col("_id") != NO_ID)).select("_id").distinct()
     return docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(late, "_id", "left_anti").drop("_id")
