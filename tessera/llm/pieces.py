@@ -29,9 +29,9 @@ MARK = "▁"
 OWN_MARK = "\udc81"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Edges of the segments that a worker remembers.
-MOST_EDGES = 3_000_000
+MOST_EDGES = 4_000_000
 #: Characters sampled at once.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: Steps of a share between 0 and 1.
 GRID = float(1 << 24)
 
@@ -103,7 +103,10 @@ class Lattices:
             weights += [vocabulary.pieces[p][1] for p in own]
         keys = np.concatenate(keys)
         order = np.argsort(keys)
-        self.known, self.ids, self.weights = keys[order], np.array(ids, np.int32)[order], np.array(weights)[order]
+        # an entry more that no string has: buckets by the first 20 bits of the hash end at the next bucket's start
+        self.known, self.ids, self.weights = np.append(keys[order], np.uint64(2**64 - 1)), np.append(np.array(ids, np.int32)[order], np.int32(-1)), np.append(np.array(weights)[order], 0.0)
+        heads = np.searchsorted(self.known[:-1], np.arange(1 << 20, dtype=np.uint64) << np.uint64(44))
+        self.head, self.deepest = heads.astype(np.int32), int(np.diff(np.append(heads, len(order))).max())
         if (self.known[1:] == self.known[:-1]).any():
             raise ValueError("two pieces share a hash")
         self.clear()
@@ -111,17 +114,17 @@ class Lattices:
     def clear(self) -> None:
         self.last: dict[str, int] = {}
         self.nodes = self.edges = 0
-        self.key, self.back, self.id, self.first = np.zeros(1 << 16), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.key, self.back, self.id, self.first = np.zeros(1 << 16, np.float32), np.zeros(1 << 16, np.int16), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
 
     def add(self, segments: list[str]) -> None:
         """Lattices of segments that are not known yet, all at once."""
-        lengths = np.fromiter(map(len, segments), np.int64, len(segments))
+        lengths = np.fromiter(map(len, segments), np.int32, len(segments))
         chars = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
         total = len(chars)
-        whose = np.repeat(np.arange(len(segments)), lengths)
-        base = np.cumsum(lengths + 1) - lengths - 1  # first place of each segment
+        base = (np.cumsum(lengths + 1) - lengths - 1).astype(np.int32)  # first place of each segment
+        own_base = np.repeat(base, lengths)
         left = np.repeat(np.cumsum(lengths), lengths) - np.arange(total)  # characters to the segment's end
-        place = np.arange(total) + whose
+        place = np.arange(total, dtype=np.int32) + np.repeat(np.arange(len(segments), dtype=np.int32), lengths)
         alive, h = np.arange(total), np.zeros(total, np.uint64)
         starts, spans, ids, weights = [], [], [], []
         for n in range(1, self.longest + 1):
@@ -129,27 +132,32 @@ class Lattices:
                 go = left[alive] >= n
                 alive, h = alive[go], h[go]
             h = string_keys(chars, alive, n, h)
-            at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+            at = self.head[(h >> np.uint64(44)).astype(np.int32)]
+            for _ in range(self.deepest - 1):
+                more = np.flatnonzero(self.known[at] < h)
+                if not len(more):
+                    break
+                at[more] += 1
             found = self.known[at] == h
             piece = found & (self.ids[at] >= 0)
             starts.append(alive[piece])
-            spans.append(np.full(len(starts[-1]), n))
+            spans.append(np.full(len(starts[-1]), n, np.int32))
             ids.append(self.ids[at[piece]])
             weights.append(self.weights[at[piece]])
             if n == 1:  # -1 - code point: bytes of the character
                 lone = alive[~piece]
                 starts.append(lone)
-                spans.append(np.ones(len(lone), np.int64))
+                spans.append(np.ones(len(lone), np.int32))
                 ids.append((-1 - chars[lone].astype(np.int64)).astype(np.int32))
                 weights.append(np.full(len(lone), 1e-6))
             alive, h = alive[found], h[found]
         start, span, ids, weight = np.concatenate(starts), np.concatenate(spans), np.concatenate(ids), np.concatenate(weights)
-        begin = place[start]
-        end = begin + span
-        weight = weight * 40.0**span  # the same for all ways through a segment; keeps sums near 1
-        level = end - base[whose[start]]
-        order = np.lexsort((end, level))
-        begin, end, span, ids, weight, level = begin[order], end[order], span[order], ids[order], weight[order], level[order]
+        end = place[start] + span
+        weight = weight * (40.0 ** np.arange(self.longest + 1))[span]  # the same for all ways through a segment; keeps sums near 1
+        level = end - own_base[start]
+        order = np.argsort(level.astype(np.int64) * (int(end.max()) + 1) + end, kind="stable")
+        end, span, ids, weight, level = end[order], span[order], ids[order], weight[order], level[order]
+        begin = end - span
         group = np.flatnonzero(np.diff(end, prepend=-1))  # edges into one place
         group_end = end[group]
         edge_at = np.searchsorted(level, np.arange(1, level[-1] + 2))
@@ -168,7 +176,7 @@ class Lattices:
                 far = (t < 1e-90) | (t > 1e90)
                 near = np.maximum(to[far, None] - np.arange(self.longest + 1), first_place[to[far], None])
                 alpha[near] = alpha[near] / t[far, None]
-        order = np.lexsort((-share, end))  # likely pieces first: few steps find the drawn one
+        order = np.argsort(end + 0.75 * (1 - share), kind="stable")  # likely pieces first: few steps find the drawn one
         end, share = end[order], share[order]
         group = np.flatnonzero(np.diff(end, prepend=-1))
         # cumulative shares on a grid that both the key and the draw hold exactly, whatever the place's number
@@ -181,7 +189,7 @@ class Lattices:
         key[group + sizes - 1] = 1.0
         need, places = self.edges + len(key), self.nodes + len(alpha)
         if need > len(self.key):
-            self.key, self.back, self.id = (np.concatenate([x, np.zeros(2 * need - len(x), x.dtype)]) for x in (self.key, self.back, self.id))
+            self.key, self.back, self.id = (np.concatenate([x, np.zeros(need + need // 2 - len(x), x.dtype)]) for x in (self.key, self.back, self.id))
         if places > len(self.first):
             self.first = np.concatenate([self.first, np.zeros(2 * places - len(self.first), np.int32)])
         self.first[end[group] + self.nodes] = group + self.edges
@@ -202,22 +210,24 @@ def sample(texts: list[str], seeds: np.ndarray, store: Lattices) -> list[np.ndar
     if not every:
         return [np.zeros(0, np.int32) for _ in texts]
     counts = [len(own) for own in per_text]
-    last = store.last
-    new = [s for s in set(every) if s not in last]
+    ends = list(map(store.last.get, every))
+    new = {s for s, at in zip(every, ends, strict=True) if at is None}
     if new:
-        store.add(new)
-    ends = list(map(last.__getitem__, every))
+        store.add(list(new))
+        ends = list(map(store.last.__getitem__, every))
     lengths = list(map(len, every))
     key, back, ids, first = store.key, store.back, store.id, store.first
-    node, left = np.array(ends), np.array(lengths)
+    node, left = np.fromiter(ends, np.int32, len(ends)), np.fromiter(lengths, np.int32, len(lengths))
     counts = np.array(counts)
     number = np.arange(len(node)) - np.repeat(np.cumsum(counts) - counts, counts)
     with np.errstate(over="ignore"):
         seed = mix64(np.repeat(seeds, counts) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     live, picks, whose, step = np.arange(len(node)), [], [], 0
     while len(live):
-        with np.errstate(over="ignore"):
-            u = (mix64(seed[live] + np.uint64(step)) >> np.uint64(40)).astype(np.float64) / GRID
+        if step % 2 == 0:  # one hash gives the draws of two steps
+            with np.errstate(over="ignore"):
+                drawn = mix64(seed[live] + np.uint64(step))
+        u = ((drawn >> np.uint64(40 - 24 * (step % 2))) & np.uint64(0xFFFFFF)).astype(np.float32) / np.float32(GRID)
         e = first[node[live]]
         todo = np.flatnonzero(key[e] <= u)
         while len(todo):  # the key of a place's last edge is 1, which no draw reaches
@@ -227,7 +237,8 @@ def sample(texts: list[str], seeds: np.ndarray, store: Lattices) -> list[np.ndar
         whose.append(live)
         node[live] -= back[e]
         left[live] -= back[e]
-        live = live[left[live] > 0]
+        on = left[live] > 0
+        live, drawn = live[on], drawn[on]
         step += 1
     whose_all = np.concatenate(whose)
     many = np.bincount(whose_all, minlength=len(node))
@@ -236,11 +247,20 @@ def sample(texts: list[str], seeds: np.ndarray, store: Lattices) -> list[np.ndar
     out = np.empty(len(whose_all), np.int32)
     out[begin[whose_all] + many[whose_all] - 1 - steps] = np.concatenate(picks)
     edge = np.append(begin, len(out))[np.concatenate([[0], np.cumsum(counts)])]
-    result = [out[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
-    for i, r in enumerate(result):
-        if len(r) and r.min() < 0:
-            result[i] = np.array([x for p in r.tolist() for x in ((p,) if p >= 0 else [store.v.bytes_[b] for b in raw_char(chr(-1 - p))])], np.int32)
-    return result
+    raw = np.flatnonzero(out < 0)
+    if len(raw):  # characters without a piece, as many ids as they have bytes
+        chars, which = np.unique(out[raw], return_inverse=True)
+        own = [[store.v.bytes_[b] for b in raw_char(chr(-1 - p))] for p in chars.tolist()]
+        wide = np.ones(len(out), np.int64)
+        wide[raw] = np.array([len(x) for x in own])[which]
+        moved = np.concatenate([[0], np.cumsum(wide)])
+        out = np.repeat(out, wide)
+        for k, x in enumerate(own):
+            at = moved[raw[which == k]]
+            for j, piece in enumerate(x):
+                out[at + j] = piece
+        edge = moved[edge]
+    return [out[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
 def decode(ids, vocabulary: Vocabulary) -> bytes:
