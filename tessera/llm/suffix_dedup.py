@@ -253,10 +253,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kind = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
     base = docs.select(F.col(id_col).cast("string").alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     by_name, by_key = Window.partitionBy("h", "s"), Window.partitionBy("h")
-    found = all_segments(base.select("id", "text")).withColumn("first", F.min("id").over(by_name))
-    for name, f, c in (("lo", F.min, "first"), ("hi", F.max, "id"), ("one", F.min, "s"), ("other", F.max, "s")):
+    # one exchange, by key: keys of one document go before anything else is asked of a segment
+    found = all_segments(base.select("id", "text"))
+    for name, f, c in (("lo", F.min, "id"), ("hi", F.max, "id"), ("one", F.min, "s"), ("other", F.max, "s")):
         found = found.withColumn(name, f(c).over(by_key))
-    found = found.filter("lo < hi").select("h", "s", "id", "first", (F.col("one") != F.col("other")).alias("several"))
+    found = found.filter("lo < hi").withColumn("first", F.min("id").over(by_name))
+    found = found.select("h", "s", "id", "first", (F.col("one") != F.col("other")).alias("several"))
     found = stash(found.filter("several or id > first"), "segments")
     distinct = stash(found.filter("several").select("h", "s", F.col("first").alias("id")).distinct(), "distinct")
     hot = distinct.groupBy("h").count().filter(F.col("count") > HOT).select("h", F.lit(True).alias("is_hot"))
