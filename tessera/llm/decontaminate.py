@@ -5,7 +5,8 @@ ln(1 + items / items that hold the shingle); a shingle of no item weighs as one
 only be similar to it if they share a shingle, so windows are taken around every shingle that stands in the benchmark, at every start that
 covers it. A window's fingerprint is the weighted SimHash of its shingles. The fingerprints of the items are indexed by four 16-bit blocks, each
 with all values within radius // 4 bits: by the pigeonhole principle no fingerprint within the radius is missed. Candidates within the radius
-are verified by weighted Jaccard similarity.
+are verified by weighted Jaccard similarity. A text of fewer words than an item is one window, the whole text, and is verified without fingerprints.
+Items of fewer than 5 words are one shingle, found where a run of as many words of the text is the same.
 
 The index is built for blocks of `ITEMS` items and sent to the tasks (bounded by ITEMS, about 10,000 entries an item); a larger benchmark is matched in several passes.
 
@@ -72,6 +73,8 @@ class Index:
     entries: list[np.ndarray]
     places: tuple[np.ndarray, np.ndarray, np.ndarray]  # shingle, item, place in the item
     sieve: np.ndarray
+    total: np.ndarray  # weight of each item's shingles
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # words of items below WORDS -> hashes, sorted, and items
     radius: int
 
     def weigh(self, h: np.ndarray) -> np.ndarray:
@@ -106,7 +109,36 @@ def build_index(ids: list, texts: list[bytes], radius: int = RADIUS, words: int
     item = np.repeat(np.arange(len(live)), count)
     sieve = np.zeros(1 << 20, bool)
     sieve[(h >> np.uint64(44)).astype(np.int64)] = True
-    return Index([ids[i] for i in live], sizes, shingles, known, weight, float(np.log1p(len(texts))), marks, heads, entries, (h[order], item[order], place[order]), sieve, radius)
+    total = np.add.reduceat(weight[np.searchsorted(known, h)], first)
+    short = {}
+    for size in np.unique(sizes[sizes < words]).tolist():
+        own = np.flatnonzero(sizes == size)
+        own = own[np.argsort(h[first[own]], kind="stable")]
+        short[size] = (h[first[own]], own)
+    return Index([ids[i] for i in live], sizes, shingles, known, weight, float(np.log1p(len(texts))), marks, heads, entries, (h[order], item[order], place[order]), sieve, total, short, radius)
+
+
+def runs_of(word_hash: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` words, as shingle_hashes gives a text of so many words below its shingles' size."""
+    n = max(0, len(word_hash) - size + 1)
+    x = np.full(n, size, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            x = mix64(x * np.uint64(31) + word_hash[k : k + n])
+    return x
+
+
+def match_short(w: Words, index: Index) -> dict[int, list[tuple[int, float, int, int]]]:
+    """Text to (item, similarity, first word, words) of the items below WORDS words that it holds, the first place of each."""
+    out: dict[int, dict[int, tuple]] = {}
+    for size, (known, items) in index.short.items():
+        h = runs_of(w.hash, size)
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        for k in np.flatnonzero((known[at] == h) & (w.text[: len(h)] == w.text[size - 1 :])).tolist():
+            t = int(w.text[k])
+            for i in items[np.searchsorted(known, h[k]) : np.searchsorted(known, h[k], side="right")].tolist():
+                out.setdefault(t, {}).setdefault(i, (i, 1.0, k - int(w.first[t]), size))
+    return {t: list(found.values()) for t, found in out.items()}
 
 
 def windows_of(hits: np.ndarray, item_words: int, words: int, total: int) -> np.ndarray:
@@ -118,7 +150,7 @@ def windows_of(hits: np.ndarray, item_words: int, words: int, total: int) -> np.
 
 
 def match_text(h: np.ndarray, index: Index, similarity: float, words: int = WORDS, radius: int | None = None) -> list[tuple[int, float, int, int]]:
-    """(item, similarity, first word, words) of the items found in a text with shingles h, the best window of each."""
+    """(item, similarity, first word, words) of the items of `words` words or more found in a text with shingles h, the best window of each."""
     maybe = np.flatnonzero(index.sieve[(h >> np.uint64(44)).astype(np.int64)])
     at = np.minimum(np.searchsorted(index.known, h[maybe]), len(index.known) - 1)
     hits = maybe[index.known[at] == h[maybe]]
@@ -132,8 +164,17 @@ def match_text(h: np.ndarray, index: Index, similarity: float, words: int = WORD
     owner = np.repeat(hits, b - a)
     for size in np.unique(index.sizes[sharing]).tolist():
         of_size = index.sizes[sharing] == size
-        span = max(1, size - words + 1)
-        if span > len(h) or (size < words and len(h) != 1):
+        if size < words:  # match_short finds these
+            continue
+        span = size - words + 1
+        if span > len(h):  # the text is shorter than the item: one window
+            own = float(index.weigh(h).sum())
+            for i in np.unique(sharing[of_size]).tolist():
+                if own < similarity * index.total[i] - 1e-9:  # no more can be shared than the text has
+                    continue
+                s = weighted_jaccard(h, index.shingles[i], index)
+                if s >= similarity:
+                    found[i] = (s, 0)
             continue
         starts = windows_of(np.unique(owner[of_size]), size, words, len(h))
         for part in np.split(starts, np.flatnonzero(np.diff(starts) > 4096 + span) + 1):
@@ -147,7 +188,7 @@ def match_text(h: np.ndarray, index: Index, similarity: float, words: int = WORD
                     s = weighted_jaccard(h[w : w + span], index.shingles[i], index)
                     if s >= similarity and s > found.get(i, (0.0, 0))[0]:
                         found[i] = (s, w)
-    return [(i, s, w, int(index.sizes[i])) for i, (s, w) in sorted(found.items())]
+    return [(i, s, w, min(int(index.sizes[i]), len(h) + words - 1)) for i, (s, w) in sorted(found.items())]
 
 
 def candidates(marks: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +207,7 @@ def weighted_jaccard(h: np.ndarray, item: dict, index: Index) -> float:
     every = np.array(list(own.keys() | item.keys()), np.uint64)
     w = index.weigh(every)
     a, b = np.array([own.get(x, 0) for x in every.tolist()]), np.array([item.get(x, 0) for x in every.tolist()])
-    return float((np.minimum(a, b) * w).sum() / (np.maximum(a, b) * w).sum())
+    return round(float((np.minimum(a, b) * w).sum() / (np.maximum(a, b) * w).sum()), 12)  # so that the order of the sums decides nothing
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -197,6 +238,8 @@ def _matcher(shared, similarity: float):
                 order = np.argsort(owner, kind="stable")
                 h, owner = h[order], owner[order]
                 maybe = np.flatnonzero(index.sieve[(h >> np.uint64(44)).astype(np.int64)])
+                for t, found in match_short(w, index).items():
+                    rows += [(df["id"].iloc[a + t], index.ids[i], s, first, n) for i, s, first, n in found]
                 for t in np.unique(owner[maybe]).tolist():
                     own = h[np.searchsorted(owner, t) : np.searchsorted(owner, t, side="right")]
                     for i, s, first, n in match_text(own, index, similarity):

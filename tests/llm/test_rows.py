@@ -1,9 +1,11 @@
 """Operators that work row by row: media, toxicity, quality, pieces, decontamination, WARC."""
 
 import hashlib
+import math
 import random
 import sys
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -212,6 +214,34 @@ def test_decontamination_against_all_windows(spark):
     assert decontaminate.find_leaks(frame(spark, rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_of_texts_shorter_than_items(spark):
+    """A text of fewer words than an item is one window; wanted pairs by words, in plain Python."""
+    items, _ = benchmark_rows()
+    rows = []
+    for k, t in items:
+        w = t.split()
+        rows += [(10 * k, " ".join(w[:-1])), (10 * k + 1, " ".join(w[1:])), (10 * k + 2, " ".join(w[: len(w) * 5 // 6])), (10 * k + 3, " ".join(w[: len(w) // 2])), (10 * k + 4, " ".join(w[:4])), (10 * k + 5, " ".join(w[:5]))]
+    runs = lambda t: Counter(tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4))
+    df = Counter(x for _, t in items for x in set(runs(t)))
+    weigh = lambda c: sum(n * math.log1p(len(items) / df.get(x, 1)) for x, n in c.items())
+    want = {}
+    for i, t in rows:
+        for item, u in items:
+            a, b = runs(t), runs(u)
+            if a and len(t.split()) < len(u.split()) and (s := round(weigh(a & b) / weigh(a | b), 12)) >= 0.8:
+                want[i, item] = (s, 0, len(t.split()))
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word, r.n_words) for r in decontaminate.find_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == set(want) and len(want) > 60
+    assert all(got[k][1:] == want[k][1:] and abs(got[k][0] - want[k][0]) < 1e-9 for k in want)
+
+
+def test_decontamination_by_short_items(spark):
+    items = [(1, "Solar"), (2, "two words"), (3, "a few more"), (4, "four words, in all"), (5, "two words"), (6, "words two")]
+    rows = [(1, "here are Two words. and two words again in a long text"), (2, "two"), (3, "words"), (4, "(four words in all)"), (5, "four words in"), (6, "solar"), (7, "a solar, sail"), (8, ""), (9, None), (10, "two other words and a few"), (11, "more")]
+    got = {tuple(r) for r in decontaminate.find_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 2, 1.0, 2, 2), (1, 5, 1.0, 2, 2), (4, 4, 1.0, 0, 4), (6, 1, 1.0, 0, 1), (7, 1, 1.0, 1, 1)}
+
+
 def test_hamming_blocks_miss_nothing():
     items, _ = benchmark_rows()
     index = decontaminate.build_index([i for i, _ in items], [utf8(t) for _, t in items])
