@@ -9,6 +9,8 @@ are verified by weighted Jaccard similarity. A text of fewer words than an item
 Items of fewer than 5 words are one shingle, found where a run of as many words of the text is the same.
 
 The index is built for blocks of `ITEMS` items and sent to the tasks (bounded by ITEMS, about 10,000 entries an item); a larger benchmark is matched in several passes.
+Items and the items of each shingle are counted over the whole benchmark first, so blocks and their order change no weight. Shingles of two or more items
+are sent to the tasks with their weights (16 bytes each, not bounded by ITEMS); all others weigh the same.
 
 Rows: one per document row and item found, with the most similar window (the first of equals). Null, empty and blank texts and items match nothing.
 Null ids are kept as null. Repeated rows give repeated results. Empty tables give empty results. Only the named columns are read; texts are read whole.
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -58,6 +60,44 @@ def bit_count(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
+@dataclass
+class Weights:
+    """Weights of the shingles of two or more items (sorted); every other one has the default."""
+
+    known: np.ndarray
+    weight: np.ndarray
+    default: float
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.full(len(h), self.default)
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        return np.where(self.known[at] == h, self.weight[at], self.default)
+
+
+def weights_of(known: np.ndarray, df: np.ndarray, items: int) -> Weights:
+    """From shingles (sorted), the items that hold each, and the number of all items."""
+    return Weights(known[df > 1], np.log1p(items / df[df > 1]), float(np.log1p(items)))
+
+
+def count_shingles(benchmark: DataFrame) -> Weights:
+    """Over the whole benchmark, column t. To the driver come only shingles of two or more items."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            texts = [utf8(t) for t in df["t"]]
+            for a, b in groups_of([len(t) for t in texts], BLOCK):
+                w = words_of(texts[a:b])
+                h, owner = shingle_hashes(w.hash, w.first)
+                pairs = np.unique(np.stack([h, owner.astype(np.uint64)], 1), axis=0)
+                yield pd.DataFrame({"h": pairs[:, 0].copy().view(np.int64)})
+
+    several = benchmark.select("t").mapInPandas(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").toArrow()
+    known, df = several["h"].to_numpy().astype(np.int64).view(np.uint64), several["n"].to_numpy()
+    order = np.argsort(known)
+    return weights_of(known[order], df[order], benchmark.count())
+
+
 @dataclass
 class Index:
     """Items: id, words, shingles with weights; fingerprints by blocks."""
@@ -66,8 +106,7 @@ class Index:
     sizes: np.ndarray  # words
     shingles: list[dict]  # hash -> count
     known: np.ndarray  # all shingles of items, sorted
-    weight: np.ndarray  # of each
-    default: float
+    weights: Weights | None  # of the whole benchmark
     marks: np.ndarray  # items' fingerprints
     heads: list[np.ndarray]  # per block: entries of value v are heads[v]..heads[v + 1]
     entries: list[np.ndarray]
@@ -78,11 +117,11 @@ class Index:
     radius: int
 
     def weigh(self, h: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        return np.where(self.known[at] == h, self.weight[at], self.default)
+        return self.weights.of(h)
 
 
-def build_index(ids: list, texts: list[bytes], radius: int = RADIUS, words: int = WORDS) -> Index | None:
+def build_index(ids: list, texts: list[bytes], radius: int = RADIUS, words: int = WORDS, weights: Weights | None = None) -> Index | None:
+    """Without weights, these items are the whole benchmark."""
     w = words_of(texts)
     h, owner = shingle_hashes(w.hash, w.first, words)
     if not len(h):
@@ -92,10 +131,11 @@ def build_index(ids: list, texts: list[bytes], radius: int = RADIUS, words: int
     live, first, count = np.unique(owner, return_index=True, return_counts=True)
     pairs = np.unique(np.stack([h, owner.astype(np.uint64)], 1), axis=0)
     known, df = np.unique(pairs[:, 0], return_counts=True)
-    weight = np.log1p(len(texts) / df)
+    weights = weights_of(known, df, len(texts)) if weights is None else weights
+    weight = weights.of(h)
     sizes = np.diff(w.first)[live]
     shingles = [dict(zip(*(x.tolist() for x in np.unique(h[a : a + n], return_counts=True)), strict=True)) for a, n in zip(first, count, strict=True)]
-    marks = fingerprints(h, weight[np.searchsorted(known, h)], first, count)
+    marks = fingerprints(h, weight, first, count)
     masks = np.array([sum(1 << b for b in c) for k in range(radius // BLOCKS + 1) for c in itertools.combinations(range(WIDTH), k)], np.int64)
     heads, entries = [], []
     for b in range(BLOCKS):
@@ -109,13 +149,13 @@ def build_index(ids: list, texts: list[bytes], radius: int = RADIUS, words: int
     item = np.repeat(np.arange(len(live)), count)
     sieve = np.zeros(1 << 20, bool)
     sieve[(h >> np.uint64(44)).astype(np.int64)] = True
-    total = np.add.reduceat(weight[np.searchsorted(known, h)], first)
+    total = np.add.reduceat(weight, first)
     short = {}
     for size in np.unique(sizes[sizes < words]).tolist():
         own = np.flatnonzero(sizes == size)
         own = own[np.argsort(h[first[own]], kind="stable")]
         short[size] = (h[first[own]], own)
-    return Index([ids[i] for i in live], sizes, shingles, known, weight, float(np.log1p(len(texts))), marks, heads, entries, (h[order], item[order], place[order]), sieve, total, short, radius)
+    return Index([ids[i] for i in live], sizes, shingles, known, weights, marks, heads, entries, (h[order], item[order], place[order]), sieve, total, short, radius)
 
 
 def runs_of(word_hash: np.ndarray, size: int) -> np.ndarray:
@@ -212,24 +252,26 @@ def weighted_jaccard(h: np.ndarray, item: dict, index: Index) -> float:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """id_col, item_id, similarity, first_word, n_words."""
-    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).cast("string").alias("t")).toLocalIterator()
+    benchmark = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).cast("string").alias("t"))
+    items, weights = benchmark.toLocalIterator(), count_shingles(benchmark)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kinds = dict(base.dtypes)["id"], dict(benchmark.select(F.col(item_col).alias("i")).dtypes)["i"]
-    out = None
+    kinds = dict(base.dtypes)["id"], dict(benchmark.dtypes)["i"]
+    spark = base.sparkSession
+    out, shared = None, spark.sparkContext.broadcast(weights)
     while rows := list(itertools.islice(items, ITEMS)):
-        index = build_index([r["i"] for r in rows], [utf8(r["t"]) for r in rows], radius)
+        index = build_index([r["i"] for r in rows], [utf8(r["t"]) for r in rows], radius, weights=weights)
         if index is None:
             continue
-        part = base.mapInPandas(_matcher(base.sparkSession.sparkContext.broadcast(index), similarity), f"id {kinds[0]}, item_id {kinds[1]}, similarity double, first_word int, n_words int")
+        part = base.mapInPandas(_matcher(spark.sparkContext.broadcast(replace(index, weights=None)), shared, similarity), f"id {kinds[0]}, item_id {kinds[1]}, similarity double, first_word int, n_words int")
         out = part if out is None else out.unionAll(part)
     if out is None:
-        out = base.sparkSession.createDataFrame([], f"id {kinds[0]}, item_id {kinds[1]}, similarity double, first_word int, n_words int")
+        out = spark.createDataFrame([], f"id {kinds[0]}, item_id {kinds[1]}, similarity double, first_word int, n_words int")
     return out.withColumnRenamed("id", id_col)
 
 
-def _matcher(shared, similarity: float):
+def _matcher(shared, weights, similarity: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = shared.value
+        index = replace(shared.value, weights=weights.value)
         for df in batches:
             texts, rows = [utf8(t) for t in df["text"]], []
             for a, b in groups_of([len(t) for t in texts], BLOCK):

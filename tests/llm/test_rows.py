@@ -235,6 +235,26 @@ def test_decontamination_of_texts_shorter_than_items(spark):
     assert all(got[k][1:] == want[k][1:] and abs(got[k][0] - want[k][0]) < 1e-9 for k in want)
 
 
+def test_decontamination_in_blocks_of_items(spark, monkeypatch):
+    """Blocks and the order of the items change nothing, similarities included."""
+    items, words = benchmark_rows()
+    rng = random.Random(8)
+    shared = " ".join(rng.choice(words) for _ in range(9))
+    items = [(k, f"{shared} {t}" if k % 3 else t) for k, t in items] + [(50, "two words"), (51, None)]
+    rows = []
+    for k in range(90):
+        own = items[k % 30][1].split()
+        own[rng.randrange(len(own))] = "changed"
+        at = rng.randrange(len(own) // 2)
+        rows.append((k, " ".join(own[: -(k % 4) or None] + ["two", "words"] if k % 2 else own[at // 4 :] + own[:at])))
+    find = lambda items: sorted(map(tuple, decontaminate.find_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string").coalesce(1)).collect()))
+    want = find(items)
+    assert len(want) > 30
+    for size in (1, 7):
+        monkeypatch.setattr(decontaminate, "ITEMS", size)
+        assert find(items) == want == find(items[::-1])
+
+
 def test_decontamination_by_short_items(spark):
     items = [(1, "Solar"), (2, "two words"), (3, "a few more"), (4, "four words, in all"), (5, "two words"), (6, "words two")]
     rows = [(1, "here are Two words. and two words again in a long text"), (2, "two"), (3, "words"), (4, "(four words in all)"), (5, "four words in"), (6, "solar"), (7, "a solar, sail"), (8, ""), (9, None), (10, "two other words and a few"), (11, "more")]
