@@ -5,7 +5,8 @@ by place, which is an embedding and a convolution in one) slide over every chunk
 chunks' pooled features are combined by their maximum, mean and minimum over the document, and one hidden layer gives one probability.
 
 Rows: one per input row. Null and empty texts are one chunk of padding and get the model's score of it. Labels of null are left out of
-training; of several labels for an id the highest counts. With no labels, or only one kind, every score is 0.5. Texts of any length are scored whole.
+training; of several labels for an id the highest counts. With no labels, or only one kind, every score is 0.5. Texts of any length are trained on
+and scored whole.
 """
 
 from __future__ import annotations
@@ -81,13 +82,9 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int =
         if len(order) < min(batch, len(texts)):
             order = rng.permutation(len(texts))
         take, order = order[:batch], order[batch:]
-        # a long document trains on a random run of its chunks; scoring always reads all
-        own = []
-        for t in (texts[i] for i in take):
-            a = int(rng.integers(0, max(1, len(t) - 4 * CHUNK + 1)))
-            own.append(t[a : a + 4 * CHUNK])
-        chunks, doc = chunks_of(own)
-        raw, at = pooled(chunks, p)
+        chunks, doc = chunks_of([texts[i] for i in take])
+        runs = [pooled(chunks[i : i + 64], p) for i in range(0, len(chunks), 64)]
+        raw, at = (np.concatenate(x) for x in zip(*runs, strict=True))
         h = np.maximum(raw, 0)
         f = combine(h, doc)
         a1 = np.maximum(f @ p["w1"] + p["b1"], 0)

@@ -149,6 +149,14 @@ def test_quality_reads_the_whole_text():
     assert bytes(chunks[doc == 0][-1]).rstrip(b"\0").endswith(b"a")
 
 
+def test_quality_trains_on_whole_texts(monkeypatch):
+    read, cut = [], quality.chunks_of
+    monkeypatch.setattr(quality, "chunks_of", lambda texts: read.extend(texts) or cut(texts))
+    texts = [bytes([97 + k]) * n for k, n in enumerate((0, 10, 4096, 4097, 9000, 90000))]
+    quality.train(texts, np.array([0, 1, 0, 1, 0, 1]), epochs=1)
+    assert {t for t in read} == set(texts)
+
+
 def test_pieces_round_trip_and_reproducible(spark):
     rows = documents() + [(70, "▁ ▁▁ own marks  \n\t"), (71, " lead and trail "), (72, "😀\u0000é" * 20), (73, "x" * 3000)]
     got = pieces.encode_column(frame(spark, rows)).collect()
