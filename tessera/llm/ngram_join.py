@@ -9,7 +9,8 @@ still be shared stay below the overlap its sizes ask for is dropped. What is lef
 Columns of at most LIGHT classes are multiplied out and summed by pair; what a pair could share besides, in other columns and behind the leading
 n-grams, bounds its overlap from above. A column that more classes share is never expanded into all pairs: it first links its classes to one
 hub (a few rounds with new hubs; verified links join components). Only pairs of different components of such a column are then multiplied
-out and bounded, so that every link between different components is found and components are exact.
+out and bounded, so that every link between different components is found and components are exact. That leaves out links inside a component; with
+`count_links`, every column is multiplied out and every link verified and counted (the work grows with the square of a group of near copies).
 
 Rows: `components` gives one row per input row. Null, empty and blank texts have no set, link with nothing and are their own component.
 Repeated rows are members of one class. Null ids sort last (a component of nothing else has a null id). Empty tables give empty results. Only
@@ -243,29 +244,44 @@ def links_of(base: DataFrame, members: DataFrame, common: np.ndarray, percent: i
     return links
 
 
+def every_link(base: DataFrame, members: DataFrame, common: np.ndarray, percent: int = PERCENT) -> DataFrame | None:
+    """x, y: all verified links between classes, those inside a component too; None if there are none."""
+    shared = stash(shared_columns(columns_of(base, common, percent)), "shared")
+    l = shared.select("g", F.col("c").alias("x"), F.col("n").alias("nx"))
+    r = shared.select("g", F.col("c").alias("y"), F.col("n").alias("ny"))
+    pairs = stash(products(l, r, F.col("x") < F.col("y"), percent).filter(could_reach(F.col("k"), percent)).select("x", "y"), "pairs")
+    needed = pairs.select(F.col("x").alias("c")).unionAll(pairs.select(F.col("y").alias("c"))).distinct().join(members.groupBy("c").agg(F.min("id").alias("id")), "c").select("id").distinct()
+    links = stash(verified(pairs, sets_of(base.join(needed, "id", "left_semi")), percent).distinct(), "links")
+    return None if links.isEmpty() else links
+
+
 def common_ngrams(counts: DataFrame, most: int = MOST_COMMON, least: int = COMMON_FROM) -> np.ndarray:
     """The commonest n-grams in ascending count: only an order, so the bound costs no result."""
     top = counts.groupBy("c").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "c").limit(most).toPandas()
     return top["c"].to_numpy(dtype=np.int64)[::-1].view(np.uint64).copy() if len(top) else np.zeros(0, np.uint64)
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """id_col, n_shingles, class_id, component_id, n_links (links of the row's class that were verified) of every row."""
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, count_links: bool = False) -> DataFrame:
+    """id_col, n_shingles, class_id, component_id of every row; with count_links n_links, the number of all other classes that link to the row's class."""
     base = base_of(docs, id_col, text_col)
     found = stash(members_and_counts(base), "members")
     members = found.filter("kind = 0").select("id", "c", "n")
-    links = links_of(base, members.filter("n > 0"), common_ngrams(found.filter("kind = 1")), percent)
+    links = (every_link if count_links else links_of)(base, members.filter("n > 0"), common_ngrams(found.filter("kind = 1")), percent)
     classes = members.filter("n > 0").groupBy("c").agg(F.min("id").alias("class_id"))
     if links is None:
         classes = classes.withColumn("component_id", F.col("class_id")).withColumn("n_links", F.lit(0).cast("long"))
     else:
-        ends = links.select(F.col("x").alias("c")).unionAll(links.select(F.col("y").alias("c"))).groupBy("c").agg(F.count(F.lit(1)).alias("n_links"))
-        classes = stash(classes.join(connected(links), "c", "left").join(ends, "c", "left"), "classes")
+        classes = classes.join(connected(links), "c", "left")
+        if count_links:
+            ends = links.select(F.col("x").alias("c")).unionAll(links.select(F.col("y").alias("c"))).groupBy("c").agg(F.count(F.lit(1)).alias("n_links"))
+            classes = classes.join(ends, "c", "left")
+        classes = stash(classes, "classes")
         tops = classes.filter("comp is not null").groupBy("comp").agg(F.min("class_id").alias("top"))
-        classes = classes.join(tops, "comp", "left").select("c", "class_id", F.coalesce("top", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        classes = classes.join(tops, "comp", "left").select("c", "class_id", F.coalesce("top", "class_id").alias("component_id"), *(["n_links"] if count_links else []))
     out = members.join(classes, "c", "left")
+    extra = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
     name = lambda c: F.when(F.coalesce(c, "id") != NO_ID, F.coalesce(c, "id"))
-    return out.select(name("id").alias(id_col), F.col("n").alias("n_shingles"), name("class_id").alias("class_id"), name("component_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(name("id").alias(id_col), F.col("n").alias("n_shingles"), name("class_id").alias("class_id"), name("component_id").alias("component_id"), *extra)
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

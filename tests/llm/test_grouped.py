@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
-from helpers import documents, frame, same, slow_components, slow_lines, slow_substrings
+from helpers import documents, frame, same, shingles, slow_components, slow_lines, slow_substrings
 
 from tessera.llm import line_dedup, ngram_join, suffix_dedup, url_filter
 from tessera.llm.suffix_groups import suffix_arrays
@@ -60,6 +60,21 @@ def test_components_of_large_groups(spark, monkeypatch):
     assert same(got, slow_components(rows))
 
 
+def test_links_inside_components_are_counted(spark, monkeypatch):
+    """Of a group of near copies in columns of more than LIGHT classes, every pair counts; without count_links no number is given."""
+    monkeypatch.setattr(ngram_join, "LIGHT", 3)
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"edit{i}" if k == at else f"w{k}" for k in range(100))) for i, at in enumerate(rng.choices(range(100), k=14))]
+    rows += [(20 + k, " ".join(f"c{j}" for j in range(4 * k, 4 * k + 60))) for k in range(6)] + [(30, rows[0][1]), (31, "alone"), (32, None)]
+    sets = [shingles(t) for _, t in rows]
+    want = [(i, sum(1 for b in set(sets) if b != a and (n := len(a & b)) and 100 * n >= 80 * (len(a) + len(b) - n))) for (i, _), a in zip(rows, sets, strict=True)]
+    got = ngram_join.components(frame(spark, rows), count_links=True)
+    assert same(got.select("doc_id", "n_links").collect(), want) and max(n for _, n in want) > 8
+    assert same(got.select("doc_id", "n_shingles", "component_id").collect(), slow_components(rows))
+    assert "n_links" not in ngram_join.components(frame(spark, rows)).columns
+    assert ngram_join.components(frame(spark, []), count_links=True).count() == 0
+
+
 def test_components_of_an_empty_table(spark):
     assert ngram_join.components(frame(spark, [])).count() == 0
 
