@@ -41,6 +41,16 @@ def test_no_leak_and_lossless(spark, stages):
     assert stages[4].filter(~F.col("lossless")).count() == 0 and stages[4].count() == stages[3].count()
 
 
+def test_only_contaminated_rows_go(spark):
+    """Clean rows stay that share a null or repeated id with a contaminated one."""
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first().text
+    rows = [(None, f"before {item} after"), (None, "clean, without an id"), (None, None), (7, item), (7, "clean, with a repeated id"), (7, ""), (8, "clean"), (9, item)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.decontaminate(spark, docs, DATA)
+    assert got.columns == docs.columns
+    assert {(r.doc_id, r.text) for r in got.collect()} == {r for r in rows if not r[1] or r[1].startswith("clean")} and got.count() == 5
+
+
 def test_empty_and_null_documents_pass(spark):
     docs = spark.createDataFrame([(1, None, "en", "s", 0), (2, "", "en", "s", 0), (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES[1:]:
