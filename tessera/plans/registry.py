@@ -9,13 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-_N = "(SELECT max(vec_id) + 1 FROM embeddings)"
+_PLACES = "(SELECT unnest(range(64)) AS p)"
+_YX = "CAST(p // 8 AS INT) AS y, CAST(p % 8 AS INT) AS x"
+
+
+def _sample(array: str, factor: float, top: int) -> str:
+    return f"CAST(least({top}, greatest(0, floor(({array}[p + 1]::DOUBLE + 0.6::DOUBLE) * {factor}::DOUBLE))) AS INT)"
+
+
+def _images(*next_: str) -> str:
+    """Images beside the one or two that follow them; the last is followed by the first. Joined as whole arrays, by equal ids."""
+    ids = ", ".join(f"(vec_id + {k}) % n AS next{k}" for k in range(1, len(next_) + 1))
+    own = f"(SELECT vec_id, embedding, {ids} FROM embeddings, (SELECT max(vec_id) + 1 AS n FROM embeddings)) i0"
+    return own + "".join(f" JOIN embeddings i{k} ON i{k}.vec_id = i0.next{k}" for k in range(1, len(next_) + 1))
 
 
 def _plane(name: str, factor: float, top: int) -> str:
-    return f"""{name} AS (SELECT vec_id AS image_id, label, CAST(p // 8 AS INT) AS y, CAST(p % 8 AS INT) AS x,
-        CAST(least({top}, greatest(0, floor((embedding[p + 1]::DOUBLE + 0.6::DOUBLE) * {factor}::DOUBLE))) AS INT) AS v
-        FROM embeddings, (SELECT unnest(range(64)) AS p))"""
+    return f"{name} AS (SELECT vec_id AS image_id, label, {_YX}, {_sample('embedding', factor, top)} AS v FROM embeddings, {_PLACES})"
+
+
+def _beside(name: str, factor: float, top: int, *columns: str) -> str:
+    values = ", ".join(f"{_sample(f'i{k}.embedding', factor, top)} AS {c}" for k, c in enumerate(columns))
+    return f"{name} AS (SELECT i0.vec_id AS image_id, {_YX}, {values} FROM {_images(*columns[1:])}, {_PLACES})"
 
 
 #: Relations of the check's SQL; each may use those before it.
@@ -23,14 +38,12 @@ RELATIONS = {
     "plane": _plane("plane", 212.5, 255),
     "plane10": _plane("plane10", 852.5, 1023),
     "ext": "ext AS (SELECT image_id, label, y, x, CAST(CASE WHEN v < 110 THEN 0 WHEN v > 145 THEN 255 ELSE v END AS INT) AS v FROM plane)",
-    "pair": f"pair AS (SELECT a.image_id, a.y, a.x, a.v AS a, b.v AS b FROM plane a JOIN plane b ON b.image_id = (a.image_id + 1) % {_N} AND b.y = a.y AND b.x = a.x)",
-    "pair10": f"pair10 AS (SELECT a.image_id, a.y, a.x, a.v AS a, b.v AS b FROM plane10 a JOIN plane10 b ON b.image_id = (a.image_id + 1) % {_N} AND b.y = a.y AND b.x = a.x)",
-    "rgb": f"""rgb AS (SELECT a.image_id, a.y, a.x, a.v AS r, b.v AS g, c.v AS b FROM plane a JOIN plane b ON b.image_id = (a.image_id + 1) % {_N} AND b.y = a.y AND b.x = a.x
-        JOIN plane c ON c.image_id = (a.image_id + 2) % {_N} AND c.y = a.y AND c.x = a.x)""",
-    "rgb10": f"""rgb10 AS (SELECT a.image_id, a.y, a.x, a.v AS r, b.v AS g, c.v AS b FROM plane10 a JOIN plane10 b ON b.image_id = (a.image_id + 1) % {_N} AND b.y = a.y AND b.x = a.x
-        JOIN plane10 c ON c.image_id = (a.image_id + 2) % {_N} AND c.y = a.y AND c.x = a.x)""",
+    "pair": _beside("pair", 212.5, 255, "a", "b"),
+    "pair10": _beside("pair10", 852.5, 1023, "a", "b"),
+    "rgb": _beside("rgb", 212.5, 255, "r", "g", "b"),
+    "rgb10": _beside("rgb10", 852.5, 1023, "r", "g", "b"),
 }
-_NEEDS = {"ext": ("plane",), "pair": ("plane",), "pair10": ("plane10",), "rgb": ("plane",), "rgb10": ("plane10",)}
+_NEEDS = {"ext": ("plane",)}
 
 
 def with_relations(sql: str, *names: str) -> str:
