@@ -29,6 +29,8 @@ SIGNATURE = 0x2F
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = 0, 1, 2, 3
 LENGTH_CODES, DISTANCE_CODES, LITERALS = 24, 40, 256
 CODE_LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
+#: Extra bits and least count of the code-length symbols that repeat.
+REPEATS = {16: (2, 3), 17: (3, 3), 18: (7, 11)}
 CACHE_FACTOR = 0x1E35A7BD
 OPAQUE = 0xFF000000
 MOST_SIDE = 1 << 14
@@ -36,6 +38,9 @@ MOST_SIDE = 1 << 14
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0]))
 #: Longest prefix code that `encode` writes, and longest copy.
 MOST_BITS, MOST_COPY = 12, 4096
+#: Bytes of a stream whose bit places are decoded at once.
+PIECE = 4096
+EVERY_PLACE = np.arange(8 * PIECE, dtype=np.int32)
 #: One row of a text's image.
 ROW = 576
 
@@ -177,20 +182,31 @@ def read_code(b: Bits, size: int) -> PrefixCode:
         own[k] = b.read(3)
     code = PrefixCode(own)
     left = 2 + b.read(2 + 2 * b.read(3)) if b.read(1) else size
-    i, last = 0, 8
-    while i < size and left:
+    # a length takes at most 14 bits with its repeats: all of them stand in one number, whose low bits come next
+    start, held = b.at >> 3, (b.at & 7) + 14 * size
+    word, most = int.from_bytes(b.data[start : start + (held >> 3) + 1], "little") >> (b.at & 7), 8 * (len(b.data) + 8)
+    table = [(s, n) for s, n in zip(code.symbol.tolist(), code.length.tolist(), strict=True)]
+    mask, at, found, last = len(table) - 1, b.at, [], 8
+    while len(found) < size and left:
         left -= 1
-        s = b.symbol(code)
+        s, n = table[word & mask]
+        word >>= n
+        at += n
         if s < 16:
-            lengths[i] = s
-            i += 1
+            found.append(s)
             last = s or last
-        else:
-            n = 3 + b.read(2) if s == 16 else 3 + b.read(3) if s == 17 else 11 + b.read(7)
-            if i + n > size:
-                raise ValueError("code lengths run over")
-            lengths[i : i + n] = last if s == 16 else 0
-            i += n
+            continue
+        extra, least = REPEATS[s]
+        n = least + (word & ((1 << extra) - 1))
+        word >>= extra
+        at += extra
+        if len(found) + n > size:
+            raise ValueError("code lengths run over")
+        found += [last if s == 16 else 0] * n
+    if at > most:
+        raise ValueError("the stream ends early")
+    b.at = at
+    lengths[: len(found)] = found
     return PrefixCode(lengths)
 
 
@@ -256,19 +272,48 @@ def read_pixels(b: Bits, groups, groups_at, group_bits: int, cache_bits: int, wi
 
 
 def read_pixels_at_once(b: Bits, group: list[PrefixCode], width: int, height: int) -> np.ndarray:
-    """One group, no cache: symbols of all bit places first, then the chain of those that count."""
-    green, red, blue, alpha, distance = group
+    """One group, no cache: piece after piece of the stream, symbols of all bit places first, then the chain of those that count."""
     total = width * height
+    if not (group[0].bits or group[1].bits or group[2].bits or group[3].bits):
+        if group[0].symbol[0] >= LITERALS:
+            raise ValueError("a copy without a pixel")
+        a, r, g, blue = (int(group[k].symbol[0]) for k in (3, 1, 0, 2))
+        return np.full(total, a << 24 | r << 16 | g << 8 | blue, np.uint32)  # one colour, no bits at all
+    pieces, done = [], 0
+    while done < total:
+        pieces.append(read_piece(b, group, width, total - done))
+        done += int(pieces[-1][2][-1])
+    value, back, ends = ([p[k] for p in pieces] for k in range(3))
+    for k in range(1, len(ends)):
+        ends[k] += ends[k - 1][-1]
+    value, back, ends = (x[0] if len(x) == 1 else np.concatenate(x) for x in (value, back, ends))
+    if len(ends) == total and not back.any():
+        return value
+    starts = np.concatenate([[0], ends[:-1]])
+    out = np.zeros(total, np.uint32)
+    literal = back == 0
+    out[starts[literal]] = value[literal]
+    where = np.flatnonzero(~literal)
+    for a, d, e in zip(starts[where].tolist(), back[where].tolist(), ends[where].tolist(), strict=True):
+        if d > a:
+            raise ValueError("a copy is out of the image")
+        out[a:e] = out[a - d : e - d] if d >= e - a else np.resize(out[a - d : a], e - a)
+    return out
+
+
+def read_piece(b: Bits, group: list[PrefixCode], width: int, left: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Colours, distances (0: a pixel of its own) and ends of the symbols that start in the next PIECE bytes, at most `left` pixels."""
+    green, red, blue, alpha, distance = group
     base = b.at >> 3
-    raw = np.frombuffer(b.data[base:] + bytes(12), np.uint8).astype(np.int32)
+    raw = np.frombuffer(b.data[base : base + PIECE + 12] + bytes(12), np.uint8).astype(np.int32)
     words = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
     window = (words[:, None] >> np.arange(8, dtype=np.int32)).reshape(-1)
-    places = len(window) - 64
-    if places <= 0:
-        window, places = np.zeros(65, np.int32), 1
+    places = min(8 * PIECE, 8 * (len(b.data) - base))
+    if places <= b.at & 7:
+        raise ValueError("the stream ends early")
     last = len(window) - 1
-    here = window[:places] & np.int32((1 << green.bits) - 1)
-    symbol, step = green.symbol[here], np.arange(places, dtype=np.int32) + green.length[here]
+    entry = (green.symbol << 4 | green.length)[window[:places] & np.int32((1 << green.bits) - 1)]  # symbol above, length below
+    step = EVERY_PLACE[:places] + (entry & np.int32(15))
     colour, others = np.uint32(0), []
     for code, shift in ((red, 16), (blue, 0), (alpha, 24)):
         if code.bits:
@@ -277,12 +322,12 @@ def read_pixels_at_once(b: Bits, group: list[PrefixCode], width: int, height: in
             step = step + code.length[x]
         else:
             colour |= np.uint32(int(code.symbol[0]) << shift)
-    length = np.ones(places, np.int32)
-    copies = np.flatnonzero(symbol >= LITERALS)
-    back = None
+    copies = np.flatnonzero(entry >= LITERALS << 4)
     if len(copies):
-        p = copies + green.length[here[copies]]
-        low, extra = base_of(symbol[copies] - LITERALS)
+        own = entry[copies]
+        p = copies + (own & 15)
+        low, extra = base_of((own >> 4) - LITERALS)
+        length = np.ones(places, np.int32)
         length[copies] = low + (bits_at(raw, p) & ((1 << extra) - 1))
         p = p + extra
         x = bits_at(raw, p) & ((1 << distance.bits) - 1)
@@ -291,49 +336,33 @@ def read_pixels_at_once(b: Bits, group: list[PrefixCode], width: int, height: in
         back = np.zeros(places, np.int32)
         back[copies] = distance_of(low + (bits_at(raw, p) & ((1 << extra) - 1)), width)
         step[copies] = p + extra
-    if not (green.bits or others):
-        if symbol[0] >= LITERALS:
-            raise ValueError("a copy without a pixel")
-        return np.full(total, colour | np.uint32(int(symbol[0]) << 8), np.uint32)  # one colour, no bits at all
-    # four links of the chain at a time; past the end the chain stands still
+    # eight links of the chain at a time; past the end the chain stands still
     link = np.append(np.minimum(step, places), places).astype(np.int32)
     two = link[link]
-    four = memoryview(two[two])
-    chain, p, left = [], b.at & 7, total
+    four = two[two]
+    eight = memoryview(four[four])
+    chain, p, more = [], b.at & 7, left
     put = chain.append
-    while p < places and left > 0:
+    while p < places and more > 0:
         put(p)
-        p = four[p]
-        left -= 1
-    at = np.empty((len(chain), 4), np.int32)
+        p = eight[p]
+        more -= 8
+    at = np.empty((len(chain), 8), np.int32)
     at[:, 0] = chain
-    for k in (1, 2, 3):
+    for k in range(1, 8):
         at[:, k] = link[at[:, k - 1]]
     at = at.reshape(-1)
     at = at[at < places]
-    ends = np.cumsum(length[at], dtype=np.int64)
-    n = int(np.searchsorted(ends, total)) + 1
-    if n > len(at) or ends[n - 1] != total:
-        raise ValueError("the stream ends early")
+    ends = np.cumsum(length[at], dtype=np.int64) if len(copies) else np.arange(1, len(at) + 1)
+    n = int(np.searchsorted(ends, left)) + 1
+    if n <= len(at) and ends[n - 1] != left:
+        raise ValueError("a copy runs over the image")
     at, ends = at[:n], ends[:n]
     b.at = base * 8 + int(step[at[-1]])
-    own = symbol[at]
-    value = colour | (own.astype(np.uint32) << np.uint32(8))
+    value = colour | ((entry[at].astype(np.uint32) >> np.uint32(4)) << np.uint32(8))
     for part, shift in others:
         value |= part[at].astype(np.uint32) << np.uint32(shift)
-    if n == total:
-        if back is not None and (own >= LITERALS).any():
-            raise ValueError("a copy is out of the image")
-        return value
-    out = np.zeros(total, np.uint32)
-    literal, starts = own < LITERALS, ends - length[at]
-    out[starts[literal]] = value[literal]
-    where = np.flatnonzero(~literal)
-    for a, d, m in zip(starts[where].tolist(), back[at[where]].tolist(), length[at[where]].tolist(), strict=True):
-        if d > a:
-            raise ValueError("a copy is out of the image")
-        out[a : a + m] = out[a - d : a - d + m] if d >= m else np.resize(out[a - d : a], m)
-    return out
+    return value, back[at] if len(copies) else np.zeros(len(at), np.int32), ends
 
 
 def bits_at(raw: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -394,12 +423,9 @@ def undo_predictor(pixels: np.ndarray, modes: np.ndarray, width: int, height: in
     for y in range(1, height):
         row, up = out[y], out[y - 1]
         row[0] = (rest[y, 0] + up[0]) & 255
-        x = 1
-        while x < width:
+        starts = np.flatnonzero(np.diff(modes[y, 1:], prepend=-1)) + 1
+        for x, end in zip(starts.tolist(), np.append(starts, width)[1:].tolist(), strict=True):
             mode = int(modes[y, x])
-            end = x + 1
-            while end < width and modes[y, end] == mode:
-                end += 1
             if mode in (0, 2, 3, 4, 8, 9) or mode > 13:
                 ahead = np.concatenate([up[x + 1 : end + 1], row[:1]])[: end - x]
                 row[x:end] = (rest[y, x:end] + predict(mode, up[x:end], up[x:end], ahead, up[x - 1 : end - 1])) & 255
@@ -408,7 +434,6 @@ def undo_predictor(pixels: np.ndarray, modes: np.ndarray, width: int, height: in
             else:
                 for k in range(x, end):
                     row[k] = (rest[y, k] + predict(mode, row[k - 1], up[k], up[k + 1] if k + 1 < width else row[0], up[k - 1])) & 255
-            x = end
     return join4(out).reshape(-1)
 
 
@@ -460,7 +485,14 @@ def undo_palette(pixels: np.ndarray, colours: np.ndarray, width: int, height: in
 
 
 def decode(data: bytes) -> np.ndarray:
-    """height x width uint32 pixels (alpha, red, green, blue from the high byte)."""
+    """height x width uint32 pixels (alpha, red, green, blue from the high byte). A broken file gives a ValueError."""
+    try:
+        return _decode(data)
+    except (IndexError, struct.error) as e:
+        raise ValueError("a broken file") from e
+
+
+def _decode(data: bytes) -> np.ndarray:
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
         raise ValueError("not a lossless WebP file")
     size = struct.unpack("<I", data[16:20])[0]
@@ -513,10 +545,18 @@ class Fields:
         self.counts.append(np.full(len(value), bits, np.int64) if np.isscalar(bits) else np.asarray(bits, np.int64))
 
     def bytes(self) -> bytes:
-        value, count = np.concatenate(self.values), np.concatenate(self.counts)
+        """Each field is added to the 32-bit word it starts in and, moved down, to the next; fields share no bit, so sums are unions."""
+        count = np.concatenate(self.counts)
+        value = np.concatenate(self.values) & ((1 << count) - 1)
         ends = np.cumsum(count)
-        place = np.arange(int(ends[-1]), dtype=np.int32) - np.repeat((ends - count).astype(np.int32), count)
-        return np.packbits(((np.repeat(value.astype(np.int32), count) >> place) & 1).astype(np.uint8), bitorder="little").tobytes()
+        begin = ends - count
+        word = begin >> 5
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        sums = np.add.reduceat(value.astype(np.uint64) << (begin & 31).astype(np.uint64), first)
+        out = np.zeros(int(word[-1]) + 3, np.uint32)
+        out[word[first]] = sums.astype(np.uint32)
+        out[word[first] + 1] += (sums >> np.uint64(32)).astype(np.uint32)
+        return out.tobytes()[: (int(ends[-1]) + 7) // 8]
 
 
 def write_code(f: Fields, lengths: np.ndarray) -> None:
@@ -561,13 +601,24 @@ def find_copies(key: np.ndarray, least: int = 16, window: int = 8) -> list[tuple
     n = len(key)
     if n < 2 * window:
         return []
-    x = np.zeros(n - window + 1, np.uint64)
-    for k in range(window):
-        x = x * np.uint64(0x100000001B3) + key[k : k + len(x)].astype(np.uint64)
-    order = np.argsort(x, kind="stable")
-    same = x[order[1:]] == x[order[:-1]]
+    x, step = key.astype(np.uint64), 1
+    while step < window:  # hashes of 1, 2, 4 and 8 places
+        x = x[:-step] * np.uint64(0x100000001B3 + 2 * step) + x[step:]
+        step *= 2
+    # hash above, place below: one plain sort; equal hashes of different windows are found out below
+    bits = max(1, (len(x) - 1).bit_length())
+    low = np.uint64((1 << bits) - 1)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x &= ~low
+    x |= np.arange(len(x), dtype=np.uint64)
+    x.sort()
+    place = (x & low).astype(np.int64)
+    x >>= np.uint64(bits)
+    same = np.flatnonzero(x[1:] == x[:-1])
+    if not len(same):
+        return []
     back = np.zeros(len(x), np.int64)
-    back[order[1:][same]] = order[1:][same] - order[:-1][same]
+    back[place[same + 1]] = place[same + 1] - place[same]
     edge = np.flatnonzero(np.diff(back, prepend=-1))
     length = np.diff(np.append(edge, len(x))) + window - 1
     keep = (back[edge] > 0) & (length >= least) & (back[edge] < (1 << 20) - 120)
@@ -697,13 +748,25 @@ def payload_of(text: bytes) -> bytes:
     return text + b"\xff" * ((-len(text)) % ROW or (0 if text else ROW))
 
 
+def transforms_for(grey: np.ndarray) -> tuple[int, ...]:
+    """Up to 16 different bytes: a palette. Else green is taken from red and blue, and where the differences of neighbouring bytes ask
+    for fewer bits than the bytes themselves, each byte is predicted by the one before it."""
+    flat = grey.reshape(-1)
+    count = np.bincount(flat, minlength=256)
+    if np.count_nonzero(count) <= 16:
+        return (PALETTE,)
+    step = np.bincount(np.diff(flat) & 255, minlength=256)
+    bits = [-float((c[c > 0] * np.log2(c[c > 0] / c.sum())).sum()) for c in (count, step)]
+    return (PREDICTOR, SUBTRACT_GREEN) if bits[1] < bits[0] else (SUBTRACT_GREEN,)
+
+
 def store(payload: bytes) -> bytes:
-    """Grey pixels, one byte a pixel, ROW pixels a row; up to 16 different bytes as a palette, else green is taken from red and blue."""
+    """Grey pixels, one byte a pixel, ROW pixels a row."""
     out = []
     for a in range(0, len(payload), ROW * MOST_SIDE):
-        grey = np.frombuffer(payload[a : a + ROW * MOST_SIDE], np.uint8).reshape(-1, ROW).astype(np.uint32)
-        few = np.count_nonzero(np.bincount(grey.reshape(-1), minlength=256)) <= 16
-        out.append(encode(np.uint32(OPAQUE) | grey * np.uint32(0x010101), (PALETTE,) if few else (SUBTRACT_GREEN,)))
+        grey = np.frombuffer(payload[a : a + ROW * MOST_SIDE], np.uint8).reshape(-1, ROW)
+        pixels = np.uint32(OPAQUE) | grey.astype(np.uint32) * np.uint32(0x010101)
+        out.append(encode(pixels, transforms_for(grey), block_bits=9, modes=np.array([1])))
     return b"".join(out)
 
 
@@ -718,17 +781,19 @@ def load(media: bytes) -> list[np.ndarray]:
 
 
 def samples(images: list[np.ndarray]) -> bytes:
-    return b"".join((x & np.uint32(255)).astype(np.uint8).tobytes() for x in images)
+    return b"".join(x.astype(np.uint8).tobytes() for x in images)
 
 
 def feature(images: list[np.ndarray]) -> str:
     """Size, mean, deviation, entropy and row contrast of the pixels read back."""
-    grey = np.concatenate([(x & np.uint32(255)).astype(np.int64) for x in images])
+    grey = np.concatenate([x.astype(np.uint8) for x in images])
     count = np.bincount(grey.reshape(-1), minlength=256)
     share = count[count > 0] / grey.size
-    mean = float(grey.mean())
-    step = float(np.abs(np.diff(grey, axis=1)).mean())
-    return f"h={grey.shape[0]};w={grey.shape[1]};mean={mean:.4f};std={float(grey.std()):.4f};entropy={float(-(share * np.log2(share)).sum()):.4f};step={step:.4f}"
+    value = np.arange(256)
+    mean = float((count * value).sum() / grey.size)
+    std = float((count * (value - mean) ** 2).sum() / grey.size) ** 0.5
+    step = float(np.abs(np.diff(grey.astype(np.int16), axis=1)).sum(dtype=np.int64) / (grey.size - len(grey)))
+    return f"h={grey.shape[0]};w={grey.shape[1]};mean={mean:.4f};std={std:.4f};entropy={float(-(share * np.log2(share)).sum()):.4f};step={step:.4f}"
 
 
 FIELDS = "media binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
