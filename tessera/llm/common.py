@@ -122,6 +122,13 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     """
     if not len(start):
         return np.zeros(0, np.uint64)
+    if end[-1] - start[0] > SPANS:  # blocks of spans, so that what stands beside each byte stays small
+        cut = np.append(np.searchsorted(start, np.arange(start[0], end[-1], SPANS)), len(start))
+        return np.concatenate([_span_hashes(raw, start[a:b], end[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True) if a < b])
+    return _span_hashes(raw, start, end)
+
+
+def _span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     length = end - start
     own = np.repeat(start, length)
     at = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length)
@@ -134,6 +141,8 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix64(sums + length.astype(np.uint64) * _BASE)
 
 
+#: Bytes of spans hashed at once.
+SPANS = 1 << 17
 _PLACES = 24
 _TABLE = mix64(np.arange(256 * _PLACES, dtype=np.uint64) * _BASE + np.uint64(12345))
 

@@ -3,14 +3,18 @@
 Sets of 5-word shingles (64-bit hashes) are first reduced to classes of equal sets. A pair of sets with Jaccard similarity s >= 0.8 shares an
 n-gram among the first `n - ceil(s * n) + 1` of each under any common order, so only those columns of the incidence matrix enter the
 product. The order puts n-grams that many documents hold last (commonest at the very end), so a common passage is no candidate by itself.
-Columns are dealt over the cluster by n-gram; a block's products are summed by pair, and a pair whose shared columns plus all that could
-still be shared stay below the overlap its sizes ask for is dropped. What is left is verified on whole sets.
+Columns are dealt over the cluster by n-gram. Of a pair of a and b <= a n-grams, an overlap of o = ceil(s * (a + b) / (1 + s)) is asked for, so the
+first a - o + 1 and b - o + 1 n-grams already share one: the product multiplies out only those places, which for the smaller set is about half of
+its columns. The overlap of a pair found so is then accumulated over all of its leading n-grams, and the pair is dropped when that sum plus all that
+may be shared behind them stays below o. What is left is verified on whole sets.
 
-Columns of at most LIGHT classes are multiplied out and summed by pair; what a pair could share besides, in other columns and behind the leading
-n-grams, bounds its overlap from above. A column that more classes share is never expanded into all pairs: it first links its classes to one
-hub (a few rounds with new hubs; verified links join components). Only pairs of different components of such a column are then multiplied
-out and bounded, so that every link between different components is found and components are exact. That leaves out links inside a component; with
-`count_links`, every column is multiplied out and every link verified and counted (the work grows with the square of a group of near copies).
+Columns of at most LIGHT classes are multiplied out at once. A column that more classes share is not, before it has linked its classes to one
+hub: the class that shares most of its leading n-grams with others (a few rounds with new hubs; verified links join components). Then only pairs of different components of such a column are multiplied
+out and bounded; of each component, the pair that shares most is verified first, and the others only where such pairs did not join them. So every
+link between different components is found and components are exact. That leaves out links inside a component; with `count_links`, every column
+is multiplied out and every link verified and counted (the work grows with the square of a group of near copies).
+
+N-grams known to be in very many documents are dealt by n-gram and class, never gathered in one task.
 
 Rows: `components` gives one row per input row. Null, empty and blank texts have no set, link with nothing and are their own component.
 Repeated rows are members of one class. Null ids sort last (a component of nothing else has a null id). Empty tables give empty results. Only
@@ -22,36 +26,45 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Words, groups_of, shingle_hashes, stash, utf8
+from .common import NO_ID, Words, groups_of, shingle_hashes, stash
 from .suffix_dedup import part as split_by_ids
 
 WORDS, PERCENT = 5, 80
 #: N-grams that the common order puts last: at most this many (2 MB for every task), from this many documents on.
 MOST_COMMON, COMMON_FROM = 1 << 18, 16
 #: Rounds of linking columns to hubs before pairs of components are multiplied out.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 #: Columns of at most this many classes are multiplied out at once.
 LIGHT = 8
-BLOCK = 1 << 20
-
-
-def shingle_sets(texts: list[bytes], words: int = WORDS) -> Iterator[tuple[int, np.ndarray]]:
-    """(text number, sorted distinct hashes) of every text."""
-    for a, b in groups_of([len(t) for t in texts], BLOCK):
-        w = Words(texts[a:b])
-        h, owner = shingle_hashes(w.hash, w.first, words)
-        order = np.lexsort((h, owner)) if b - a > 1 else np.argsort(h)
+#: Columns of n-grams that at least so many documents hold are not gathered to be counted.
+HOT = 1024
+#: Rounds in which only the best pair of each component is verified.
+BEST_ROUNDS = 2
+#: Places among the leading n-grams are kept in so many steps.
+STEPS = 16
+#: Bytes of text whose sets are made at once, and n-grams of sets that are counted at once.
+BLOCK, COUNTED = 1 << 18, 1 << 22
+
+
+def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct hashes of every text."""
+    w = Words(texts)
+    h, owner = shingle_hashes(w.hash, w.first, words)
+    if (np.diff(owner) < 0).any():  # short texts come last
+        order = np.argsort(owner, kind="stable")
         h, owner = h[order], owner[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-        h, owner = h[new], owner[new]
-        edge = np.searchsorted(owner, np.arange(b - a + 1))
-        for i in range(b - a):
-            yield a + i, h[edge[i] : edge[i + 1]]
+    out = []
+    for part in np.split(h, np.searchsorted(owner, np.arange(1, len(texts)))):
+        part.sort()
+        new = np.ones(len(part), bool)
+        new[1:] = part[1:] != part[:-1]
+        out.append(part[new])
+    return out
 
 
 def class_of(hashes: np.ndarray) -> int:
@@ -70,74 +83,94 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def base_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """id, text (UTF-8 bytes)."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(ids, sets) of rows whose texts come to about BLOCK bytes."""
+    for batch in batches:
+        texts, ids = batch.column("text"), batch.column("id").to_numpy(zero_copy_only=False)
+        for a, b in groups_of(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), BLOCK):
+            yield ids[a:b], shingle_sets([t or b"" for t in texts.slice(a, b - a).to_pylist()])
+
+
+def rows_of(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], names=list(columns))
 
 
 def members_and_counts(base: DataFrame) -> DataFrame:
-    """kind 0: id, c (class), n (set size) of a row. kind 1: c (an n-gram), n (documents of one batch that hold it, from 2)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            names, sizes, sets = [], [], {}
-            for _, h in shingle_sets([utf8(t) for t in df["text"]]):
-                c = class_of(h)
-                names.append(c)
-                sizes.append(len(h))
-                sets.setdefault(c, h)
-            yield pd.DataFrame({"kind": 0, "id": df["id"].to_numpy(), "c": np.array(names, np.int64), "n": np.array(sizes, np.int64)})
-            if sets:
-                h = np.sort(np.concatenate(list(sets.values())))
-                edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-                count = np.diff(np.append(edge, len(h)))
-                many = count > 1
-                yield pd.DataFrame({"kind": 1, "id": 0, "c": h[edge[many]].view(np.int64), "n": count[many]})
-
-    return base.mapInPandas(run, "kind int, id long, c long, n long")
-
-
-def columns_of(base: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
-    """g, c, n: the leading n-grams of every class. common: n-grams in ascending count, which come after all others."""
+    """kind 0: id, c (class), n (set size) of a row. kind 1: c (an n-gram), n (documents, of those read together, that hold it, from 2)."""
+
+    def counted(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
+        h = np.sort(np.concatenate(list(sets.values())))
+        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        count = np.diff(np.append(edge, len(h)))
+        many = count > 1
+        k = int(many.sum())
+        return rows_of(kind=np.ones(k, np.int32), id=np.zeros(k, np.int64), c=h[edge[many]].view(np.int64), n=count[many])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = {}, 0
+        for ids, sets in blocks_of(batches):
+            names, sizes = [class_of(h) for h in sets], [len(h) for h in sets]
+            for c, h in zip(names, sets, strict=True):
+                if len(h) and c not in held:
+                    held[c] = h
+                    total += len(h)
+            yield rows_of(kind=np.zeros(len(ids), np.int32), id=ids, c=np.array(names, np.int64), n=np.array(sizes, np.int64))
+            if total > COUNTED:
+                yield counted(held)
+                held, total = {}, 0
+        if held:
+            yield counted(held)
+
+    return base.mapInArrow(run, "kind int, id long, c long, n long")
+
+
+def columns_of(base: DataFrame, common: np.ndarray, counts: np.ndarray, percent: int) -> DataFrame:
+    """g, c, n, q, hot: the leading n-grams of every class, with their place in steps and whether at least HOT documents hold them.
+
+    common: n-grams in ascending count, which come after all others; counts: how many documents hold each.
+    """
     order = np.argsort(common, kind="stable")
-    shared = base.sparkSession.sparkContext.broadcast((common[order], order))
+    shared = base.sparkSession.sparkContext.broadcast((common[order], order.astype(np.int32), counts[order] >= HOT))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, rank = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank, many = shared.value
         seen: set[int] = set()
-        for df in batches:
-            g, c, n = [], [], []
-            for _, h in shingle_sets([utf8(t) for t in df["text"]]):
+        for _, sets in blocks_of(batches):
+            rows = []
+            for h in sets:
                 name = class_of(h)
                 if not len(h) or name in seen:
                     continue
-                if len(seen) < 1_000_000:  # only saves work: a class twice is one class later
+                if len(seen) < 100_000:  # only saves work: a class twice is one class later
                     seen.add(name)
+                hot = np.zeros(len(h), bool)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     late = known[at] == h
-                    h = np.concatenate([h[~late], h[late][np.argsort(rank[at[late]], kind="stable")]])
+                    last = at[late][np.argsort(rank[at[late]], kind="stable")]
+                    h = np.concatenate([h[~late], known[last]])
+                    hot[len(h) - len(last) :] = many[last]
                 p = prefix_length(len(h), percent)
-                g.append(h[:p])
-                c.append(np.full(p, name, np.int64))
-                n.append(np.full(p, len(h), np.int64))
-            if g:
-                yield pd.DataFrame({"g": np.concatenate(g).view(np.int64), "c": np.concatenate(c), "n": np.concatenate(n)})
+                rows.append((h[:p].view(np.int64), np.full(p, name, np.int64), np.full(p, len(h), np.int64), (np.arange(p) * STEPS // p).astype(np.int8), hot[:p]))
+            if rows:
+                yield rows_of(**dict(zip(("g", "c", "n", "q", "hot"), map(np.concatenate, zip(*rows, strict=True)), strict=True)))
 
-    return base.mapInPandas(run, "g long, c long, n long")
+    return base.mapInArrow(run, "g long, c long, n long, q byte, hot boolean")
 
 
 def sets_of(base: DataFrame) -> DataFrame:
     """c, s: the whole set of each row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            for a in range(0, len(df), 500):
-                c, s = [], []
-                for _, h in shingle_sets([utf8(t) for t in df["text"].iloc[a : a + 500]]):
-                    c.append(class_of(h))
-                    s.append(h.view(np.int64))
-                yield pd.DataFrame({"c": c, "s": s})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in blocks_of(batches):
+            edges = np.concatenate([[0], np.cumsum([len(h) for h in sets])]).astype(np.int32)
+            yield rows_of(c=np.array([class_of(h) for h in sets], np.int64), s=pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(sets).view(np.int64))))
 
-    return base.mapInPandas(run, "c long, s array<long>")
+    return base.mapInArrow(run, "c long, s array<long>")
 
 
 def fits(a: str, b: str, percent: int):
@@ -167,56 +200,86 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def shared_columns(columns: DataFrame) -> DataFrame:
-    """g, c, n, m: the columns that at least two classes hold, with their number of classes. One exchange, by column."""
-    by = Window.partitionBy("g")
-    several = columns.withColumn("lo", F.min("c").over(by)).withColumn("hi", F.max("c").over(by)).filter("lo < hi")
-    return several.groupBy("g", "c", "n").agg(F.lit(1).alias("one")).withColumn("m", F.count(F.lit(1)).over(by)).select("g", "c", "n", "m")
+    """g, c, n, q, m: the columns that at least two classes hold, with their number of classes. One exchange, by column; of hot columns by class as well."""
+    by, key = Window.partitionBy("g", "part"), ["g", "part", "c", "n", "q", "hot"]
+    dealt = columns.withColumn("part", F.when(F.col("hot"), F.col("c")).otherwise(0))
+    several = dealt.withColumn("lo", F.min("c").over(by)).withColumn("hi", F.max("c").over(by)).filter("hot or lo < hi")
+    counted = several.groupBy(*key).agg(F.lit(1).alias("one")).withColumn("m", F.when(F.col("hot"), HOT).otherwise(F.count(F.lit(1)).over(by)))
+    return counted.select("g", "c", "n", "q", "m")
+
+
+def least_overlap(a: Column, b: Column, percent: int) -> Column:
+    """How many n-grams sets of a and b must share."""
+    return F.ceil((a + b) * percent / (100 + percent))
 
 
 def could_reach(shared: Column, percent: int) -> Column:
-    """Whether n-grams known to be shared, and all behind the leading ones, suffice for sets of a and b n-grams."""
-    rest = F.greatest(F.ceil(F.col("a") * percent / 100), F.ceil(F.col("b") * percent / 100)) - 1
-    return (shared + rest) * (100 + percent) >= (F.col("a") + F.col("b")) * percent
+    """Whether n-grams known to be shared among the leading ones, and all behind those, suffice for sets of nx and ny n-grams."""
+    rest = F.greatest(F.ceil(F.col("nx") * percent / 100), F.ceil(F.col("ny") * percent / 100)) - 1
+    return (shared + rest) * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
 
 
 def products(left: DataFrame, right: DataFrame, keep: Column, percent: int) -> DataFrame:
-    """x, y, a, b, k: how many columns two classes share. left: g, x, nx, ...; right: g, y, ny, ...; pairs are ordered by class."""
-    both = left.join(right, "g").filter(keep & fits("nx", "ny", percent))
-    swap = F.col("x") < F.col("y")
-    return both.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("a"), F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("b")).agg(F.count(F.lit(1)).alias("k"))
+    """x, y: pairs that share a column where sets of their sizes must share one. left: g, x, nx, qx, ...; right: g, y, ny, qy, ..."""
+    least = least_overlap(F.col("nx"), F.col("ny"), percent)
 
+    def early(n: str, q: str) -> Column:
+        """The place may be among the first n - least + 1."""
+        return F.col(q) * (F.col(n) - F.ceil(F.col(n) * percent / 100) + 1) < STEPS * (F.col(n) - least + 1)
 
-def bounded(sums: DataFrame, other: DataFrame, percent: int) -> DataFrame:
-    """The pairs that may reach the similarity. other: c, more (columns of a class that the sums leave out)."""
-    for side, name in (("x", "mx"), ("y", "my")):
-        sums = sums.join(other.select(F.col("c").alias(side), F.col("more").alias(name)), side, "left")
-    more = F.least(F.coalesce("mx", F.lit(0)), F.coalesce("my", F.lit(0)))
-    return sums.filter(could_reach(F.col("k") + more, percent)).select("x", "y")
+    both = left.join(right, "g").filter(keep & fits("nx", "ny", percent) & early("nx", "qx") & early("ny", "qy"))
+    return both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
-def links_of(base: DataFrame, members: DataFrame, common: np.ndarray, percent: int = PERCENT) -> DataFrame | None:
+def as_left(df: DataFrame, *more: Column) -> DataFrame:
+    return df.select("g", F.col("c").alias("x"), F.col("n").alias("nx"), F.col("q").alias("qx"), *more)
+
+
+def as_right(df: DataFrame, *more: Column) -> DataFrame:
+    return df.select("g", F.col("c").alias("y"), F.col("n").alias("ny"), F.col("q").alias("qy"), *more)
+
+
+def bounded(pairs: DataFrame, leading: DataFrame, percent: int) -> DataFrame:
+    """x, y, k: the pairs whose overlap among all leading n-grams, k, leaves the similarity open. leading: c, n, gs."""
+    for side in ("x", "y"):
+        pairs = pairs.join(leading.select(F.col("c").alias(side), F.col("n").alias("n" + side), F.col("gs").alias("g" + side)), side)
+    sums = pairs.withColumn("k", F.size(F.array_intersect("gx", "gy")))
+    return sums.filter(fits("nx", "ny", percent) & could_reach(F.col("k"), percent)).select("x", "y", "k")
+
+
+def links_of(base: DataFrame, members: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> DataFrame | None:
     """x, y: verified links between classes that hold together every component; None if there are none."""
-    shared = stash(shared_columns(columns_of(base, common, percent)), "shared")
+    shared = stash(shared_columns(columns_of(base, *common, percent)), "shared")
     light, heavy = shared.filter(F.col("m") <= LIGHT), shared.filter(F.col("m") > LIGHT)
-    counts = stash(shared.groupBy("c").agg(F.count_if(F.col("m") > LIGHT).alias("heavy"), F.count_if(F.col("m") <= LIGHT).alias("light")), "counts")
+    leading = stash(shared.groupBy("c", "n").agg(F.collect_list("g").alias("gs")), "leading")
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    held = heavy.join(leading.select("c", F.floor(F.size("gs") * STEPS / prefix).alias("share")), "c")
     links, labels = None, None
 
+    def label(df: DataFrame, column: str, name: str) -> DataFrame:
+        if labels is None:
+            return df.withColumn(name, F.col(column))
+        return df.join(labels.select(F.col("c").alias(column), F.col("comp").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
+
     def open_columns() -> DataFrame:
-        """g, c, n, comp of the heavy columns that more than one component shares."""
-        own = heavy.withColumn("comp", F.col("c")) if labels is None else heavy.join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-        several = own.groupBy("g").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p <> q").select("g")
-        return stash(own.select("g", "c", "n", "comp").join(several, "g"), "open")
+        """g, c, n, q, comp of the heavy columns that more than one component shares."""
+        own = label(held, "c", "comp")
+        several = own.groupBy("g").agg(F.min("comp").alias("p"), F.max("comp").alias("q_")).filter("p <> q_").select("g")
+        return stash(own.select("g", "c", "n", "q", "share", "comp").join(several, "g"), "open")
 
     def hub_pairs(todo: DataFrame, k: int) -> DataFrame:
-        hub = todo.groupBy("g").agg(F.min(F.struct(F.xxhash64("comp", F.lit(k)).alias("r"), F.xxhash64("c", F.lit(k)).alias("q"), "c", "n", "comp")).alias("hub"))
+        rank = F.struct("share", F.xxhash64("comp", F.lit(k)).alias("r"), F.xxhash64("c", F.lit(k)).alias("s"), "c", "n", "comp")
+        hub = todo.groupBy("g").agg(F.max(rank).alias("hub"))
         pairs = todo.join(hub, "g").filter("comp <> hub.comp").withColumn("hn", F.col("hub.n")).filter(fits("n", "hn", percent))
         return pairs.select(F.least("hub.c", "c").alias("x"), F.greatest("hub.c", "c").alias("y")).distinct()
 
     def add(pairs: DataFrame) -> bool:
+        """Verifies pairs that the bound left open. pairs: x, y."""
         nonlocal links, labels
-        pairs = stash(pairs, "pairs")
-        needed = pairs.select(F.col("x").alias("c")).unionAll(pairs.select(F.col("y").alias("c"))).distinct().join(members.groupBy("c").agg(F.min("id").alias("id")), "c").select("id").distinct()
-        maybe, _ = split_by_ids(base, stash(needed, "needed"))
+        pairs = stash(pairs.select("x", "y"), "pairs")
+        ends = pairs.select(F.col("x").alias("c")).unionAll(pairs.select(F.col("y").alias("c"))).distinct()
+        needed = stash(ends.join(members.groupBy("c").agg(F.min("id").alias("id")), "c").select("id").distinct(), "needed")
+        maybe, _ = split_by_ids(base, needed)
         new = stash(verified(pairs, sets_of(maybe.join(needed, "id", "left_semi")), percent).distinct(), "links")
         if new.isEmpty():
             return False
@@ -224,41 +287,49 @@ def links_of(base: DataFrame, members: DataFrame, common: np.ndarray, percent: i
         labels = connected(links)
         return True
 
-    # columns of few classes: all products, exact sums of what they share there
-    l = light.select("g", F.col("c").alias("x"), F.col("n").alias("nx"))
-    r = light.select("g", F.col("c").alias("y"), F.col("n").alias("ny"))
-    few = bounded(products(l, r, F.col("x") < F.col("y"), percent), counts.select("c", F.col("heavy").alias("more")), percent)
-    # columns of many classes: hubs first, together with the pairs above
-    added = add(few.unionByName(hub_pairs(open_columns(), 0)).distinct())
+    # columns of few classes are multiplied out; those of many link to hubs first
+    larger = (F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    added = add(bounded(products(as_left(light), as_right(light), larger, percent).unionByName(hub_pairs(open_columns(), 0)).distinct(), leading, percent))
     for k in range(1, HUB_ROUNDS) if added else ():
-        if not add(hub_pairs(open_columns(), k)):
+        if not add(bounded(hub_pairs(open_columns(), k), leading, percent)):
             break
     # the component with most classes in a column meets the others; the others meet one another
     todo = open_columns()
     per = todo.groupBy("g", "comp").count()
     major = per.groupBy("g").agg(F.max(F.struct("count", "comp")).alias("m")).select("g", F.col("m.comp").alias("major"))
-    others = todo.join(major, "g").filter("comp <> major").select("g", F.col("c").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), "major")
-    ally = todo.select("g", F.col("c").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
+    others = as_left(todo.join(major, "g").filter("comp <> major"), F.col("comp").alias("cx"), F.col("major"))
+    ally = as_right(todo, F.col("comp").alias("cy"))
     apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x") < F.col("y")))
-    add(bounded(products(others, ally, apart, percent), counts.select("c", F.col("light").alias("more")), percent))
+    left = stash(bounded(products(others, ally, apart, percent), leading, percent), "left")
+    # of each component, first the pair that shares most
+    for _ in range(BEST_ROUNDS):
+        own = stash(label(label(left, "x", "cx"), "y", "cy").filter("cx <> cy"), "own")
+        ends = own.select(F.explode(F.array("cx", "cy")).alias("comp"), "k", "x", "y")
+        tried = stash(ends.groupBy("comp").agg(F.max(F.struct("k", "x", "y")).alias("best")).select("best.x", "best.y").distinct(), "best")
+        left = stash(own.select("x", "y", "k").join(tried, ["x", "y"], "left_anti"), "left")
+        if not add(tried) or left.isEmpty():
+            break
+    add(label(label(left, "x", "cx"), "y", "cy").filter("cx <> cy"))
     return links
 
 
-def every_link(base: DataFrame, members: DataFrame, common: np.ndarray, percent: int = PERCENT) -> DataFrame | None:
+def every_link(base: DataFrame, members: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> DataFrame | None:
     """x, y: all verified links between classes, those inside a component too; None if there are none."""
-    shared = stash(shared_columns(columns_of(base, common, percent)), "shared")
-    l = shared.select("g", F.col("c").alias("x"), F.col("n").alias("nx"))
-    r = shared.select("g", F.col("c").alias("y"), F.col("n").alias("ny"))
-    pairs = stash(products(l, r, F.col("x") < F.col("y"), percent).filter(could_reach(F.col("k"), percent)).select("x", "y"), "pairs")
+    shared = stash(shared_columns(columns_of(base, *common, percent)), "shared")
+    leading = stash(shared.groupBy("c", "n").agg(F.collect_list("g").alias("gs")), "leading")
+    larger = (F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    pairs = stash(bounded(products(as_left(shared), as_right(shared), larger, percent), leading, percent).select("x", "y"), "pairs")
     needed = pairs.select(F.col("x").alias("c")).unionAll(pairs.select(F.col("y").alias("c"))).distinct().join(members.groupBy("c").agg(F.min("id").alias("id")), "c").select("id").distinct()
     links = stash(verified(pairs, sets_of(base.join(needed, "id", "left_semi")), percent).distinct(), "links")
     return None if links.isEmpty() else links
 
 
-def common_ngrams(counts: DataFrame, most: int = MOST_COMMON, least: int = COMMON_FROM) -> np.ndarray:
-    """The commonest n-grams in ascending count: only an order, so the bound costs no result."""
+def common_ngrams(counts: DataFrame, most: int = MOST_COMMON, least: int = COMMON_FROM) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest n-grams in ascending count, and their counts: only an order, so the bound costs no result."""
     top = counts.groupBy("c").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "c").limit(most).toPandas()
-    return top["c"].to_numpy(dtype=np.int64)[::-1].view(np.uint64).copy() if len(top) else np.zeros(0, np.uint64)
+    if not len(top):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return top["c"].to_numpy(dtype=np.int64)[::-1].view(np.uint64).copy(), top["n"].to_numpy(dtype=np.int64)[::-1].copy()
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, count_links: bool = False) -> DataFrame:
