@@ -20,9 +20,12 @@ MASK = 0xFFFFFFFFFFFFFFFF
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests), a folder of our own."""
+    """The folder all executors share. Only where the session names none and all runs in one process (tests), a folder of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -33,7 +36,55 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
+
+
+def drop_stash(*frames: DataFrame) -> None:
+    """Delete what `stash` wrote for frames that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_stashed_at", None):
+            delete_path(df.sparkSession, path)
+
+
+def _file(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    system, target = _file(spark, path)
+    system.delete(target, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written beside its place and then moved there."""
+    system, target = _file(spark, path)
+    _, beside = _file(spark, path + ".new")
+    out = system.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    system.delete(target, False)
+    system.rename(beside, target)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    system, target = _file(spark, path)
+    size = system.getFileStatus(target).getLen()
+    stream = system.open(target)
+    try:
+        return bytes(stream.readNBytes(size)).decode()
+    finally:
+        stream.close()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

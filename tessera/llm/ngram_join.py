@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Words, groups_of, shingle_hashes, stash
+from .common import NO_ID, Words, fresh, groups_of, shingle_hashes, stash
 from .suffix_dedup import part as split_by_ids
 
 WORDS, PERCENT = 5, 80
@@ -357,6 +357,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose id is their component's least (all rows of that id). Rows with a null id stay: nothing tells them apart."""
-    own = stash(components(docs, id_col, text_col, percent).select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("_id"), F.coalesce("component_id", F.lit(NO_ID)).alias("_component")), "components")
-    late = own.filter((F.col("_component") < F.col("_id")) & (F.col("_id") != NO_ID)).select("_id").distinct()
-    return docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(late, "_id", "left_anti").drop("_id")
+    key = fresh(docs, "_id")
+    own = stash(components(docs, id_col, text_col, percent).select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias(key), F.coalesce("component_id", F.lit(NO_ID)).alias("least")), "components")
+    late = own.filter((F.col("least") < F.col(key)) & (F.col(key) != NO_ID)).select(key).distinct()
+    return docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(late, key, "left_anti").drop(key)

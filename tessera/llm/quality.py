@@ -130,14 +130,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     return train(*labelled_sample(docs, labels, id_col, text_col, label_col, usable, most))
 
 
-def score_quality(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """id_col (with keep: all columns) and the score, as the column score."""
+def score_quality(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, score_col: str = "score") -> DataFrame:
+    """id_col (with keep: all columns; score_col must be none of them) and the score, as the column score_col."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 0.2 MB whatever the input
-    base = docs.withColumn("_text", F.col(text_col).cast("string")) if keep else docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series(score_texts([utf8(t) for t in s], shared.value))
 
-    return base.withColumn("score", score("_text")).drop("_text")
+    columns = [F.col(f"`{c}`") for c in docs.columns] if keep else [F.col(id_col)]
+    return docs.select(*columns, score(F.col(text_col).cast("string")).alias(score_col))

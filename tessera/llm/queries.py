@@ -62,6 +62,21 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+ORACLES["op3_ngram_jaccard_join"] = f"""
+WITH RECURSIVE split AS (
+    SELECT doc_id, list_filter(string_split_regex({_SQL_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' ')) END) AS s FROM split),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+reached AS (SELECT x AS a, y AS b FROM links UNION SELECT r.a, l.y FROM reached r JOIN links l ON l.x = r.b)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN reached r ON r.a = d.doc_id GROUP BY d.doc_id
+"""
+
+
 @query
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list of the exact join is the URLs of the pages whose id is divisible by 50."""
@@ -111,6 +126,24 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+ORACLES["op5_suffix_array_dedup"] = """
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+parts AS (SELECT doc_id, n, k, substr(x, 2 * k + 1, 2 * (256 + 49)) AS x FROM (SELECT *, unnest(range(0, n, 256)) AS k FROM bytes)),
+places AS (SELECT doc_id, n, k, unnest(range(least(256, n - k))) AS j, x FROM parts),
+strings AS (SELECT doc_id, k + j AS i, substr(x, 2 * j + 1, 2) AS b, CASE WHEN k + j + 50 <= n THEN substr(x, 2 * j + 1, 100) END AS s FROM places),
+owners AS (SELECT s, min(doc_id) AS first FROM strings WHERE s IS NOT NULL GROUP BY s HAVING min(doc_id) < max(doc_id)),
+judged AS (SELECT t.doc_id, t.i, t.b, coalesce(o.first < t.doc_id, false) AS late FROM strings t LEFT JOIN owners o ON o.s = t.s),
+covered AS (SELECT doc_id, i, b, bool_or(late) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM judged),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM covered),
+kept AS (
+    SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+           sha256(unhex(coalesce(string_agg(b, '' ORDER BY i) FILTER (NOT gone), ''))) AS kept_sha256
+    FROM edges GROUP BY doc_id)
+SELECT b.doc_id, b.n AS n_bytes, coalesce(k.n_removed, 0) AS n_removed, coalesce(k.n_spans, 0) AS n_spans, coalesce(k.kept_sha256, sha256('')) AS kept_sha256
+FROM bytes b LEFT JOIN kept k ON k.doc_id = b.doc_id
+"""
+
+
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, score_toxicity

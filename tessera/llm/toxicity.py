@@ -146,11 +146,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable: Column, most: int) -> tuple[list[bytes], np.ndarray]:
-    """A bounded sample of labelled texts: the first `most` ids by a hash. Both sides of the broadcast are bounded by `most`."""
+    """A bounded sample of labelled texts: the first `most` ids by a hash, and of rows that repeat an id the least text; of repeated labels the
+    highest. Both the broadcast side and what reaches the driver are bounded by `most` rows."""
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().filter(usable)
     own = own.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(own), "id").toPandas()
-    texts = texts.drop_duplicates("id").sort_values("id") if len(texts) else texts
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(own), "id")
+    texts = texts.groupBy("id", "y").agg(F.min("text").alias("text")).toPandas().sort_values("id")
     return [utf8(t) for t in texts["text"]], texts["y"].to_numpy(dtype=np.int64)
 
 

@@ -135,3 +135,38 @@ def test_bloom_filter_has_no_misses(spark):
     blooms = url_filter.bloom_filter(keys, "k", 40)
     probe = keys.select("k", *[c.alias(n) for n, c in url_filter.bloom_words("k", 40).items()]).join(blooms, "block", "left")
     assert probe.filter(" or ".join(f"(coalesce(f{i}, 0) & w{i}) = 0" for i in range(4))).count() == 0
+
+
+def test_line_store_is_taken_up_again(spark, tmp_path):
+    """Documents that come later lose the lines of those before, in a store opened anew; runs are read without an exchange or a sort."""
+    rows = sorted((r for r in documents() if r[0] is not None), key=lambda r: r[0])
+    want = {(r[0], r[3]) for r in slow_lines(rows)}
+    store = line_dedup.SortedRuns(spark, path=str(tmp_path / "store"))
+    early = line_dedup.dedup_lines(frame(spark, [r for r in rows if r[0] < 43]), store=store).collect()
+    again = line_dedup.SortedRuns.open(spark, store.path)
+    late = line_dedup.dedup_lines(frame(spark, [r for r in rows if r[0] >= 43]), batches=2, store=again).collect()
+    assert {(r.doc_id, r.kept) for r in early + late} == want
+    with line_dedup.reading_sorted(spark):
+        run = again.all()
+        batch = spark.range(10).selectExpr("id h1", "id h2")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = batch.join(run, ["h1", "h2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1
+
+
+def test_folder_must_be_shared(spark, monkeypatch):
+    """On a cluster no folder is made up."""
+    from tessera.llm import common
+
+    class Conf:
+        def get(self, name, default=None):
+            return {"spark.master": "spark://host:7077"}.get(name, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session())
