@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stash, table
+from tessera.llm.common import fresh, stash, table
 from tessera.llm.decontaminate import find_leaks
 from tessera.llm.line_dedup import dedup_rows
 from tessera.llm.ngram_join import keep_one_of_each
@@ -25,7 +25,8 @@ LEAST_QUALITY = 0.3
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier rejects. It is trained on a bounded sample of the labelled documents that are not held out."""
     model = fit(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "quality", crc_of_id(5) != 0)
-    return score_quality(docs, model, keep=True).filter(F.col("score") >= LEAST_QUALITY).drop("score")
+    score = fresh(docs, "_score")
+    return score_quality(docs, model, keep=True, score_col=score).filter(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +42,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item. Rows are told apart by their texts, so null and repeated ids take no clean row along."""
-    docs = docs.withColumn("_text", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    leaks = stash(find_leaks(docs, table(spark, sf_dir, "benchmark"), id_col="_text").select("_text").distinct(), "leaks")
-    return docs.join(leaks, "_text", "left_anti").drop("_text")
+    key = fresh(docs, "_hash")
+    docs = docs.withColumn(key, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    leaks = stash(find_leaks(docs, table(spark, sf_dir, "benchmark"), id_col=key).select(key).distinct(), "leaks")
+    return docs.join(leaks, key, "left_anti").drop(key)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
