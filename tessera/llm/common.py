@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +21,8 @@ LOWER = UPPER.lower()
 #: Stands for a null identifier, so that a null never owns a line, span or group unless nothing else does.
 NO_ID = 2**63 - 1
 MASK = 0xFFFFFFFFFFFFFFFF
+#: Bytes of a batch that Python reads at once.
+BATCH = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,11 +37,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches for Python hold BATCH bytes, not 10,000 rows of any size, so that neither side keeps large buffers. A session's own bound stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is not None:
+        yield
+        return
+    spark.conf.set(name, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back. Survives the loss of any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed_at = path
     return out
@@ -125,6 +146,25 @@ def utf8(text) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
+def release_memory() -> None:
+    """Give freed memory back to the machine: a worker lives on after its task, beside the executor."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _LIBC = None
+
+
+def blocks_of_texts(texts: pa.Array, most: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(from, to, texts) of consecutive UTF-8 texts that come to about `most` bytes; null is empty."""
+    for a, b in groups_of(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), most):
+        yield a, b, [t or b"" for t in texts.slice(a, b - a).to_pylist()]
+
+
 def groups_of(sizes, most: int):
     """(from, to) ranges of consecutive items whose sizes sum to about `most`; one item may exceed it alone."""
     start, total = 0, 0

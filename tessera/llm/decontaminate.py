@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, groups_of, mix64, shingle_hashes, span_hashes, utf8
+from .common import Words, groups_of, mix64, release_memory, shingle_hashes, span_hashes, utf8
 from .toxicity import _PUNCT
 
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 19
@@ -287,5 +287,6 @@ def _matcher(shared, weights, similarity: float):
                     for i, s, first, n in match_text(own, index, similarity):
                         rows.append((df["id"].iloc[a + t], index.ids[i], s, first, n))
             yield pd.DataFrame(rows, columns=["id", "item_id", "similarity", "first_word", "n_words"])
+        release_memory()
 
     return run

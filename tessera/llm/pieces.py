@@ -18,18 +18,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, utf8
+from .common import groups_of, mix64, release_memory, utf8
 
 MARK = "▁"
 #: Stands for a marker of the text itself; no valid text holds a lone surrogate.
 OWN_MARK = "\udc81"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Edges of the segments that a worker remembers.
-MOST_EDGES = 4_000_000
+MOST_EDGES = 2_500_000
 #: Characters sampled at once.
 BLOCK = 1 << 18
 #: Steps of a share between 0 and 1.
@@ -287,32 +288,30 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # 32,000 pieces whatever the input
     name = (path, alpha)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from . import pieces
 
         store = pieces._STORES.get(name) or pieces._STORES.setdefault(name, Lattices(shared.value))
-        for df in batches:
-            texts = [t if isinstance(t, str) else "" for t in df["text"]]
-            seeds = np.array([seed_of(k, seed) for k in df["key"]], np.uint64)
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= BLOCK):
-                    size += len(texts[to])
-                    to += 1
+        for batch in batches:
+            keys, column = batch.column("key"), batch.column("text")
+            for at, to in groups_of(pc.fill_null(pc.utf8_length(column), 0).to_pylist(), BLOCK):
+                texts = [t or "" for t in column.slice(at, to - at).to_pylist()]
+                own = keys.slice(at, to - at)
                 if store.edges > MOST_EDGES:
                     store.clear()
-                found = sample(texts[at:to], seeds[at:to], store)
+                found = sample(texts, np.array([seed_of(k, seed) for k in own.to_pylist()], np.uint64), store)
                 rows = []
-                for t, ids in zip(texts[at:to], found, strict=True):
+                for t, ids in zip(texts, found, strict=True):
                     raw, back = utf8(t), decode(ids.tolist(), store.v)
-                    rows.append((ids, len(ids), len(raw), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), back == raw))
-                out = pd.DataFrame(rows, columns=["pieces", "n_pieces", "n_bytes", "pieces_sha256", "decoded_sha256", "lossless"])
-                out.insert(0, "key", df["key"].iloc[at:to].to_numpy())
-                yield out
-                at = to
+                    rows.append((len(ids), len(raw), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), back == raw))
+                many, *rest = zip(*rows, strict=True)
+                edges = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(edges, pa.array(np.concatenate(found).astype(np.int32)))
+                arrays = [own, lists, *(pa.array(x, k) for x, k in zip((many, *rest), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()), strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "pieces", "n_pieces", "n_bytes", "pieces_sha256", "decoded_sha256", "lossless"])
+        release_memory()
 
     base = docs.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).cast("string").alias("text"))
     kind = dict(docs.select(F.col(id_col).alias("key")).dtypes)["key"]
-    out = base.mapInPandas(run, "key string, pieces array<int>, n_pieces long, n_bytes long, pieces_sha256 string, decoded_sha256 string, lossless boolean")
+    out = base.mapInArrow(run, "key string, pieces array<int>, n_pieces long, n_bytes long, pieces_sha256 string, decoded_sha256 string, lossless boolean")
     return out.select(F.col("key").cast(kind).alias(id_col), "pieces", "n_pieces", "n_bytes", "pieces_sha256", "decoded_sha256", "lossless")

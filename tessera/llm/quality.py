@@ -14,11 +14,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups_of, utf8
+from .common import blocks_of_texts, groups_of, release_memory
 from .toxicity import labelled_sample
 
 #: Bytes of a chunk, bytes that two chunks share, filter width, step between filter places, filters, hidden units.
@@ -134,10 +134,12 @@ def score_quality(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col
     """id_col (with keep: all columns; score_col must be none of them) and the score, as the column score_col."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 0.2 MB whatever the input
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series(score_texts([utf8(t) for t in s], shared.value))
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            scores = [score_texts(own, shared.value) for _, _, own in blocks_of_texts(texts, BLOCK)]
+            yield pa.array(np.concatenate(scores) if scores else np.zeros(0))
+        release_memory()
 
     columns = [F.col(f"`{c}`") for c in docs.columns] if keep else [F.col(id_col)]
-    return docs.select(*columns, score(F.col(text_col).cast("string")).alias(score_col))
+    return docs.select(*columns, score(F.col(text_col).cast("string").cast("binary")).alias(score_col))
