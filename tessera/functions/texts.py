@@ -18,9 +18,10 @@ GNU_TIME = {
 VMAF_METRICS = ("vmaf", "psnr_y", "psnr_cb", "psnr_cr", "psnr_hvs", "psnr_hvs_y", "psnr_hvs_cb", "psnr_hvs_cr", "float_ssim", "float_ms_ssim", "cambi")
 SPS_KEYS = {"profile_idc": "profile", "general_level_idc": "level", "video_full_range_flag": "fr", "colour_primaries": "cp", "transfer_characteristics": "tc", "matrix_coeffs": "mc"}
 COLOUR_KEYS = {"colour_primaries": "cp", "transfer_characteristics": "tc", "matrix_coefficients": "mc", "video_full_range_flag": "fr"}
+# Columns of the statistics that are read.
 QP_FIELDS = ("qp_avg", "qp_stddev", "qp_num", "qp_min", "qp_max")
 CTU_FIELDS = tuple(f"ctu{n}{w}_ratio" for w in ("", "w") for n in (8, 16, 32, 64))
-#: Metadata keys that are dropped, and renamed.
+# Metadata keys as the tools print them, which are dropped, and renamed to the names that result tables have.
 DROPPED_KEYS = (
     "exif:ThumbnailOffset", "exif:ThumbnailLength", "exif:ThumbnailImage", "exif:MakerNoteUnknownText", "icc:ProfileCMMType", "icc:ProfileDateTime", "icc:ProfileFileSignature",
     "icc:PrimaryPlatform", "icc:CMMFlags", "icc:DeviceManufacturer", "icc:DeviceModel", "icc:DeviceAttributes", "icc:RenderingIntent", "icc:ProfileCreator", "icc:ProfileID",
@@ -91,15 +92,14 @@ def settings(text: Column, keys: dict[str, str], prefix: str, sign: str = "=") -
 def colour_box(xml: Column) -> Column:
     """A map of the colour information box of a container's XML."""
     box = "//ColourInformationBox/@"
-    at = lambda name: F.expr(f"xpath_string(_x, '{box}{name}')")
-    del xml
+    at = lambda name: F.call_function("xpath_string", xml, F.lit(box + name))
     return F.map_from_entries(F.filter(F.array(*[F.struct(F.lit("colr:" + short).alias("k"), at(name).alias("v")) for name, short in (("colour_type", "colour_type"), ("colour_primaries", "cp"), ("transfer_characteristics", "tc"), ("matrix_coefficients", "mc"), ("full_range_flag", "fr"))]), lambda p: p["v"] != ""))
 
 
 def converted_file(text: Column, wanted: Column) -> Column:
     """Which file a converter wrote: the wanted one, or the first of several images."""
     images = F.regexp_extract(text, r"File contains (\d+) image", 1).try_cast("int")
-    written = F.transform(F.filter(F.split(text, "\n"), lambda s: F.startswith(s, F.lit("Written to "))), lambda s: F.substring(s, 12, 10000))
+    written = F.transform(F.filter(F.split(text, "\n"), lambda s: F.startswith(s, F.lit("Written to "))), lambda s: F.substring(s, F.lit(12), F.length(s)))
     return F.when(F.array_contains(written, wanted), wanted).when(images > 1, F.get(written, F.lit(0))).otherwise(wanted)
 
 

@@ -1,7 +1,7 @@
 """Images as relations. A plane is an array column `v` of h * w samples (row by row), or one row a sample: image_id, y, x, v.
 
 Operators on a plane's neighbourhood work on the array, by index arithmetic, so they need no shuffle; operators on single samples and on
-aligned images are projections; joins are on (image_id, y, x).
+aligned images are projections; joins are on (image_id, y, x). Heights and widths are numbers, or names of columns where images differ in size.
 """
 
 from __future__ import annotations
@@ -12,6 +12,36 @@ from pyspark.sql import functions as F
 SIDE = 8
 
 
+class Size:
+    """A height or width that a column holds: arithmetic on it gives SQL, so that images of different sizes stand in one table."""
+
+    def __init__(self, sql: str):
+        self.sql = sql
+
+    def __str__(self) -> str:
+        return self.sql
+
+    def _with(self, sign: str, other) -> Size:
+        return Size(f"({self} {sign} {other})")
+
+    def __add__(self, other) -> Size:
+        return self._with("+", other)
+
+    def __sub__(self, other) -> Size:
+        return self._with("-", other)
+
+    def __mul__(self, other) -> Size:
+        return self._with("*", other)
+
+    def __floordiv__(self, other) -> Size:
+        return self._with("div", other)
+
+
+def sizes(*given: int | str) -> list:
+    """Numbers stay numbers; a text is the name of the column that holds each image's own."""
+    return [Size(f"`{x}`") if isinstance(x, str) else x for x in given]
+
+
 def quantised(e: str, depth: int) -> str:
     top = (1 << depth) - 1
     return f"cast(least({top}, greatest(0, floor((cast({e} as double) + 0.6D) * {850.0 * (top + 0.0) / 1020.0!r}D))) as int)"
@@ -22,21 +52,21 @@ def planes(spark: SparkSession, sf_dir: str, depth: int = 8) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), "label", F.expr(f"transform(embedding, e -> {quantised('e', depth)})").alias("v"))
 
 
-def samples(df: DataFrame, width: int = SIDE, **arrays: str) -> DataFrame:
+def samples(df: DataFrame, width: int | str = SIDE, **arrays: str) -> DataFrame:
     """One row a sample: the other columns, y, x and an element of each array, named by the keyword."""
     arrays = arrays or {"v": "v"}
     rest = [c for c in df.columns if c not in arrays.values()]
     zipped = df.select(*rest, F.posexplode(F.arrays_zip(*[F.col(c).alias(k) for k, c in arrays.items()])).alias("p", "s"))
-    return zipped.select(*rest, F.expr(f"p div {width}").cast("int").alias("y"), (F.col("p") % width).cast("int").alias("x"), *[F.col(f"s.{k}").alias(k) for k in arrays])
+    (width,) = sizes(width)
+    return zipped.select(*rest, F.expr(f"p div {width}").cast("int").alias("y"), F.expr(f"p % {width}").cast("int").alias("x"), *[F.col(f"s.{k}").alias(k) for k in arrays])
 
 
 def with_neighbours(df: DataFrame, count: int) -> DataFrame:
     """Adds v1, v2, ...: the planes of the images that follow in order of id, the first after the last. Images are numbered from 0 without gaps."""
-    n = df.agg(F.max("image_id")).first()[0]
-    n = 1 if n is None else n + 1
+    numbered = df.crossJoin(F.broadcast(df.agg((F.max("image_id") + 1).alias("_n"))))  # one row
     out = df
     for k in range(1, count + 1):
-        nxt = df.select(((F.col("image_id") - k + n) % n).alias("image_id"), F.col("v").alias(f"v{k}"))
+        nxt = numbered.select(F.pmod(F.col("image_id") - k, F.col("_n")).alias("image_id"), F.col("v").alias(f"v{k}"))
         out = out.join(nxt, "image_id")
     return out
 
@@ -56,34 +86,39 @@ def extremes(df: DataFrame) -> DataFrame:
     return df.withColumn("v", F.expr("transform(v, s -> case when s < 110 then 0 when s > 145 then 255 else s end)"))
 
 
-def at(v: str, y: str, x: str, h: int, w: int) -> str:
+def at(v: str, y: str, x: str, h: int | str | Size, w: int | str | Size) -> str:
     """The sample at (y, x) of an array, edges repeated."""
+    h, w = sizes(h, w)
     return f"get({v}, cast(least({h - 1}, greatest(0, {y})) * {w} + least({w - 1}, greatest(0, {x})) as int))"
 
 
-def grid(h: int, w: int, body: str) -> str:
+def grid(h: int | str | Size, w: int | str | Size, body: str) -> str:
     """An array of h * w values of `body` over y and x."""
+    h, w = sizes(h, w)
     return f"transform(sequence(0, {h * w - 1}), p -> {body.replace('{y}', f'(p div {w})').replace('{x}', f'(p % {w})')})"
 
 
-def rotate(df: DataFrame, degrees: int, h: int = SIDE, w: int = SIDE) -> DataFrame:
+def rotate(df: DataFrame, degrees: int, h: int | str = SIDE, w: int | str = SIDE) -> DataFrame:
     """Counter-clockwise by a multiple of 90."""
+    h, w = sizes(h, w)
     k = (degrees // 90) % 4
     y, x = {0: ("{y}", "{x}"), 1: ("{x}", f"({w - 1} - {{y}})"), 2: (f"({h - 1} - {{y}})", f"({w - 1} - {{x}})"), 3: (f"({h - 1} - {{x}})", "{y}")}[k]
     oh, ow = (h, w) if k % 2 == 0 else (w, h)
     return df.withColumn("v", F.expr(grid(oh, ow, at("v", y, x, h, w))))
 
 
-def subsample(df: DataFrame, kind: str, h: int = SIDE, w: int = SIDE, column: str = "v", out: str = "v") -> DataFrame:
+def subsample(df: DataFrame, kind: str, h: int | str = SIDE, w: int | str = SIDE, column: str = "v", out: str = "v") -> DataFrame:
     """Mean of 2 x 2 (420) or 1 x 2 (422) samples, edges repeated, cut."""
+    h, w = sizes(h, w)
     cw, ch = (w + 1) // 2, (h + 1) // 2 if kind == "420" else h
     rows = ("2 * {y}", "2 * {y} + 1") if kind == "420" else ("{y}",)
     terms = [at(column, y, x, h, w) for y in rows for x in ("2 * {x}", "2 * {x} + 1")]
     return df.withColumn(out, F.expr(grid(ch, cw, f"(({' + '.join(terms)}) div {len(terms)})")))
 
 
-def upsample(df: DataFrame, kind: str, h: int = SIDE, w: int = SIDE, column: str = "v", out: str = "v") -> DataFrame:
+def upsample(df: DataFrame, kind: str, h: int | str = SIDE, w: int | str = SIDE, column: str = "v", out: str = "v") -> DataFrame:
     """Each chroma sample for the luma samples it covers; h and w are luma's. Kind 400: the middle value."""
+    h, w = sizes(h, w)
     if kind == "400":
         return df.withColumn(out, F.expr(f"array_repeat(128, {h * w})"))
     cw = (w + 1) // 2
@@ -91,22 +126,25 @@ def upsample(df: DataFrame, kind: str, h: int = SIDE, w: int = SIDE, column: str
     return df.withColumn(out, F.expr(grid(h, w, f"get({column}, cast({y} * {cw} + ({{x}} div 2) as int))")))
 
 
-def decimate(df: DataFrame, h: int = SIDE, w: int = SIDE, column: str = "v", out: str = "v") -> DataFrame:
+def decimate(df: DataFrame, h: int | str = SIDE, w: int | str = SIDE, column: str = "v", out: str = "v") -> DataFrame:
     """Every second sample of every second row."""
+    h, w = sizes(h, w)
     return df.withColumn(out, F.expr(grid((h + 1) // 2, (w + 1) // 2, f"get({column}, cast(2 * {{y}} * {w} + 2 * {{x}} as int))")))
 
 
-def mosaic_planes(df: DataFrame, order: str, h: int = SIDE, w: int = SIDE, column: str = "v") -> DataFrame:
+def mosaic_planes(df: DataFrame, order: str, h: int | str = SIDE, w: int | str = SIDE, column: str = "v") -> DataFrame:
     """A column for each letter of the 2 x 2 cell: the mosaic's quarter planes."""
+    h, w = sizes(h, w)
     for k, letter in enumerate(order):
         name = letter + ("1" if letter.islower() else "0")
         df = df.withColumn(name, F.expr(grid(h // 2, w // 2, f"get({column}, cast((2 * {{y}} + {k // 2}) * {w} + 2 * {{x}} + {k % 2} as int))")))
     return df
 
 
-def demosaic(df: DataFrame, order: str, h: int = SIDE, w: int = SIDE, column: str = "v", adaptive: bool = False) -> DataFrame:
+def demosaic(df: DataFrame, order: str, h: int | str = SIDE, w: int | str = SIDE, column: str = "v", adaptive: bool = False) -> DataFrame:
     """Columns r, g, b of full size. Missing samples are the mean of those of their colour among the 8 neighbours (edges repeated, counted as
     often as they repeat), cut. adaptive: green is the mean along the smaller of the horizontal and vertical gradients."""
+    h, w = sizes(h, w)
     colour = {k: c.lower() for k, c in enumerate(order)}
 
     def place(dy: int, dx: int) -> tuple[str, str]:
@@ -136,8 +174,9 @@ def demosaic(df: DataFrame, order: str, h: int = SIDE, w: int = SIDE, column: st
     return out.withColumnsRenamed({"_r": "r", "_g": "g", "_b": "b"})
 
 
-def demosaic_inner(df: DataFrame, order: str, h: int = SIDE, w: int = SIDE, column: str = "v") -> DataFrame:
+def demosaic_inner(df: DataFrame, order: str, h: int | str = SIDE, w: int | str = SIDE, column: str = "v") -> DataFrame:
     """Columns r, g, b by rounded means of the 8 neighbours of the colour; the outermost pixels copy the pixel beside them inside."""
+    h, w = sizes(h, w)
     yy, xx = f"least({h - 2}, greatest(1, {{y}}))", f"least({w - 2}, greatest(1, {{x}}))"
     near = [(f"({yy} + {dy})", f"({xx} + {dx})") for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
     out = df

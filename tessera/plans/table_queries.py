@@ -22,19 +22,20 @@ def _values(rows, names: str) -> str:
 
 # ---- the format registry ----
 
-_formats = [(f.name, f.component, f.layout, f.order, f.depth, f.subsample, f.container, f.ffmpeg, f.n_bytes, f.n_samples) for f in formats.FORMATS.values()]
-_fmt_sql = "formats AS (SELECT name, component, layout, plane_order, depth, subsample, container, ffmpeg, n_bytes, n_samples FROM " + _values(_formats, "name, component, layout, plane_order, depth, subsample, container, ffmpeg, n_bytes, n_samples") + "), "
-_sizes = "sizes AS (SELECT p_partkey, CAST(8 * p_size AS INT) AS w, CAST(8 * (p_size % 7 + 1) AS INT) AS h FROM part WHERE p_partkey <= 25) "
+_formats = [(k, f.name, f.component, f.layout, f.order, f.depth, f.subsample, f.container, f.ffmpeg, f.n_bytes, f.n_samples) for k, f in enumerate(formats.FORMATS.values())]
+_fmt_sql = "formats AS (SELECT k, name, component, layout, plane_order, depth, subsample, container, ffmpeg, n_bytes, n_samples FROM " + _values(_formats, "k, name, component, layout, plane_order, depth, subsample, container, ffmpeg, n_bytes, n_samples") + "), "
+_sizes = "sizes AS (SELECT p_partkey, CAST(8 * p_size AS INT) AS w, CAST(8 * (p_size % 7 + 1) AS INT) AS h, p_partkey % 80 AS k FROM part) "
 
 
 def _sized(s, d) -> DataFrame:
-    sizes = _read(s, d, "part").filter("p_partkey <= 25").select("p_partkey", (8 * F.col("p_size")).cast("int").alias("w"), (8 * (F.col("p_size") % 7 + 1)).cast("int").alias("h"))
-    return sizes.crossJoin(F.broadcast(formats.formats_table(s)))  # formats are a fixed table of 80 rows
+    """Every part with a size and one of the 80 formats, by its number."""
+    sizes = _read(s, d, "part").select("p_partkey", (8 * F.col("p_size")).cast("int").alias("w"), (8 * (F.col("p_size") % 7 + 1)).cast("int").alias("h"), F.get(F.array(*[F.lit(n) for n in formats.FORMATS]), (F.col("p_partkey") % len(formats.FORMATS)).cast("int")).alias("name"))
+    return sizes.join(F.broadcast(formats.formats_table(s)), "name")  # formats are a fixed table of 80 rows
 
 
 def _format_query(name: str, parts) -> None:
     cols = ", ".join(f"{v} AS {k}" for k, v in parts(Duck).items())
-    register(name, lambda s, d: _sized(s, d).select("p_partkey", "name", *[F.expr(v).cast("int").alias(k) for k, v in parts(Spark).items()]), f"WITH {_fmt_sql}{_sizes}SELECT p_partkey, name, {cols} FROM sizes, formats")
+    register(name, lambda s, d: _sized(s, d).select("p_partkey", "name", *[F.expr(v).cast("int").alias(k) for k, v in parts(Spark).items()]), f"WITH {_fmt_sql}{_sizes}SELECT p_partkey, name, {cols} FROM sizes JOIN formats ON formats.k = sizes.k")
 
 
 _format_query("src18_buffer_size", lambda d: {"n_bytes_": formats.buffer_size_sql(d)})
@@ -112,28 +113,60 @@ register("src10_first_frame", lambda s, d: _frames(s, d).filter("frame_no = 0").
 register("win02_frame_numbers", lambda s, d: y4m.frames(_stream(s, d)).withColumns({"k": F.row_number().over(Window.partitionBy("path").orderBy("frame_no")), "n": F.count(F.lit(1)).over(Window.partitionBy("path"))}).select("path", "k", "n"), "SELECT vec_id // 4 AS path, row_number() OVER (PARTITION BY vec_id // 4 ORDER BY vec_id) AS k, count(*) OVER (PARTITION BY vec_id // 4) AS n FROM embeddings")
 register("snk03_stream_bytes", lambda s, d: _stream(s, d).select("path", F.octet_length("content").alias("n"), F.sha2("content", 256).alias("sha")))
 
-_doc_bytes = "transform(sequence(1, least(octet_length(t), 4096)), i -> cast(conv(substr(hex(encode(t, 'UTF-8')), 2 * i - 1, 2), 16, 10) as int))"
 
 
 def _documents(s, d) -> DataFrame:
     return _read(s, d, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
 
 
-def _long_documents(s, d):
-    return _documents(s, d).filter("octet_length(content) >= 192")
+def _framed(s, d, size: int) -> DataFrame:
+    """doc_id, frame, content: the whole text as frames of `size` bytes, the last filled with zeros; an empty text is one frame of zeros."""
+    pieces = F.expr(f"transform(sequence(0, greatest(0, (octet_length(content) - 1) div {size})), f -> substring(content, cast(f * {size} + 1 as int), {size}))")
+    return _documents(s, d).select("doc_id", F.posexplode(pieces).alias("frame", "content")).withColumn("content", F.expr(f"rpad(content, {size}, X'00')"))
+
+
+def _framed_sql(size: int) -> str:
+    """doc_id, frame, x: the same, in hexadecimal. Long texts are cut twice, so that no place is far from a start."""
+    wide = 2 * size * 64
+    return f"""hexed AS (
+        SELECT doc_id, big * 64 + f AS frame, rpad(substr(part, {2 * size} * f + 1, {2 * size}), {2 * size}, '0') AS x
+        FROM (SELECT doc_id, big, part, unnest(range(greatest(CASE WHEN big = 0 THEN 1 ELSE 0 END, CAST(ceil(length(part) / {2 * size}) AS BIGINT)))) AS f
+              FROM (SELECT doc_id, big, substr(x, {wide} * big + 1, {wide}) AS part
+                    FROM (SELECT doc_id, x, unnest(range(greatest(1, CAST(ceil(length(x) / {wide}) AS BIGINT)))) AS big
+                          FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents)))))"""
 
 
-_hex = "hexed AS (SELECT doc_id, hex(encode(text)) AS x FROM documents WHERE octet_length(encode(text)) >= 192), "
 _at = lambda e: f"CAST(('0x' || substr(x, CAST(2 * ({e}) + 1 AS BIGINT), 2)) AS INT)"
-register("src11_nv12", lambda s, d: raw.nv12_planes(_long_documents(s, d), "content", 10, 8, 12, 10).select("doc_id", F.expr("get(luma, 37)").alias("l"), F.expr("get(u, 7)").alias("u"), F.expr("get(v, 7)").alias("v"), F.size("luma").alias("n")),
-         f"WITH {_hex[:-2]} SELECT doc_id, {_at('3 * 12 + 7')} AS l, {_at('120 + 12 + 4')} AS u, {_at('120 + 12 + 5')} AS v, 80 AS n FROM hexed")
-register("src12_rgba", lambda s, d: raw.rgba_planes(_long_documents(s, d), "content", 6, 8).select("doc_id", *[F.expr(f"get({c}, 11)").alias(c) for c in "rgb"]), f"WITH {_hex[:-2]} SELECT doc_id, {_at('44')} AS r, {_at('45')} AS g, {_at('46')} AS b FROM hexed")
-register("src13_frame_bytes", lambda s, d: _long_documents(s, d).select("doc_id", F.hex(raw.frame_of("content", 4, 4, "yuv420p", 3)).alias("frame")), f"WITH {_hex[:-2]} SELECT doc_id, substr(x, 145, 48) AS frame FROM hexed")
-register("src17_mosaic_file", lambda s, d: raw.mosaic_samples(_long_documents(s, d).select("doc_id", F.expr("substring(content, 1, 160)").alias("content")), "content", "SRGGB10P").select("doc_id", F.expr("get(samples, 5)").alias("a"), F.expr("get(samples, 127)").alias("b"), F.size("samples").alias("n")),
-         f"WITH {_hex[:-2]} SELECT doc_id, {_at('6')} * 4 + (({_at('9')} >> 2) & 3) AS a, {_at('158')} * 4 + (({_at('159')} >> 6) & 3) AS b, 128 AS n FROM hexed")
-register("src23_yuv420p10", lambda s, d: raw.yuv420p10_planes(_long_documents(s, d).select("doc_id", F.expr("substring(content, 1, 192)").alias("content")), "content", 8, 8).select("doc_id", F.expr("get(luma, 9)").alias("l"), F.expr("get(u, 3)").alias("u"), F.expr("get(v, 15)").alias("v")),
-         f"WITH {_hex[:-2]} SELECT doc_id, ({_at('18')} + 256 * {_at('19')}) & 1023 AS l, ({_at('134')} + 256 * {_at('135')}) & 1023 AS u, ({_at('190')} + 256 * {_at('191')}) & 1023 AS v FROM hexed")
-register("bin01_big_endian", lambda s, d: _long_documents(s, d).select("doc_id", F.expr("conv(hex(substring(content, 11, 2)), 16, 10)").cast("int").alias("u16"), F.expr("conv(hex(substring(content, 21, 4)), 16, 10)").cast("long").alias("u32")), f"WITH {_hex[:-2]} SELECT doc_id, CAST(('0x' || substr(x, 21, 4)) AS INT) AS u16, CAST(('0x' || substr(x, 41, 8)) AS BIGINT) AS u32 FROM hexed")
+register(
+    "src11_nv12",
+    lambda s, d: raw.nv12_planes(_framed(s, d, 168), "content", 10, 8, 12, 10).select("doc_id", "frame", F.expr("get(luma, 37)").alias("l"), F.expr("get(u, 7)").alias("u"), F.expr("get(v, 7)").alias("v"), F.size("luma").alias("n")),
+    f"WITH {_framed_sql(168)} SELECT doc_id, CAST(frame AS INT) AS frame, {_at('3 * 12 + 7')} AS l, {_at('120 + 12 + 4')} AS u, {_at('120 + 12 + 5')} AS v, 80 AS n FROM hexed",
+)
+register(
+    "src12_rgba",
+    lambda s, d: raw.rgba_planes(_framed(s, d, 192), "content", 6, 8).select("doc_id", "frame", *[F.expr(f"get({c}, 11)").alias(c) for c in "rgb"]),
+    f"WITH {_framed_sql(192)} SELECT doc_id, CAST(frame AS INT) AS frame, {_at('44')} AS r, {_at('45')} AS g, {_at('46')} AS b FROM hexed",
+)
+register(
+    "src13_frame_bytes",  # the fourth frame of each file; what a short file does not hold is missing
+    lambda s, d: _documents(s, d).select("doc_id", F.hex(raw.frame_of("content", 4, 4, "yuv420p", 3)).alias("frame")),
+    "SELECT doc_id, substr(hex(encode(coalesce(text, ''))), 145, 48) AS frame FROM documents",
+)
+register(
+    "src17_mosaic_file",
+    lambda s, d: raw.mosaic_samples(_framed(s, d, 160), "content", "SRGGB10P").select("doc_id", "frame", F.expr("get(samples, 5)").alias("a"), F.expr("get(samples, 127)").alias("b"), F.size("samples").alias("n")),
+    f"WITH {_framed_sql(160)} SELECT doc_id, CAST(frame AS INT) AS frame, {_at('6')} * 4 + (({_at('9')} >> 2) & 3) AS a, {_at('158')} * 4 + (({_at('159')} >> 6) & 3) AS b, 128 AS n FROM hexed",
+)
+register(
+    "src23_yuv420p10",
+    lambda s, d: raw.yuv420p10_planes(_framed(s, d, 192), "content", 8, 8).select("doc_id", "frame", F.expr("get(luma, 9)").alias("l"), F.expr("get(u, 3)").alias("u"), F.expr("get(v, 15)").alias("v")),
+    f"WITH {_framed_sql(192)} SELECT doc_id, CAST(frame AS INT) AS frame, ({_at('18')} + 256 * {_at('19')}) & 1023 AS l, ({_at('134')} + 256 * {_at('135')}) & 1023 AS u, ({_at('190')} + 256 * {_at('191')}) & 1023 AS v FROM hexed",
+)
+register(
+    "bin01_big_endian",  # null where a text ends before
+    lambda s, d: _documents(s, d).select("doc_id", F.expr("case when octet_length(content) >= 12 then cast(conv(hex(substring(content, 11, 2)), 16, 10) as int) end").alias("u16"), F.expr("case when octet_length(content) >= 24 then cast(conv(hex(substring(content, 21, 4)), 16, 10) as bigint) end").alias("u32")),
+    "WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents) SELECT doc_id, CASE WHEN length(x) >= 24 THEN CAST(('0x' || substr(x, 21, 4)) AS INT) END AS u16, CASE WHEN length(x) >= 48 THEN CAST(('0x' || substr(x, 41, 8)) AS BIGINT) END AS u32 FROM h",
+)
 register("bin02_base64", lambda s, d: _documents(s, d).select("doc_id", F.octet_length(F.unbase64(F.base64("content"))).alias("n"), F.substring(F.base64("content"), 1, 12).alias("b64")), "SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, substr(base64(encode(coalesce(text, ''))), 1, 12) AS b64 FROM documents")
 register("src28_alpha_header", lambda s, d: _geometry(s, d).select("l_orderkey", "l_linenumber", F.split(F.concat_ws(" ", F.lit("ALPHA"), "h", "w", "space", F.lit("bitmap"), F.lit("8")), " ").alias("p")).select("l_orderkey", "l_linenumber", F.get("p", F.lit(1)).cast("int").alias("height"), F.get("p", F.lit(2)).cast("int").alias("width"), F.get("p", F.lit(3)).alias("space"), F.get("p", F.lit(4)).alias("codec"), F.get("p", F.lit(5)).cast("int").alias("block")), f"WITH {_geo_sql}SELECT l_orderkey, l_linenumber, h AS height, w AS width, space, 'bitmap' AS codec, 8 AS block FROM g")
 
@@ -349,25 +382,40 @@ def _jpegs(s, d) -> DataFrame:
     scan_ = bytes([3, 1, 0x00, 2, 0x11, 3, 0x11, 0, 63, 0])
     head = jpeg.build([(0xE0, b"JFIF\0\1\2\0\0\1\0\1\0\0"), (0xDB, quant), (0xC0, frame)])[:-2]
     tail = jpeg.build([(0xDA, scan_)])[2:-2]
-    docs = _read(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.substring(F.coalesce("text", F.lit("")), 1, 200), "UTF-8").alias("t"))
-    size = F.lpad(F.hex(F.octet_length("t") + 2), 4, "0")
-    return docs.select("path", F.concat(F.lit(head), F.unhex(F.concat(F.lit("FFFE"), size)), F.col("t"), F.lit(tail), F.col("t"), F.lit(b"\xff\xd9")).alias("content"))
-
-
-_marks = "WITH t AS (SELECT doc_id, octet_length(encode(substr(coalesce(text, ''), 1, 200))) AS n FROM documents) "
-register("jpg01_segments", lambda s, d: jpeg.markers(_jpegs(s, d)).select("path", "seq", "marker_id", "marker", "offset", "length"), _marks + """SELECT doc_id::VARCHAR AS path, CAST(seq AS INT) AS seq, CAST(m AS INT) AS marker_id, name AS marker, CAST(CASE WHEN seq < 5 THEN place ELSE place + n END + CASE WHEN seq > 6 THEN n ELSE 0 END AS BIGINT) AS "offset", CAST(CASE WHEN seq IN (4, 6) THEN len + n ELSE len END AS INT) AS length
-    FROM t, (VALUES (0, 216, 'SOI', 0, 0), (1, 224, 'APP0', 2, 16), (2, 219, 'DQT', 20, 67), (3, 192, 'SOF0', 89, 17), (4, 254, 'COM', 108, 2), (5, 218, 'SOS', 112, 12), (6, 0, 'compressed_data', 126, 0), (7, 217, 'EOI', 126, 0)) q(seq, m, name, place, len)""")
+    docs = _whole_texts(s, d, 65533)
+    comments = F.unhex(F.array_join(F.transform("parts", lambda p: F.concat(F.lit("FFFE"), F.lpad(F.hex(F.octet_length(p) + 2), 4, "0"), F.hex(p))), ""))
+    return docs.select("path", F.concat(F.lit(head), comments, F.lit(tail), F.col("t"), F.lit(b"\xff\xd9")).alias("content"))
+
+
+def _whole_texts(s, d, most: int) -> DataFrame:
+    """path, t: the bytes of the whole text; parts: cut into pieces of at most `most` bytes, one at least."""
+    docs = _read(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("t"))
+    return docs.withColumn("parts", F.expr(f"transform(sequence(0, greatest(0, (octet_length(t) - 1) div {most})), k -> substring(t, cast(k * {most} + 1 as int), {most}))"))
+
+
+_marks = "WITH t AS (SELECT doc_id, n, greatest(1, (n + 65532) // 65533) AS c FROM (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents))"
+register(
+    "jpg01_segments",
+    lambda s, d: jpeg.markers(_jpegs(s, d)).select("path", "seq", "marker_id", "marker", "offset", "length"),
+    _marks + """, r AS (
+        SELECT doc_id, seq, m, name, place, len FROM t, (VALUES (0, 216, 'SOI', 0, 0), (1, 224, 'APP0', 2, 16), (2, 219, 'DQT', 20, 67), (3, 192, 'SOF0', 89, 17)) q(seq, m, name, place, len)
+        UNION ALL SELECT doc_id, 4 + k, 254, 'COM', 108 + 65537 * k, least(65533, n - 65533 * k) + 2 FROM (SELECT *, unnest(range(c)) AS k FROM t)
+        UNION ALL SELECT doc_id, 4 + c + seq, m, name, 108 + n + 4 * c + place + CASE WHEN seq = 2 THEN n ELSE 0 END, CASE WHEN seq = 1 THEN n ELSE len END
+            FROM t, (VALUES (0, 218, 'SOS', 0, 12), (1, 0, 'compressed_data', 14, 0), (2, 217, 'EOI', 14, 0)) q(seq, m, name, place, len))
+    SELECT doc_id::VARCHAR AS path, CAST(seq AS INT) AS seq, CAST(m AS INT) AS marker_id, name AS marker, CAST(place AS BIGINT) AS "offset", CAST(len AS INT) AS length FROM r""",
+)
 register("jpg02_marker_table", lambda s, d: jpeg.markers_table(s), "SELECT marker_id, marker FROM " + _values(sorted(jpeg.MARKERS.items()), "marker_id, marker"))
 register("jpg03_contents", lambda s, d: jpeg.markers(_jpegs(s, d)).filter("contents <> '{}'"))
 register("jpg11_frame_header", lambda s, d: jpeg.extract(jpeg.markers(_jpegs(s, d)), "SOF0").select("path", F.get_json_object("contents", "$.number_of_lines").cast("int").alias("h"), F.get_json_object("contents", "$.number_of_samples_per_line").cast("int").alias("w"), F.get_json_object("contents", "$.components[0].horizontal").cast("int").alias("horizontal")), "SELECT doc_id::VARCHAR AS path, 16 AS h, 24 AS w, 2 AS horizontal FROM documents")
-register("flt18_extract_marker", lambda s, d: jpeg.extract(jpeg.markers(_jpegs(s, d)), "COM").select("path", "offset", "length"), _marks + 'SELECT doc_id::VARCHAR AS path, CAST(108 AS BIGINT) AS "offset", CAST(n + 2 AS INT) AS length FROM t')
+register("flt18_extract_marker", lambda s, d: jpeg.extract(jpeg.markers(_jpegs(s, d)), "COM").select("path", "offset", "length"), _marks + ' SELECT doc_id::VARCHAR AS path, CAST(108 AS BIGINT) AS "offset", CAST(least(65533, n) + 2 AS INT) AS length FROM t')
 
 
 def _boxes(s, d) -> DataFrame:
-    body = bytes([1, 0x61, 0x60, 0, 0, 0, 0x90, 0, 0, 0, 0, 0, 93, 0xF0, 0, 0xFC, 0xFD, 0xFA, 0xFA, 0, 0, 0x0F, 2, 0xA0, 0, 1])
-    docs = _read(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.substring(F.coalesce("text", F.lit("")), 1, 40), "UTF-8").alias("t"))
-    nal = F.concat(F.lit(body), F.unhex(F.lpad(F.hex(F.octet_length("t")), 4, "0")), F.col("t"), F.lit(bytes([0xA1, 0, 1, 0, 2, 7, 8])))
+    body = bytes([1, 0x61, 0x60, 0, 0, 0, 0x90, 0, 0, 0, 0, 0, 93, 0xF0, 0, 0xFC, 0xFD, 0xFA, 0xFA, 0, 0, 0x0F, 2, 0xA0])
+    docs = _whole_texts(s, d, 65535)
+    units = F.unhex(F.array_join(F.transform("parts", lambda p: F.concat(F.lpad(F.hex(F.octet_length(p)), 4, "0"), F.hex(p))), ""))
+    nal = F.concat(F.lit(body), F.unhex(F.lpad(F.hex(F.size("parts")), 4, "0")), units, F.lit(bytes([0xA1, 0, 1, 0, 2, 7, 8])))
     return docs.select("path", F.concat(F.unhex(F.lpad(F.hex(F.octet_length(nal) + 8), 8, "0")), F.encode(F.lit("hvcC"), "UTF-8"), nal).alias("content"))
 
 
-register("hev01_nal_units", lambda s, d: hevc.nal_units(_boxes(s, d)).select("path", "profile", "level", "depth_luma", "nal_type", "idx", F.octet_length("nal").alias("n")), "SELECT doc_id::VARCHAR AS path, 1 AS profile, 93 AS level, 10 AS depth_luma, 32 AS nal_type, 0 AS idx, octet_length(encode(substr(coalesce(text, ''), 1, 40))) AS n FROM documents UNION ALL SELECT doc_id::VARCHAR, 1, 93, 10, 33, 0, 2 FROM documents")
+register("hev01_nal_units", lambda s, d: hevc.nal_units(_boxes(s, d)).select("path", "profile", "level", "depth_luma", "nal_type", "idx", F.octet_length("nal").alias("n")), "WITH t AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents) SELECT doc_id::VARCHAR AS path, 1 AS profile, 93 AS level, 10 AS depth_luma, 32 AS nal_type, CAST(k AS INT) AS idx, least(65535, n - 65535 * k) AS n FROM (SELECT *, unnest(range(greatest(1, (n + 65534) // 65535))) AS k FROM t) UNION ALL SELECT doc_id::VARCHAR, 1, 93, 10, 33, 0, 2 FROM documents")

@@ -28,9 +28,9 @@ def read(spark: SparkSession, path: str, extension: str) -> DataFrame:
 
 
 def colour_range(spark: SparkSession, path: str) -> DataFrame:
-    """path and colour range by kind: JPEG is full range, Y4M says so itself; only headers of Y4M files are read."""
+    """path and colour range by kind: JPEG is full range, Y4M says so itself."""
     names = raw.metadata(spark, path)
-    heads = y4m.with_header(spark.read.format("binaryFile").option("pathGlobFilter", "*.y4m").option("recursiveFileLookup", "true").load(path).select("path", F.expr("substring(content, 1, 4096)").alias("content"))).select("path", F.lower("colorrange").alias("said"))
+    heads = y4m.with_header(spark.read.format("binaryFile").option("pathGlobFilter", "*.y4m").option("recursiveFileLookup", "true").load(path).select("path", "content")).select("path", F.lower("colorrange").alias("said"))
     return names.join(heads, "path", "left").select("path", F.coalesce("said", F.when(F.col("extension").isin(".jpg", ".jpeg"), "full"), F.lit("unspecified")).alias("range"))
 
 

@@ -171,6 +171,8 @@ def scan(data: bytes) -> Iterator[tuple[int, str, int, int, dict]]:
             yield 0, "compressed_data", start, at - start, {}
 
 
+#: Markers that are handed on at once.
+ROWS = 10_000
 FIELDS = "marker_id int, marker string, offset long, length int, contents string"
 
 
@@ -178,10 +180,15 @@ def markers(files: DataFrame, path: str = "path", content: str = "content") -> D
     """path, seq, marker_id, marker, offset, length, contents (JSON)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "seq", "marker_id", "marker", "offset", "length", "contents"]
         for df in batches:
+            rows = []
             for p, data in zip(df["path"], df["content"], strict=True):
-                rows = [(p, k, m, n, o, ln, json.dumps(c)) for k, (m, n, o, ln, c) in enumerate(scan(bytes(data or b"")))]
-                yield pd.DataFrame(rows, columns=["path", "seq", "marker_id", "marker", "offset", "length", "contents"])
+                rows += [(p, k, m, n, o, ln, json.dumps(c)) for k, (m, n, o, ln, c) in enumerate(scan(bytes(data or b"")))]
+                if len(rows) >= ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInPandas(run, "path string, seq int, " + FIELDS)
 

@@ -24,7 +24,7 @@ def frame_of(content: str, w: int, h: int, fmt: str, frame: int = 0) -> Column:
 
 def nv12_planes(df: DataFrame, content: str, w: int, h: int, stride: int, scanline: int) -> DataFrame:
     """Arrays luma, u, v: luma rows of `stride` bytes, `scanline` rows, then interleaved chroma rows; what pads them is dropped."""
-    b = df.withColumn("_b", F.expr(byte_values(content)))
+    b = df.withColumn("_b", byte_values(F.col(content)))
     luma = f"transform(sequence(0, {w * h - 1}), p -> get(_b, cast((p div {w}) * {stride} + p % {w} as int)))"
     cw, ch = (w + 1) // 2, (h + 1) // 2
     chroma = lambda k: f"transform(sequence(0, {cw * ch - 1}), p -> get(_b, cast({stride * scanline} + (p div {cw}) * {stride} + 2 * (p % {cw}) + {k} as int)))"
@@ -33,13 +33,13 @@ def nv12_planes(df: DataFrame, content: str, w: int, h: int, stride: int, scanli
 
 def rgba_planes(df: DataFrame, content: str, w: int, h: int) -> DataFrame:
     """Arrays r, g, b; alpha is dropped."""
-    b = df.withColumn("_b", F.expr(byte_values(content)))
+    b = df.withColumn("_b", byte_values(F.col(content)))
     return b.withColumns({c: F.expr(f"transform(sequence(0, {w * h - 1}), p -> get(_b, cast(4 * p + {k} as int)))") for k, c in enumerate("rgb")}).drop("_b")
 
 
 def yuv420p10_planes(df: DataFrame, content: str, w: int, h: int) -> DataFrame:
     """Arrays luma, u, v of 10-bit little-endian 4:2:0; bits above the tenth are dropped."""
-    s = df.withColumn("_s", F.expr(f"transform({sample_values(content, 10)}, z -> z & 1023)"))
+    s = df.withColumn("_s", F.transform(sample_values(F.col(content), 10), lambda z: z.bitwiseAND(F.lit(1023))))
     n, c = w * h, (w // 2) * (h // 2)
     return s.withColumns({"luma": F.slice("_s", 1, n), "u": F.slice("_s", n + 1, c), "v": F.slice("_s", n + c + 1, c)}).drop("_s")
 
@@ -51,7 +51,7 @@ def mosaic_samples(df: DataFrame, content: str, fmt: str) -> DataFrame:
 
     f = canonical(fmt)
     c = codec(f.codec)
-    b = df.withColumn("_b", F.expr(byte_values(content)))
+    b = df.withColumn("_b", byte_values(F.col(content)))
     group = ", ".join(c.unpack(Spark, [f"get(_b, cast(g * {c.n_bytes} + {i} as int))" for i in range(c.n_bytes)]))
     return b.withColumn("samples", F.expr(f"flatten(transform(sequence(0, size(_b) div {c.n_bytes} - 1), g -> array({group})))")).drop("_b")
 
