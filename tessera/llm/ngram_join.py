@@ -27,12 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Words, fresh, groups_of, shingle_hashes, stash
+from .common import NO_ID, Words, blocks_of_texts, release_memory, shingle_hashes, stash
 from .suffix_dedup import part as split_by_ids
+from .suffix_dedup import rows_without
 
 WORDS, PERCENT = 5, 80
 #: N-grams that the common order puts last: at most this many (2 MB for every task), from this many documents on.
@@ -90,9 +90,10 @@ def base_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     """(ids, sets) of rows whose texts come to about BLOCK bytes."""
     for batch in batches:
-        texts, ids = batch.column("text"), batch.column("id").to_numpy(zero_copy_only=False)
-        for a, b in groups_of(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), BLOCK):
-            yield ids[a:b], shingle_sets([t or b"" for t in texts.slice(a, b - a).to_pylist()])
+        ids = batch.column("id").to_numpy(zero_copy_only=False)
+        for a, b, texts in blocks_of_texts(batch.column("text"), BLOCK):
+            yield ids[a:b], shingle_sets(texts)
+    release_memory()
 
 
 def rows_of(**columns) -> pa.RecordBatch:
@@ -357,7 +358,6 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose id is their component's least (all rows of that id). Rows with a null id stay: nothing tells them apart."""
-    key = fresh(docs, "_id")
-    own = stash(components(docs, id_col, text_col, percent).select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias(key), F.coalesce("component_id", F.lit(NO_ID)).alias("least")), "components")
-    late = own.filter((F.col("least") < F.col(key)) & (F.col(key) != NO_ID)).select(key).distinct()
-    return docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(late, key, "left_anti").drop(key)
+    own = components(docs, id_col, text_col, percent).select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("id"), F.coalesce("component_id", F.lit(NO_ID)).alias("least"))
+    late = stash(own.filter((F.col("least") < F.col("id")) & (F.col("id") != NO_ID)).select("id").distinct(), "late")
+    return rows_without(docs, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), late)

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NO_ID, groups_of, mix64, stash, utf8
@@ -210,6 +210,13 @@ def part(base: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return probe.filter("maybe").drop("maybe"), probe.filter("not maybe").drop("maybe")
 
 
+def rows_without(docs: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose key (not null) is not among ids (one column, id). Only rows that pass a filter of the ids are dealt out."""
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("id"))
+    maybe, others = part(keyed, ids)
+    return maybe.join(ids, "id", "left_anti").select("row").unionAll(others.select("row")).select("row.*")
+
+
 def apply_removals(docs: DataFrame) -> DataFrame:
     """docs: own (the row's id), text, whole (names of segments to remove), some (name, places). Adds sizes, spans and what is kept."""
 
