@@ -16,6 +16,7 @@ from tessera.llm.line_dedup import dedup_rows
 from tessera.llm.ngram_join import keep_one_of_each
 from tessera.llm.pieces import encode_column
 from tessera.llm.quality import fit, score_quality
+from tessera.llm.suffix_dedup import rows_without
 from tessera.llm.queries import crc_of_id
 
 #: A document below this quality goes.
@@ -43,9 +44,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item. Rows are told apart by their texts, so null and repeated ids take no clean row along."""
     key = fresh(docs, "_hash")
-    docs = docs.withColumn(key, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    leaks = stash(find_leaks(docs, table(spark, sf_dir, "benchmark"), id_col=key).select(key).distinct(), "leaks")
-    return docs.join(leaks, key, "left_anti").drop(key)
+    own = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    found = find_leaks(docs.withColumn(key, own), table(spark, sf_dir, "benchmark"), id_col=key)
+    return rows_without(docs, own, stash(found.select(F.col(key).alias("id")).distinct(), "leaks"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
