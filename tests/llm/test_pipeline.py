@@ -56,3 +56,43 @@ def test_empty_and_null_documents_pass(spark):
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, docs, DATA).count() == 3
         assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_clashing_columns_stay(spark):
+    """Columns that have the names stages use inside come through with their values."""
+    schema = "doc_id long, text string, score double, _score string, _id int, _component string, _hash string, row int, id string, block int"
+    rows = [(k, f"a plain sentence number {k} that says something of its own, in words of {k * 7} kinds", 0.25, "s", 1, "c", "h", 5, "i", 6) for k in range(6)] + [(1, "a text that repeats an id", 0.5, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs.withColumn("n_chars", F.length("text").cast("long")), DATA)
+        assert got.columns == [*docs.columns, "n_chars"], name
+        if name != "quality classifier":
+            assert {tuple(r)[:-1] for r in got.collect()} == set(rows), name
+
+
+def test_held_out_and_predicted(spark):
+    """The split and the thresholds of op6 and op9, whose models never see a held-out label."""
+    import zlib
+
+    from tessera.llm import queries
+
+    for query, modulus, out, least in ((queries.op6_toxicity, 3, 1, 0.7), (queries.op9_quality_classifier, 5, 0, 0.3)):
+        got = query(spark, DATA).collect()
+        assert len(got) == 200
+        for r in got:
+            assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % modulus == out)
+            assert r.predicted == int(r.score >= least) and 0 <= r.score <= 1
+
+
+def test_repeated_ids_train_alike(spark):
+    """Of rows that repeat an id the least text is learnt, whatever the order of the rows."""
+    from tessera.llm.toxicity import labelled_sample
+
+    rows = [(1, "b"), (1, "a"), (2, None), (3, "c"), (None, "d"), (3, "c")]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, None), (None, 1)], "doc_id long, toxic int")
+    for own in (rows, rows[::-1]):
+        docs = spark.createDataFrame(own, "doc_id long, text string")
+        texts, y = labelled_sample(docs, labels, "doc_id", "text", "toxic", F.lit(True), 10)
+        assert texts == [b"a", b""] and y.tolist() == [1, 0]
+    texts, y = labelled_sample(docs.limit(0), labels.limit(0), "doc_id", "text", "toxic", F.lit(True), 10)
+    assert texts == [] and len(y) == 0
