@@ -55,7 +55,7 @@ register("pck16_planes_to_mosaic", repacked, "SELECT image_id, y, x, v FROM plan
 register("pck17_interleave", lambda s, d: listed(planes.with_neighbours(planes.planes(s, d).drop("label"), 2).select("image_id", F.flatten(F.transform(F.arrays_zip("v", "v1", "v2"), lambda z: F.array(z["v"], z["v1"], z["v2"]))).alias("b")), "b"), "SELECT image_id, CAST(3 * (8 * y + x) + k AS INT) AS p, CASE k WHEN 0 THEN r WHEN 1 THEN g ELSE b END AS v FROM rgb, (SELECT unnest([0, 1, 2]) AS k)", "rgb")
 register("snk05_mosaic_bytes", lambda s, d: planes.planes(s, d).select("image_id", F.hex(y4m.pack_samples("v")).alias("h")), "SELECT image_id, string_agg(printf('%02X', v), '' ORDER BY y, x) AS h FROM plane GROUP BY image_id", "plane")
 register("snk07_yuv420p10_bytes", lambda s, d: planes.subsample(planes.planes(s, d, 10).drop("label"), "420", out="u").select("image_id", F.hex(F.concat(y4m.pack_samples("v", 10), y4m.pack_samples("u", 10), y4m.pack_samples("u", 10))).alias("h")), "WITH c AS (SELECT image_id, y // 2 AS y, x // 2 AS x, CAST(sum(v) // 4 AS INT) AS v FROM plane10 GROUP BY ALL), u AS (SELECT image_id, string_agg(printf('%02X%02X', v & 255, v >> 8), '' ORDER BY y, x) AS u FROM c GROUP BY image_id) SELECT image_id, string_agg(printf('%02X%02X', v & 255, v >> 8), '' ORDER BY y, x) || any_value(u) || any_value(u) AS h FROM plane10 JOIN u USING (image_id) GROUP BY image_id", "plane10")
-register("snk10_markers_as_text", lambda s, d: jpeg.markers(tq._jpegs(s, d)).select("path", "seq", F.format_string("marker: 0x%04x section: %s offset: 0x%08x length: 0x%04x", F.expr("marker_id + 65280"), "marker", "offset", "length").alias("line")))
+register("snk10_markers_as_text", lambda s, d: jpeg.markers(tq._jpegs(s, d)).select("path", "seq", F.format_string("marker: 0x%04x section: %s offset: 0x%08x length: 0x%04x", F.expr("marker_id + 65280"), "marker", "offset", "length").alias("line")), tq._segments + " SELECT doc_id::VARCHAR AS path, CAST(seq AS INT) AS seq, printf('marker: 0x%04x section: %s offset: 0x%08x length: 0x%04x', CAST(m + 65280 AS INT), name, CAST(place AS INT), CAST(len AS INT)) AS line FROM r")
 register("snk11_block_header", lambda s, d: tq._geometry(s, d).select("l_orderkey", "l_linenumber", F.concat(F.concat_ws(" ", F.lit("ALPHA"), "h", "w", "space", F.lit("warhol"), F.lit("8")), F.lit("\n")).alias("line")), f"WITH {tq._geo_sql}SELECT l_orderkey, l_linenumber, 'ALPHA ' || h || ' ' || w || ' ' || space || ' warhol 8' || chr(10) AS line FROM g")
 
 

@@ -111,7 +111,13 @@ register("src07_planes", lambda s, d: planes.samples(_frames(s, d).select((F.col
 register("src08_frame_upsampled", lambda s, d: planes.samples(planes.upsample(_frames(s, d).select((F.col("path") * 4 + F.col("frame_no")).alias("image_id"), "luma", "u"), "420", column="u", out="u"), luma="luma", u="u"), "WITH c AS (SELECT image_id, y // 2 AS cy, x // 2 AS cx, CAST(sum(v) // 4 AS INT) AS u FROM plane GROUP BY ALL) SELECT p.image_id, p.y, p.x, p.v AS luma, c.u FROM plane p JOIN c ON c.image_id = p.image_id AND c.cy = p.y // 2 AND c.cx = p.x // 2", "plane")
 register("src10_first_frame", lambda s, d: _frames(s, d).filter("frame_no = 0").select("path", F.expr("aggregate(luma, 0L, (a, z) -> a + z)").alias("luma"), F.expr("aggregate(u, 0L, (a, z) -> a + z)").alias("u")), f"WITH {_chroma}SELECT image_id // 4 AS path, CAST(sum(v) AS BIGINT) AS luma, any_value(u) AS u FROM plane JOIN u USING (image_id) WHERE image_id % 4 = 0 GROUP BY image_id", "plane")
 register("win02_frame_numbers", lambda s, d: y4m.frames(_stream(s, d)).withColumns({"k": F.row_number().over(Window.partitionBy("path").orderBy("frame_no")), "n": F.count(F.lit(1)).over(Window.partitionBy("path"))}).select("path", "k", "n"), "SELECT vec_id // 4 AS path, row_number() OVER (PARTITION BY vec_id // 4 ORDER BY vec_id) AS k, count(*) OVER (PARTITION BY vec_id // 4) AS n FROM embeddings")
-register("snk03_stream_bytes", lambda s, d: _stream(s, d).select("path", F.octet_length("content").alias("n"), F.sha2("content", 256).alias("sha")))
+register("snk03_stream_bytes", lambda s, d: _stream(s, d).select("path", F.octet_length("content").alias("n"), F.sha2("content", 256).alias("sha")),
+    """WITH c AS (SELECT image_id, y // 2 AS y, x // 2 AS x, CAST(sum(v) // 4 AS INT) AS v FROM plane GROUP BY ALL),
+    u AS (SELECT image_id, string_agg(printf('%02X', v), '' ORDER BY y, x) AS u FROM c GROUP BY image_id),
+    l AS (SELECT image_id, string_agg(printf('%02X', v), '' ORDER BY y, x) AS l FROM plane GROUP BY image_id),
+    s AS (SELECT image_id // 4 AS path, hex(encode('YUV4MPEG2 W8 H8 F25:1 Ip A0:0 C420 XCOLORRANGE=FULL' || chr(10))) || string_agg(hex(encode('FRAME' || chr(10))) || l || u || u, '' ORDER BY image_id) AS x
+        FROM l JOIN u USING (image_id) GROUP BY image_id // 4)
+    SELECT path, CAST(length(x) // 2 AS INT) AS n, sha256(unhex(x)) AS sha FROM s""", "plane")
 
 
 
@@ -394,15 +400,15 @@ def _whole_texts(s, d, most: int) -> DataFrame:
 
 
 _marks = "WITH t AS (SELECT doc_id, n, greatest(1, (n + 65532) // 65533) AS c FROM (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents))"
-register(
-    "jpg01_segments",
-    lambda s, d: jpeg.markers(_jpegs(s, d)).select("path", "seq", "marker_id", "marker", "offset", "length"),
-    _marks + """, r AS (
+_segments = _marks + """, r AS (
         SELECT doc_id, seq, m, name, place, len FROM t, (VALUES (0, 216, 'SOI', 0, 0), (1, 224, 'APP0', 2, 16), (2, 219, 'DQT', 20, 67), (3, 192, 'SOF0', 89, 17)) q(seq, m, name, place, len)
         UNION ALL SELECT doc_id, 4 + k, 254, 'COM', 108 + 65537 * k, least(65533, n - 65533 * k) + 2 FROM (SELECT *, unnest(range(c)) AS k FROM t)
         UNION ALL SELECT doc_id, 4 + c + seq, m, name, 108 + n + 4 * c + place + CASE WHEN seq = 2 THEN n ELSE 0 END, CASE WHEN seq = 1 THEN n ELSE len END
-            FROM t, (VALUES (0, 218, 'SOS', 0, 12), (1, 0, 'compressed_data', 14, 0), (2, 217, 'EOI', 14, 0)) q(seq, m, name, place, len))
-    SELECT doc_id::VARCHAR AS path, CAST(seq AS INT) AS seq, CAST(m AS INT) AS marker_id, name AS marker, CAST(place AS BIGINT) AS "offset", CAST(len AS INT) AS length FROM r""",
+            FROM t, (VALUES (0, 218, 'SOS', 0, 12), (1, 0, 'compressed_data', 14, 0), (2, 217, 'EOI', 14, 0)) q(seq, m, name, place, len))"""
+register(
+    "jpg01_segments",
+    lambda s, d: jpeg.markers(_jpegs(s, d)).select("path", "seq", "marker_id", "marker", "offset", "length"),
+    _segments + """ SELECT doc_id::VARCHAR AS path, CAST(seq AS INT) AS seq, CAST(m AS INT) AS marker_id, name AS marker, CAST(place AS BIGINT) AS "offset", CAST(len AS INT) AS length FROM r""",
 )
 register("jpg02_marker_table", lambda s, d: jpeg.markers_table(s), "SELECT marker_id, marker FROM " + _values(sorted(jpeg.MARKERS.items()), "marker_id, marker"))
 register("jpg03_contents", lambda s, d: jpeg.markers(_jpegs(s, d)).filter("contents <> '{}'"))
