@@ -114,6 +114,12 @@ class SortedRuns:
             self._note(old)
         return self.runs()[0]
 
+    def held(self) -> DataFrame:
+        """All runs as one, without their buckets: joined by Spark's own exchange, whose skewed partitions it may split."""
+        self.all()
+        (name,) = (r for level in self.levels.values() for r in level)
+        return self.spark.read.schema(_RUN).parquet(f"{self.path}/{name}")
+
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     """id, th (hash of the text), pos, h1, h2 of every line whose key is long enough."""
@@ -142,9 +148,9 @@ def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if high is not None:
             part = part.filter(F.col("id") <= high)
         store.add(part.select("id", *KEY))
-    late = lines.join(store.all(), KEY).filter("first < id")
-    with reading_sorted(docs.sparkSession):
-        gone = stash(late.groupBy("id", "th").agg(F.collect_set("pos").alias("gone")), "gone")
+    # a line may stand in a third of all rows: here both sides are dealt out, so that such a key's rows can be split
+    late = lines.join(store.held(), KEY).filter("first < id")
+    gone = stash(late.groupBy("id", "th").agg(F.collect_set("pos").alias("gone")), "gone")
     drop_stash(lines)
     if own_store:
         delete_path(docs.sparkSession, store.path)
