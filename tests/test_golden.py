@@ -134,3 +134,32 @@ def test_matrix_round_trip(spark, mc):
     df = spark.createDataFrame(rows, "r int, g int, b int")
     back = colour.convert(colour.convert(df, f"h273.{mc}"), f"h273.{mc}", "yuv2rgb", ("c0", "c1", "c2"), ("x", "y", "z"))
     assert all(abs(r.r - r.x) <= 3 and abs(r.g - r.y) <= 3 and abs(r.b - r.z) <= 4 for r in back.collect())
+
+
+# Worked by hand from the equations, apart from the module's coefficients and expressions. Full-range chroma of H.273 stands at 255 * (x + 0.5), so around 127.5
+# and not 128 as the standard's own integer form does (which gives 99, not 98, for the blue difference of red in number 1).
+RED, WHITE, BLACK = (255, 0, 0), (255, 255, 255), (0, 0, 0)
+
+
+@pytest.mark.parametrize(
+    ("name", "rgb", "yuv"),
+    [
+        ("sdtv.computer", BLACK, (16, 128, 128)),
+        ("sdtv.computer", RED, (81, 90, 239)),
+        ("sdtv.computer", WHITE, (235, 128, 128)),
+        ("hdtv.computer", BLACK, (16, 128, 128)),
+        ("hdtv.computer", RED, (62, 102, 239)),
+        ("ycocgr", RED, (63, 255, -127)),
+        ("ycocgr", WHITE, (255, 0, 0)),
+        ("h273.0", (10, 20, 30), (20, 30, 10)),
+        ("h273.1", RED, (54, 98, 255)),
+        ("h273.1", WHITE, (255, 128, 128)),
+        ("h273.5", RED, (76, 84, 255)),
+        ("h273.9", WHITE, (255, 128, 128)),
+        ("unit", (10, 20, 30), (10, 20, 30)),
+    ],
+)
+def test_colour_by_hand(spark, name, rgb, yuv):
+    df = spark.createDataFrame([rgb], "r int, g int, b int")
+    row = colour.convert(df, name, "rgb2yuv").first()
+    assert (row["c0"], row["c1"], row["c2"]) == yuv
