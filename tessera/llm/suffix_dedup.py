@@ -8,6 +8,9 @@ document owns every string of it. The distinct segments of any other key are put
 than `HOT` distinct segments (the edges of passages that very many documents hold) are dealt anew, by the strings themselves, so that no
 task gets a key's every segment. A document loses a segment whole if a smaller document holds the same segment, else those strings of it that have a smaller owner.
 
+Disk: what grows with the input is dealt out in rounds (segments by key, documents to cut by id, strings by hash), each round's shuffle files go
+when it is written, and a stage's folder goes when nothing reads it any more. Rounds share no key, so they give what one exchange would.
+
 Rows: one per input row. Null and empty texts have 0 bytes. Null ids count as one document, which comes last. Rows that repeat an id belong to
 one document: they do not remove each other's bytes. Texts shorter than 50 bytes lose nothing. Empty tables give empty results. Only the
 named columns are read; texts are read whole.
@@ -16,13 +19,14 @@ named columns are read; texts are read whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, groups_of, mix64, stash, utf8
+from .common import NO_ID, drop_stash, groups_of, mix64, stash, utf8
 from .suffix_groups import ragged, suffix_arrays
 from .url_filter import bloom_filter, bloom_words
 
@@ -32,6 +36,8 @@ LENGTH, ANCHOR, STARTS, HOT = 50, 24, 64, 24
 BLOCK, SORTED = 1 << 19, 1 << 20
 #: Blocks of the filter that keeps documents without any candidate out of a join: 32 bytes each, 4 MB at most.
 MOST_BLOCKS = 1 << 17
+#: Rounds in which segments (each round hashes every text again), documents to cut and strings of hot keys are dealt out.
+ROUNDS, CUT_ROUNDS, STRING_ROUNDS = 1, 2, 2
 _ODD = np.uint64(0xA0761D6478BD642F)
 _BACK = np.uint64(pow(0xA0761D6478BD642F, -1, 1 << 64))
 _BYTES = mix64(np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(99))
@@ -78,25 +84,30 @@ def segments_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     low = np.minimum(low[: len(low) - (window - span)], low[window - span :])
-    key, text = low[valid], np.repeat(np.arange(len(texts)), many)
+    key, ends = low[valid], np.cumsum(many)
     new = np.ones(len(valid), bool)
-    new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+    new[1:] = key[1:] != key[:-1]
+    new[(ends - many)[many > 0]] = True
     run = np.flatnonzero(new)
-    at = np.arange(len(valid)) - np.repeat(run, np.diff(np.append(run, len(valid))))
-    edge = np.flatnonzero(at % STARTS == 0)
+    pieces = -(-np.diff(np.append(run, len(valid))) // STARTS)
+    edge = np.repeat(run, pieces) + STARTS * ragged(np.zeros(len(run), np.int64), pieces)
+    text = np.searchsorted(ends, edge, side="right")
     start, stop = valid[edge], valid[np.append(edge[1:], len(valid)) - 1] + LENGTH
     name = mix64(hashes.of(start, stop) ^ (key[edge] * np.uint64(0xC2B2AE3D27D4EB4F)))
-    return text[edge], key[edge], name, start, stop, raw, hashes
+    return text, key[edge], name, start, stop, raw, hashes
 
 
-def all_segments(base: DataFrame) -> DataFrame:
-    """h (key), s (name), id of every segment."""
+def all_segments(base: DataFrame, turn: int = 0, rounds: int = 1) -> DataFrame:
+    """h (key), s (name), id of every segment whose key leaves the remainder `turn` by `rounds`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             texts, ids = [utf8(t) for t in df["text"]], df["id"].to_numpy()
             for a, b in groups_of([len(t) for t in texts], BLOCK):
                 text, key, name, *_ = segments_of(texts[a:b])
+                if rounds > 1:
+                    own = key % np.uint64(rounds) == turn
+                    text, key, name = text[own], key[own], name[own]
                 yield pd.DataFrame({"h": key.view(np.int64), "s": name.view(np.int64), "id": ids[a:b][text]})
 
     return base.mapInPandas(run, "h long, s long, id long")
@@ -260,27 +271,36 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kind = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
     base = docs.select(F.col(id_col).cast("string").alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     by_name, by_key = Window.partitionBy("h", "s"), Window.partitionBy("h")
-    # one exchange, by key: keys of one document go before anything else is asked of a segment
-    found = all_segments(base.select("id", "text"))
-    for name, f, c in (("lo", F.min, "id"), ("hi", F.max, "id"), ("one", F.min, "s"), ("other", F.max, "s")):
-        found = found.withColumn(name, f(c).over(by_key))
-    found = found.filter("lo < hi").withColumn("first", F.min("id").over(by_name))
-    found = found.select("h", "s", "id", "first", (F.col("one") != F.col("other")).alias("several"))
-    found = stash(found.filter("several or id > first"), "segments")
-    distinct = stash(found.filter("several").select("h", "s", F.col("first").alias("id")).distinct(), "distinct")
+    parts = []
+    for turn in range(ROUNDS):
+        # one exchange, by key: keys of one document go before anything else is asked of a segment
+        found = all_segments(base.select("id", "text"), turn, ROUNDS)
+        for name, f, c in (("lo", F.min, "id"), ("hi", F.max, "id"), ("one", F.min, "s"), ("other", F.max, "s")):
+            found = found.withColumn(name, f(c).over(by_key))
+        found = found.filter("lo < hi").withColumn("first", F.min("id").over(by_name))
+        found = found.select("h", "s", "id", "first", (F.col("one") != F.col("other")).alias("several"))
+        parts.append(stash(found.filter("several or id > first"), "segments", free=True))
+    found = reduce(DataFrame.unionAll, parts)
+    distinct = stash(found.filter("several").select("h", "s", F.col("first").alias("id")).distinct(), "distinct", free=True)
     hot = distinct.groupBy("h").count().filter(F.col("count") > HOT).select("h", F.lit(True).alias("is_hot"))
     wanted = distinct.join(hot, "h", "left").groupBy("id").agg(F.collect_list(F.when(F.col("is_hot").isNull(), F.col("s"))).alias("cold"), F.collect_list(F.when(F.col("is_hot"), F.col("s"))).alias("hot"))
-    wanted = stash(wanted, "wanted")
+    wanted = stash(wanted, "wanted", free=True)
+    drop_stash(distinct)
     maybe, _ = part(base.select("id", "text"), wanted.select("id"))
-    cut = stash(cut_segments(maybe.join(wanted, "id")), "cut")
-    sorted_ = sort_blocks(cut.filter("kind = 0"))
-    strings = cut.filter("kind = 1").select("x", "y", "s", "id", "at")
-    owners = strings.groupBy("x", "y").agg(F.min("id").alias("owner"), F.max("id").alias("most")).filter("owner < most").drop("most")
-    dealt = strings.join(owners, ["x", "y"]).filter("owner < id").groupBy("s", "id").agg(F.array_sort(F.collect_set("at")).alias("places"))
-    some = sorted_.unionByName(dealt)
-    every = found.filter("id > first").select("id", "s", F.lit(None).cast("array<int>").alias("places")).unionByName(some.select("id", "s", "places"))
+    turn_of = F.pmod(F.xxhash64("id"), F.lit(CUT_ROUNDS))
+    cuts = [stash(cut_segments(maybe.filter(turn_of == turn).join(wanted.filter(turn_of == turn), "id")), "cut", free=True) for turn in range(CUT_ROUNDS)]
+    drop_stash(wanted)
+    cut = reduce(DataFrame.unionAll, cuts)
+    some = [stash(sort_blocks(cut.filter("kind = 0")), "sorted", free=True)]
+    for turn in range(STRING_ROUNDS):
+        strings = cut.filter("kind = 1").select("x", "y", "s", "id", "at").filter(F.pmod("x", F.lit(STRING_ROUNDS)) == turn)
+        owners = strings.groupBy("x", "y").agg(F.min("id").alias("owner"), F.max("id").alias("most")).filter("owner < most").drop("most")
+        some.append(stash(strings.join(owners, ["x", "y"]).filter("owner < id").groupBy("s", "id").agg(F.array_sort(F.collect_set("at")).alias("places")), "strings", free=True))
+    drop_stash(*cuts)
+    every = reduce(DataFrame.unionByName, some, found.filter("id > first").select("id", "s", F.lit(None).cast("array<int>").alias("places")))
     gone = every.groupBy("id").agg(F.collect_set(F.when(F.col("places").isNull(), F.col("s"))).alias("whole"), F.collect_list(F.when(F.col("places").isNotNull(), F.struct("s", "places"))).alias("some"))
-    gone = stash(gone, "gone")
+    gone = stash(gone, "gone", free=True)
+    drop_stash(*parts, *some)
     maybe, rest = part(base, gone.select("id"))
     hit = apply_removals(maybe.join(gone, "id", "left").select("own", "text", "whole", "some"))
     zero = F.lit(0).cast("long")

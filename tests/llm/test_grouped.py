@@ -1,7 +1,9 @@
 """Line dedup, Jaccard join, substring dedup and URL filters against slow versions, with awkward rows."""
 
+import os
 import random
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
@@ -12,6 +14,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 from helpers import documents, frame, same, shingles, slow_components, slow_lines, slow_substrings
 
 from tessera.llm import line_dedup, ngram_join, suffix_dedup, url_filter
+from tessera.llm.common import NO_ID, shared_dir
 from tessera.llm.suffix_groups import suffix_arrays
 
 
@@ -106,6 +109,33 @@ def test_substrings(spark, monkeypatch, hot):
     assert same([(*r[:4], bytes(r[4])) for r in got], slow_substrings(rows))
 
 
+def shuffle_bytes(spark):
+    names = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return {n: os.path.getsize(n) for n in names if n.endswith(".data") and os.path.exists(n)}
+
+
+def test_substrings_give_their_disk_back(spark):
+    folder = os.path.join(shared_dir(spark).removeprefix("file://"), "tessera")
+    stages, shuffles = set(os.listdir(folder)) if os.path.isdir(folder) else set(), set(shuffle_bytes(spark))
+    out = suffix_dedup.dedup_substrings(frame(spark, documents()))
+    assert {x.split("-")[0] for x in set(os.listdir(folder)) - stages} == {"gone"}
+    for _ in range(50):  # shuffle files are deleted beside the query; counts of rows leave some bytes
+        left = {n: b for n, b in shuffle_bytes(spark).items() if n not in shuffles and b > 2000}
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+    assert out.count() == len(documents())
+
+
+def test_segments_are_dealt_out_in_rounds(spark):
+    base = frame(spark, documents()).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
+    rows = lambda *turn: [tuple(r) for r in suffix_dedup.all_segments(base, *turn).collect()]
+    turns = [rows(k, 2) for k in range(2)]
+    assert sorted(turns[0] + turns[1]) == sorted(rows())
+    assert all(turns) and not {r[0] for r in turns[0]} & {r[0] for r in turns[1]}
+
+
 def test_substrings_of_an_empty_table(spark):
     assert suffix_dedup.dedup_substrings(frame(spark, [])).count() == 0
 
