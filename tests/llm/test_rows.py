@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import sys
 import zlib
@@ -14,10 +15,11 @@ import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
+from conftest import DATA
 from helpers import documents, frame
 
-from tessera.llm import decontaminate, pieces, quality, toxicity, warc, webp
-from tessera.llm.common import utf8
+from tessera.llm import decontaminate, pieces, quality, queries, toxicity, warc, webp
+from tessera.llm.common import shared_dir, utf8
 
 
 @pytest.mark.parametrize("transforms", [(), (2,), (0,), (1,), (3,), (0, 1, 2), (1, 0), (2, 0, 1)])
@@ -334,3 +336,14 @@ def test_warc_audit(spark):
     files = left.filter("file = 1").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.hex("record").alias("r")))), lambda z: z["r"]), "").alias("h")).select(F.lit("a").alias("path"), F.unhex("h").alias("content"))
     back = warc.read_files(files).select("offset", "length").orderBy("offset").collect()
     assert [tuple(r) for r in back] == [tuple(r) for r in left.filter("file = 1").orderBy("ord").select("offset", "length").collect()]
+
+
+def test_warc_query_writes_the_pages_once(spark):
+    folder = os.path.join(shared_dir(spark).removeprefix("file://"), "tessera")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    found = queries.queries()["op10_warc"](spark, DATA)
+    assert len([x for x in set(os.listdir(folder)) - before if x.startswith("replica-")]) == 1
+    sign = lambda i: hashlib.md5(str(i).encode()).hexdigest()[:2]
+    ids = [r.page_id for r in spark.read.parquet(f"{DATA}/pages.parquet").select("page_id").collect()]
+    want = [(i, "missing" if sign(i) == "7f" else "changed") for i in ids if sign(i) in ("7f", "1c")]
+    assert sorted((r.page_id, r.kind) for r in found.collect()) == sorted(want)
