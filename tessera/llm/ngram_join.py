@@ -14,6 +14,8 @@ out and bounded; of each component, the pair that shares most is verified first,
 link between different components is found and components are exact. That leaves out links inside a component; with `count_links`, every column
 is multiplied out and every link verified and counted (the work grows with the square of a group of near copies).
 
+Rounds that have no pairs or columns left are not planned, and between rounds the driver gives back what ended queries held.
+
 N-grams known to be in very many documents are dealt by n-gram and class, never gathered in one task.
 
 Rows: `components` gives one row per input row. Null, empty and blank texts have no set, link with nothing and are their own component.
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Words, blocks_of_texts, release_memory, shingle_hashes, stash
+from .common import NO_ID, Words, blocks_of_texts, release_driver, release_memory, shingle_hashes, stash
 from .suffix_dedup import part as split_by_ids
 from .suffix_dedup import rows_without
 
@@ -195,7 +197,7 @@ def connected(links: DataFrame) -> DataFrame:
         step = labels.join(near, "c").select("c", F.least("comp", "near").alias("next"), F.col("comp").alias("was"))
         jump = labels.select(F.col("c").alias("next"), F.col("comp").alias("far"))
         step = stash(step.join(jump, "next", "left").select("c", F.least("next", F.coalesce("far", "next")).alias("comp"), "was"), "labels")
-        if not step.filter("comp <> was").limit(1).count():
+        if step.filter("comp <> was").isEmpty():
             return step.select("c", "comp")
         labels = step.select("c", "comp")
 
@@ -278,10 +280,14 @@ def links_of(base: DataFrame, members: DataFrame, common: tuple[np.ndarray, np.n
         """Verifies pairs that the bound left open. pairs: x, y."""
         nonlocal links, labels
         pairs = stash(pairs.select("x", "y"), "pairs")
+        release_driver(base.sparkSession)
+        if pairs.isEmpty():
+            return False
         ends = pairs.select(F.col("x").alias("c")).unionAll(pairs.select(F.col("y").alias("c"))).distinct()
         needed = stash(ends.join(members.groupBy("c").agg(F.min("id").alias("id")), "c").select("id").distinct(), "needed")
         maybe, _ = split_by_ids(base, needed)
         new = stash(verified(pairs, sets_of(maybe.join(needed, "id", "left_semi")), percent).distinct(), "links")
+        release_driver(base.sparkSession)
         if new.isEmpty():
             return False
         links = new if links is None else links.unionByName(new)
@@ -296,12 +302,17 @@ def links_of(base: DataFrame, members: DataFrame, common: tuple[np.ndarray, np.n
             break
     # the component with most classes in a column meets the others; the others meet one another
     todo = open_columns()
+    if todo.isEmpty():
+        return links
     per = todo.groupBy("g", "comp").count()
     major = per.groupBy("g").agg(F.max(F.struct("count", "comp")).alias("m")).select("g", F.col("m.comp").alias("major"))
     others = as_left(todo.join(major, "g").filter("comp <> major"), F.col("comp").alias("cx"), F.col("major"))
     ally = as_right(todo, F.col("comp").alias("cy"))
     apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x") < F.col("y")))
     left = stash(bounded(products(others, ally, apart, percent), leading, percent), "left")
+    release_driver(base.sparkSession)
+    if left.isEmpty():
+        return links
     # of each component, first the pair that shares most
     for _ in range(BEST_ROUNDS):
         own = stash(label(label(left, "x", "cx"), "y", "cy").filter("cx <> cy"), "own")
@@ -337,6 +348,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id_col, n_shingles, class_id, component_id of every row; with count_links n_links, the number of all other classes that link to the row's class."""
     base = base_of(docs, id_col, text_col)
     found = stash(members_and_counts(base), "members")
+    release_driver(base.sparkSession)
     members = found.filter("kind = 0").select("id", "c", "n")
     links = (every_link if count_links else links_of)(base, members.filter("n > 0"), common_ngrams(found.filter("kind = 1")), percent)
     classes = members.filter("n > 0").groupBy("c").agg(F.min("id").alias("class_id"))

@@ -1,5 +1,6 @@
 """Line dedup, Jaccard join, substring dedup and URL filters against slow versions, with awkward rows."""
 
+import gc
 import os
 import random
 import sys
@@ -14,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 from helpers import documents, frame, same, shingles, slow_components, slow_lines, slow_substrings
 
 from tessera.llm import line_dedup, ngram_join, suffix_dedup, url_filter
-from tessera.llm.common import NO_ID, shared_dir
+from tessera.llm.common import NO_ID, release_driver, shared_dir
 from tessera.llm.suffix_groups import suffix_arrays
 
 
@@ -78,6 +79,37 @@ def test_links_inside_components_are_counted(spark, monkeypatch):
     assert ngram_join.components(frame(spark, []), count_links=True).count() == 0
 
 
+def jobs_of(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_join_does_no_rounds_without_pairs(spark):
+    """Where no column is shared by many, the driver plans no round of hubs and components."""
+    words = lambda k, n: " ".join(f"w{k}_{j}" for j in range(n))
+    rows = [(k, words(k, 30)) for k in range(12)] + [(20, words(0, 30)), (21, words(1, 29)), (22, words(2, 29))]
+    got, jobs = jobs_of(spark, "join", lambda: ngram_join.components(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect())
+    assert same(got, slow_components(rows)) and jobs < 100
+
+
+def test_join_gives_driver_memory_back(spark, monkeypatch):
+    """What the driver's JVM dropped goes, old or not, and the join asks for that again and again."""
+    calls = []
+    monkeypatch.setattr(ngram_join, "release_driver", lambda s: calls.append(release_driver(s)))
+    ngram_join.components(frame(spark, documents())).count()
+    assert len(calls) >= 3
+    held = spark.sparkContext._gateway.new_array(spark._jvm.int, 16)
+    seen = spark._jvm.java.lang.ref.WeakReference(held)
+    spark._jvm.System.gc()  # now it is old: no short collection takes it
+    del held
+    gc.collect()
+    release_driver(spark)
+    assert seen.get() is None
+
+
 def test_components_of_an_empty_table(spark):
     assert ngram_join.components(frame(spark, [])).count() == 0
 
