@@ -12,7 +12,6 @@ as empty, and an empty one is stored as 576 bytes of 255. Texts longer than an i
 from __future__ import annotations
 
 import hashlib
-import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -39,8 +38,8 @@ NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), ke
 #: Longest prefix code that `encode` writes, and longest copy.
 MOST_BITS, MOST_COPY = 12, 4096
 #: Bytes of a stream whose bit places are decoded at once.
-PIECE = 4096
-EVERY_PLACE = np.arange(8 * PIECE, dtype=np.int32)
+PIECE = 1024
+EVERY_PLACE, EVERY_BIT = np.arange(8 * PIECE), np.arange(8)
 #: One row of a text's image.
 ROW = 576
 
@@ -53,56 +52,93 @@ def _reversals(bits: int) -> np.ndarray:
 
 
 REVERSED = [_reversals(k) for k in range(16)]
+REVERSED_SHORT = [x.tolist() for x in REVERSED[:8]]
+
+
+def run_starts(x: np.ndarray) -> np.ndarray:
+    """Places where a run of equal values starts."""
+    starts = np.flatnonzero(x[1:] != x[:-1])
+    starts += 1
+    return np.concatenate([[0], starts])
 
 
 # ---- prefix codes ----
 
 
 class PrefixCode:
-    """Table from the next `bits` bits (first bit lowest) to symbol and length."""
+    """Table from the next `bits` bits (first bit lowest) to 16 times the symbol plus its length."""
 
     def __init__(self, lengths: np.ndarray | int):
         """lengths by symbol, or the only symbol."""
         if isinstance(lengths, int):
-            self.bits, self.symbol, self.length = 0, np.array([lengths], np.int32), np.zeros(1, np.int32)
+            self.bits, self.entry = 0, np.array([lengths << 4])
             return
         used = np.flatnonzero(lengths)
-        self.bits = int(lengths[used].max()) if len(used) else 0
         if len(used) <= 1:
-            self.bits = 0
-            self.symbol, self.length = np.array([used[0] if len(used) else 0], np.int32), np.zeros(1, np.int32)
+            self.bits, self.entry = 0, used << 4 if len(used) else np.zeros(1, np.int64)
             return
-        order = used[np.argsort(lengths[used], kind="stable")]
-        own = lengths[order]
+        own = lengths[used]
+        order = own.argsort(kind="stable")
+        own = own[order].astype(np.int64)
+        self.bits = int(own[-1])
         fill = 1 << (self.bits - own)
         if fill.sum() != 1 << self.bits:
             raise ValueError("a prefix code is not complete")
-        back = REVERSED[self.bits]
-        self.symbol, self.length = np.repeat(order.astype(np.int32), fill)[back], np.repeat(own.astype(np.int32), fill)[back]
+        self.entry = np.repeat(used[order] << 4 | own, fill)[REVERSED[self.bits]]
+
+
+def short_table(lengths: list[int]) -> list[tuple[int, int]]:
+    """The same for a code of few symbols of at most 7 bits, as a list of (symbol, length)."""
+    used = sorted((n, s) for s, n in enumerate(lengths) if n)
+    if len(used) <= 1:
+        return [(used[0][1] if used else 0, 0)]
+    bits = used[-1][0]
+    out, word = [(0, 0)] * (1 << bits), 0
+    for n, s in used:
+        if word >= 1 << bits:
+            raise ValueError("a prefix code is not complete")
+        out[REVERSED_SHORT[bits][word] :: 1 << n] = [(s, n)] * (1 << (bits - n))
+        word += 1 << (bits - n)
+    if word != 1 << bits:
+        raise ValueError("a prefix code is not complete")
+    return out
 
 
 def limited_lengths(counts: np.ndarray, most: int) -> np.ndarray:
     """Lengths of a prefix code for the counts, none above `most`. One used symbol gets length 1."""
     used = np.flatnonzero(counts)
     out = np.zeros(len(counts), np.int64)
-    if len(used) <= 1:
+    n = len(used)
+    if n <= 1:
         out[used] = 1
         return out
     weight = counts[used].astype(np.int64)
     while True:
-        heap = [(int(w), i) for i, w in enumerate(weight)]
-        heapq.heapify(heap)
-        parent, n = [0] * (2 * len(used) - 1), len(used)
-        while len(heap) > 1:
-            a, i = heapq.heappop(heap)
-            b, j = heapq.heapreplace(heap, (a + heap[0][0], n)) if heap else (0, 0)
-            parent[i] = parent[j] = n
-            n += 1
-        depth = [0] * n
-        for i in range(n - 2, -1, -1):
-            depth[i] = depth[parent[i]] + 1
-        if max(depth[: len(used)]) <= most:
-            out[used] = depth[: len(used)]
+        # the two lightest are joined; joints come about in ascending order, so two queues do, and equal weights go to symbols first
+        order = weight.argsort(kind="stable")
+        leaf, joint, parent = weight[order].tolist(), [], [0] * (2 * n - 1)
+        leaf.append(1 << 62)
+        i = j = 0
+        for new in range(n, 2 * n - 1):
+            if j == len(joint) or leaf[i] <= joint[j]:
+                first, parent[i] = leaf[i], new
+                i += 1
+            else:
+                first, parent[n + j] = joint[j], new
+                j += 1
+            if j == len(joint) or leaf[i] <= joint[j]:
+                joint.append(first + leaf[i])
+                parent[i] = new
+                i += 1
+            else:
+                joint.append(first + joint[j])
+                parent[n + j] = new
+                j += 1
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if depth[0] <= most:  # the lightest lies deepest
+            out[used[order]] = depth[:n]
             return out
         weight = weight // 2 + 1
 
@@ -116,9 +152,9 @@ def code_words(lengths: np.ndarray) -> np.ndarray:
     order = used[np.argsort(lengths[used], kind="stable")]
     own = lengths[order]
     top = int(own.max())
-    start = np.concatenate([[0], np.cumsum(1 << (top - own))[:-1]]) >> (top - own)
+    fill = 1 << (top - own)
     # a word of n bits, reversed, is the reversal over `top` bits of the word moved up
-    out[order] = REVERSED[top][start << (top - own)]
+    out[order] = REVERSED[top][np.cumsum(fill) - fill]
     return out
 
 
@@ -131,11 +167,12 @@ def prefix_value(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.where(v < 4, v, 2 * top + second), np.where(v < 4, 0, v & ((1 << count) - 1)), count
 
 
-def base_of(symbol):
+def base_of(symbol: int) -> tuple[int, int]:
     """(least value, count of extra bits) of a length or distance symbol."""
-    symbol = np.asarray(symbol, np.int64)
-    count = np.where(symbol < 4, 0, (symbol - 2) >> 1)
-    return np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)) << count) + 1), count
+    if symbol < 4:
+        return symbol + 1, 0
+    count = (symbol - 2) >> 1
+    return ((2 + (symbol & 1)) << count) + 1, count
 
 
 # ---- reading ----
@@ -145,48 +182,53 @@ class Bits:
     def __init__(self, data: bytes):
         self.data, self.at = data, 0
 
-    def read(self, n: int) -> int:
-        if not n:
-            return 0
+    def ahead(self) -> int:
+        """At least the next 120 bits; zeros past the end."""
         a = self.at >> 3
         if a >= len(self.data) + 8:
             raise ValueError("the stream ends early")
-        x = (int.from_bytes(self.data[a : a + 8], "little") >> (self.at & 7)) & ((1 << n) - 1)
+        return int.from_bytes(self.data[a : a + 16], "little") >> (self.at & 7)
+
+    def read(self, n: int) -> int:
+        if not n:
+            return 0
+        x = self.ahead() & ((1 << n) - 1)
         self.at += n
         return x
 
     def symbol(self, code: PrefixCode) -> int:
         if not code.bits:
-            return int(code.symbol[0])
-        a = self.at >> 3
-        if a >= len(self.data) + 8:
-            raise ValueError("the stream ends early")
-        x = (int.from_bytes(self.data[a : a + 8], "little") >> (self.at & 7)) & ((1 << code.bits) - 1)
-        self.at += int(code.length[x])
-        return int(code.symbol[x])
+            return int(code.entry[0]) >> 4
+        x = int(code.entry[self.ahead() & ((1 << code.bits) - 1)])
+        self.at += x & 15
+        return x >> 4
 
 
 def read_code(b: Bits, size: int) -> PrefixCode:
-    if b.read(2) == 1:
-        return PrefixCode(b.read(8 if b.read(1) else 1))
-    b.at -= 2
-    lengths = np.zeros(size, np.int64)
-    if b.read(1):
-        two = b.read(1)
-        lengths[b.read(8 if b.read(1) else 1)] = 1
-        if two:
-            lengths[b.read(8)] = 1
+    word = b.ahead()
+    if word & 1:  # one or two symbols, the first of 1 or 8 bits
+        wide = 8 if word & 4 else 1
+        first = (word >> 3) & ((1 << wide) - 1)
+        b.at += 3 + wide + (8 if word & 2 else 0)
+        if not word & 2:
+            return PrefixCode(first)
+        lengths = np.zeros(size, np.int64)
+        lengths[[first, (word >> (3 + wide)) & 255]] = 1
         return PrefixCode(lengths)
-    own = np.zeros(19, np.int64)
-    for k in CODE_LENGTH_ORDER[: 4 + b.read(4)]:
-        own[k] = b.read(3)
-    code = PrefixCode(own)
-    left = 2 + b.read(2 + 2 * b.read(3)) if b.read(1) else size
+    n = 4 + ((word >> 1) & 15)
+    own, word = [0] * 19, word >> 5
+    for k in CODE_LENGTH_ORDER[:n]:
+        own[k] = word & 7
+        word >>= 3
+    table = short_table(own)
+    at, left = b.at + 6 + 3 * n, size
+    if word & 1:
+        wide = 2 + 2 * ((word >> 1) & 7)
+        left = 2 + ((word >> 4) & ((1 << wide) - 1))
+        at += 3 + wide
     # a length takes at most 14 bits with its repeats: all of them stand in one number, whose low bits come next
-    start, held = b.at >> 3, (b.at & 7) + 14 * size
-    word, most = int.from_bytes(b.data[start : start + (held >> 3) + 1], "little") >> (b.at & 7), 8 * (len(b.data) + 8)
-    table = [(s, n) for s, n in zip(code.symbol.tolist(), code.length.tolist(), strict=True)]
-    mask, at, found, last = len(table) - 1, b.at, [], 8
+    word, most = int.from_bytes(b.data[at >> 3 : (at >> 3) + (((at & 7) + 14 * size) >> 3) + 1], "little") >> (at & 7), 8 * (len(b.data) + 8)
+    mask, found, last = len(table) - 1, [], 8
     while len(found) < size and left:
         left -= 1
         s, n = table[word & mask]
@@ -206,8 +248,7 @@ def read_code(b: Bits, size: int) -> PrefixCode:
     if at > most:
         raise ValueError("the stream ends early")
     b.at = at
-    lengths[: len(found)] = found
-    return PrefixCode(lengths)
+    return PrefixCode(np.frombuffer(bytes(found), np.uint8))
 
 
 def read_group(b: Bits, cache: int) -> list[PrefixCode]:
@@ -215,10 +256,11 @@ def read_group(b: Bits, cache: int) -> list[PrefixCode]:
     return [read_code(b, n) for n in (LITERALS + LENGTH_CODES + cache, 256, 256, 256, DISTANCE_CODES)]
 
 
-def distance_of(code: np.ndarray, width: int) -> np.ndarray:
-    near = np.array([max(1, x + y * width) for x, y in NEAR])
-    code = np.asarray(code, np.int64)
-    return np.where(code > 120, code - 120, near[np.minimum(code, 120) - 1])
+def distance_of(code: int, width: int) -> int:
+    if code > len(NEAR):
+        return code - len(NEAR)
+    x, y = NEAR[code - 1]
+    return max(1, x + y * width)
 
 
 def read_image(b: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -253,9 +295,9 @@ def read_pixels(b: Bits, groups, groups_at, group_bits: int, cache_bits: int, wi
             n += 1
         elif s < LITERALS + LENGTH_CODES:
             low, extra = base_of(s - LITERALS)
-            length = int(low) + b.read(int(extra))
+            length = low + b.read(extra)
             low, extra = base_of(b.symbol(g[4]))
-            back = int(distance_of(int(low) + b.read(int(extra)), width))
+            back = distance_of(low + b.read(extra), width)
             if back > n or n + length > total:
                 raise ValueError("a copy is out of the image")
             for _ in range(length):
@@ -275,101 +317,107 @@ def read_pixels_at_once(b: Bits, group: list[PrefixCode], width: int, height: in
     """One group, no cache: piece after piece of the stream, symbols of all bit places first, then the chain of those that count."""
     total = width * height
     if not (group[0].bits or group[1].bits or group[2].bits or group[3].bits):
-        if group[0].symbol[0] >= LITERALS:
+        if group[0].entry[0] >= LITERALS << 4:
             raise ValueError("a copy without a pixel")
-        a, r, g, blue = (int(group[k].symbol[0]) for k in (3, 1, 0, 2))
+        a, r, g, blue = (int(group[k].entry[0]) >> 4 for k in (3, 1, 0, 2))
         return np.full(total, a << 24 | r << 16 | g << 8 | blue, np.uint32)  # one colour, no bits at all
-    pieces, done = [], 0
+    out, done = np.empty(total, np.uint32), 0
     while done < total:
-        pieces.append(read_piece(b, group, width, total - done))
-        done += int(pieces[-1][2][-1])
-    value, back, ends = ([p[k] for p in pieces] for k in range(3))
-    for k in range(1, len(ends)):
-        ends[k] += ends[k - 1][-1]
-    value, back, ends = (x[0] if len(x) == 1 else np.concatenate(x) for x in (value, back, ends))
-    if len(ends) == total and not back.any():
-        return value
-    starts = np.concatenate([[0], ends[:-1]])
-    out = np.zeros(total, np.uint32)
-    literal = back == 0
-    out[starts[literal]] = value[literal]
-    where = np.flatnonzero(~literal)
-    for a, d, e in zip(starts[where].tolist(), back[where].tolist(), ends[where].tolist(), strict=True):
-        if d > a:
-            raise ValueError("a copy is out of the image")
-        out[a:e] = out[a - d : e - d] if d >= e - a else np.resize(out[a - d : a], e - a)
+        value, copies = read_piece(b, group, width, done, total - done)
+        if not copies and len(value) == total:
+            return value
+        k = 0
+        for own, length, back in copies:
+            out[done : done + own - k] = value[k:own]
+            done += own - k
+            out[done : done + length] = out[done - back : done - back + length] if back >= length else np.resize(out[done - back : done], length)
+            done, k = done + length, own + 1
+        out[done : done + len(value) - k] = value[k:]
+        done += len(value) - k
     return out
 
 
-def read_piece(b: Bits, group: list[PrefixCode], width: int, left: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Colours, distances (0: a pixel of its own) and ends of the symbols that start in the next PIECE bytes, at most `left` pixels."""
-    green, red, blue, alpha, distance = group
+def read_piece(b: Bits, group: list[PrefixCode], width: int, done: int, left: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Colours of the symbols that start in the next PIECE bytes, at most `left` pixels after `done`; those that are copies: which, length, distance."""
+    green, distance = group[0], group[4]
     base = b.at >> 3
-    raw = np.frombuffer(b.data[base : base + PIECE + 12] + bytes(12), np.uint8).astype(np.int32)
-    words = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
-    window = (words[:, None] >> np.arange(8, dtype=np.int32)).reshape(-1)
-    places = min(8 * PIECE, 8 * (len(b.data) - base))
+    size = min(PIECE, len(b.data) - base)
+    places = 8 * size
     if places <= b.at & 7:
         raise ValueError("the stream ends early")
-    last = len(window) - 1
-    entry = (green.symbol << 4 | green.length)[window[:places] & np.int32((1 << green.bits) - 1)]  # symbol above, length below
-    step = EVERY_PLACE[:places] + (entry & np.int32(15))
-    colour, others = np.uint32(0), []
-    for code, shift in ((red, 16), (blue, 0), (alpha, 24)):
+    raw = b.data[base : base + PIECE + 24] + bytes(24)
+    # from each bit place the bits that follow, 8 bytes more than symbols may start in
+    window = (np.ndarray(size + 8, "<i8", raw, 0, 1)[:, None] >> EVERY_BIT).reshape(-1)
+    entry = green.entry.take(window[:places] & ((1 << green.bits) - 1))
+    link = np.empty(places + 1, np.int64)
+    step = link[:places]
+    np.bitwise_and(entry, 15, out=step)
+    step += EVERY_PLACE[:places]
+    colour, others = 0, []
+    for code, shift in ((group[1], 16), (group[2], 0), (group[3], 24)):
         if code.bits:
-            x = window[np.minimum(step, last)] & np.int32((1 << code.bits) - 1)
-            others.append((code.symbol[x], shift))
-            step = step + code.length[x]
+            x = code.entry.take(window.take(step) & ((1 << code.bits) - 1))
+            others.append((x, shift))
+            step += x & 15
         else:
-            colour |= np.uint32(int(code.symbol[0]) << shift)
-    copies = np.flatnonzero(entry >= LITERALS << 4)
-    if len(copies):
-        own = entry[copies]
-        p = copies + (own & 15)
-        low, extra = base_of((own >> 4) - LITERALS)
-        length = np.ones(places, np.int32)
-        length[copies] = low + (bits_at(raw, p) & ((1 << extra) - 1))
-        p = p + extra
-        x = bits_at(raw, p) & ((1 << distance.bits) - 1)
-        low, extra = base_of(distance.symbol[x])
-        p = p + distance.length[x]
-        back = np.zeros(places, np.int32)
-        back[copies] = distance_of(low + (bits_at(raw, p) & ((1 << extra) - 1)), width)
-        step[copies] = p + extra
-    # eight links of the chain at a time; past the end the chain stands still
-    link = np.append(np.minimum(step, places), places).astype(np.int32)
-    two = link[link]
-    four = two[two]
-    eight = memoryview(four[four])
-    chain, p, more = [], b.at & 7, left
+            colour |= int(code.entry[0]) >> 4 << shift
+    # eight links of the chain at a time; past the end and at a copy the chain stands still
+    np.minimum(step, places, out=step)
+    step[entry >= LITERALS << 4] = places
+    link[places] = places
+    two = link.take(link)
+    four = two.take(two)
+    eight, one = memoryview(four.take(four)), memoryview(link)
+    chain, copies, p, more, end = [], [], b.at & 7, left, 0
     put = chain.append
     while p < places and more > 0:
-        put(p)
-        p = eight[p]
-        more -= 8
-    at = np.empty((len(chain), 8), np.int32)
+        while p < places and more > 0:
+            put(p)
+            p = eight[p]
+            more -= 8
+        if p < places:
+            break
+        p, more = chain[-1], more + 8
+        while more > 0 and one[p] < places:
+            p = one[p]
+            more -= 1
+        x = int(entry[p])
+        if more <= 0 or x < LITERALS << 4:
+            break
+        at = p + (x & 15)
+        word = int.from_bytes(raw[at >> 3 : (at >> 3) + 16], "little") >> (at & 7)
+        low, extra = base_of((x >> 4) - LITERALS)
+        length = low + (word & ((1 << extra) - 1))
+        word, at = word >> extra, at + extra
+        x = int(distance.entry[word & ((1 << distance.bits) - 1)])
+        low, extra = base_of(x >> 4)
+        word >>= x & 15
+        back = distance_of(low + (word & ((1 << extra) - 1)), width)
+        if back > done + left - more:
+            raise ValueError("a copy is out of the image")
+        if length > more:
+            raise ValueError("a copy runs over the image")
+        copies.append((p, length, back))
+        p = end = at + (x & 15) + extra
+        more -= length
+    at = np.empty((len(chain), 8), np.int64)
     at[:, 0] = chain
     for k in range(1, 8):
-        at[:, k] = link[at[:, k - 1]]
+        at[:, k] = link.take(at[:, k - 1])
     at = at.reshape(-1)
     at = at[at < places]
-    ends = np.cumsum(length[at], dtype=np.int64) if len(copies) else np.arange(1, len(at) + 1)
-    n = int(np.searchsorted(ends, left)) + 1
-    if n <= len(at) and ends[n - 1] != left:
-        raise ValueError("a copy runs over the image")
-    at, ends = at[:n], ends[:n]
-    b.at = base * 8 + int(step[at[-1]])
-    value = colour | ((entry[at].astype(np.uint32) >> np.uint32(4)) << np.uint32(8))
-    for part, shift in others:
-        value |= part[at].astype(np.uint32) << np.uint32(shift)
-    return value, back[at] if len(copies) else np.zeros(len(at), np.int32), ends
-
-
-def bits_at(raw: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """At least 24 bits from each bit place; zeros past the end."""
-    a = np.minimum(place >> 3, len(raw) - 4)
-    word = raw[a].astype(np.int64) | raw[a + 1].astype(np.int64) << 8 | raw[a + 2].astype(np.int64) << 16 | raw[a + 3].astype(np.int64) << 24
-    return word >> (place & 7)
+    at = at[: left - sum(c[1] - 1 for c in copies)]
+    last = int(at[-1])
+    if not copies or copies[-1][0] != last:
+        end = last + (int(entry[last]) & 15) + sum(int(x[last]) & 15 for x, _ in others)
+    b.at = base * 8 + end
+    value = entry.take(at) >> 4 << 8
+    value |= colour
+    for x, shift in others:
+        value |= x.take(at) >> 4 << shift
+    if copies:
+        copies = [(k, length, back) for k, (_, length, back) in zip(np.searchsorted(at, [c[0] for c in copies]).tolist(), copies, strict=True)]
+    return value.astype(np.uint32), copies
 
 
 # ---- transforms ----
@@ -534,41 +582,61 @@ def _decode(data: bytes) -> np.ndarray:
 
 
 class Fields:
-    """(value, bits) pairs in order, packed lowest bit first."""
+    """(value, bits) pairs in order, packed lowest bit first. No value has more bits than said, none more than 32."""
 
     def __init__(self):
-        self.values, self.counts = [], []
+        self.values, self.counts, self.few, self.few_counts = [], [], [], []
 
     def put(self, value, bits) -> None:
-        value = np.atleast_1d(np.asarray(value, np.int64))
-        self.values.append(value)
-        self.counts.append(np.full(len(value), bits, np.int64) if np.isscalar(bits) else np.asarray(bits, np.int64))
+        """Two arrays, or a number or list with its bits as a list or one for all."""
+        if isinstance(value, np.ndarray):
+            self.flush()
+            self.values.append(value)
+            self.counts.append(bits)
+            return
+        value = value if isinstance(value, list) else [value]
+        self.few += value
+        self.few_counts += bits if isinstance(bits, list) else [bits] * len(value)
+
+    def flush(self) -> None:
+        if self.few:
+            self.values.append(np.array(self.few, np.int64))
+            self.counts.append(np.array(self.few_counts, np.int64))
+            self.few, self.few_counts = [], []
 
     def bytes(self) -> bytes:
         """Each field is added to the 32-bit word it starts in and, moved down, to the next; fields share no bit, so sums are unions."""
-        count = np.concatenate(self.counts)
-        value = np.concatenate(self.values) & ((1 << count) - 1)
+        self.flush()
+        count, value = np.concatenate(self.counts), np.concatenate(self.values)
         ends = np.cumsum(count)
         begin = ends - count
         word = begin >> 5
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        sums = np.add.reduceat(value.astype(np.uint64) << (begin & 31).astype(np.uint64), first)
+        first = run_starts(word)
+        begin &= 31
+        value <<= begin
+        sums = np.add.reduceat(value, first)
+        word = word[first]
         out = np.zeros(int(word[-1]) + 3, np.uint32)
-        out[word[first]] = sums.astype(np.uint32)
-        out[word[first] + 1] += (sums >> np.uint64(32)).astype(np.uint32)
+        out[word] = sums.astype(np.uint32)
+        out[word + 1] += (sums >> 32).astype(np.uint32)
         return out.tobytes()[: (int(ends[-1]) + 7) // 8]
 
 
+def write_only(f: Fields, symbol: int) -> None:
+    """The code of one symbol, which then takes no bits."""
+    f.put([1, 0, int(symbol > 1), symbol], [1, 1, 1, 8 if symbol > 1 else 1])
+
+
 def write_code(f: Fields, lengths: np.ndarray) -> None:
     used = np.flatnonzero(lengths)
     if len(used) <= 1 and (not len(used) or used[0] < 256):
-        s = int(used[0]) if len(used) else 0
-        f.put([1, 0, int(s > 1), s], [1, 1, 1, 8 if s > 1 else 1])
+        write_only(f, int(used[0]) if len(used) else 0)
         return
-    tokens, extras, counts = [], [], []
-    edge = np.flatnonzero(np.diff(lengths, prepend=-1))
-    for a, n in zip(edge.tolist(), np.diff(np.append(edge, len(lengths))).tolist(), strict=True):
-        v = int(lengths[a])
+    tokens, extras, counts, held = [], [], [], [0] * 19
+    edge = run_starts(lengths)
+    edges = [*edge.tolist(), len(lengths)]
+    for i, v in enumerate(lengths[edge].tolist()):
+        n = edges[i + 1] - edges[i]
         while n:
             if v == 0 and n >= 3:
                 k = min(n, 138)
@@ -581,19 +649,24 @@ def write_code(f: Fields, lengths: np.ndarray) -> None:
             tokens.append(t[0])
             extras.append(t[1])
             counts.append(t[2])
+            held[t[0]] += 1
             n -= k
-    token = np.array(tokens)
-    own = limited_lengths(np.bincount(token, minlength=19), 7)
-    last = max(k for k, s in enumerate(CODE_LENGTH_ORDER) if own[s])
-    n = max(4, last + 1)
-    f.put(0, 1)
-    f.put(n - 4, 4)
-    f.put(own[CODE_LENGTH_ORDER[:n]], 3)
+    code = limited_lengths(np.array(held), 7)
+    words, own = code_words(code).tolist(), code.tolist()
+    n = max(4, 1 + max(k for k, s in enumerate(CODE_LENGTH_ORDER) if own[s]))
+    f.put([0, n - 4], [1, 4])
+    f.put([own[s] for s in CODE_LENGTH_ORDER[:n]], 3)
     f.put(0, 1)
-    single = np.count_nonzero(own) == 1
-    words = code_words(own)
-    both = np.stack([words[token], np.array(extras)], 1), np.stack([own[token] * (not single), np.array(counts)], 1)
-    f.put(both[0].reshape(-1), both[1].reshape(-1))
+    if sum(map(bool, held)) == 1:
+        own = [0] * 19
+    f.put([x for t, e in zip(tokens, extras, strict=True) for x in (words[t], e)], [x for t, e in zip(tokens, counts, strict=True) for x in (own[t], e)])
+
+
+def write_counts(f: Fields, counts: np.ndarray) -> np.ndarray | None:
+    """Writes a prefix code for the counts. By symbol, 64 times its word plus its length; None if no symbol takes bits."""
+    own = limited_lengths(counts, MOST_BITS)
+    write_code(f, own)
+    return code_words(own) << 6 | own if np.count_nonzero(own) > 1 else None
 
 
 def find_copies(key: np.ndarray, least: int = 16, window: int = 8) -> list[tuple[int, int, int]]:
@@ -601,28 +674,32 @@ def find_copies(key: np.ndarray, least: int = 16, window: int = 8) -> list[tuple
     n = len(key)
     if n < 2 * window:
         return []
-    x, step = key.astype(np.uint64), 1
-    while step < window:  # hashes of 1, 2, 4 and 8 places
-        x = x[:-step] * np.uint64(0x100000001B3 + 2 * step) + x[step:]
-        step *= 2
+    if key.dtype == np.uint8 and window == 8:
+        x = np.ndarray(n - 7, "<u8", key, 0, 1) * np.uint64(0x9E3779B97F4A7C15)
+    else:
+        x, step = key.astype(np.uint64), 1
+        while step < window:  # hashes of 1, 2, 4 and 8 places
+            x = x[:-step] * np.uint64(0x100000001B3 + 2 * step) + x[step:]
+            step *= 2
+        x *= np.uint64(0x9E3779B97F4A7C15)
     # hash above, place below: one plain sort; equal hashes of different windows are found out below
     bits = max(1, (len(x) - 1).bit_length())
     low = np.uint64((1 << bits) - 1)
-    x *= np.uint64(0x9E3779B97F4A7C15)
     x &= ~low
     x |= np.arange(len(x), dtype=np.uint64)
     x.sort()
-    place = (x & low).astype(np.int64)
-    x >>= np.uint64(bits)
-    same = np.flatnonzero(x[1:] == x[:-1])
+    same = np.flatnonzero((x[1:] ^ x[:-1]) <= low)
     if not len(same):
         return []
-    back = np.zeros(len(x), np.int64)
-    back[place[same + 1]] = place[same + 1] - place[same]
-    edge = np.flatnonzero(np.diff(back, prepend=-1))
-    length = np.diff(np.append(edge, len(x))) + window - 1
-    keep = (back[edge] > 0) & (length >= least) & (back[edge] < (1 << 20) - 120)
-    start, end, back = edge[keep], edge[keep] + length[keep], back[edge[keep]]
+    place, before = (x[same + 1] & low).astype(np.int64), (x[same] & low).astype(np.int64)
+    order = place.argsort()
+    place = place[order]
+    back = place - before[order]
+    edge = np.concatenate([[0], np.flatnonzero((place[1:] - place[:-1] != 1) | (back[1:] != back[:-1])) + 1])
+    length = np.append(edge[1:], len(place)) - edge + (window - 1)
+    start, back = place[edge], back[edge]
+    keep = (length >= least) & (back < (1 << 20) - 120)
+    start, end, back = start[keep], start[keep] + length[keep], back[keep]
     if not len(start):
         return []
     start = np.maximum(start, np.concatenate([[0], np.maximum.accumulate(end)[:-1]]))
@@ -638,22 +715,21 @@ def find_copies(key: np.ndarray, least: int = 16, window: int = 8) -> list[tuple
 
 def write_image(f: Fields, pixels: np.ndarray, width: int, main: bool, cache_bits: int = 0) -> None:
     n = len(pixels)
-    copies = find_copies(pixels)
-    literal = np.ones(n, bool)
-    for a, m, _ in copies:
-        literal[a : a + m] = False
-    at = np.flatnonzero(literal)
     rest = pixels & np.uint32(0xFFFF00FF)
-    if n and (rest == rest[0]).all():  # grey after subtract-green, palettes, block images
-        green = ((pixels[at] >> np.uint32(8)) & np.uint32(255)).astype(np.int64)
-        c = np.broadcast_to(split4(rest[:1]), (len(at), 4))
-    else:
-        c = split4(pixels[at])
-        green = c[:, 2]
+    plain_green = bool((rest == rest[0]).all())  # grey after subtract-green, palettes, block images
+    green = (pixels >> np.uint32(8)).astype(np.uint8)
+    copies = find_copies(green if plain_green else pixels)
+    at, own = None, pixels
+    if copies or cache_bits:
+        literal = np.ones(n, bool)
+        for a, m, _ in copies:
+            literal[a : a + m] = False
+        at = np.flatnonzero(literal)
+        green, own = green[at], pixels[at]
+    green = green.astype(np.int64)
     f.put(int(cache_bits > 0), 1)
-    cached = np.zeros(len(at), bool)
+    cached = np.zeros(len(green), bool)
     if cache_bits:
-        green = green.copy()
         f.put(cache_bits, 4)
         place = ((pixels.astype(np.uint64) * np.uint64(CACHE_FACTOR)) & np.uint64(0xFFFFFFFF)).astype(np.int64) >> (32 - cache_bits)
         cache, lit = {}, dict(zip(at.tolist(), range(len(at)), strict=True))
@@ -664,38 +740,38 @@ def write_image(f: Fields, pixels: np.ndarray, width: int, main: bool, cache_bit
             cache[k] = v
     if main:
         f.put(0, 1)
-    cp = np.array(copies, np.int64).reshape(-1, 3)
-    len_sym, len_extra, len_bits = prefix_value(cp[:, 1])
-    dist_sym, dist_extra, dist_bits = prefix_value(cp[:, 2] + 120)
-    plain = ~cached
-    sizes = (LITERALS + LENGTH_CODES + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
-    streams = (np.concatenate([green, LITERALS + len_sym]), c[plain, 1], c[plain, 3], c[plain, 0], dist_sym)
-    words, bits = [], []
-    for s, k in zip(streams, sizes, strict=True):
-        if not len(s) or (s[0] < 256 and s.strides[0] == 0) or (s[0] < 256 and (s == s[0]).all()):  # one symbol takes no bits
-            only = int(s[0]) if len(s) else 0
-            f.put([1, 0, int(only > 1), only], [1, 1, 1, 8 if only > 1 else 1])
-            words.append(np.zeros(k, np.int64))
-            bits.append(None)
-            continue
-        own = limited_lengths(np.bincount(s, minlength=k), MOST_BITS)
-        write_code(f, own)
-        words.append(code_words(own))
-        bits.append(own * (np.count_nonzero(own) > 1))
-    no_bits = np.zeros(LITERALS + LENGTH_CODES + (1 << 11), np.int64)
-    bits = [no_bits if x is None else x for x in bits]
-    parts = [(words[0][green], bits[0][green])] + [(words[k][c[:, j]], bits[k][c[:, j]] * plain) for k, j in ((1, 1), (2, 3), (3, 0)) if bits[k] is not no_bits]
-    # a literal has len(parts) fields, a copy four
-    fields = np.zeros(n, np.int64)
-    fields[at] = len(parts)
-    fields[cp[:, 0]] = 4
-    first = np.cumsum(fields) - fields
-    value, count = np.zeros(int(fields.sum()), np.int64), np.zeros(int(fields.sum()), np.int64)
-    for k, (v, m) in enumerate(parts):
-        value[first[at] + k], count[first[at] + k] = v, m
-    for k, (v, m) in enumerate(((words[0][LITERALS + len_sym], bits[0][LITERALS + len_sym]), (len_extra, len_bits), (words[4][dist_sym], bits[4][dist_sym]), (dist_extra, dist_bits)) if len(cp) else ()):
-        value[first[cp[:, 0]] + k], count[first[cp[:, 0]] + k] = v, m
-    f.put(value, count)
+    count = np.bincount(green, minlength=LITERALS + LENGTH_CODES + ((1 << cache_bits) if cache_bits else 0))
+    if copies:
+        cp = np.array(copies, np.int64)
+        len_sym, len_extra, len_bits = prefix_value(cp[:, 1])
+        dist_sym, dist_extra, dist_bits = prefix_value(cp[:, 2] + 120)
+        count += np.bincount(LITERALS + len_sym, minlength=len(count))
+    code = write_counts(f, count)
+    # by literal, a row of what its components take: 64 times the word plus its length
+    parts = [] if code is None else [code[green]]
+    if plain_green:
+        for shift in (16, 0, 24):
+            write_only(f, (int(rest[0]) >> shift) & 255 if not cached.all() else 0)
+    else:
+        for c in split4(own)[:, [1, 3, 0]].T:
+            other = write_counts(f, np.bincount(c[~cached], minlength=256))
+            if other is not None:
+                parts.append(other[c] * ~cached)
+    fields = parts[0] if len(parts) == 1 else np.stack(parts, 1).reshape(-1) if parts else np.zeros(0, np.int64)
+    if not copies:
+        write_only(f, 0)
+    else:
+        far = write_counts(f, np.bincount(dist_sym, minlength=DISTANCE_CODES))
+        pairs = np.empty((len(cp), 2), np.int64)
+        for k, (x, extra, bits) in enumerate(((0 if code is None else code[LITERALS + len_sym], len_extra, len_bits), (0 if far is None else far[dist_sym], dist_extra, dist_bits))):
+            pairs[:, k] = ((x >> 6) | extra << (x & 63)) << 6 | (x & 63) + bits
+        # literals before each copy
+        cut = (len(parts) * (cp[:, 0] - np.cumsum(cp[:, 1]) + cp[:, 1])).tolist()
+        runs = [fields[: cut[0]]]
+        for pair, a, e in zip(pairs, cut, [*cut[1:], len(fields)], strict=True):
+            runs += [pair, fields[a:e]]
+        fields = np.concatenate(runs)
+    f.put(fields >> 6, fields & 63)
 
 
 def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (SUBTRACT_GREEN,), cache_bits: int = 0, block_bits: int = 3, modes: np.ndarray | None = None, elements: np.ndarray | None = None) -> bytes:
@@ -755,8 +831,8 @@ def transforms_for(grey: np.ndarray) -> tuple[int, ...]:
     count = np.bincount(flat, minlength=256)
     if np.count_nonzero(count) <= 16:
         return (PALETTE,)
-    step = np.bincount(np.diff(flat) & 255, minlength=256)
-    bits = [-float((c[c > 0] * np.log2(c[c > 0] / c.sum())).sum()) for c in (count, step)]
+    step = np.bincount(flat[1:] - flat[:-1], minlength=256)
+    bits = [-float((c * np.log2(c / c.sum())).sum()) for c in (count[count > 0], step[step > 0])]
     return (PREDICTOR, SUBTRACT_GREEN) if bits[1] < bits[0] else (SUBTRACT_GREEN,)
 
 

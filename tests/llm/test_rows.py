@@ -109,6 +109,44 @@ def test_media_transforms():
         assert webp.samples(webp.load(webp.store(payload))) == payload
 
 
+def media_text(n):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("etaoinshrdlucmfw", k=rng.randint(2, 9))) for _ in range(400)]
+    return " ".join(rng.choices(words, k=n)).encode()
+
+
+def test_media_calls():
+    """What op1 spends on a text, counted in calls, as seconds differ by machine."""
+    text, calls = media_text(500), Counter()
+
+    def count(_, event, __):
+        calls[event] += 1
+
+    webp.feature(webp.load(webp.store(webp.payload_of(text))))
+    sys.setprofile(count)
+    try:
+        webp.feature(webp.load(webp.store(webp.payload_of(text))))
+    finally:
+        sys.setprofile(None)
+    assert calls["call"] + calls["c_call"] < 1500
+
+
+def test_media_pieces():
+    """A stream of many pieces, with copies that start in one and long ones, read at once and symbol by symbol."""
+    text = media_text(6000)
+    payload = webp.payload_of(text + text[5000:5100] * 90 + text[:9000] + b"".join(text[k : k + 30] + bytes([k % 256]) for k in range(0, 20000, 40)))
+    data = webp.store(payload)
+    assert len(data) > 10 * webp.PIECE and webp.samples(webp.load(data)) == payload
+    b = webp.Bits(data[20:])
+    b.at = 40 + 3 + 1 + 2  # subtract-green, no more transforms, no cache, no groups
+    group = webp.read_group(b, 0)
+    again = webp.Bits(b.data)
+    again.at = b.at
+    height = len(payload) // 576
+    fast, slow = webp.read_pixels_at_once(b, group, 576, height), webp.read_pixels(again, [group], None, 0, 0, 576, height)
+    assert (fast == slow).all() and b.at == again.at and bytes((fast >> 8).astype(np.uint8)) == payload
+
+
 def test_media_column(spark):
     rows = documents()
     got = webp.store_texts(frame(spark, rows)).collect()
