@@ -212,6 +212,126 @@ FROM placed WHERE sign IN ('7f', '1c')
 """
 
 
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every round is one table of all distances and one of the next entries."""
+    steps = []
+    for k in range(rounds + 1):
+        nearest = f"""near{k} AS MATERIALIZED (
+    SELECT vec_id, label, p, v, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+        SELECT x.vec_id, x.label, x.p, x.v, c.e, list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - c.c[i]) * (x.v[i] - c.c[i]))) AS d
+        FROM parts x JOIN books{k} c ON c.p = x.p) GROUP BY ALL)"""
+        moved = f"""books{k + 1} AS MATERIALIZED (
+    SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM books{k} b LEFT JOIN (
+        SELECT p, e, list(s ORDER BY i) AS c FROM (
+            SELECT p, e, i, CASE WHEN sum(y) >= 0 THEN sum(y) // count(*) ELSE -((count(*) - 1 - sum(y)) // count(*)) END::BIGINT AS s
+            FROM (SELECT p, e, unnest(v) AS y, unnest(range(len(v))) AS i FROM near{k}) GROUP BY p, e, i) GROUP BY p, e) m ON m.p = b.p AND m.e = b.e)"""
+        steps += [nearest, moved] if k < rounds else [nearest]
+    return f"""
+WITH kept AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, label, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS v FROM kept, range({parts}) r(p)),
+books0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v AS c FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries})),
+{", ".join(steps)},
+coded AS (
+    SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', e::INTEGER), '' ORDER BY p) AS code, sum(d)::BIGINT AS error
+    FROM near{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM books{rounds}) AS codebooks_sha256
+FROM coded
+"""
+
+
+ORACLES["op11_vector_codes"] = _lloyd_sql()
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _crc_rule() -> str:
+    """The table of remainders of CRC-32, by its rule, as a list."""
+    out = []
+    for b in range(256):
+        for _ in range(8):
+            b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+        out.append(b)
+    return str(out)
+
+
+ORACLES["op12_importance_resampling"] = f"""
+WITH remainders AS (SELECT {_crc_rule()}::BIGINT[] AS t),
+words AS (
+    SELECT 0 AS side, doc_id, regexp_extract_all({_SQL_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+    UNION ALL SELECT 1, NULL, regexp_extract_all({_SQL_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+runs AS (
+    SELECT side, doc_id, unnest(w) AS f FROM words
+    UNION ALL SELECT side, doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words WHERE len(w) > 1),
+bytes AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM runs)),
+numbers AS (SELECT f, list_transform(range(len(x) // 2), lambda i: (instr('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', x[2 * i + 2]) - 1) AS b FROM bytes),
+hashed AS MATERIALIZED (
+    SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, y: xor(c >> 8, t[1 + xor(c & 255, y)])), 4294967295) % 10000 AS bucket FROM numbers, remainders),
+placed AS MATERIALIZED (SELECT r.side, r.doc_id, h.bucket FROM runs r JOIN hashed h ON h.f = r.f),
+totals AS (SELECT (count(*) FILTER (side = 0))::DOUBLE AS s, (count(*) FILTER (side = 1))::DOUBLE AS t FROM placed),
+gains AS (
+    SELECT bucket, floor(1000 * ln(((t1 + 1) * (s + 10000)) / ((s1 + 1) * (t + 10000))))::BIGINT AS gain
+    FROM (SELECT bucket, (count(*) FILTER (side = 0))::DOUBLE AS s1, (count(*) FILTER (side = 1))::DOUBLE AS t1 FROM placed GROUP BY bucket), totals),
+weights AS (SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS total FROM placed JOIN gains USING (bucket) WHERE side = 0 GROUP BY doc_id),
+scored AS (
+    SELECT d.doc_id, len(d.w) AS n_words, coalesce(w.n, 0) AS n_features, CASE WHEN w.n IS NULL THEN 0 ELSE floor(w.total / w.n)::BIGINT END AS weight,
+           ('0x' || substr(sha256('7:' || d.doc_id::VARCHAR), 1, 8))::BIGINT::DOUBLE AS h
+    FROM words d LEFT JOIN weights w ON w.doc_id = d.doc_id WHERE d.side = 0),
+final AS (SELECT doc_id, n_words, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM scored),
+placed_docs AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) END AS r, count(*) FILTER (n_words >= 20) OVER () AS able FROM final)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 25 * able // 100 THEN r END AS rank FROM placed_docs
+"""
+
+
+@query
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .window_dedup import dedup_windows
+
+    out = dedup_windows(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"), "longest")
+
+
+def _doubling_sql(window: int = 13, levels: int = 14) -> str:
+    steps = [f"""level0 AS MATERIALIZED (
+    SELECT doc_id, i, s, first FROM (SELECT *, min(doc_id) OVER (PARTITION BY s) AS first, max(doc_id) OVER (PARTITION BY s) AS last
+        FROM (SELECT doc_id, unnest(range(1, len(w) - {window - 2})) AS i, unnest(list_transform(range(1, len(w) - {window - 2}), lambda i: md5(array_to_string(w[i : i + {window - 1}], ' ')))) AS s
+              FROM words WHERE len(w) >= {window})) WHERE first < last)"""]
+    for k in range(1, levels):
+        steps.append(f"""level{k} AS MATERIALIZED (
+    SELECT doc_id, i, s, first FROM (SELECT *, min(doc_id) OVER (PARTITION BY s) AS first, max(doc_id) OVER (PARTITION BY s) AS last
+        FROM (SELECT a.doc_id, a.i, md5(a.s || b.s) AS s FROM level{k - 1} a JOIN level{k - 1} b ON b.doc_id = a.doc_id AND b.i = a.i + {window << k - 1})) WHERE first < last)""")
+    longest = " UNION ALL ".join(f"SELECT DISTINCT doc_id, {window << k} AS n FROM level{k} WHERE first < doc_id" for k in range(levels))
+    return f"""
+WITH words AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+{", ".join(steps)},
+longest AS (SELECT doc_id, max(n) AS n FROM ({longest}) GROUP BY doc_id),
+places AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words),
+judged AS (
+    SELECT p.doc_id, p.word, p.i, coalesce(bool_or(l.first < l.doc_id) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW), false) AS gone
+    FROM places p LEFT JOIN level0 l ON l.doc_id = p.doc_id AND l.i = p.i),
+kept AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM judged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(k.n_words, 0) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256, coalesce(l.n, 0) AS longest
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN longest l ON l.doc_id = d.doc_id
+"""
+
+
+ORACLES["op13_substring_dedup"] = _doubling_sql()
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
