@@ -22,7 +22,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, delete_path, drop_stash, hash128, lower_ascii, read_text, shared_dir, shuffle_width, stash, strip_blanks, write_text
+from .common import NO_ID, delete_path, drop_stash, fresh, hash128, lower_ascii, read_text, shared_dir, shuffle_width, stash, strip_blanks, write_text
 
 KEY = ["h1", "h2"]
 _RUN = "h1 BIGINT, h2 BIGINT, first BIGINT"
@@ -129,10 +129,10 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     return keys.select("id", "th", "pos", h1.alias("h1"), h2.alias("h2"))
 
 
-def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 2, store: SortedRuns | None = None) -> DataFrame:
+def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 2, store: SortedRuns | None = None, names: tuple[str, str, str] = ("n_lines", "n_dropped", "kept")) -> DataFrame:
     """The rows of docs with n_lines, n_dropped and kept (the remaining lines joined by a line feed; of a null text, empty).
 
-    store: runs of documents seen before, whose ids are smaller; what docs hold anew is added to it. Without one, docs stand alone.
+    names: of the added columns, where docs have such columns already. store: runs of documents seen before, whose ids are smaller; what docs hold anew is added to it. Without one, docs stand alone.
     """
     own_store = store is None
     ident, text = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -154,12 +154,15 @@ def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drop_stash(lines)
     if own_store:
         delete_path(docs.sparkSession, store.path)
-    out = base.withColumn("th", F.xxhash64("text")).join(gone, ["id", "th"], "left").withColumn("every", F.split("text", "\n"))
-    left = F.array_except(F.sequence(F.lit(0), F.size("every") - 1), F.col("gone"))
-    out = out.withColumn("left", F.when(F.col("gone").isNotNull(), left))
-    kept = F.when(F.col("left").isNull(), F.col("text")).otherwise(F.array_join(F.transform("left", lambda i: F.get("every", i)), "\n"))
-    own = [F.when(~F.col("no_text"), F.col("text")).alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
-    return out.select(*own, F.size("every").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
+    th, every, left, n, k, kept = (fresh(docs, c) for c in ("_th", "_every", "_left", "_n", "_k", "_kept"))
+    row, no_text, text = (fresh(docs, c) for c in ("_row", "_no_text", "_text"))
+    out = base.withColumnsRenamed({"rest": row, "no_text": no_text, "text": text}).withColumn(th, F.xxhash64(text))
+    out = out.join(gone.withColumnRenamed("th", th), ["id", th], "left").withColumn(every, F.split(text, "\n"))
+    out = out.withColumn(left, F.when(F.col("gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col("gone"))))
+    whole = F.when(F.col(left).isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(every, i)), "\n"))
+    out = out.select(row, no_text, text, F.size(every).cast("long").alias(n), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(k), whole.alias(kept))
+    own = [F.when(~F.col(no_text), F.col(text)).alias(c) if c == text_col else F.col(f"{row}.`{c}`").alias(c) for c in docs.columns]
+    return out.select(*own, *[F.col(c).alias(new) for c, new in zip((n, k, kept), names, strict=True)])
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

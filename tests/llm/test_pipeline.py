@@ -58,16 +58,26 @@ def test_empty_and_null_documents_pass(spark):
         assert stage(spark, docs.limit(0), DATA).count() == 0
 
 
+#: Names that stages use inside, for columns, structs or lambdas.
+INNER = """score _score _id _component _hash row id block kept n_dropped n_lines every rest gone th left no_text h1 h2 first pos key line maybe word hit f0 f1 f2 f3 w0 w1 w2 w3 rep lab
+comp cls g part x y n k own whole some item label lang2 shingles size hash window windows radius bucket lo hi a b c d _row _th _every _left _n _k _kept _no_text _text _n_lines _n_dropped text_ _own""".split()
+
+
 def test_clashing_columns_stay(spark):
     """Columns that have the names stages use inside come through with their values."""
-    schema = "doc_id long, text string, score double, _score string, _id int, _component string, _hash string, row int, id string, block int"
-    rows = [(k, f"a plain sentence number {k} that says something of its own, in words of {k * 7} kinds", 0.25, "s", 1, "c", "h", 5, "i", 6) for k in range(6)] + [(1, "a text that repeats an id", 0.5, None, None, None, None, None, None, None)]
-    docs = spark.createDataFrame(rows, schema)
+    rows = [(k, f"a plain sentence number {k} that says something of its own, in words of {k * 7} kinds") for k in range(6)] + [(1, "a text that repeats an id"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) if k % 2 else F.col("doc_id") + k for k, c in enumerate(INNER)})
+    want = {tuple(r) for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        got = stage(spark, docs.withColumn("n_chars", F.length("text").cast("long")), DATA)
-        assert got.columns == [*docs.columns, "n_chars"], name
-        if name != "quality classifier":
-            assert {tuple(r)[:-1] for r in got.collect()} == set(rows), name
+        got = stage(spark, docs, DATA)
+        assert got.columns == docs.columns, name
+        if name == "quality classifier":
+            assert got.count() <= len(rows)
+        elif name == "line dedup":
+            assert {r[:2] + r[3:] for r in map(tuple, got.collect())} == {r[:1] + (r[1] or "",) + r[3:] for r in want}
+        else:
+            assert {tuple(r) for r in got.collect()} == want, name
 
 
 def test_held_out_and_predicted(spark):
