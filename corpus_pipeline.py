@@ -32,8 +32,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that a document with a smaller id holds. A document that loses every line goes, one that was empty before stays."""
-    out = dedup_rows(docs)
-    return out.filter("n_dropped = 0 or kept <> ''").withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    n, dropped, kept = names = tuple(fresh(docs, c) for c in ("_n_lines", "_n_dropped", "_kept"))
+    out = dedup_rows(docs, names=names).filter((F.col(dropped) == 0) | (F.col(kept) != "")).drop("text", "n_chars", n, dropped)
+    return out.withColumn("text", F.col(kept)).withColumn("n_chars", F.length(kept).cast("long")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
