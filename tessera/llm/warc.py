@@ -3,11 +3,13 @@
 A leaf hashes one record with its place (file, offset, length). `fanout` neighbours in order make a node, whose hash covers its children's
 hashes in order and the offset range from the first child's start to the last child's end; a file's nodes end in one, files go on to one
 root a replica. An audit compares the roots and descends only into nodes that differ, so what it reads follows the damage, not the archive.
+A replica that was laid anew without a record, or with one more, differs in all places behind it: the records of the leaves that are left open are
+therefore matched within their file by what they are, first by id and content, then by id, so that only those that really differ are named.
 All steps are DataFrame functions; no node is made of more than `fanout` children.
 
-Rows: `audit` gives one row for each record that differs, is missing or is extra. Null urls leave out the target line, null payloads are
-empty, null ids form a file of their own (file 0). Records that repeat an id follow one another in order of url and payload. Equal
-replicas and empty tables give no rows. Only the named columns are read.
+Rows: `audit` gives one row for each record that differs, is missing or is extra, and on demand for each that lies elsewhere. Null urls leave out the target line, null payloads are
+empty, records with null ids are dealt to files by their content and come first there. Records that repeat an id follow one another in order of url and payload; of a null id, a record that differs
+is one missing and one extra. Equal replicas and empty tables give no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import drop_stash, stash
 
 #: Records with ids of one file's range, and children of a node.
 IDS_PER_FILE, FANOUT = 256, 16
+#: Files to which records without an id are dealt.
+FILES_WITHOUT_ID = 4096
 CRLF = "\r\n"
 
 
@@ -39,16 +43,18 @@ def record_of(url: Column, payload: Column) -> Column:
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", ids_per_file: int = IDS_PER_FILE) -> DataFrame:
     """file, ord, offset, length, id, record: the records of an archive, laid end to end in each file."""
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("string").alias("payload"))
-    base = base.select(F.coalesce(F.floor(F.col("id") / ids_per_file) + 1, F.lit(0)).alias("file"), "id", record_of(F.col("url"), F.col("payload")).alias("record"))
-    base = base.withColumn("length", F.octet_length("record").cast("long"))
+    base = base.select("id", record_of(F.col("url"), F.col("payload")).alias("record"))
+    without = F.pmod(F.xxhash64("record"), F.lit(FILES_WITHOUT_ID)) + 1
+    base = base.select(F.coalesce(F.floor(F.col("id") / ids_per_file) + 1, without).alias("file"), "id", "record", F.octet_length("record").cast("long").alias("length"))
     order = Window.partitionBy("file").orderBy("id", "record")
     return base.select("file", (F.row_number().over(order) - 1).alias("ord"), (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).alias("offset"), "length", "id", "record")
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """a (file), b (place in it), hash, from_, to_, id of each record."""
-    place = F.concat_ws(":", "file", "offset", "length")
-    return records.select(F.col("file").alias("a"), F.col("ord").cast("long").alias("b"), F.sha2(F.concat(F.encode(place, "UTF-8"), F.col("record")), 256).alias("hash"), F.col("offset").alias("from_"), (F.col("offset") + F.col("length")).alias("to_"), "id")
+    """a (file), b (place in it), hash, content (the record's own hash), from_, to_, id of each record."""
+    own = records.select("file", "ord", "offset", "length", "id", F.sha2("record", 256).alias("content"))
+    place = F.concat_ws(":", "file", "offset", "length", "content")
+    return own.select(F.col("file").alias("a"), F.col("ord").cast("long").alias("b"), F.sha2(F.encode(place, "UTF-8"), 256).alias("hash"), "content", F.col("offset").alias("from_"), (F.col("offset") + F.col("length")).alias("to_"), "id")
 
 
 def parents(nodes: DataFrame, fanout: int, in_file: bool) -> DataFrame:
@@ -87,8 +93,38 @@ def differing(left: DataFrame, right: DataFrame) -> DataFrame:
     return l.join(r, ["a", "b"], "full_outer").filter(~F.col("l_hash").eqNullSafe(F.col("r_hash")))
 
 
-def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """file, ord, id, offset, length, kind (changed, missing, extra), left_hash, right_hash; left is the reference replica."""
+def matched(odd: DataFrame, moved: bool) -> DataFrame:
+    """Open leaves of both replicas, matched within a file by id and content, then by id."""
+    fields = ("b", "content", "from_", "to_")
+    sides = []
+    for s in "lr":
+        there = odd.filter(F.col(f"{s}_hash").isNotNull())
+        nth = F.row_number().over(Window.partitionBy("a", f"{s}_id", f"{s}_content").orderBy("b"))
+        sides.append(there.select("a", F.col(f"{s}_id").alias("id"), "b", *[F.col(f"{s}_{c}").alias(c) for c in fields[1:]], nth.alias("nth")))
+    l, r = ([F.col(c).alias(f"{s}_{c}") for c in fields] for s in "lr")
+    left, right = (x.select("a", "id", "nth", F.col("content").alias("k"), *cols) for x, cols in zip(sides, (l, r), strict=True))
+
+    def both(x: DataFrame, y: DataFrame, *keys: str) -> DataFrame:
+        y = y.withColumnsRenamed({c: f"_{c}" for c in keys})
+        rule = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+        return x.join(y, rule, "full_outer").select(F.coalesce("a", "_a").alias("a"), F.coalesce("id", "_id").alias("id"), *[f"l_{c}" for c in fields], *[f"r_{c}" for c in fields])
+
+    same = stash(both(left, right, "a", "id", "nth", "k"), "matched")
+    again = []
+    for s, other in ("lr", "rl"):
+        rest = same.filter(F.col(f"{other}_content").isNull() & F.col("id").isNotNull())
+        again.append(rest.select("a", "id", *[f"{s}_{c}" for c in fields], F.row_number().over(Window.partitionBy("a", "id").orderBy(f"{s}_b")).alias("nth")))
+    out = both(*again, "a", "id", "nth").unionByName(same.filter("id is null and (l_content is null or r_content is null)"))
+    if moved:
+        out = out.unionByName(same.filter("l_content = r_content and l_from_ <> r_from_"))
+    return out
+
+
+def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT, moved: bool = False) -> DataFrame:
+    """file, ord, id, offset, length, kind (changed, missing, extra, moved), left_hash, right_hash (of records); left is the reference replica.
+
+    Places, offsets and lengths are the left replica's, of extra records the right one's. moved: name records, too, that are whole but at another offset.
+    """
     depth = depth_of(left, right, fanout=fanout)
     l, r = tree(left, depth, fanout), tree(right, depth, fanout)
     odd = differing(l[-1], r[-1])
@@ -97,9 +133,12 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFrame:
         open_ = odd.select(F.col("a").alias("p"), F.col("b").alias("q"))
         pick = lambda x, a=a, b=b, o=open_: x.withColumn("p", a).withColumn("q", b).join(o, ["p", "q"], "left_semi").drop("p", "q")
         odd = differing(pick(l[k]), pick(r[k]))
-    kind = F.when(F.col("r_hash").isNull(), "missing").when(F.col("l_hash").isNull(), "extra").otherwise("changed")
+    odd = stash(odd, "open")
+    drop_stash(*l, *r)
+    found = matched(odd, moved)
+    kind = F.when(F.col("r_content").isNull(), "missing").when(F.col("l_content").isNull(), "extra").when(F.col("l_content") == F.col("r_content"), "moved").otherwise("changed")
     start, end = F.coalesce("l_from_", "r_from_"), F.coalesce("l_to_", "r_to_")
-    return odd.select(F.col("a").alias("file"), F.col("b").alias("ord"), F.coalesce("l_id", "r_id").alias("id"), start.alias("offset"), (end - start).alias("length"), kind.alias("kind"), F.col("l_hash").alias("left_hash"), F.col("r_hash").alias("right_hash"))
+    return found.select(F.col("a").alias("file"), F.coalesce("l_b", "r_b").alias("ord"), "id", start.alias("offset"), (end - start).alias("length"), kind.alias("kind"), F.col("l_content").alias("left_hash"), F.col("r_content").alias("right_hash"))
 
 
 def read_records(data: bytes) -> Iterator[tuple[int, int, dict, bytes]]:

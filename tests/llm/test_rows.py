@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -376,6 +377,28 @@ def test_warc_audit(spark):
     assert [tuple(r) for r in back] == [tuple(r) for r in left.filter("file = 1").orderBy("ord").select("offset", "length").collect()]
 
 
+def laid_anew(records):
+    """Records end to end again, in their order, as a replica has them that lost or won some."""
+    order = Window.partitionBy("file").orderBy("ord")
+    return records.select("file", (F.row_number().over(order) - 1).alias("ord"), (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).alias("offset"), "length", "id", "record")
+
+
+def test_warc_audit_of_a_replica_laid_anew(spark):
+    pages = spark.createDataFrame([(k, f"http://x/{k}", "p" * (k % 50)) for k in range(600)] + [(20, "twice", "a"), (20, "twice", "b"), (None, "n", "m"), (None, "o", "m")], "page_id long, url string, html string")
+    left = warc.archive(pages)
+    right = laid_anew(left.filter("id is null or id not in (3, 400)"))
+    assert sorted((r.id, r.kind) for r in warc.audit(left, right).collect()) == [(3, "missing"), (400, "missing")]
+    assert sorted((r.id, r.kind) for r in warc.audit(right, left).collect()) == [(3, "extra"), (400, "extra")]
+    longer = F.when((F.col("id") == 20) & F.expr("instr(decode(record, 'UTF-8'), 'twice') > 0"), F.concat("record", F.lit(b"!!"))).otherwise(F.col("record"))
+    right = left.withColumn("record", longer).withColumn("length", F.octet_length("record").cast("long"))
+    got = warc.audit(left, laid_anew(right), moved=True).collect()
+    assert sorted(r.id for r in got if r.kind == "changed") == [20, 20] and {r.kind for r in got} == {"changed", "moved"}
+    assert sorted(r.id for r in got if r.kind == "moved") == [*range(21, 256)]
+    gone = left.filter("id is null").orderBy("record").first().record
+    right = laid_anew(left.filter(F.col("record") != F.lit(bytes(gone))))
+    assert [(r.id, r.kind) for r in warc.audit(left, right).collect()] == [(None, "missing")]
+
+
 def test_warc_query_writes_the_pages_once(spark):
     folder = os.path.join(shared_dir(spark).removeprefix("file://"), "tessera")
     before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
