@@ -1,15 +1,23 @@
 """Images as relations. A plane is an array column `v` of h * w samples (row by row), or one row a sample: image_id, y, x, v.
 
-Operators on a plane's neighbourhood work on the array, by index arithmetic, so they need no shuffle; operators on single samples and on
-aligned images are projections; joins are on (image_id, y, x). Heights and widths are numbers, or names of columns where images differ in size.
+Operators on a plane's neighbourhood work on the array, by index arithmetic or, where each sample needs several others, by array kernels in Arrow functions
+(kernels.py), so they need no shuffle; operators on single samples and on aligned images are projections; joins are on (image_id, y, x). Large frames are cut into tiles (tiles.py). Heights and widths are numbers, or names of columns where images differ in size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernels
+
 SIDE = 8
+#: Samples of images that a kernel is given at once.
+AT_ONCE = 1 << 22
 
 
 class Size:
@@ -107,13 +115,37 @@ def rotate(df: DataFrame, degrees: int, h: int | str = SIDE, w: int | str = SIDE
     return df.withColumn("v", F.expr(grid(oh, ow, at("v", y, x, h, w))))
 
 
+def by_kernel(df: DataFrame, column: str, h: int | str, w: int | str, run: Callable[[np.ndarray], dict[str, np.ndarray]], outs: dict[str, str]) -> DataFrame:
+    """Adds the planes that a kernel makes of a plane; outs: their names by the kernel's keys. Null planes stay null, one of a wrong size is an error."""
+
+    @F.arrow_udf("struct<" + ",".join(f"{k}:array<int>" for k in outs) + ">")
+    def f(planes_: pa.Array, hs: pa.Array, ws: pa.Array) -> pa.Array:
+        there = np.asarray(planes_.is_valid())
+        hs, ws = hs.to_numpy(zero_copy_only=False), ws.to_numpy(zero_copy_only=False)
+        made: dict[str, list] = {k: [None] * len(planes_) for k in outs}
+        for height, width in sorted({(int(a), int(b)) for a, b in zip(hs[there], ws[there], strict=True)}):
+            rows = np.flatnonzero(there & (hs == height) & (ws == width))
+            step = max(1, AT_ONCE // max(1, height * width))
+            for at in range(0, len(rows), step):
+                own = rows[at : at + step]
+                values = [planes_[int(k)].values.to_numpy(zero_copy_only=False) for k in own]
+                if any(len(v) != height * width for v in values):
+                    raise ValueError(f"a plane is not of {height} x {width} samples")
+                done = run(np.stack(values).astype(np.int32).reshape(-1, height, width))
+                for key in outs:
+                    for k, v in zip(own, done[key].reshape(len(own), -1).astype(np.int32), strict=True):
+                        made[key][k] = v
+        kind = pa.list_(pa.int32())
+        return pa.StructArray.from_arrays([pa.array(v, kind) for v in made.values()], list(outs))
+
+    sides = [(F.col(x) if isinstance(x, str) else F.lit(x)).cast("int") for x in (h, w)]
+    rest = [c for c in df.columns if c not in outs.values()]
+    return df.select("*", f(F.col(column), *sides).alias("_made")).select(*rest, *[F.col(f"_made.{k}").alias(c) for k, c in outs.items()])
+
+
 def subsample(df: DataFrame, kind: str, h: int | str = SIDE, w: int | str = SIDE, column: str = "v", out: str = "v") -> DataFrame:
     """Mean of 2 x 2 (420) or 1 x 2 (422) samples, edges repeated, cut."""
-    h, w = sizes(h, w)
-    cw, ch = (w + 1) // 2, (h + 1) // 2 if kind == "420" else h
-    rows = ("2 * {y}", "2 * {y} + 1") if kind == "420" else ("{y}",)
-    terms = [at(column, y, x, h, w) for y in rows for x in ("2 * {x}", "2 * {x} + 1")]
-    return df.withColumn(out, F.expr(grid(ch, cw, f"(({' + '.join(terms)}) div {len(terms)})")))
+    return by_kernel(df, column, h, w, lambda v: {"v": kernels.subsample(v, kind)}, {"v": out})
 
 
 def upsample(df: DataFrame, kind: str, h: int | str = SIDE, w: int | str = SIDE, column: str = "v", out: str = "v") -> DataFrame:
@@ -144,50 +176,16 @@ def mosaic_planes(df: DataFrame, order: str, h: int | str = SIDE, w: int | str =
 def demosaic(df: DataFrame, order: str, h: int | str = SIDE, w: int | str = SIDE, column: str = "v", adaptive: bool = False) -> DataFrame:
     """Columns r, g, b of full size. Missing samples are the mean of those of their colour among the 8 neighbours (edges repeated, counted as
     often as they repeat), cut. adaptive: green is the mean along the smaller of the horizontal and vertical gradients."""
-    h, w = sizes(h, w)
-    colour = {k: c.lower() for k, c in enumerate(order)}
-
-    def place(dy: int, dx: int) -> tuple[str, str]:
-        return f"least({h - 1}, greatest(0, {{y}} + {dy}))", f"least({w - 1}, greatest(0, {{x}} + {dx}))"
-
-    def is_colour(c: str, y: str, x: str) -> str:
-        return f"(({y} % 2) * 2 + {x} % 2) in ({', '.join(str(k) for k, v in colour.items() if v == c)})"
-
-    def sample(y: str, x: str) -> str:
-        return f"get({column}, cast({y} * {w} + {x} as int))"
-
-    around = [place(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
-    out = df
-    for c in "rgb":
-        total = " + ".join(f"(case when {is_colour(c, y, x)} then {sample(y, x)} else 0 end)" for y, x in around)
-        count = " + ".join(f"(case when {is_colour(c, y, x)} then 1 else 0 end)" for y, x in around)
-        body = f"(({total}) div ({count}))"
-        if c == "g" and adaptive:
-            masked = lambda dy, dx: f"(case when {is_colour('g', *place(dy, dx))} then {sample(*place(dy, dx))} else 0 end)"
-            has = lambda *p: " + ".join(f"(case when {is_colour('g', *place(*q))} then 1 else 0 end)" for q in p)
-            mean = lambda *p: f"(({' + '.join(masked(*q) for q in p)}) div greatest(1, {has(*p)}))"
-            left, right, above, below = (0, -1), (0, 1), (-1, 0), (1, 0)
-            across, along = f"abs({masked(*left)} - {masked(*right)})", f"abs({masked(*above)} - {masked(*below)})"
-            mean_h, mean_v, both = mean(left, right), mean(above, below), mean(left, right, above, below)
-            body = f"(case when {across} < {along} then {mean_h} when {across} > {along} then {mean_v} else {both} end)"
-        out = out.withColumn("_" + c, F.expr(grid(h, w, f"(case when {is_colour(c, '{y}', '{x}')} then {sample('{y}', '{x}')} else cast({body} as int) end)")))
-    return out.withColumnsRenamed({"_r": "r", "_g": "g", "_b": "b"})
+    return by_kernel(df, column, h, w, lambda v: kernels.demosaic(v, order, adaptive), {c: c for c in "rgb"})
 
 
 def demosaic_inner(df: DataFrame, order: str, h: int | str = SIDE, w: int | str = SIDE, column: str = "v") -> DataFrame:
     """Columns r, g, b by rounded means of the 8 neighbours of the colour; the outermost pixels copy the pixel beside them inside."""
-    h, w = sizes(h, w)
-    yy, xx = f"least({h - 2}, greatest(1, {{y}}))", f"least({w - 2}, greatest(1, {{x}}))"
-    near = [(f"({yy} + {dy})", f"({xx} + {dx})") for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
-    out = df
-    for c in "rgb":
-        own = ", ".join(str(k) for k, o in enumerate(order) if o.lower() == c)
-        is_own = lambda y, x, own=own: f"(({y} % 2) * 2 + {x} % 2) in ({own})"
-        value = lambda y, x: f"get({column}, cast({y} * {w} + {x} as int))"
-        total = " + ".join(f"(case when {is_own(y, x)} then {value(y, x)} else 0 end)" for y, x in near)
-        count = " + ".join(f"(case when {is_own(y, x)} then 1 else 0 end)" for y, x in near)
-        out = out.withColumn("_" + c, F.expr(grid(h, w, f"cast(case when {is_own(yy, xx)} then {value(yy, xx)} else ({total} + ({count}) div 2) div ({count}) end as int)")))
-    return out.withColumnsRenamed({"_r": "r", "_g": "g", "_b": "b"})
+    return by_kernel(df, column, h, w, lambda v: kernels.demosaic_inner(v, order), {c: c for c in "rgb"})
+
+
+#: Ways of demosaicing by name.
+DEMOSAIC = {"bilinear": demosaic, "gradient": lambda *a, **k: demosaic(*a, adaptive=True, **k), "inner": demosaic_inner}
 
 
 def remosaic(order: str) -> Column:

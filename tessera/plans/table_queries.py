@@ -287,30 +287,9 @@ for _name, _sampled in (("exp04_differences", False), ("exp05_differences_420",
     register(_name, lambda s, d, k=_sampled: difference_round_trip(s, d, k), f"WITH {_cell}, f AS (SELECT *, {_f} FROM cell), {_mid}, b AS (SELECT image_id, r0, g0, g1, b0, {_b} FROM s) SELECT image_id, {', '.join(_psnr_sql(p) for p in _parts)} FROM b GROUP BY image_id", "plane")
 
 
-def plain_experiment(s, d, kind: str) -> DataFrame:
-    """Without a codec what comes back is what went in; sizes are the planes' own. kind decides how many planes of which size."""
-    share = {"packed": (64,), "planar": (16, 16, 16, 16), "yuv444": (64, 64, 64), "yuv420": (64, 16, 16), "rgb": (64, 64, 64)}[kind]
-    total = sum(share)
-    return planes.planes(s, d).select("image_id", F.lit(kind).alias("approach"), F.lit(total).alias("encoded_size"), F.lit(":".join(map(str, share))).alias("breakdown"), F.lit(8.0 * total / 64).alias("bpp"))
-
-
-for _name, _kind, _n, _br in (("exp06_packed", "packed", 64, "64"), ("exp07_planar", "planar", 64, "16:16:16:16"), ("exp08_yuv444", "yuv444", 192, "64:64:64"), ("exp09_yuv420", "yuv420", 96, "64:16:16"), ("exp10_rgb", "rgb", 192, "64:64:64")):
-    register(_name + "_sizes", lambda s, d, k=_kind: plain_experiment(s, d, k), f"SELECT vec_id AS image_id, '{_kind}' AS approach, {_n} AS encoded_size, '{_br}' AS breakdown, {8.0 * _n / 64}::DOUBLE AS bpp FROM embeddings")
 register("exp11_identity", lambda s, d: planes.samples(planes.planes(s, d).drop("label")).groupBy("image_id").agg(F.count(F.lit(1)).alias("encoded_size")), "SELECT image_id, count(*) AS encoded_size FROM plane GROUP BY image_id", "plane")
 
 
-def mosaic_sweep(s, d) -> DataFrame:
-    """Every approach at every quality, then the averages."""
-    base = plain_experiment(s, d, "packed")
-    for k in ("planar", "yuv444", "yuv420", "rgb"):
-        base = base.unionByName(plain_experiment(s, d, k))
-    rows = results.sweep(base.select(F.col("image_id").cast("string").alias("infile"), "approach", "encoded_size", "bpp"), quality=[0, 50, 100])
-    return results.averages(rows, ["approach", "quality"], ["encoded_size", "bpp"])
-
-
-register("exp14_mosaic_sweep", mosaic_sweep, "SELECT 'average' AS infile, a AS approach, q AS quality, n::DOUBLE AS encoded_size, n / 8.0::DOUBLE AS bpp FROM (VALUES ('packed', 64), ('planar', 64), ('yuv444', 192), ('yuv420', 96), ('rgb', 192)) t(a, n), (SELECT unnest([0, 50, 100]) AS q)")
-
-
 def alpha_sweep(s, d) -> DataFrame:
     """Every block codec over every image: encoded size and ratio, averaged by codec."""
     from ..operators import blocks
