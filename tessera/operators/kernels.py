@@ -6,8 +6,6 @@ Arithmetic is signed. Formulas are written here once more, in numpy, beside the
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 
 from ..functions.formats import Format
@@ -236,4 +234,81 @@ def write_buffer(planes: Planes, f: Format) -> np.ndarray:
     return write_samples(np.concatenate([p.reshape(len(p), -1) for p in parts], -1), _planar(f))
 
 
-Kernel = Callable[..., Planes]
+# ---- windows ----
+
+
+def _sums(v: np.ndarray, m: int, k: int) -> np.ndarray:
+    """Sums of all m x k windows, by a summed-area table."""
+    s = np.zeros((v.shape[0] + 1, v.shape[1] + 1), np.int64)
+    s[1:, 1:] = v.cumsum(0).cumsum(1)
+    return s[m:, k:] - s[:-m, k:] - s[m:, :-k] + s[:-m, :-k]
+
+
+def products(v: np.ndarray, needle: np.ndarray) -> np.ndarray:
+    """Sums of products of a needle with the window at each place, exactly: by Fourier transforms of bytes, whose rounding errors stay far below a half."""
+    m, k = needle.shape
+    shape = [1 << int(n - 1).bit_length() for n in v.shape]
+    turned = np.fft.rfft2(needle[::-1, ::-1].astype(np.float64), shape)
+    out = np.zeros((v.shape[0] - m + 1, v.shape[1] - k + 1), np.int64)
+    for shift in (0, 8) if v.max(initial=0) > 255 else (0,):
+        part = np.fft.irfft2(np.fft.rfft2((v >> shift & 255).astype(np.float64), shape) * turned, shape)
+        out += np.rint(part[m - 1 : v.shape[0], k - 1 : v.shape[1]]).astype(np.int64) << shift
+    return out
+
+
+def correlation(v: np.ndarray, needle: np.ndarray) -> np.ndarray:
+    """Normalised correlation, means removed, of a needle with the window at each place where it fits; 0 where either is flat. Nine places."""
+    m, k = needle.shape
+    n, t, v = m * k, needle.astype(np.int64), v.astype(np.int64)
+    si, sii, sti = _sums(v, m, k), _sums(v * v, m, k), products(v, t)
+    own = float(n * int((t * t).sum()) - int(t.sum()) ** 2)
+    var = own * (n * sii - si * si).astype(np.float64)
+    return np.round(np.where(var > 0, (n * sti - int(t.sum()) * si) / np.sqrt(np.where(var > 0, var, 1)), 0.0), 9)
+
+
+def best_place(v: np.ndarray, needle: np.ndarray) -> tuple[int, int, float]:
+    """(y, x, score) of the best correlation; the topmost, then leftmost, of equals. The products there are counted again one by one."""
+    scores = correlation(v, needle)
+    y, x = divmod(int(scores.argmax()), scores.shape[1])
+    m, k = needle.shape
+    if int((v[y : y + m, x : x + k].astype(np.int64) * needle).sum()) != products(v[y : y + m, x : x + k], needle)[0, 0]:
+        raise ArithmeticError("a product was rounded wrongly")
+    return y, x, float(scores[y, x])
+
+
+def gaussian(size: int, sigma: float = 1.5) -> np.ndarray:
+    x = np.arange(size) - (size - 1) / 2
+    g = np.exp(-(x * x) / (2 * sigma * sigma))
+    return g / g.sum()
+
+
+def similarity(a: np.ndarray, b: np.ndarray, top: int, size: int = 11, sigma: float = 1.5) -> np.ndarray:
+    """Structural similarity of the window at each place where it fits, with Gaussian weights (Wang et al. 2004)."""
+    g = gaussian(size, sigma)
+
+    def smooth(v: np.ndarray) -> np.ndarray:
+        rows = sum(g[i] * v[..., i : v.shape[-2] - size + 1 + i, :] for i in range(size))
+        return sum(g[i] * rows[..., i : v.shape[-1] - size + 1 + i] for i in range(size))
+
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    ma, mb = smooth(a), smooth(b)
+    va, vb, cov = smooth(a * a) - ma * ma, smooth(b * b) - mb * mb, smooth(a * b) - ma * mb
+    c1, c2 = (0.01 * top) ** 2, (0.03 * top) ** 2
+    return (2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
+
+
+def warp(v: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """Each place read bilinearly where the 2 x 3 inverse takes it, 0 outside, rounded half to even."""
+    h, w = v.shape[-2:]
+    y, x = np.mgrid[:h, :w].astype(np.float64)
+    (a, b, c), (d, e, f) = np.asarray(inverse).tolist()
+    sx, sy = a * x + b * y + c, d * x + e * y + f
+    fx, fy = np.floor(sx), np.floor(sy)
+    ax, ay, out = sx - fx, sy - fy, 0.0
+    for dy in (0, 1):
+        for dx in (0, 1):
+            px, py = fx.astype(np.int64) + dx, fy.astype(np.int64) + dy
+            inside = (px >= 0) & (px < w) & (py >= 0) & (py < h)
+            near = np.where(inside, v[..., np.clip(py, 0, h - 1), np.clip(px, 0, w - 1)], 0)
+            out = out + near * (ax if dx else 1 - ax) * (ay if dy else 1 - ay)
+    return np.rint(out).astype(np.int32)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels, planes
+
 PIXEL = ["image_id", "y", "x"]
 
 
@@ -64,43 +68,31 @@ def compose(background: DataFrame, needle: DataFrame, x0: int, y0: int, alpha: s
 def match(image: DataFrame, needle: DataFrame, h: int, w: int, side: int) -> DataFrame:
     """image_id, y, x, score: where a side x side needle correlates best (mean removed, normalised); the topmost, then leftmost, of equals.
 
-    Every offset's window is an array built from the image's own array, so no pixel is sent anywhere but to its image."""
-    cells = [(i, j) for i in range(side) for j in range(side)]
-    patch = ", ".join(f"get(v, cast((o div {w - side + 1} + {i}) * {w} + o % {w - side + 1} + {j} as int))" for i, j in cells)
-    offsets = image.select("image_id", "v", F.explode(F.sequence(F.lit(0), F.lit((h - side + 1) * (w - side + 1) - 1))).alias("o"))
-    both = offsets.select("image_id", "o", F.expr(f"array({patch})").alias("i")).join(needle.select("image_id", F.col("v").alias("t")), "image_id")
-    n = side * side
-    total = lambda e: f"aggregate({e}, 0L, (s, z) -> s + z)"
-    both = both.withColumns({"st": F.expr(total("t")), "si": F.expr(total("i")), "stt": F.expr(total("transform(t, z -> z * z)")), "sii": F.expr(total("transform(i, z -> z * z)")), "sti": F.expr(total("zip_with(t, i, (a, b) -> a * b)"))})
-    var = F.expr(f"({n} * stt - st * st) * ({n} * sii - si * si)").cast("double")
-    score = F.when(var <= 0, 0.0).otherwise(F.round(F.expr(f"{n} * sti - st * si").cast("double") / F.sqrt(var), 9))
-    best = both.withColumn("score", score).groupBy("image_id").agg(F.max(F.struct("score", (-F.col("o")).alias("k"))).alias("m"))
-    return best.select("image_id", F.expr(f"cast((0 - m.k) div {w - side + 1} as int)").alias("y"), F.expr(f"cast((0 - m.k) % {w - side + 1} as int)").alias("x"), F.col("m.score").alias("score"))
+    One pass over the images, each beside its needle; a frame too large for a row's task is matched by tiles (tiles.match).
+    """
+
+    @F.arrow_udf("struct<y:int,x:int,score:double>")
+    def best(images: pa.Array, needles: pa.Array) -> pa.Array:
+        rows = []
+        for v, t in zip(images, needles, strict=True):
+            y, x, score = kernels.best_place(v.values.to_numpy().reshape(h, w), t.values.to_numpy().reshape(side, side))
+            rows.append({"y": y, "x": x, "score": score})
+        return pa.array(rows, pa.struct([("y", pa.int32()), ("x", pa.int32()), ("score", pa.float64())]))
+
+    both = image.select("image_id", "v").join(needle.select("image_id", F.col("v").alias("t")), "image_id").filter("v is not null and t is not null")
+    return both.select("image_id", best("v", "t").alias("m")).select("image_id", "m.y", "m.x", "m.score")
 
 
 def affine_matrix(points: list[tuple[float, float]], to: list[tuple[float, float]]) -> list[list[float]]:
     """The 2 x 3 matrix that takes three points to three others (on the driver: six numbers)."""
-    import numpy as np
-
     a = np.array([[x, y, 1.0] for x, y in points])
     return [np.linalg.solve(a, np.array([p[k] for p in to])).tolist() for k in (0, 1)]
 
 
 def affine(df: DataFrame, matrix: list[list[float]], h: int, w: int) -> DataFrame:
     """Warps an array column v by a 2 x 3 matrix: each output pixel is read bilinearly where the inverse takes it, 0 outside."""
-    import numpy as np
-
     inverse = np.linalg.inv(np.array([*matrix, [0, 0, 1]]))[:2]
-    (a, b, c), (d, e, f) = inverse.tolist()
-    sx, sy = f"({a!r}D * (p % {w}) + {b!r}D * (p div {w}) + {c!r}D)", f"({d!r}D * (p % {w}) + {e!r}D * (p div {w}) + {f!r}D)"
-    terms = []
-    for dy in (0, 1):
-        for dx in (0, 1):
-            x, y = f"cast(floor({sx}) as int) + {dx}", f"cast(floor({sy}) as int) + {dy}"
-            wx = f"({sx} - floor({sx}))" if dx else f"(1 - ({sx} - floor({sx})))"
-            wy = f"({sy} - floor({sy}))" if dy else f"(1 - ({sy} - floor({sy})))"
-            terms.append(f"(case when {x} between 0 and {w - 1} and {y} between 0 and {h - 1} then get(v, cast(({y}) * {w} + {x} as int)) else 0 end) * {wx} * {wy}")
-    return df.withColumn("v", F.expr(f"transform(sequence(0, {h * w - 1}), p -> cast(bround({' + '.join(terms)}, 0) as int))"))
+    return planes.by_kernel(df, "v", h, w, lambda v: {"v": kernels.warp(v, inverse)}, {"v": "v"})
 
 
 def difference(pairs: DataFrame, factor: float = 1.0, invert: bool = False, colour: float | None = None, top: int = 255) -> DataFrame:

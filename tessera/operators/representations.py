@@ -175,7 +175,7 @@ def plane_values(content: Column, fmt: str, w: int | str, h: int | str) -> Colum
 
 def convert_files(spark: SparkSession, path: str, source: str, w: int, h: int, target: str, folder: str, adaptive: bool = False) -> None:
     """Raw files of one format to files of another, one each, under the same names."""
-    from ..sources import raw
+    from ..sources.video import write_whole
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "content")
-    raw.write_files(convert(files, source, target, w, h, adaptive=adaptive), folder)
+    write_whole(convert(files, source, target, w, h, adaptive=adaptive), folder)

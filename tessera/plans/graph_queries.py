@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colour
 from ..functions.sql import Duck
-from ..operators import experiments, planes, representations
+from ..operators import experiments, kernels, planes, representations, tiles
 from ..sources import y4m
 from .image_queries import _near
 from .registry import register
@@ -152,3 +152,51 @@ register(
     UNION ALL SELECT image_id, 'rgb8.planar', k, 64, CAST(sum(CASE k WHEN 'r' THEN r WHEN 'g' THEN g ELSE b END) AS BIGINT) FROM rgb0, (SELECT unnest(['r', 'g', 'b']) AS k) GROUP BY image_id, k
     UNION ALL SELECT image_id, 'yuv444p8', k, 64, CAST(sum(CASE k WHEN 'y' THEN y_ WHEN 'u' THEN u_ ELSE v_ END) AS BIGINT) FROM yuv0, (SELECT unnest(['y', 'u', 'v']) AS k) GROUP BY image_id, k""", "plane",
 )
+
+
+# ---- tiles ----
+
+
+def windowed_similarity(s, d) -> DataFrame:
+    """Structural similarity by 5 x 5 Gaussian windows of each image and the next, over tiles of four rows and columns."""
+    both = planes.with_neighbours(planes.planes(s, d).drop("label"), 1).select("image_id", y4m.pack_samples("v").alias("a"), y4m.pack_samples("v1").alias("b"))
+    cut = tiles.cut(both, ["image_id"], ["a", "b"], planes.SIDE, planes.SIDE, size=4, before=0, after=4, edges=False)
+    return tiles.similarity(cut, ["image_id"], "a", "b", size=5).select("image_id", F.round("ssim", 6).alias("ssim"))
+
+
+_weights = ", ".join(f"({i}, {g!r}::DOUBLE)" for i, g in enumerate(kernels.gaussian(5).tolist()))
+register(
+    "agg15_windowed_similarity", windowed_similarity,
+    f"""WITH g(i, w) AS (VALUES {_weights}), k AS (SELECT a.i AS dy, b.i AS dx, a.w * b.w AS w FROM g a, g b),
+    m AS (SELECT image_id, y - dy AS oy, x - dx AS ox, sum(w * a) AS ma, sum(w * b) AS mb, sum(w * a * a) AS aa, sum(w * b * b) AS bb, sum(w * a * b) AS ab
+        FROM pair, k WHERE y - dy BETWEEN 0 AND 3 AND x - dx BETWEEN 0 AND 3 GROUP BY ALL)
+    SELECT image_id, round(avg(((2 * ma * mb + 6.5025) * (2 * (ab - ma * mb) + 58.5225)) / ((ma * ma + mb * mb + 6.5025) * (aa - ma * ma + bb - mb * mb + 58.5225))), 6) AS ssim FROM m GROUP BY image_id""", "pair",
+)
+
+
+def tiled_demosaic(s, d) -> DataFrame:
+    """The mosaic of each image, demosaiced by tiles of 4 x 4 and put together again."""
+    cut = tiles.spread(tiles.cut(mosaics(s, d), ["image_id"], ["content"], planes.SIDE, planes.SIDE, size=4), ["image_id"])
+    whole = tiles.assemble(tiles.demosaic(cut, ["image_id"], "RGgB", plane="content"), ["image_id"], list("rgb"))
+    return whole.select("image_id", *[F.hex(c).alias(c) for c in "rgb"])
+
+
+_hex = ", ".join(f"string_agg(printf('%02X%02X', {c} & 255, {c} >> 8), '' ORDER BY y, x) AS {c}" for c in "rgb")
+register("dem07_tiled_planes", tiled_demosaic, f"WITH rgb0 AS ({_near('', {}, 'RGgB', 'plane')}) SELECT image_id, {_hex} FROM rgb0 GROUP BY image_id", "plane")
+
+
+def tiled_match(s, d) -> DataFrame:
+    """One needle, a gradient of 3 x 3, in every image by tiles of four rows and columns."""
+    import numpy as np
+
+    cut = tiles.cut(mosaics(s, d), ["image_id"], ["content"], planes.SIDE, planes.SIDE, size=4, before=0, after=2, edges=False)
+    return tiles.match(cut, ["image_id"], np.arange(9).reshape(3, 3) * 20, plane="content")
+
+
+register(
+    "flt09_tiled_match", tiled_match,
+    """WITH t AS (SELECT k // 3 AS ty, k % 3 AS tx, 20 * k AS t FROM (SELECT unnest(range(9)) AS k)),
+    m AS (SELECT image_id, y - ty AS oy, x - tx AS ox, sum(t) AS st, sum(v) AS si, sum(t * t) AS stt, sum(v * v) AS sii, sum(t * v) AS sti FROM plane, t WHERE y - ty BETWEEN 0 AND 5 AND x - tx BETWEEN 0 AND 5 GROUP BY ALL),
+    c AS (SELECT image_id, oy, ox, CASE WHEN (9 * stt - st * st) * (9 * sii - si * si) <= 0 THEN 0.0::DOUBLE ELSE round((9 * sti - st * si)::DOUBLE / sqrt(((9 * stt - st * st) * (9 * sii - si * si))::DOUBLE), 9) END AS score FROM m)
+    SELECT image_id, CAST(oy AS INT) AS y, CAST(ox AS INT) AS x, score FROM c QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY score DESC, oy, ox) = 1""", "plane",
+)

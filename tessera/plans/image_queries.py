@@ -294,8 +294,12 @@ register("flt09_match", _matched, """WITH t AS (SELECT image_id, y - 2 AS ty, x
     c AS (SELECT image_id, oy, ox, CASE WHEN (9 * stt - st * st) * (9 * sii - si * si) <= 0 THEN 0.0::DOUBLE
         ELSE round((9 * sti - st * si)::DOUBLE / sqrt(((9 * stt - st * st) * (9 * sii - si * si))::DOUBLE), 9) END AS score FROM s)
     SELECT image_id, CAST(oy AS INT) AS y, CAST(ox AS INT) AS x, score FROM c QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY score DESC, oy, ox) = 1""", "plane", "pair")
-register("flt10_affine_shift", lambda s, d: planes.samples(pixels.affine(planes.planes(s, d).drop("label"), [[1, 0, 2], [0, 1, 1]], 8, 8)), "SELECT p.image_id, p.y, p.x, coalesce(q.v, 0) AS v FROM plane p LEFT JOIN plane q ON q.image_id = p.image_id AND q.y = p.y - 1 AND q.x = p.x - 2", "plane")
-register("flt11_affine_points", lambda s, d: planes.samples(pixels.affine(planes.planes(s, d).drop("label"), pixels.affine_matrix([(0, 0), (1, 0), (0, 1)], [(0, 0), (0, 1), (1, 0)]), 8, 8)), "SELECT p.image_id, p.y, p.x, q.v FROM plane p JOIN plane q ON q.image_id = p.image_id AND q.y = p.x AND q.x = p.y", "plane")
+register(
+    "flt10_affine_shift", lambda s, d: planes.samples(pixels.affine(planes.planes(s, d).drop("label"), [[1, 0, 2], [0, 1, 1]], 8, 8)),
+    "SELECT image_id, y, x, CASE WHEN y >= 1 AND x >= 2 THEN l[(y - 1) * 8 + x - 2 + 1] ELSE 0 END AS v FROM spot", "spot",
+)
+_SWAP = pixels.affine_matrix([(0, 0), (1, 0), (0, 1)], [(0, 0), (0, 1), (1, 0)])
+register("flt11_affine_points", lambda s, d: planes.samples(pixels.affine(planes.planes(s, d).drop("label"), _SWAP, 8, 8)), "SELECT image_id, y, x, l[x * 8 + y + 1] AS v FROM spot", "spot")
 _luma = "CAST(round_even(least(255.0::DOUBLE, greatest(0.0::DOUBLE, abs(a - b) * {}::DOUBLE)), 0) AS INT)"
 register("flt12_diff_luma", lambda s, d: pixels.difference(planes.pairs(s, d), 1.5), f"SELECT image_id, y, x, {_luma.format(1.5)} AS luma, 128 AS u, 128 AS v FROM pair", "pair")
 register("flt12_diff_inverted", lambda s, d: pixels.difference(planes.pairs(s, d), 2.5, True), f"SELECT image_id, y, x, 255 - {_luma.format(2.5)} AS luma, 128 AS u, 128 AS v FROM pair", "pair")

@@ -92,7 +92,7 @@ def shifted(s, d) -> DataFrame:
     return p.join(other, PIXEL, "left").select(*PIXEL, "v", "w")
 
 
-register("joi05_shifted", shifted, "SELECT p.image_id, p.y, p.x, p.v, q.v AS w FROM plane p LEFT JOIN plane q ON q.image_id = p.image_id AND q.y = p.y - 1 AND q.x = p.x - 2", "plane")
+register("joi05_shifted", shifted, "SELECT image_id, y, x, l[y * 8 + x + 1] AS v, CASE WHEN y >= 1 AND x >= 2 THEN l[(y - 1) * 8 + x - 2 + 1] END AS w FROM spot", "spot")
 register("joi06_every_offset", lambda s, d: planes.planes(s, d).select("image_id", F.explode(F.sequence(F.lit(0), F.lit(48))).alias("o"), "v").select("image_id", F.expr("o div 7").cast("int").alias("oy"), (F.col("o") % 7).alias("ox"), F.expr("aggregate(sequence(0, 3), 0L, (a, k) -> a + get(v, cast((o div 7 + k div 2) * 8 + o % 7 + k % 2 as int)))").alias("total")), "SELECT p.image_id, CAST(oy AS INT) AS oy, CAST(ox AS INT) AS ox, CAST(sum(v) AS BIGINT) AS total FROM (SELECT unnest(range(7)) AS oy) CROSS JOIN (SELECT unnest(range(7)) AS ox) JOIN plane p ON p.y BETWEEN oy AND oy + 1 AND p.x BETWEEN ox AND ox + 1 GROUP BY ALL", "plane")
 
 
@@ -158,7 +158,10 @@ def matrices(s, d) -> DataFrame:
 
 
 register("mth02_matrix_inverse", matrices, "SELECT mc, CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM (SELECT unnest([0, 1, 4, 5, 6, 7, 8, 9, 10, 11]) AS mc), (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j)")
-register("exp13_relabelled", lambda s, d: planes.samples(planes.mosaic_planes(planes.planes(s, d).drop("label"), "BGgR").select("image_id", F.col("R0").alias("first"), F.col("B0").alias("last")), 4, r="first", b="last"), "SELECT p.image_id, CAST(p.y // 2 AS INT) AS y, CAST(p.x // 2 AS INT) AS x, p.v AS r, q.v AS b FROM plane p JOIN plane q ON q.image_id = p.image_id AND q.y = p.y - 1 AND q.x = p.x - 1 WHERE p.y % 2 = 1 AND p.x % 2 = 1", "plane")
+register(
+    "exp13_relabelled", lambda s, d: planes.samples(planes.mosaic_planes(planes.planes(s, d).drop("label"), "BGgR").select("image_id", F.col("R0").alias("first"), F.col("B0").alias("last")), 4, r="first", b="last"),
+    "SELECT image_id, CAST(y // 2 AS INT) AS y, CAST(x // 2 AS INT) AS x, l[y * 8 + x + 1] AS r, l[(y - 1) * 8 + x - 1 + 1] AS b FROM spot WHERE y % 2 = 1 AND x % 2 = 1", "spot",
+)
 register("exp01_computed_columns", lambda s, d: tq.experiments(s, d).select("infile", "codec", "quality", F.round(results.bits_per_pixel("encoded_size", "64", "48"), 9).alias("bpp")), f"WITH {tq._exp}SELECT infile, codec, quality, round(8 * encoded_size / (64 * 48), 9) AS bpp FROM e")
 
 
@@ -170,16 +173,18 @@ def inner(s, d) -> DataFrame:
 
 
 def _inner_sql() -> str:
-    parts = []
+    """Sums of the eight neighbours of the nearest place that has them all."""
+    around, parts = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx], []
     for c in "rgb":
         of = "(" + ", ".join(str(k) for k, o in enumerate("RGgB") if o.lower() == c) + ")"
-        hit = f"((n.y % 2) * 2 + n.x % 2) IN {of}"
-        parts.append(f"CAST(CASE WHEN (m.y % 2) * 2 + m.x % 2 IN {of} THEN any_value(m.v) ELSE (sum(n.v) FILTER ({hit}) + (count(*) FILTER ({hit})) // 2) // greatest(1, count(*) FILTER ({hit})) END AS INT) AS {c}")
-    inside = f"SELECT m.image_id, m.y, m.x, {', '.join(parts)} FROM plane m JOIN plane n ON n.image_id = m.image_id AND abs(n.y - m.y) <= 1 AND abs(n.x - m.x) <= 1 AND NOT (n.y = m.y AND n.x = m.x) WHERE m.y BETWEEN 1 AND 6 AND m.x BETWEEN 1 AND 6 GROUP BY m.image_id, m.y, m.x"
-    return f"WITH i AS ({inside}) SELECT p.image_id, p.y, p.x, i.r, i.g, i.b FROM plane p JOIN i ON i.image_id = p.image_id AND i.y = least(6, greatest(1, p.y)) AND i.x = least(6, greatest(1, p.x))"
+        hit = lambda dy, dx, of=of: f"((yy + {dy}) % 2) * 2 + (xx + {dx}) % 2 IN {of}"
+        total = " + ".join(f"CASE WHEN {hit(*p)} THEN l[(yy + {p[0]}) * 8 + xx + {p[1]} + 1] ELSE 0 END" for p in around)
+        n = " + ".join(f"CASE WHEN {hit(*p)} THEN 1 ELSE 0 END" for p in around)
+        parts.append(f"CAST(CASE WHEN {hit(0, 0)} THEN l[yy * 8 + xx + 1] ELSE ({total} + ({n}) // 2) // greatest(1, {n}) END AS INT) AS {c}")
+    return f"SELECT image_id, y, x, {', '.join(parts)} FROM (SELECT *, least(6, greatest(1, y)) AS yy, least(6, greatest(1, x)) AS xx FROM spot)"
 
 
-register("dem05_inner_border", inner, _inner_sql(), "plane")
+register("dem05_inner_border", inner, _inner_sql(), "spot")
 
 
 def packed_matrix(s, d) -> DataFrame:

@@ -33,7 +33,7 @@ def _beside(name: str, factor: float, top: int, *columns: str) -> str:
     return f"{name} AS (SELECT i0.vec_id AS image_id, {_YX}, {values} FROM {_images(*columns[1:])}, {_PLACES})"
 
 
-#: Relations of the check's SQL; each may use those before it.
+#: Relations of the check's SQL; each may use those before it. spot: each place beside its image's samples as a list, to read neighbours without a join.
 RELATIONS = {
     "plane": _plane("plane", 212.5, 255),
     "plane10": _plane("plane10", 852.5, 1023),
@@ -41,6 +41,7 @@ RELATIONS = {
     "pair": _beside("pair", 212.5, 255, "a", "b"),
     "pair10": _beside("pair10", 852.5, 1023, "a", "b"),
     "rgb": _beside("rgb", 212.5, 255, "r", "g", "b"),
+    "spot": f"spot AS (SELECT vec_id AS image_id, {_YX}, list_transform(embedding, lambda e: CAST(least(255, greatest(0, floor((e::DOUBLE + 0.6::DOUBLE) * 212.5::DOUBLE))) AS INT)) AS l FROM embeddings, {_PLACES})",
     "rgb10": _beside("rgb10", 852.5, 1023, "r", "g", "b"),
 }
 _NEEDS = {"ext": ("plane",)}

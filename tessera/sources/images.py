@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import colour
 from ..functions.formats import canonical
-from ..operators import planes
-from . import jpeg, raw, y4m
+from ..functions.sql import Spark
+from ..operators import planes, representations
+from . import jpeg, raw, video, y4m
 
 READERS = {".y4m": "frames", ".jpg": "markers", ".jpeg": "markers", ".png": "pixels", ".csv": "table"}
 
@@ -18,7 +20,7 @@ def read(spark: SparkSession, path: str, extension: str) -> DataFrame:
     if kind is None:
         raise ValueError(f"no reader for {extension}")
     if kind == "frames":
-        return y4m.read(spark, path)
+        return video.read_video(spark, path)
     if kind == "markers":
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*" + extension).option("recursiveFileLookup", "true").load(path)
         return jpeg.markers(files.select("path", "content"))
@@ -34,10 +36,12 @@ def colour_range(spark: SparkSession, path: str) -> DataFrame:
     return names.join(heads, "path", "left").select("path", F.coalesce("said", F.when(F.col("extension").isin(".jpg", ".jpeg"), "full"), F.lit("unspecified")).alias("range"))
 
 
-def write_streams(df: DataFrame, folder: str, by: str, w: int, h: int, space: str, parts: list[str], **options) -> None:
-    """One Y4M file a value of `by`."""
-    files = y4m.file_bytes(df, [by], w, h, space, parts, **options)
-    raw.write_files(files.withColumn("name", F.concat(F.col(by).cast("string"), F.lit(".y4m"))), folder)
+def write_streams(df: DataFrame, folder: str, by: str, w: int, h: int, space: str, parts: list[str], depth: int = 8, order: str = "frame_no", colorrange: str | None = None, extension: dict[str, str] | None = None) -> None:
+    """One Y4M file a value of `by`: frames in order, planes from arrays of samples."""
+    payload = F.concat(*[y4m.pack_samples(p, depth) for p in parts])
+    fields = {"w": F.lit(w), "h": F.lit(h), "space": F.lit(space), "colorrange": F.lit(colorrange).cast("string"), "extension": F.create_map(*[F.lit(x) for kv in (extension or {}).items() for x in kv]).cast("map<string,string>")}
+    own = df.select(F.concat(F.col(by).cast("string"), F.lit(".y4m")).alias("name"), F.col(order).cast("long").alias("frame_no"), payload.alias("payload"), *[c.alias(k) for k, c in fields.items()])
+    video.write_video(own, folder)
 
 
 def write_table(df: DataFrame, folder: str) -> None:
@@ -45,21 +49,18 @@ def write_table(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(folder)
 
 
-def convert_mosaics(spark: SparkSession, path: str, fmt: str, w: int, h: int, to: str, folder: str) -> None:
-    """Raw mosaic files of one format to another of the same order: unpack, shift to the depth, pack, one file each."""
-    from ..functions.packing import codec
-    from ..functions.sql import Spark
-
-    a, b = canonical(fmt), canonical(to)
-    if a.order != b.order:
-        raise ValueError("the formats order their colours differently")
-    files = raw.read_mosaics(spark, path, fmt, w, h)
-    shift = b.depth - a.depth
-    moved = files.withColumn("v", F.expr(f"transform(samples, z -> {'z * ' + str(1 << shift) if shift >= 0 else f'shiftright(z, {-shift})'})"))
-    c = codec(b.codec)
-    group = ", ".join(c.pack(Spark, [f"get(v, cast(g * {c.n_samples} + {i} as int))" for i in range(c.n_samples)]))
-    packed = moved.withColumn("b", F.expr(f"flatten(transform(sequence(0, size(v) div {c.n_samples} - 1), g -> array({group})))"))
-    raw.write_files(packed.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), y4m.pack_samples("b").alias("content")), folder)
+def convert_colour_files(spark: SparkSession, path: str, w: int, h: int, folder: str, name: str = "sdtv.computer", direction: str = "rgb2yuv", source: str = "rgb8.planar", target: str = "yuv444p8") -> None:
+    """Raw files of three full planes by a named colour conversion, one each: components are converted sample by sample, then stored from 0 to 255."""
+    a, b = canonical(source), canonical(target)
+    if (a.depth, b.depth) != (8, 8) or {a.subsample, b.subsample} - {None, "444"}:
+        raise ValueError("full planes of 8 bits are read and written")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "content")
+    there = files.withColumn("p", representations.plane_values(F.col("content"), a.name, w, h))
+    zipped = there.withColumn("z", F.arrays_zip(*[F.col("p")[c].alias(c) for c in a.order]))
+    each = colour.convert_sql(Spark, name, direction, [f"s.{c}" for c in a.order])
+    stored = [F.expr(f"transform(z, s -> cast(least(255, greatest(0, {e})) as int))") for e in each]
+    out = zipped.select("name", F.concat(*stored).alias("v"))
+    video.write_whole(out.select("name", y4m.pack_samples("v").alias("content")), folder)
 
 
 def demosaiced(spark: SparkSession, path: str, fmt: str, w: int, h: int, **options) -> DataFrame:

@@ -64,20 +64,3 @@ def read_mosaics(spark: SparkSession, path: str, fmt: str, w: int, h: int, stric
     fits = F.col("length") == size if strict else F.col("length") >= size
     checked = files.withColumn("content", F.when(fits, F.expr(f"substring(content, 1, {size})")).otherwise(F.raise_error(F.concat(F.lit(f"a file is not of {size} bytes: "), "path"))))
     return mosaic_samples(checked.select("path", "content"), "content", fmt)
-
-
-def write_files(df: DataFrame, folder: str, name: str = "name", content: str = "content") -> None:
-    """Each row's bytes as a file of its own, by the executors, into a folder that they share."""
-    target = folder.removeprefix("file://")
-
-    def save(rows) -> None:
-        import os
-
-        for r in rows:
-            path = os.path.join(target, r[name])
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(path + ".part", "wb") as f:
-                f.write(bytes(r[content]))
-            os.replace(path + ".part", path)  # a task that runs twice leaves one whole file
-
-    df.select(name, content).foreachPartition(save)

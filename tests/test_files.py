@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import formats, texts
-from tessera.operators import blocks, metrics, pixels, planes, results
-from tessera.sources import hevc, jpeg, raw, y4m
+from tessera.operators import blocks, metrics, pixels, planes, representations, results
+from tessera.sources import hevc, jpeg, raw, video, y4m
 
 
 def test_formats():
@@ -22,7 +22,7 @@ def test_stream_files_round_trip(spark, tmp_path):
     rows = [(k, f, [k * 20 + f + p for p in range(16)], [100 + f] * 4, [50 + k] * 4) for k in range(3) for f in range(2)]
     df = spark.createDataFrame(rows, "clip long, frame_no int, v array<int>, u array<int>, w array<int>")
     files = y4m.file_bytes(df, ["clip"], 4, 4, "420", ["v", "u", "w"], colorrange="full", extension={"EXTCS": "RG10"})
-    raw.write_files(files.withColumn("name", F.concat("clip", F.lit(".y4m"))), "file://" + str(tmp_path))
+    video.write_whole(files.withColumn("name", F.concat("clip", F.lit(".y4m"))), "file://" + str(tmp_path))
     back = y4m.planes(y4m.read(spark, str(tmp_path))).orderBy("path", "frame_no").collect()
     assert [(r.luma, r.u, r.v, r.colorrange) for r in back] == [(v, u, w, "FULL") for _, _, v, u, w in rows]
     assert back[0].extension["EXTCS"] == "RG10"
@@ -33,7 +33,7 @@ def test_streaming_frames(spark, tmp_path):
     from tessera.streaming.frames import frame_stream
 
     df = spark.createDataFrame([(0, f, [f] * 16) for f in range(3)], "clip long, frame_no int, v array<int>")
-    raw.write_files(y4m.file_bytes(df, ["clip"], 4, 4, "mono", ["v"]).withColumn("name", F.lit("a.y4m")), str(tmp_path / "in"))
+    video.write_whole(y4m.file_bytes(df, ["clip"], 4, 4, "mono", ["v"]).withColumn("name", F.lit("a.y4m")), str(tmp_path / "in"))
     query = frame_stream(spark, str(tmp_path / "in")).select("frame_no", F.octet_length("payload").alias("n")).writeStream.format("memory").queryName("frames_seen").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted(tuple(r) for r in spark.table("frames_seen").collect()) == [(0, 16), (1, 16), (2, 16)]
@@ -139,7 +139,7 @@ def test_convert_and_read_by_kind(spark, tmp_path):
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.raw").write_bytes(bytes(range(1, 21)))
-    images.convert_mosaics(spark, str(tmp_path / "in"), "pRAA", 4, 4, "bayer_rggb16le", str(tmp_path / "out"))
+    representations.convert_files(spark, str(tmp_path / "in"), "pRAA", 4, 4, "bayer_rggb16le", str(tmp_path / "out"))
     data = (tmp_path / "out" / "a.raw").read_bytes()
     assert [int.from_bytes(data[i : i + 2], "little") for i in range(0, 8, 2)] == [5 << 6, 9 << 6, 12 << 6, 16 << 6]
     rgb = images.demosaiced(spark, str(tmp_path / "in"), "pRAA", 4, 4).first()
@@ -155,6 +155,21 @@ def test_convert_and_read_by_kind(spark, tmp_path):
         images.read(spark, str(tmp_path), ".xyz")
 
 
+def test_convert_colour_files(spark, tmp_path):
+    """Planes of red, green and blue to luma and chroma, as the conversion of single samples gives them."""
+    from tessera.functions import colour
+    from tessera.sources import images
+
+    (tmp_path / "in").mkdir()
+    r, g, b = [10, 200, 0, 255], [20, 100, 0, 255], [30, 50, 255, 255]
+    (tmp_path / "in" / "a.rgb").write_bytes(bytes(r + g + b))
+    images.convert_colour_files(spark, str(tmp_path / "in"), 2, 2, str(tmp_path / "out"))
+    want = colour.convert(spark.createDataFrame(list(zip(range(4), r, g, b, strict=True)), "k int, r int, g int, b int")).orderBy("k").collect()
+    assert (tmp_path / "out" / "a.rgb").read_bytes() == bytes([x[c] for c in ("c0", "c1", "c2") for x in want])
+    with pytest.raises(ValueError):
+        images.convert_colour_files(spark, str(tmp_path / "in"), 2, 2, str(tmp_path / "o"), target="yuv420p8")
+
+
 def test_inner_border_demosaic(spark):
     df = spark.createDataFrame([(0, list(range(16)))], "image_id long, v array<int>")
     row = planes.demosaic_inner(df, "BGgR", 4, 4).first()
