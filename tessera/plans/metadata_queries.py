@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from ..sources import hevc, icc, jpeg
+from ..operators import planes
+from ..sources import hevc, icc, jpeg, jpeg_pixels
 from .registry import register
 
 # ---- parameter sets ----
@@ -86,3 +88,28 @@ register(
     """SELECT p_partkey, array_to_string(list_transform(range(CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 3 THEN 5 ELSE 7 END), lambda j: ((((p_partkey + j) % 64) / 16.0::DOUBLE) - 1)::VARCHAR), ' ') AS red,
     p_brand AS kind, 'none' AS blue FROM part""",
 )
+
+
+# ---- pixels of baseline files ----
+
+
+@F.pandas_udf(BinaryType())
+def _coded(v: pd.Series) -> pd.Series:
+    return pd.Series([jpeg_pixels.encode([np.array(x).reshape(8, 8)], [(1, 1)], 8, 8, q=12) for x in v])
+
+
+def decoded_pixels(s, d) -> DataFrame:
+    """The images as baseline files, decoded again."""
+    files = planes.planes(s, d).select("image_id", _coded("v").alias("content"))
+    read = files.select("image_id", jpeg_pixels.decoded(F.col("content")).alias("d"))
+    return planes.samples(read.select("image_id", "d.status", F.col("d.planes")["y"]["v"].alias("v")))
+
+
+_cos = "(CASE WHEN {u} = 0 THEN sqrt(0.125::DOUBLE) ELSE 0.5::DOUBLE END * cos((2 * {x} + 1) * {u} * pi() / 16))"
+register(
+    "src24_baseline_pixels", decoded_pixels,
+    f"""WITH n AS (SELECT unnest(range(8)) AS k), basis AS MATERIALIZED (SELECT a.k AS u, b.k AS x, {_cos.format(u='a.k', x='b.k')} AS c FROM n a, n b),
+    c AS MATERIALIZED (SELECT image_id, f.u AS i, g.u AS j, floor(sum((v - 128) * f.c * g.c) / 12 + 0.5 + 1e-7) AS q FROM plane p JOIN basis f ON f.x = p.y JOIN basis g ON g.x = p.x GROUP BY ALL)
+    SELECT image_id, 'ok' AS status, CAST(f.x AS INT) AS y, CAST(g.x AS INT) AS x, CAST(least(255, greatest(0, floor(sum(12 * q * f.c * g.c) + 0.5 + 1e-7) + 128)) AS INT) AS v
+    FROM c JOIN basis f ON f.u = c.i JOIN basis g ON g.u = c.j GROUP BY image_id, f.x, g.x""", "plane",
+)

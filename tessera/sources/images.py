@@ -9,7 +9,7 @@ from ..functions import colour
 from ..functions.formats import canonical
 from ..functions.sql import Spark
 from ..operators import planes, representations
-from . import jpeg, raw, video, y4m
+from . import jpeg, jpeg_pixels, raw, video, y4m
 
 READERS = {".y4m": "frames", ".jpg": "markers", ".jpeg": "markers", ".png": "pixels", ".csv": "table"}
 
@@ -29,6 +29,43 @@ def read(spark: SparkSession, path: str, extension: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
 
 
+#: One schema for pixels of any kind: each plane is an array of samples with its own size.
+PLANES = "path string, frame_no bigint, w int, h int, depth int, planes map<string,struct<v:array<int>,w:int,h:int>>, status string"
+
+
+def read_planes(spark: SparkSession, path: str) -> DataFrame:
+    """path, frame_no, w, h, depth, planes, status of the Y4M, JPEG, PNG and BMP files below a folder. Files that cannot be read, of other kinds too, have a status other than ok and no planes.
+
+    Y4M frames are read by ranges of bytes (a broken stream is an error), the others file by file.
+    """
+    plane = lambda v, w, h: F.struct(v.alias("v"), F.expr(w).cast("int").alias("w"), F.expr(h).cast("int").alias("h"))
+    frames = video.read_video(spark, path)
+    values = lambda a, n: y4m.sample_values(F.expr(f"substring(payload, cast({a} * each + 1 as int), cast({n} * each as int))"), 16)
+    narrow = lambda a, n: y4m.sample_values(F.expr(f"substring(payload, cast({a} + 1 as int), cast({n} as int))"), 8)
+    luma, chroma = "w * h", "chroma_w * chroma_h"
+    each = frames.withColumn("each", F.when(F.col("depth") == 8, 1).otherwise(2))
+    parts = []
+    for wide in (False, True):
+        read = values if wide else narrow
+        own = each.filter("depth > 8" if wide else "depth = 8")
+        own = own.withColumns({"_y": read("0", luma), "_u": read(luma, chroma), "_v": read(f"({luma} + {chroma})", chroma)})
+        three = F.create_map(F.lit("y"), plane(F.col("_y"), "w", "h"), F.lit("u"), plane(F.col("_u"), "chroma_w", "chroma_h"), F.lit("v"), plane(F.col("_v"), "chroma_w", "chroma_h"))
+        one = F.create_map(F.lit("y"), plane(F.col("_y"), "w", "h"))
+        parts.append(own.select("path", "frame_no", "w", "h", "depth", F.when(F.col("chroma_w") == 0, one).otherwise(three).alias("planes"), F.lit("ok").alias("status")))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).alias("kind"), "content")
+    jpegs = files.filter(F.col("kind").isin(".jpg", ".jpeg")).select("path", jpeg_pixels.decoded(F.col("content")).alias("d")).select("path", F.lit(0).cast("long").alias("frame_no"), "d.w", "d.h", "d.depth", "d.planes", "d.status")
+    pixels = spark.read.format("image").option("pathGlobFilter", "*.{png,bmp,PNG,BMP}").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(path).select("image.*")
+    samples = pixels.filter("height > 0").withColumn("s", y4m.byte_values(F.col("data")))
+    of = lambda k: F.expr(f"transform(sequence(0, width * height - 1), i -> get(s, i * nChannels + {k}))")
+    coloured = F.create_map(*[x for c, k in (("r", 2), ("g", 1), ("b", 0)) for x in (F.lit(c), plane(of(k), "width", "height"))])
+    grey = F.create_map(F.lit("y"), plane(F.col("s"), "width", "height"))
+    drawn = samples.select(F.col("origin").alias("path"), F.lit(0).cast("long").alias("frame_no"), F.col("width").alias("w"), F.col("height").alias("h"), F.lit(8).alias("depth"), F.when(F.col("nChannels") >= 3, coloured).otherwise(grey).alias("planes"), F.lit("ok").alias("status"))
+    broken = pixels.filter("height <= 0").select(F.col("origin").alias("path"), F.lit("no image").alias("status"))
+    foreign = files.filter(~F.col("kind").isin(".y4m", ".jpg", ".jpeg", ".png", ".bmp")).select("path", F.concat(F.lit("no reader for "), "kind").alias("status"))
+    out = parts[0].unionByName(parts[1]).unionByName(jpegs).unionByName(drawn)
+    return out.unionByName(broken.unionByName(foreign), allowMissingColumns=True)
+
+
 def colour_range(spark: SparkSession, path: str) -> DataFrame:
     """path and colour range by kind: JPEG is full range, Y4M says so itself."""
     names = raw.metadata(spark, path)
