@@ -134,10 +134,6 @@ def h273_matrix(mc: int) -> np.ndarray:
     raise ValueError(f"matrix coefficients {mc} are not supported")
 
 
-#: The inverse for 14 is published for the other transfer (perceptual) matrix.
-_ICTCP_BACK = np.array([[0.5, 0.5, 0], [6610 / 4096, -7465 / 4096, 3840 / 4096 - 2985 / 4096], [9500 / 4096, -9212 / 4096, -288 / 4096]])
-
-
 def h273(d, x: list[str], mc: int, forward: bool, yuv_limited: bool = False, rgb_limited: bool = False, standard: bool = False) -> list[str]:
     """H.273 matrix coefficients over 8-bit components."""
     half = 128

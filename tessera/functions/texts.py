@@ -34,29 +34,38 @@ RENAMED_KEYS = {
 }
 
 
-def number_after(text: Column, key: str) -> Column:
-    """The number that follows `key:` at a line's start, null if there is none."""
-    import re
-
-    return F.nullif(F.regexp_extract(text, r"(?m)^\s*" + re.escape(key) + r": ([^\r\n]*)", 1), F.lit(""))
+def gnu_time_fields(text: Column) -> Column:
+    """A struct of a GNU time report: integers, seconds, percent; elapsed time in seconds; user plus system time. The report is cut into lines once; what it does not say is null."""
+
+    def fields(lines: Column) -> Column:
+        def after(key: str) -> Column:
+            line = F.get(F.filter(lines, lambda s: F.startswith(s, F.lit(key + ": "))), F.lit(0))
+            return F.nullif(F.rtrim(F.substring(line, F.lit(len(key) + 3), F.length(line))), F.lit(""))
+
+        raw, out = {name: after(key) for key, name in GNU_TIME.items()}, {}
+        for name, c in raw.items():
+            if name == "command":
+                out[name] = c
+            elif name in ("usertime", "systemtime"):
+                out[name] = c.try_cast("double")
+            elif name == "cpu":
+                out[name] = F.rtrim(F.translate(c, "%", "")).try_cast("double")
+            elif name == "elapsed":
+                parts = F.reverse(F.split(c, ":"))  # seconds, minutes, hours
+                out[name] = F.coalesce(F.get(parts, F.lit(2)).try_cast("double"), F.lit(0.0)) * 3600 + F.get(parts, F.lit(1)).try_cast("double") * 60 + F.get(parts, F.lit(0)).try_cast("double")
+            else:
+                out[name] = c.try_cast("long")
+        out["usersystemtime"] = out["usertime"] + out["systemtime"]
+        return F.struct(*[c.alias(k) for k, c in out.items()])
+
+    lines = F.transform(F.split(F.translate(text, "\r", ""), "\n"), lambda s: F.ltrim(F.translate(s, "\t", " ")))
+    return F.get(F.transform(F.array(lines), fields), F.lit(0))
 
 
 def gnu_time(text: Column) -> dict[str, Column]:
-    """Columns of a GNU time report: integers, seconds, percent; elapsed time in seconds; and user plus system time."""
-    raw = {name: number_after(text, key) for key, name in GNU_TIME.items()}
-    out = {"command": raw["command"]}
-    for name, c in raw.items():
-        if name in ("usertime", "systemtime"):
-            out[name] = c.try_cast("double")
-        elif name == "cpu":
-            out[name] = F.regexp_replace(c, "%", "").try_cast("double")
-        elif name == "elapsed":
-            part = lambda k, c=c: F.regexp_extract(c, r"(?:(\d+):)?(\d+):(\d+(?:\.\d+)?)$", k)
-            out[name] = F.coalesce(part(1).try_cast("double"), F.lit(0.0)) * 3600 + part(2).try_cast("double") * 60 + part(3).try_cast("double")
-        elif name != "command":
-            out[name] = c.try_cast("long")
-    out["usersystemtime"] = out["usertime"] + out["systemtime"]
-    return out
+    """The fields of gnu_time_fields as columns."""
+    all_fields = gnu_time_fields(text)
+    return {k: all_fields[k] for k in [*GNU_TIME.values(), "usersystemtime"]}
 
 
 def psnr_of(text: Column) -> Column:

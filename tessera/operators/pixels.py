@@ -43,9 +43,14 @@ def tint_extremes(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when((F.col("y_") == 254) & flat, bright[i]).when((F.col("y_") == 1) & flat, dark[i]).otherwise(F.col(c)) for i, c in enumerate(("y_", "u", "v"))})
 
 
+def drawn(*keys: str, seed: int = 0) -> Column:
+    """A number below 2^32 that follows from keys and a seed, by their MD5: the same on any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def noise(df: DataFrame, level: int, seed: int = 0, column: str = "v", top: int = 255) -> DataFrame:
     """Adds a uniform integer in [-level, level), the same for a pixel whenever it is computed, then clips."""
-    draw = F.pmod(F.xxhash64(*PIXEL, F.lit(seed)), F.lit(2 * level)) - level
+    draw = F.pmod(drawn(*PIXEL, seed=seed), F.lit(2 * level)) - level
     return df.withColumn(column, F.least(F.lit(top), F.greatest(F.lit(0), F.col(column) + draw)).cast("int"))
 
 

@@ -258,7 +258,10 @@ register("flt04_tint", lambda s, d: pixels.tint_extremes(planes.triples(s, d).se
     SELECT image_id, y, x, CASE WHEN u = 128 AND v = 128 AND y_ = 254 THEN 129 WHEN u = 128 AND v = 128 AND y_ = 1 THEN 128 ELSE y_ END AS y_,
     CASE WHEN u = 128 AND v = 128 AND y_ = 254 THEN 48 WHEN u = 128 AND v = 128 AND y_ = 1 THEN 160 ELSE u END AS u,
     CASE WHEN u = 128 AND v = 128 AND y_ = 254 THEN 160 WHEN u = 128 AND v = 128 AND y_ = 1 THEN 48 ELSE v END AS v FROM t""", "rgb")
-register("flt05_noise", lambda s, d: pixels.noise(long_plane()(s, d), 20))
+register(
+    "flt05_noise", lambda s, d: pixels.noise(long_plane()(s, d), 20),
+    "SELECT image_id, y, x, CAST(least(255, greatest(0, v + ('0x' || substr(md5(image_id || ':' || y || ':' || x || ':0'), 1, 8))::BIGINT % 40 - 20)) AS INT) AS v FROM plane", "plane",
+)
 
 
 def _mixed(s, d):
@@ -358,9 +361,9 @@ for _c in blocks.CODECS:
 
 
 def _round_trip(s, d):
-    p = planes.extremes(planes.planes(s, d)).select("image_id", "v")
-    back = blocks.decode_planes(blocks.encode_planes(p, "bitmap", 8, 8, 4))
-    return planes.samples(back)
+    """Planes of all values in blocks of 3, so that they are filled up and cut again, at 4 bits."""
+    p = planes.planes(s, d).select("image_id", "v")
+    return planes.samples(blocks.decode_planes(blocks.encode_planes(p, "resolution-4", 8, 8, 3)))
 
 
-register("alp05_file_round_trip", _round_trip, "SELECT image_id, y, x, v FROM ext", "ext")
+register("alp05_file_round_trip", _round_trip, "SELECT image_id, y, x, (v >> 4) << 4 AS v FROM plane", "plane")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions import colour, ranges, texts
 from ..functions.sql import Duck, Spark
@@ -28,7 +31,7 @@ def mosaic_planes(s, d) -> DataFrame:
 # ---- buffers ----
 
 register("pck10_planar_buffer", lambda s, d: listed(mosaic_planes(s, d).withColumn("b", F.concat("R0", "G0", "g1", "B0")), "b"), "SELECT image_id, CAST(((y % 2) * 2 + x % 2) * 16 + (y // 2) * 4 + x // 2 AS INT) AS p, v FROM plane", "plane")
-register("pck14_planar_16bit", lambda s, d: planes.planes(s, d, 10).withColumn("b", y4m.pack_samples("v", 10)).select("image_id", F.octet_length("b").alias("n"), F.hex(F.expr("substring(b, 1, 8)")).alias("head")), "SELECT image_id, 128 AS n, string_agg(printf('%02X%02X', v & 255, v >> 8), '' ORDER BY x) FILTER (y = 0 AND x < 4) AS head FROM plane10 GROUP BY image_id", "plane10")
+register("pck14_planar_16bit", lambda s, d: planes.planes(s, d, 10).withColumn("b", y4m.pack_samples("v", 10)).select("image_id", F.octet_length("b").alias("n"), F.hex("b").alias("bytes")), "SELECT image_id, 128 AS n, string_agg(printf('%02X%02X', v & 255, v >> 8), '' ORDER BY y, x) AS bytes FROM plane10 GROUP BY image_id", "plane10")
 
 
 def differences_420(s, d) -> DataFrame:
@@ -146,18 +149,22 @@ register("str19_mix_definition", lambda s, d: tq._read(s, d, "part").select("p_p
 
 
 def matrices(s, d) -> DataFrame:
-    """Each transfer matrix times its inverse: ones and zeros."""
-    import numpy as np
+    """The inverse of each matrix times pixels, taken as luma and chroma from 0 to 1."""
+    px = planes.triples(s, d).select(*PIXEL, *[F.expr(f"{c} / 255D").alias(k) for c, k in zip("rgb", "luv", strict=True)])
+    out = None
+    for mc in (1, 5, 9):
+        back = np.linalg.inv(colour.transfer_matrix(mc))[:3]
+        rows = px.select(F.lit(mc).alias("mc"), *PIXEL, *[F.round(F.expr(e), 6).alias(c) for c, e in zip("rgb", colour.affine(Spark, back, list("luv")), strict=True)])
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
-    rows = []
-    for mc in (0, 1, 4, 5, 6, 7, 8, 9, 10, 11):
-        m = colour.transfer_matrix(mc)
-        for (i, j), v in np.ndenumerate(np.round(m @ np.linalg.inv(m), 9) + 0.0):
-            rows.append((mc, i, j, float(v)))
-    return s.createDataFrame(rows, "mc int, i int, j int, v double")
 
-
-register("mth02_matrix_inverse", matrices, "SELECT mc, CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM (SELECT unnest([0, 1, 4, 5, 6, 7, 8, 9, 10, 11]) AS mc), (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j)")
+register(
+    "mth02_matrix_inverse", matrices,
+    """WITH k(mc, kr, kb) AS (VALUES (1, 0.2126::DOUBLE, 0.0722::DOUBLE), (5, 0.299::DOUBLE, 0.114::DOUBLE), (9, 0.2627::DOUBLE, 0.0593::DOUBLE)),
+    p AS (SELECT mc, kr, kb, image_id, y, x, r / 255.0::DOUBLE AS l, l + 2 * (1 - kr) * (b / 255.0::DOUBLE - 0.5) AS red, l + 2 * (1 - kb) * (g / 255.0::DOUBLE - 0.5) AS blue FROM rgb, k)
+    SELECT mc, image_id, y, x, round(red, 6) AS r, round((l - kr * red - kb * blue) / (1 - kr - kb), 6) AS g, round(blue, 6) AS b FROM p""", "rgb",
+)
 register(
     "exp13_relabelled", lambda s, d: planes.samples(planes.mosaic_planes(planes.planes(s, d).drop("label"), "BGgR").select("image_id", F.col("R0").alias("first"), F.col("B0").alias("last")), 4, r="first", b="last"),
     "SELECT image_id, CAST(y // 2 AS INT) AS y, CAST(x // 2 AS INT) AS x, l[y * 8 + x + 1] AS r, l[(y - 1) * 8 + x - 1 + 1] AS b FROM spot WHERE y % 2 = 1 AND x % 2 = 1", "spot",
@@ -220,26 +227,40 @@ def colorimetry(s, d) -> DataFrame:
 
 register("meta10_colorimetry", colorimetry, "SELECT p_partkey, k, CASE k WHEN 'hevc:cp' THEN p_size::VARCHAR WHEN 'hvcC:level' THEN (p_size + 1)::VARCHAR WHEN 'colr:fr' THEN (p_size % 2)::VARCHAR ELSE 'nclx' END AS v FROM part, (VALUES ('hevc:cp'), ('hvcC:level'), ('colr:fr'), ('colr:colour_type')) t(k)")
 
-#: A segment of each kind: marker, its bytes, and what is read from it.
+#: A segment of each kind whose fields follow from a document's number k: its marker, its bytes, and what is read from it, in SQL over k.
+_b = lambda n: f"' || ({n}) || '"
+_list = lambda e, n: f"' || array_to_string(list_transform(range({n}), lambda i: ({e})), ', ') || '"
+_two = lambda v: int(v).to_bytes(2, "big")
 SEGMENTS = {
-    "jpg03_app0": (0xE0, b"JFIF\0\1\2\1\0\x48\0\x48\0\0", '{"type": "JFIF", "version_major": 1, "version_minor": 2, "density_units": 1, "xdensity": 72, "ydensity": 72, "xthumbnail": 0, "ythumbnail": 0}'),
-    "jpg04_app1": (0xE1, b"Exif\0\0II", '{"type": "EXIF"}'), "jpg04_xmp": (0xE1, b"http://ns.adobe.com/xap/1.0/\0<x/>", '{"type": "Adobe XMP"}'), "jpg05_app2": (0xE2, b"ICC_PROFILE\0\1\3", '{"type": "ICC_PROFILE", "chunk": 1, "chunks": 3}'),
-    "jpg05_mpf": (0xE2, b"MPF\0II", '{"type": "MPF"}'), "jpg06_app14": (0xEE, b"Adobe\0\x64\0\0\1", '{"version": 100, "flags0": 0, "flags1": 0, "transform": "YCbCr"}'), "jpg07_comment": (0xFE, b"made here", '{"comment": "made here"}'),
-    "jpg08_quantisation": (0xDB, bytes([2] + [5] * 64), '{"tables": [{"Pq": 0, "Tq": 2, "Q": [' + ", ".join(["5"] * 64) + "]}]}"), "jpg09_restart": (0xDD, b"\0\x10", '{"interval": 16}'),
-    "jpg10_scan": (0xDA, bytes([1, 1, 0x12, 0, 63, 0x21]), '{"components": [{"component_id": 1, "component": "Y", "dc": 1, "ac": 2}], "spectral_selection": [0, 63], "approximation": [2, 1]}'),
-    "jpg11_frame": (0xC2, bytes([8, 0, 2, 0, 3, 1, 1, 0x21, 0]), '{"sof": 2, "sample_precision": 8, "number_of_lines": 2, "number_of_samples_per_line": 3, "components": [{"component_id": 1, "component": "Y", "horizontal": 2, "vertical": 1, "table": 0}]}'),
-    "jpg12_huffman": (0xC4, bytes([0x10, 1] + [0] * 15 + [9]), '{"tables": [{"Tc": 1, "Th": 0, "L": [1' + ", 0" * 15 + '], "V": [[9]' + ", []" * 15 + "]}]}"),
-    "jpg13_ls_parameters": (0xF8, bytes([1, 0, 255, 0, 3, 0, 7, 0, 21, 0, 64]), '{"lse_id": 1, "type": "Preset coding parameters", "MAXVAL": 255, "T1": 3, "T2": 7, "T3": 21, "RESET": 64}'),
-    "jpg13_ls_table": (0xF8, bytes([2, 1, 2, 9, 9, 9, 9]), '{"lse_id": 2, "type": "Mapping table specification", "table_id": 1, "entry_width": 2, "num_entries": 2}'), "jpg14_app13": (0xED, b"Photoshop 3.0\0x", '{"text": "Photoshop 3.0"}'), "jpg14_other": (0xE5, b"zz", "{}"),
+    "jpg03_app0": (0xE0, lambda k: b"JFIF\0" + bytes([1, k % 3, k % 2]) + _two(k % 600) + _two(72) + bytes([k % 5, 0]), '{"type": "JFIF", "version_major": 1, "version_minor": ' + _b("k % 3") + ', "density_units": ' + _b("k % 2") + ', "xdensity": ' + _b("k % 600") + ', "ydensity": 72, "xthumbnail": ' + _b("k % 5") + ', "ythumbnail": 0}'),
+    "jpg04_app1": (0xE1, lambda k: [b"Exif\0\0II", b"Exif\0\xffMM", b"other"][k % 3], '{"type": "' + _b("CASE WHEN k % 3 < 2 THEN 'EXIF' ELSE 'unknown' END") + '"}'),
+    "jpg04_xmp": (0xE1, lambda k: (b"http://ns.adobe.com/xap/1.0/\0" if k % 2 else b"http://ns.adobe.com/xmp/extension/\0") + b"x" * (k % 40), '{"type": "' + _b("CASE WHEN k % 2 = 1 THEN 'Adobe XMP' ELSE 'Adobe extended XMP' END") + '"}'),
+    "jpg05_app2": (0xE2, lambda k: b"ICC_PROFILE\0" + bytes([1 + k % 3, 3]) + b"p" * (k % 9), '{"type": "ICC_PROFILE", "chunk": ' + _b("1 + k % 3") + ', "chunks": 3}'),
+    "jpg05_mpf": (0xE2, lambda k: b"MPF\0II" if k % 4 else b"FPXR\0", '{"type": "' + _b("CASE WHEN k % 4 <> 0 THEN 'MPF' ELSE 'unknown' END") + '"}'),
+    "jpg06_app14": (0xEE, lambda k: b"Adobe\0" + bytes([k % 200, k % 7, 0, k % 4]), '{"version": ' + _b("k % 200") + ', "flags0": ' + _b("k % 7") + ', "flags1": 0, "transform": "' + _b("['Unknown (RGB or CMYK)', 'YCbCr', 'YCCK', 'unknown'][1 + k % 4]") + '"}'),
+    "jpg07_comment": (0xFE, lambda k: f"made here by number {k}".encode() + b"\xc3", '{"comment": "made here by number ' + _b("k") + '"}'),
+    "jpg08_quantisation": (0xDB, lambda k: bytes([k % 4]) + bytes(i * (k % 4) for i in range(64)) if k % 2 else bytes([0x10 | k % 4]) + b"".join(_two(i * (k % 11) + 1000) for i in range(64)), '{"tables": [{"Pq": ' + _b("(k + 1) % 2") + ', "Tq": ' + _b("k % 4") + ', "Q": [' + _list("i * (CASE WHEN k % 2 = 1 THEN k % 4 ELSE k % 11 END) + ((k + 1) % 2) * 1000", 64) + "]}]}"),
+    "jpg09_restart": (0xDD, lambda k: _two(k % 65536), '{"interval": ' + _b("k % 65536") + "}"),
+    "jpg10_scan": (0xDA, lambda k: bytes([1, 1 + k % 6, (k % 2) << 4 | k % 3, 0, 63, (k % 4) << 4 | k % 5]), '{"components": [{"component_id": ' + _b("1 + k % 6") + ', "component": "' + _b("['Y', 'Cb', 'Cr', 'I', 'Q', 'Unknown(6)'][1 + k % 6]") + '", "dc": ' + _b("k % 2") + ', "ac": ' + _b("k % 3") + '}], "spectral_selection": [0, 63], "approximation": [' + _b("k % 4") + ", " + _b("k % 5") + "]}"),
+    "jpg11_frame": (0xC2, lambda k: bytes([8]) + _two(k % 4000) + _two(1 + k % 7000) + bytes([1, 1, (1 + k % 4) << 4 | 1 + k % 2, k % 3]), '{"sof": 2, "sample_precision": 8, "number_of_lines": ' + _b("k % 4000") + ', "number_of_samples_per_line": ' + _b("1 + k % 7000") + ', "components": [{"component_id": 1, "component": "Y", "horizontal": ' + _b("1 + k % 4") + ', "vertical": ' + _b("1 + k % 2") + ', "table": ' + _b("k % 3") + "}]}"),
+    "jpg12_huffman": (0xC4, lambda k: bytes([(k % 2) << 4 | k % 3, 0, k % 4] + [0] * 14 + [j + k % 50 for j in range(k % 4)]), '{"tables": [{"Tc": ' + _b("k % 2") + ', "Th": ' + _b("k % 3") + ', "L": [0, ' + _b("k % 4") + ", 0" * 14 + '], "V": [[], [' + _list("i + k % 50", "k % 4") + "]" + ", []" * 14 + "]}]}"),
+    "jpg13_ls_parameters": (0xF8, lambda k: bytes([1]) + b"".join(map(_two, (k % 4096, 3, 7, 21 + k % 9, 64))), '{"lse_id": 1, "type": "Preset coding parameters", "MAXVAL": ' + _b("k % 4096") + ', "T1": 3, "T2": 7, "T3": ' + _b("21 + k % 9") + ', "RESET": 64}'),
+    "jpg13_ls_table": (0xF8, lambda k: bytes([2, k % 9, 1 + k % 3]) + b"e" * (6 * (k % 5)), '{"lse_id": 2, "type": "Mapping table specification", "table_id": ' + _b("k % 9") + ', "entry_width": ' + _b("1 + k % 3") + ', "num_entries": ' + _b("6 * (k % 5) // (1 + k % 3)") + "}"),
+    "jpg14_app13": (0xED, lambda k: f"Photoshop {k % 9}.0".encode() + b"\0x", '{"text": "Photoshop ' + _b("k % 9") + '.0"}'), "jpg14_other": (0xE3, lambda k: b"z" * (k % 9), "{}"),
 }
 
 
 def segment_of(s, d, key: str) -> DataFrame:
-    """A file for each document with the segment, and what its marker says."""
+    """A file for each document with the segment behind a comment of its own length, and what its marker says."""
     marker, data, _ = SEGMENTS[key]
-    files = tq._read(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit(jpeg.build([(marker, data)])).alias("content"))
-    return jpeg.markers(files).filter(f"marker_id = {marker}").select("path", "offset", "contents")
+
+    @F.pandas_udf(BinaryType())
+    def files(ident: pd.Series) -> pd.Series:
+        return pd.Series([jpeg.build([(0xE7, b"c" * (k % 30)), (marker, data(k))]) for k in ident.tolist()])
+
+    docs = tq._read(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), files("doc_id").alias("content"))
+    return jpeg.markers(docs).filter(f"marker_id = {marker}").select("path", "offset", "contents")
 
 
 for _key, (_, _, _said) in SEGMENTS.items():
-    register(_key, lambda s, d, k=_key: segment_of(s, d, k), f"SELECT doc_id::VARCHAR AS path, CAST(2 AS BIGINT) AS \"offset\", '{_said}' AS contents FROM documents")
+    register(_key, lambda s, d, k=_key: segment_of(s, d, k), f"SELECT doc_id::VARCHAR AS path, CAST(6 + k % 30 AS BIGINT) AS \"offset\", '{_said}' AS contents FROM (SELECT doc_id, doc_id AS k FROM documents)")

