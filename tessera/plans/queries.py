@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, image_queries, layout_queries, metadata_queries, table_queries  # noqa: F401  they register
+from . import file_queries, graph_queries, image_queries, layout_queries, metadata_queries, table_queries  # noqa: F401  they register
 from .registry import ORACLES, QUERIES
 
 
