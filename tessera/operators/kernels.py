@@ -237,11 +237,11 @@ def write_buffer(planes: Planes, f: Format) -> np.ndarray:
 # ---- windows ----
 
 
-def _sums(v: np.ndarray, m: int, k: int) -> np.ndarray:
+def window_sums(v: np.ndarray, m: int, k: int) -> np.ndarray:
     """Sums of all m x k windows, by a summed-area table."""
-    s = np.zeros((v.shape[0] + 1, v.shape[1] + 1), np.int64)
-    s[1:, 1:] = v.cumsum(0).cumsum(1)
-    return s[m:, k:] - s[:-m, k:] - s[m:, :-k] + s[:-m, :-k]
+    s = np.zeros((*v.shape[:-2], v.shape[-2] + 1, v.shape[-1] + 1), np.int64)
+    s[..., 1:, 1:] = v.astype(np.int64).cumsum(-2).cumsum(-1)
+    return s[..., m:, k:] - s[..., :-m, k:] - s[..., m:, :-k] + s[..., :-m, :-k]
 
 
 def products(v: np.ndarray, needle: np.ndarray) -> np.ndarray:
@@ -260,7 +260,7 @@ def correlation(v: np.ndarray, needle: np.ndarray) -> np.ndarray:
     """Normalised correlation, means removed, of a needle with the window at each place where it fits; 0 where either is flat. Nine places."""
     m, k = needle.shape
     n, t, v = m * k, needle.astype(np.int64), v.astype(np.int64)
-    si, sii, sti = _sums(v, m, k), _sums(v * v, m, k), products(v, t)
+    si, sii, sti = window_sums(v, m, k), window_sums(v * v, m, k), products(v, t)
     own = float(n * int((t * t).sum()) - int(t.sum()) ** 2)
     var = own * (n * sii - si * si).astype(np.float64)
     return np.round(np.where(var > 0, (n * sti - int(t.sum()) * si) / np.sqrt(np.where(var > 0, var, 1)), 0.0), 9)

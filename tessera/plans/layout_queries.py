@@ -10,7 +10,7 @@ from pyspark.sql.types import BinaryType
 
 from ..functions import colour, ranges, texts
 from ..functions.sql import Duck, Spark
-from ..operators import blocks, metrics, pixels, planes, results
+from ..operators import blocks, kernels, metrics, pixels, planes, results
 from ..sources import jpeg, y4m
 from . import table_queries as tq
 from .image_queries import cells, demosaiced, long_plane
@@ -96,7 +96,15 @@ def shifted(s, d) -> DataFrame:
 
 
 register("joi05_shifted", shifted, "SELECT image_id, y, x, l[y * 8 + x + 1] AS v, CASE WHEN y >= 1 AND x >= 2 THEN l[(y - 1) * 8 + x - 2 + 1] END AS w FROM spot", "spot")
-register("joi06_every_offset", lambda s, d: planes.planes(s, d).select("image_id", F.explode(F.sequence(F.lit(0), F.lit(48))).alias("o"), "v").select("image_id", F.expr("o div 7").cast("int").alias("oy"), (F.col("o") % 7).alias("ox"), F.expr("aggregate(sequence(0, 3), 0L, (a, k) -> a + get(v, cast((o div 7 + k div 2) * 8 + o % 7 + k % 2 as int)))").alias("total")), "SELECT p.image_id, CAST(oy AS INT) AS oy, CAST(ox AS INT) AS ox, CAST(sum(v) AS BIGINT) AS total FROM (SELECT unnest(range(7)) AS oy) CROSS JOIN (SELECT unnest(range(7)) AS ox) JOIN plane p ON p.y BETWEEN oy AND oy + 1 AND p.x BETWEEN ox AND ox + 1 GROUP BY ALL", "plane")
+
+
+def every_offset(s, d) -> DataFrame:
+    """The sum of the 2 x 2 window at each place, from one summed-area table an image."""
+    sums = planes.by_kernel(planes.planes(s, d).drop("label"), "v", planes.SIDE, planes.SIDE, lambda v: {"t": kernels.window_sums(v, 2, 2)}, {"t": "t"})
+    return planes.samples(sums.drop("v"), planes.SIDE - 1, total="t").select("image_id", F.col("y").alias("oy"), F.col("x").alias("ox"), F.col("total").cast("long").alias("total"))
+
+
+register("joi06_every_offset", every_offset, "SELECT p.image_id, CAST(oy AS INT) AS oy, CAST(ox AS INT) AS ox, CAST(sum(v) AS BIGINT) AS total FROM (SELECT unnest(range(7)) AS oy) CROSS JOIN (SELECT unnest(range(7)) AS ox) JOIN plane p ON p.y BETWEEN oy AND oy + 1 AND p.x BETWEEN ox AND ox + 1 GROUP BY ALL", "plane")
 
 
 def neighbourhood(s, d) -> DataFrame:

@@ -101,8 +101,11 @@ def file_bytes(df: DataFrame, by: list[str], w: int, h: int, space: str, planes_
     return own.select(*by, F.concat(F.encode(head, "UTF-8"), F.unhex(F.array_join(F.transform("_f", lambda s: s["f"]), ""))).alias("content"))
 
 
-def read(spark: SparkSession, path: str, pattern: str = "*.y4m") -> DataFrame:
-    return frames(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content"))
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Frames of the streams below a folder, each file read by as many tasks as it has ranges."""
+    from .video import read_video
+
+    return read_video(spark, path)
 
 
 def supported_spaces() -> list[str]:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.y4m import frames
+from ..sources.video import register
 
 
-def frame_stream(spark: SparkSession, path: str, pattern: str = "*.y4m", max_files: int = 100) -> DataFrame:
-    """Frames of Y4M files as they arrive: a stateless projection, in append mode."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files).load(path)
-    return frames(files.select("path", "content"))
+def frame_stream(spark: SparkSession, path: str, planes: str = "yuv", frames_per_task: int = 256) -> DataFrame:
+    """Frames of the Y4M files below a folder as they are written, each once: offsets are frames of files, so that a file may grow between triggers and a restart goes on inside it."""
+    register(spark)
+    return spark.readStream.format("y4m").option("path", path).option("planes", planes).option("framesPerTask", frames_per_task).load()
 
 
 def running_averages(results: DataFrame, time: str, by: list[str], value: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:

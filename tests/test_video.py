@@ -24,8 +24,12 @@ def test_ranges_give_each_frame_once(spark, tmp_path):
         assert rows == [("a.y4m", k, f) for k, f in enumerate(frames)] + [("b.y4m", 0, b"\1\2" * 9)]
     one = got.filter("w = 4").first()
     assert (one.h, one.space, one.colorrange, one.extension["EXTCS"], one.depth, one.chroma_w, one.chroma_h) == (4, "420", "FULL", "RG10", 8, 2, 2)
-    old = {(os.path.basename(r.path), r.frame_no): bytes(r.payload) for r in y4m.read(spark, str(tmp_path)).collect()}
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", "*.y4m").option("recursiveFileLookup", "true").load(str(tmp_path))
+    old = {(os.path.basename(r.path), r.frame_no): bytes(r.payload) for r in y4m.frames(whole.select("path", "content")).collect()}
     assert old == {(p, n): f for p, n, f in rows}
+    (tmp_path / "d.y4m").write_bytes(b"no stream")
+    assert sorted((os.path.basename(r.path), r.frames, r.w, r.status.split(": ")[-1]) for r in video.heads(spark, str(tmp_path)).collect()) == [("a.y4m", 50, 4, "ok"), ("b.y4m", 1, 3, "ok"), ("d.y4m", None, None, "no Y4M stream")]
+    (tmp_path / "d.y4m").unlink()
     assert {len(r.payload) for r in video.read_video(spark, f"file://{tmp_path}/a.y4m", planes="uv").collect()} == {8}
     assert video.read_video(spark, str(tmp_path), planes="").count() == 51
 
