@@ -99,10 +99,13 @@ def settings(text: Column, keys: dict[str, str], prefix: str, sign: str = "=") -
 
 
 def colour_box(xml: Column) -> Column:
-    """A map of the colour information box of a container's XML."""
-    box = "//ColourInformationBox/@"
-    at = lambda name: F.call_function("xpath_string", xml, F.lit(box + name))
-    return F.map_from_entries(F.filter(F.array(*[F.struct(F.lit("colr:" + short).alias("k"), at(name).alias("v")) for name, short in (("colour_type", "colour_type"), ("colour_primaries", "cp"), ("transfer_characteristics", "tc"), ("matrix_coefficients", "mc"), ("full_range_flag", "fr"))]), lambda p: p["v"] != ""))
+    """A map of the colour information box of a container's XML, which is parsed once for all its values."""
+    names = {"colour_type": "colour_type", "colour_primaries": "cp", "transfer_characteristics": "tc", "matrix_coefficients": "mc", "full_range_flag": "fr"}
+    # U+0001 stands in no XML 1.0 text
+    found = F.split(F.call_function("xpath_string", xml, F.lit("concat(" + ", '\x01', ".join(f"//ColourInformationBox/@{n}" for n in names) + ")")), "\x01")
+    keys = F.array(*[F.lit("colr:" + short) for short in names.values()])
+    said = F.filter(F.arrays_zip(keys.alias("k"), F.coalesce(found, F.array().cast("array<string>")).alias("v")), lambda p: p["v"] != "")
+    return F.map_from_entries(said)
 
 
 def converted_file(text: Column, wanted: Column) -> Column:

@@ -12,6 +12,7 @@ from ..functions import colour, ranges, texts
 from ..functions.sql import Duck, Spark
 from ..operators import blocks, kernels, metrics, pixels, planes, results
 from ..sources import jpeg, y4m
+from ..sources.folders import dealt
 from . import table_queries as tq
 from .image_queries import cells, demosaiced, long_plane
 from .registry import register
@@ -227,10 +228,11 @@ register("str22_item_listing", lambda s, d: texts.container_items(tq._listing(s,
 
 def colorimetry(s, d) -> DataFrame:
     """Settings of a trace, of an SPS and of a colour box in one map."""
-    part = tq._read(s, d, "part").withColumn("_x", F.expr("concat('<a><ColourInformationBox colour_type=\"nclx\" full_range_flag=\"', p_size % 2, '\"/></a>')"))
+    part = dealt(tq._read(s, d, "part").select("p_partkey", "p_size"), "p_partkey").withColumn("_x", F.expr("concat('<a><ColourInformationBox colour_type=\"nclx\" full_range_flag=\"', p_size % 2, '\"/></a>')"))
     text = lambda m: F.transform_values(m, lambda k, v: v.cast("string"))
     m = F.map_concat(text(texts.settings(F.expr("concat('colour_primaries = ', p_size)"), texts.COLOUR_KEYS, "hevc:")), text(texts.settings(F.expr("concat('general_level_idc: ', p_size + 1)"), texts.SPS_KEYS, "hvcC:", ":")), texts.colour_box(F.col("_x")))
-    return part.select("p_partkey", m.alias("m")).select("p_partkey", F.explode("m").alias("k", "v"))
+    # explode would have its filter, and so all parsing, pushed below the deal as well
+    return part.select("p_partkey", m.alias("m")).select("p_partkey", F.explode_outer("m").alias("k", "v")).filter("k is not null")
 
 
 register("meta10_colorimetry", colorimetry, "SELECT p_partkey, k, CASE k WHEN 'hevc:cp' THEN p_size::VARCHAR WHEN 'hvcC:level' THEN (p_size + 1)::VARCHAR WHEN 'colr:fr' THEN (p_size % 2)::VARCHAR ELSE 'nclx' END AS v FROM part, (VALUES ('hevc:cp'), ('hvcC:level'), ('colr:fr'), ('colr:colour_type')) t(k)")

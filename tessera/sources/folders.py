@@ -1,11 +1,11 @@
-"""Folders that all machines of a session share, for files that a job writes and reads again."""
+"""Folders that all machines of a session share, for files that a job writes and reads again; rows shared out to all tasks."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -18,3 +18,8 @@ def scratch(spark: SparkSession, name: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by keys before work that costs much a row: a table of few bytes is one file's split, and so one task, however long that takes. The number is given, as small rows would be put together again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
