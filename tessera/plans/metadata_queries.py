@@ -10,6 +10,7 @@ from pyspark.sql.types import BinaryType
 
 from ..operators import planes
 from ..sources import hevc, icc, jpeg, jpeg_pixels
+from ..sources.folders import dealt
 from .registry import register
 
 # ---- parameter sets ----
@@ -27,7 +28,8 @@ def _sps_box(key: pd.Series, size: pd.Series) -> pd.Series:
 
 
 def boxes(s, d) -> DataFrame:
-    return s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("string").alias("path"), _sps_box("p_partkey", "p_size").alias("content"))
+    part = dealt(s.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size"), "p_partkey")
+    return part.select(F.col("p_partkey").cast("string").alias("path"), _sps_box("p_partkey", "p_size").alias("content"))
 
 
 _SETS = ("w", "h", "depth_luma", "profile", "level", "chroma_format", "sub_layers", "reference_sets", "fr", "cp", "tc", "mc")
