@@ -36,3 +36,20 @@ def test_colour_box_is_parsed_once(spark):
 
 def test_packed_pattern_needs_no_groups(spark):
     assert "Aggregate" not in plan_of(QUERIES["gen01_packed_pattern"](spark, DATA))
+
+
+def test_images_together_and_alone(spark):
+    """Images of one size are measured together; what fails fails alone, and each row is what the image alone gives."""
+    from tessera.operators import experiments
+
+    def codec(planes, depth, quality):
+        if int(next(iter(planes.values()))[0, 0]) == 9:
+            raise ValueError("a nine")
+        return experiments.bits(planes, depth, quality)
+
+    rows = [(str(k), bytes((k * 37 + i * i) % 251 for i in range(w * h - (k == 5))), w, h) for k, (w, h) in enumerate([(4, 4), (6, 4), (4, 4), (2, 2), (4, 4), (4, 4), (6, 4)])]
+    rows += [("nine", bytes([9] * 16), 4, 4), ("none", None, 4, 4), ("no size", b"1234", None, 2)]
+    run = lambda rows: experiments.run(spark.createDataFrame(rows, "infile string, content binary, w int, h int").coalesce(1), "bayer_rggb8", "w", "h", options=experiments.Options(codec=codec, qualities=(20, 60), averages=False)).collect()
+    together = run(rows)
+    assert len(together) == len(rows) * 14 and together == [r for row in rows for r in run([row])]
+    assert {r.infile for r in together if r.error is not None} == {"5", "nine", "none", "no size"} and all(r.psnr_bayer is not None for r in together if r.error is None)
