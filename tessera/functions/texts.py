@@ -34,15 +34,17 @@ RENAMED_KEYS = {
 }
 
 
-def gnu_time_fields(text: Column) -> Column:
-    """A struct of a GNU time report: integers, seconds, percent; elapsed time in seconds; user plus system time. The report is cut into lines once; what it does not say is null."""
+def gnu_time_fields(text: Column, names: list[str] | None = None) -> Column:
+    """A struct of a GNU time report: integers, seconds, percent; elapsed time in seconds; user plus system time. The report is cut into lines once; what it does not say is null. names: the fields that are looked for, all if not given."""
+    wanted = set(names or (*GNU_TIME.values(), "usersystemtime"))
+    added = {"usertime", "systemtime"} if "usersystemtime" in wanted else set()
 
     def fields(lines: Column) -> Column:
         def after(key: str) -> Column:
             line = F.get(F.filter(lines, lambda s: F.startswith(s, F.lit(key + ": "))), F.lit(0))
             return F.nullif(F.rtrim(F.substring(line, F.lit(len(key) + 3), F.length(line))), F.lit(""))
 
-        raw, out = {name: after(key) for key, name in GNU_TIME.items()}, {}
+        raw, out = {name: after(key) for key, name in GNU_TIME.items() if name in wanted | added}, {}
         for name, c in raw.items():
             if name == "command":
                 out[name] = c
@@ -55,8 +57,9 @@ def gnu_time_fields(text: Column) -> Column:
                 out[name] = F.coalesce(F.get(parts, F.lit(2)).try_cast("double"), F.lit(0.0)) * 3600 + F.get(parts, F.lit(1)).try_cast("double") * 60 + F.get(parts, F.lit(0)).try_cast("double")
             else:
                 out[name] = c.try_cast("long")
-        out["usersystemtime"] = out["usertime"] + out["systemtime"]
-        return F.struct(*[c.alias(k) for k, c in out.items()])
+        if added:
+            out["usersystemtime"] = out["usertime"] + out["systemtime"]
+        return F.struct(*[c.alias(k) for k, c in out.items() if k in wanted])
 
     lines = F.transform(F.split(F.translate(text, "\r", ""), "\n"), lambda s: F.ltrim(F.translate(s, "\t", " ")))
     return F.get(F.transform(F.array(lines), fields), F.lit(0))

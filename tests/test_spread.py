@@ -53,3 +53,12 @@ def test_images_together_and_alone(spark):
     together = run(rows)
     assert len(together) == len(rows) * 14 and together == [r for row in rows for r in run([row])]
     assert {r.infile for r in together if r.error is not None} == {"5", "nine", "none", "no size"} and all(r.psnr_bayer is not None for r in together if r.error is None)
+
+
+def test_time_report_is_read_for_what_is_asked(spark):
+    report = "\tCommand being timed: a: b\n\tUser time (seconds): 1.25\n\tSystem time (seconds): 0.50\n\tElapsed (wall clock) time (h:mm:ss or m:ss): 1:02:03.5\n\tExit status: 0\n"
+    df = spark.createDataFrame([(report,), ("",), (None,)], "t string")
+    names = ["usersystemtime", "elapsed", "command"]
+    rows = df.select(texts.gnu_time_fields(F.col("t")).alias("a"), texts.gnu_time_fields(F.col("t"), names).alias("b")).collect()
+    assert set(rows[0].b.asDict()) == set(names) and all(r.a[k] == r.b[k] for r in rows for k in names) and rows[0].b.elapsed == 3723.5 and rows[0].b.usersystemtime == 1.75
+    assert "Swaps" not in plan_of(QUERIES["str07_gnu_time"](spark, DATA))
