@@ -13,12 +13,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formats import canonical
+from ..sources.folders import dealt
 from . import kernels
 
 PLACE = ("ty", "tx", "y0", "x0", "th", "tw", "h", "w", "top", "left", "bh", "bw")
@@ -43,6 +43,12 @@ def _block(v: np.ndarray) -> bytes:
     return np.ascontiguousarray(v, "<u2").tobytes()
 
 
+def _arrow(kinds) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(kinds)
+
+
 def _fields(keys: list[str], df: DataFrame, planes: list[str]) -> tuple[str, pa.Schema]:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import BinaryType, IntegerType, StructType
@@ -86,7 +92,7 @@ def cut(images: DataFrame, keys: list[str], planes: list[str], w: int | str, h:
 def spread(tiles: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
     """Tiles dealt out evenly, for few large frames cut from rows."""
     by = [*keys, "ty", "tx"]
-    return tiles.repartition(parts, *by) if parts else tiles.repartition(*by)
+    return tiles.repartition(parts, *by) if parts else dealt(tiles, *by)
 
 
 def read_mosaics(spark: SparkSession, path: str, fmt: str, w: int, h: int, size: int = SIZE, before: int = 1, after: int = 1, edges: bool = True) -> DataFrame:
@@ -206,18 +212,29 @@ def values(block: str) -> Column:
 
 
 def assemble(tiles: DataFrame, keys: list[str], planes: list[str]) -> DataFrame:
-    """keys, w, h and whole planes (two bytes a sample) of tiles without margins: a frame's tiles meet in one row."""
+    """keys, w, h and whole planes (two bytes a sample) of tiles without margins: a frame's tiles meet in one row. A task holds one frame at a time, and a few MB of small ones."""
     rows = tiles.select(*keys, *[c for c in PLACE if c not in keys], *planes)
     schema = ", ".join([f"`{k}` {tiles.schema[k].dataType.simpleString()}" for k in keys] + ["w int", "h int"] + [f"{p} binary" for p in planes])
+    kinds = _arrow(rows.select(*keys, "w", "h", *planes).schema)
 
-    def whole(df: pd.DataFrame) -> pd.DataFrame:
-        first = df.iloc[0]
-        out = {k: [first[k]] for k in keys} | {"w": [first["w"]], "h": [first["h"]]}
-        for p in planes:
-            v = np.zeros((first["h"], first["w"]), "<u2")
-            for r in df.itertuples():
-                v[r.y0 : r.y0 + r.th, r.x0 : r.x0 + r.tw] = np.frombuffer(getattr(r, p), "<u2").reshape(r.th, r.tw)
-            out[p] = [v.tobytes()]
-        return pd.DataFrame(out)
-
-    return rows.groupBy(*keys).applyInPandas(whole, schema)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, frame, done, size = None, None, [], 0
+        for b in batches:
+            places = b.select([*keys, "y0", "x0", "th", "tw", "h", "w"]).to_pylist()
+            for i, r in enumerate(places):
+                head = {k: r[k] for k in keys}
+                if frame is None or head != at:
+                    if frame is not None:
+                        done.append(at | side | {p: v.tobytes() for p, v in frame.items()})
+                        size += sum(v.nbytes for v in frame.values())
+                    if size > 1 << 22:
+                        yield pa.RecordBatch.from_pylist(done, kinds)
+                        done, size = [], 0
+                    at, side, frame = head, {"w": r["w"], "h": r["h"]}, {p: np.zeros((r["h"], r["w"]), "<u2") for p in planes}
+                for p, v in frame.items():
+                    v[r["y0"] : r["y0"] + r["th"], r["x0"] : r["x0"] + r["tw"]] = np.frombuffer(b.column(p)[i].as_buffer(), "<u2").reshape(r["th"], r["tw"])
+        if frame is not None:
+            done.append(at | side | {p: v.tobytes() for p, v in frame.items()})
+            yield pa.RecordBatch.from_pylist(done, kinds)
+
+    return dealt(rows, *keys).sortWithinPartitions(*keys).mapInArrow(whole, schema)

@@ -9,6 +9,7 @@ from ..functions import colour
 from ..functions.sql import Duck
 from ..operators import experiments, kernels, planes, representations, tiles
 from ..sources import y4m
+from ..sources.folders import dealt
 from .image_queries import _near
 from .registry import register
 
@@ -176,7 +177,7 @@ register(
 
 def tiled_demosaic(s, d) -> DataFrame:
     """The mosaic of each image, demosaiced by tiles of 4 x 4 and put together again."""
-    cut = tiles.spread(tiles.cut(mosaics(s, d), ["image_id"], ["content"], planes.SIDE, planes.SIDE, size=4), ["image_id"])
+    cut = tiles.cut(dealt(mosaics(s, d), "image_id"), ["image_id"], ["content"], planes.SIDE, planes.SIDE, size=4)
     whole = tiles.assemble(tiles.demosaic(cut, ["image_id"], "RGgB", plane="content"), ["image_id"], list("rgb"))
     return whole.select("image_id", *[F.hex(c).alias(c) for c in "rgb"])
 

@@ -62,3 +62,15 @@ def test_time_report_is_read_for_what_is_asked(spark):
     rows = df.select(texts.gnu_time_fields(F.col("t")).alias("a"), texts.gnu_time_fields(F.col("t"), names).alias("b")).collect()
     assert set(rows[0].b.asDict()) == set(names) and all(r.a[k] == r.b[k] for r in rows for k in names) and rows[0].b.elapsed == 3723.5 and rows[0].b.usersystemtime == 1.75
     assert "Swaps" not in plan_of(QUERIES["str07_gnu_time"](spark, DATA))
+
+
+def test_tiles_are_cut_and_put_together_by_all_tasks(spark):
+    from tessera.operators import tiles
+
+    plan = plan_of(QUERIES["dem07_tiled_planes"](spark, DATA))
+    assert "FlatMapGroupsInPandas" not in plan and plan.rpartition("MapInArrow")[2].count("RepartitionByExpression") == 1
+    rows = [(k, bytes((k * 50 + i) % 256 for i in range(h * w)), h, w) for k, (h, w) in enumerate([(5, 7), (4, 4), (9, 3)])]
+    rows.append((None, bytes(range(6)), 2, 3))
+    df = spark.createDataFrame(rows, "id int, v binary, h int, w int")
+    back = tiles.assemble(tiles.spread(tiles.cut(df, ["id"], ["v"], "w", "h", size=2, before=0, after=0), ["id"]), ["id"], ["v"]).collect()
+    assert {(r.id, r.h, r.w, bytes(r.v[::2])) for r in back} == {(k, h, w, v) for k, v, h, w in rows} and len(back) == 4
