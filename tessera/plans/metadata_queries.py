@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -47,18 +50,20 @@ register(
 # ---- profiles ----
 
 
-@F.pandas_udf(BinaryType())
-def _profiled(ident: pd.Series, text: pd.Series) -> pd.Series:
-    """A JPEG file whose profile holds a whole text and a curve by the document's number, in chunks, the last first."""
-    out = []
-    for k, t in zip(ident.tolist(), text.tolist(), strict=True):
-        profile = icc.build({"cprt": b"text" + bytes(4) + (t or "").encode(), "rTRC": icc.parametric(3, 1 + k % 16 / 16, 0.5, -k % 8 / 4, 0.125, 0), "gTRC": icc.sampled(*range(k % 4))}, (2 + k % 3, k % 10))
-        out.append(jpeg.build([(0xE0, b"JFIF\0\1\2\0\0\1\0\1\0\0"), *icc.to_chunks(profile)[::-1], (0xFE, b"end")]))
-    return pd.Series(out)
+def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """JPEG files whose profile holds a whole text and a curve by the document's number, in chunks, the last first. A few files at a time, as a batch of rows may hold many texts."""
+    for b in batches:
+        for at in range(0, len(b), 64):
+            paths, files = [], []
+            for k, t in zip(*(c.to_pylist() for c in b.slice(at, 64).columns), strict=True):
+                profile = icc.build({"cprt": b"text" + bytes(4) + (t or "").encode(), "rTRC": icc.parametric(3, 1 + k % 16 / 16, 0.5, -k % 8 / 4, 0.125, 0), "gTRC": icc.sampled(*range(k % 4))}, (2 + k % 3, k % 10))
+                paths.append(str(k))
+                files.append(jpeg.build([(0xE0, b"JFIF\0\1\2\0\0\1\0\1\0\0"), *icc.to_chunks(profile)[::-1], (0xFE, b"end")]))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(files, pa.binary())], names=["path", "content"])
 
 
 def profile_tags(s, d) -> DataFrame:
-    docs = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), _profiled("doc_id", "text").alias("content"))
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").mapInArrow(_profiled, "path string, content binary")
     found = icc.profiles(docs)
     rows = icc.tags(found.withColumns({k: v for k, v in icc.header().items() if k == "profile_version"}))
     shown = F.when(F.col("tag") == "cprt", F.sha2(F.encode(icc.text_of("data"), "UTF-8"), 256)).otherwise(F.array_join(F.transform(icc.curve_values("data"), lambda v: v.cast("string")), " "))

@@ -74,3 +74,13 @@ def test_tiles_are_cut_and_put_together_by_all_tasks(spark):
     df = spark.createDataFrame(rows, "id int, v binary, h int, w int")
     back = tiles.assemble(tiles.spread(tiles.cut(df, ["id"], ["v"], "w", "h", size=2, before=0, after=0), ["id"]), ["id"], ["v"]).collect()
     assert {(r.id, r.h, r.w, bytes(r.v[::2])) for r in back} == {(k, h, w, v) for k, v, h, w in rows} and len(back) == 4
+
+
+def test_profiles_are_built_a_few_at_a_time():
+    import pyarrow as pa
+
+    from tessera.plans import metadata_queries
+
+    rows = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(["x" * (k % 7) if k % 5 else None for k in range(200)])], names=["doc_id", "text"])
+    made = list(metadata_queries._profiled(iter([rows])))
+    assert max(map(len, made)) <= 64 and [p for b in made for p in b.column(0).to_pylist()] == [str(k) for k in range(200)]
