@@ -9,7 +9,7 @@ from ..functions import colour
 from ..functions.sql import Duck
 from ..operators import metrics, planes, representations
 from ..sources import images, raw, video
-from ..sources.folders import scratch
+from ..sources.folders import dealt, scratch
 from .graph_queries import mosaics, triple_bytes
 from .image_queries import _near, long_plane
 from .registry import register
@@ -41,11 +41,11 @@ register(
 
 
 def whole_files(s, d) -> str:
-    """Each document's text as a file, of a kind by its number; the folder."""
+    """Each document's text as a file, of a kind by its number, in one of 1,024 folders; the folder above them."""
     folder = scratch(s, "files")
-    docs = s.read.parquet(f"{d}/documents.parquet")
+    docs = dealt(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "doc_id")
     kind = F.expr("case doc_id % 3 when 0 then '.TXT' when 1 then '.jpg' else '' end")
-    video.write_whole(docs.select(F.concat(F.lit("d"), "doc_id", kind).alias("name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")), folder)
+    video.write_whole(docs.select(F.concat(F.lit("d"), "doc_id", kind).alias("name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")), folder, folders=1024)
     return folder
 
 

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formats import RAW_FACTORS, canonical
+from . import video
 from .y4m import byte_values, sample_values
 
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
-    """path, extension, length of files: their content is not read."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    """path, extension, length of files: their content is not read. A folder is listed by tasks, a pattern of paths by the driver."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path) if set(path) & set("*?[{") else video.files(spark, path)
     return df.select("path", F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).alias("extension"), "length")
 
 

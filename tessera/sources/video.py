@@ -10,14 +10,16 @@ ranges, each one frame at a time. The driver lists names and sizes only. `planes
     df.write.format("whole-files").mode("append").option("path", folder).save()  # name, content
 
 Tasks write hidden parts beside the target; the driver moves them to their names when all tasks are done, and removes what failed or repeated attempts left by then. Frames of a stream go to one
-task in order (`write_video`), which holds one batch of them. Paths are local (a folder that all machines share) or of any file system that pyarrow opens by its scheme.
+task in order (`write_video`), which holds one batch of them. `write_whole` is for many files: tasks, not the driver, move them to their names, and `files` lists them by tasks. Paths are local (a folder that all machines share) or of any file system that pyarrow opens by its scheme.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import posixpath
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote, urlparse
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 from ..functions.formats import COLOUR_SPACES
+from .folders import dealt
 
 MAGIC, FRAME, LONGEST_HEADER = b"YUV4MPEG2", b"FRAME\n", 4096
 SCHEMA = "path string, frame_no bigint, w int, h int, framerate string, interlace string, aspect string, space string, colorrange string, extension map<string,string>, depth int, chroma_w int, chroma_h int, payload binary"
@@ -152,6 +155,51 @@ def listed(path: str, suffix: str = ".y4m") -> list[tuple[str, int]]:
     return sorted((prefix + i.path, i.size) for i in found if i.type == pafs.FileType.File and i.path.endswith(suffix) and not posixpath.basename(i.path).startswith((".", "_")))
 
 
+def _named(fs: pafs.FileSystem, path: str, inner: str) -> str:
+    """A path as Spark names it, where `inner` is its name in the file system."""
+    if isinstance(fs, pafs.LocalFileSystem):
+        return "file:" + os.path.abspath(inner)
+    return path.rstrip("/")
+
+
+def _shown(path: str) -> bool:
+    """Spark's rule for names that are not hidden."""
+    return all((p.startswith(("_metadata", "_common_metadata")) or "=" in p if p.startswith("_") else not p.startswith(".")) and not p.endswith("._COPYING_") for p in path.split("/"))
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """path as Spark names it, length of a file, or of those below a folder that are not hidden. Each folder of the first level is listed, with what is below it, by one task; the driver sees the names of these folders alone."""
+    fs, inner = filesystem(path)
+    kind = fs.get_file_info(inner).type
+    if kind == pafs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    root = (os.path.abspath(inner) if isinstance(fs, pafs.LocalFileSystem) else inner).rstrip("/")
+    before = _named(fs, path, inner).removesuffix(root)
+
+    def found(folder: str, below: bool) -> Iterator[pafs.FileInfo]:
+        for i in filesystem(path)[0].get_file_info(pafs.FileSelector(folder, recursive=below)):
+            if _shown(i.path[len(root) + 1 :]):
+                yield i
+
+    def folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_pydict({"folder": pa.array([i.path for i in found(folder, False) if i.type == pafs.FileType.Directory], pa.string())})
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for folder, below in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if kind == pafs.FileType.File:
+                    own = [filesystem(path)[0].get_file_info(folder)]
+                else:
+                    own = [i for i in found(folder, below) if i.type == pafs.FileType.File]
+                yield pa.RecordBatch.from_pydict({"path": pa.array([before + i.path for i in own], pa.string()), "length": pa.array([i.size for i in own], pa.int64())})
+
+    first = [] if kind == pafs.FileType.File else spark.createDataFrame([(root,)], "folder string").mapInArrow(folders, "folder string").collect()
+    rows = spark.createDataFrame([(root, False), *((r.folder, True) for r in first)], "folder string, below boolean")
+    return dealt(rows, "folder").mapInArrow(names, "path string, length long")
+
+
 def _planes(options: dict) -> str:
     planes = options.get("planes", "yuv")
     if set(planes) - set("yuv"):
@@ -372,7 +420,56 @@ def write_video(df: DataFrame, folder: str, by: str = "name", order: str = "fram
     own.repartition("name").sortWithinPartitions("name", "frame_no").write.format("y4m").mode("append").option("path", folder).save()
 
 
-def write_whole(df: DataFrame, folder: str, name: str = "name", content: str = "content") -> None:
-    """Each row's bytes as a file of its own, under its name."""
-    register(df.sparkSession)
-    df.select(F.col(name).alias("name"), F.col(content).alias("content")).write.format("whole-files").mode("append").option("path", folder).save()
+_PARTS = "part string, target string, folder string"
+
+
+def write_whole(df: DataFrame, folder: str, name: str = "name", content: str = "content", folders: int | None = None) -> None:
+    """Each row's bytes as a file of its own, under its name; with `folders` in one of so many folders, by a hash of the name, so that tasks can list them side by side.
+
+    Tasks write hidden parts and a table of them. Once that table is whole and no name stands in it twice, tasks move the parts to their names: the driver sees none of them. A job that fails before
+    leaves no file under its name."""
+    spark, job = df.sparkSession, f".{uuid.uuid4().hex}"
+    fs, inner = filesystem(folder)
+    beside = posixpath.join(inner, job)
+    table = f"{_named(fs, folder, inner)}/{job}/parts"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, own, n = filesystem(folder)[0], uuid.uuid4().hex, 0
+        fs.create_dir(posixpath.join(beside, own), recursive=True)
+        for b in batches:
+            rows = []
+            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if not name:
+                    raise ValueError("a file without a name")
+                below = f"{zlib.crc32(name.encode()) % folders:x}" if folders else posixpath.dirname(name)
+                rows.append({"part": f"{own}/{n}", "target": posixpath.join(below, name) if folders else name, "folder": below})
+                with fs.open_output_stream(posixpath.join(beside, rows[-1]["part"])) as out:
+                    if data.is_valid:
+                        out.write(data.as_buffer())
+                n += 1
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([(c, pa.string()) for c in ("part", "target", "folder")]))
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, made = filesystem(folder)[0], set()
+        for b in batches:
+            for part, target in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                a, z = posixpath.join(beside, part), posixpath.join(inner, target)
+                if posixpath.dirname(z) not in made:
+                    made.add(posixpath.dirname(z))
+                    fs.create_dir(posixpath.dirname(z), recursive=True)
+                try:
+                    fs.move(a, z)
+                except FileNotFoundError:  # an attempt before this one moved it
+                    if fs.get_file_info(z).type != pafs.FileType.File:
+                        raise
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    fs.create_dir(beside, recursive=True)
+    try:
+        df.select(F.col(name).alias("name"), F.col(content).alias("content")).mapInArrow(write, _PARTS).write.parquet(table)
+        parts = spark.read.schema(_PARTS).parquet(table)
+        if parts.groupBy("target").count().filter("count > 1").head(1):
+            raise ValueError("two rows or tasks wrote a file of the same name")
+        dealt(parts, "folder" if folders else "target").mapInArrow(move, "n long").write.format("noop").mode("overwrite").save()
+    finally:
+        fs.delete_dir(beside)
