@@ -68,11 +68,9 @@ def read_planes(spark: SparkSession, path: str) -> DataFrame:
 
 def colour_range(spark: SparkSession, path: str) -> DataFrame:
     """path and colour range by kind: JPEG is full range, Y4M says so itself."""
-    names = raw.metadata(spark, path)
-    plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
-    said = video.heads(spark, path).select(plain("path").alias("_p"), F.lower("colorrange").alias("said"))
-    known = F.coalesce("said", F.when(F.col("extension").isin(".jpg", ".jpeg"), "full"), F.lit("unspecified"))
-    return names.withColumn("_p", plain("path")).join(said, "_p", "left").select("path", known.alias("range"))
+    names = video.heads_of(raw.metadata(spark, path)).withColumn("extension", raw.extension("path"))
+    known = F.coalesce(F.lower("colorrange"), F.when(F.col("extension").isin(".jpg", ".jpeg"), "full"), F.lit("unspecified"))
+    return names.select("path", known.alias("range"))
 
 
 def write_streams(df: DataFrame, folder: str, by: str, w: int, h: int, space: str, parts: list[str], depth: int = 8, order: str = "frame_no", colorrange: str | None = None, extension: dict[str, str] | None = None) -> None:

@@ -10,10 +10,15 @@ from . import video
 from .y4m import byte_values, sample_values
 
 
+def extension(path: str) -> Column:
+    """The extension of a column of paths in small letters, with its dot; empty if there is none."""
+    return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
+
+
 def metadata(spark: SparkSession, path: str) -> DataFrame:
     """path, extension, length of files: their content is not read. A folder is listed by tasks, a pattern of paths by the driver."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path) if set(path) & set("*?[{") else video.files(spark, path)
-    return df.select("path", F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).alias("extension"), "length")
+    return df.select("path", extension("path").alias("extension"), "length")
 
 
 def frame_of(content: str, w: int, h: int, fmt: str, frame: int = 0) -> Column:

@@ -390,27 +390,35 @@ def read_video(spark: SparkSession, path: str, planes: str = "yuv", range_bytes:
     return spark.read.format("y4m").option("path", path).option("planes", planes).option("rangeBytes", range_bytes).load()
 
 
-def heads(spark: SparkSession, path: str) -> DataFrame:
-    """One row a stream: path, length, frames, w, h, space, colorrange, status. Of each file the first bytes are read, by the tasks; a file that is no stream has a status other than ok."""
-    files = spark.createDataFrame(listed(path) or [], "path string, length long")
-    kinds = pa.schema([("path", pa.string()), ("length", pa.int64()), ("frames", pa.int64()), ("w", pa.int32()), ("h", pa.int32()), ("space", pa.string()), ("colorrange", pa.string()), ("status", pa.string())])
+_HEADS = pa.schema([("path", pa.string()), ("length", pa.int64()), ("frames", pa.int64()), ("w", pa.int32()), ("h", pa.int32()), ("space", pa.string()), ("colorrange", pa.string()), ("status", pa.string())])
+
+
+def heads_of(found: DataFrame) -> DataFrame:
+    """One row a file of `files`, where it lies: path, length, frames, w, h, space, colorrange, status. The first bytes of those named .y4m are read; a stream that cannot be read has a status other than ok, files of other names have none."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for name, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                row = {"path": name, "length": size, "status": "ok"}
-                fs, inner = filesystem(name)
-                with fs.open_input_file(inner) as f:
-                    try:
-                        head = read_head(f.read(LONGEST_HEADER), name)
-                        row |= {"status": "a header that is not whole"} if head is None else {"frames": head.frames(size), **{k: head.fields[k] for k in ("w", "h", "space", "colorrange")}}
-                    except ValueError as e:
-                        row["status"] = str(e)
+                row = {"path": name, "length": size}
+                if name.endswith(".y4m"):
+                    row["status"] = "ok"
+                    fs, inner = (pafs.LocalFileSystem(), name[len("file:") :]) if name.startswith("file:") else filesystem(name)  # names are not quoted
+                    with fs.open_input_file(inner) as f:
+                        try:
+                            head = read_head(f.read(LONGEST_HEADER), name)
+                            row |= {"status": "a header that is not whole"} if head is None else {"frames": head.frames(size), **{k: head.fields[k] for k in ("w", "h", "space", "colorrange")}}
+                        except ValueError as e:
+                            row["status"] = str(e)
                 rows.append(row)
-            yield pa.RecordBatch.from_pylist(rows, kinds)
+            yield pa.RecordBatch.from_pylist(rows, _HEADS)
 
-    return files.mapInArrow(read, "path string, length long, frames long, w int, h int, space string, colorrange string, status string")
+    return found.select("path", "length").mapInArrow(read, "path string, length long, frames long, w int, h int, space string, colorrange string, status string")
+
+
+def heads(spark: SparkSession, path: str) -> DataFrame:
+    """One row a stream, as `heads_of` gives them, of the streams below a folder. Files are listed and read by tasks."""
+    return heads_of(files(spark, path).filter(F.col("path").endswith(".y4m")))
 
 
 def write_video(df: DataFrame, folder: str, by: str = "name", order: str = "frame_no") -> None:

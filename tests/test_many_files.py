@@ -49,3 +49,24 @@ def test_documents_lie_in_folders(spark):
     names = raw.metadata(spark, folder).select(F.element_at(F.split("path", "/"), -2).alias("folder"), file_queries._base().alias("name"))
     found = names.agg(F.count("*"), F.countDistinct("name"), F.countDistinct("folder")).first()
     assert found[:2] == (200, 200) and found[2] > 100
+
+
+def test_colour_ranges_in_one_pass(spark, tmp_path, monkeypatch):
+    """Files are listed once, by tasks; the first bytes of streams alone are read. Names with other signs than letters, and files that are no stream."""
+
+    def never(*_):
+        raise AssertionError("the driver lists files")
+
+    monkeypatch.setattr(video, "listed", never)
+    whole = b"YUV4MPEG2 W2 H2 Cmono XCOLORRANGE=FULL\nFRAME\n1234"
+    made = {"a.y4m": whole, "b%20 c#d?e.y4m": whole, "x/c.y4m": whole.replace(b"FULL", b"LIMITED"), "d.y4m": b"no stream", "e.y4m": b"YUV4MPEG2 W2", "f.y4m": b"", "g.Y4M": whole, "h.JPG": b"", "x/i.jpeg": b"1", "j": whole}
+    (tmp_path / "x").mkdir()
+    for name, data in made.items():
+        (tmp_path / name).write_bytes(data)
+    want = {"a.y4m": "full", "b%20 c#d?e.y4m": "full", "c.y4m": "limited", "h.JPG": "full", "i.jpeg": "full"}
+    got = images.colour_range(spark, str(tmp_path))
+    assert {os.path.basename(r.path): r.range for r in got.collect()} == {os.path.basename(n): want.get(os.path.basename(n), "unspecified") for n in made}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 2
+    status = {os.path.basename(r.path): (r.frames, r.status.split(": ")[-1]) for r in video.heads(spark, f"file://{tmp_path}").collect()}
+    assert status == {"a.y4m": (1, "ok"), "b%20 c#d?e.y4m": (1, "ok"), "c.y4m": (1, "ok"), "d.y4m": (None, "no Y4M stream"), "e.y4m": (None, "a header that is not whole"), "f.y4m": (None, "a header that is not whole")}
