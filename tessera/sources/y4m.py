@@ -93,12 +93,13 @@ def pack_samples(v: str, depth: int = 8) -> Column:
     return F.expr(f"unhex(array_join(transform({v}, s -> {one}), ''))")
 
 
-def file_bytes(df: DataFrame, by: list[str], w: int, h: int, space: str, planes_: list[str], depth: int = 8, order: str = "frame_no", colorrange: str | None = None, extension: dict[str, str] | None = None) -> DataFrame:
-    """One row a stream: header and frames in order. A stream's frames meet in one row, as its file does."""
+def file_bytes(df: DataFrame, by: list[str], w: int, h: int, space: str, planes_: list[str], depth: int = 8, order: str = "frame_no", colorrange: str | None = None, extension: dict[str, str] | None = None, numbers: str | None = None) -> DataFrame:
+    """One row a stream: header and frames in order. A stream's frames meet in one row, as its file does. Bytes hold no frame's number, only its place: numbers names an array that keeps them beside the bytes."""
     head = header_line(F.lit(w), F.lit(h), F.lit(space), F.lit(colorrange) if colorrange else None, {k: F.lit(v) for k, v in (extension or {}).items()})
     body = F.concat(F.encode(F.lit(FRAME), "UTF-8"), *[pack_samples(p, depth) for p in planes_])
     own = df.withColumn("_frame", body).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.hex("_frame").alias("f")))).alias("_f"))
-    return own.select(*by, F.concat(F.encode(head, "UTF-8"), F.unhex(F.array_join(F.transform("_f", lambda s: s["f"]), ""))).alias("content"))
+    kept = [F.transform(F.filter("_f", lambda s: s["f"].isNotNull()), lambda s: s["o"]).alias(numbers)] if numbers else []
+    return own.select(*by, F.concat(F.encode(head, "UTF-8"), F.unhex(F.array_join(F.transform("_f", lambda s: s["f"]), ""))).alias("content"), *kept)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -28,3 +28,18 @@ def test_frames_of_streams(spark, name):
     ours = QUERIES[name](spark, DATA)
     got = pd.DataFrame([r.asDict() for r in ours.collect()], columns=ours.columns)
     assert sorted(got.columns) == sorted(want.columns) and len(got) > 100 and rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", ["src06_frames", "src07_planes", "src08_frame_upsampled", "src09_frames_to_full_range", "src10_first_frame", "cnv05_frames_to_10bit"])
+def test_frames_keep_their_numbers(spark, tmp_path, name):
+    """Ids that begin anywhere and have gaps, and images without samples: no frame takes another's number."""
+    import tessera.plans.queries  # noqa: F401  registers the queries
+
+    db = duckdb.connect()
+    db.sql(f"copy (select * replace (vec_id + 1001 as vec_id, case when vec_id % 9 = 4 then null else embedding end as embedding) from '{DATA}/embeddings.parquet' where vec_id < 60 and vec_id % 7 <> 2) to '{tmp_path}/embeddings.parquet'")
+    db.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    relation = db.sql(ORACLES[name])
+    want = pd.DataFrame(relation.fetchall(), columns=relation.columns)
+    ours = QUERIES[name](spark, str(tmp_path))
+    got = pd.DataFrame([r.asDict() for r in ours.collect()], columns=ours.columns)
+    assert len(got) > 10 and rows(got) == rows(want)
