@@ -51,8 +51,9 @@ def sizes(*given: int | str) -> list:
 
 
 def quantised(e: str, depth: int) -> str:
+    """A component as a sample of the depth; NaN counts as the largest number, as in the SQL."""
     top = (1 << depth) - 1
-    return f"cast(least({top}, greatest(0, floor((cast({e} as double) + 0.6D) * {850.0 * (top + 0.0) / 1020.0!r}D))) as int)"
+    return f"cast(least({top}, greatest(0, floor((nanvl(cast({e} as double), double('Infinity')) + 0.6D) * {850.0 * (top + 0.0) / 1020.0!r}D))) as int)"
 
 
 def planes(spark: SparkSession, sf_dir: str, depth: int = 8) -> DataFrame:

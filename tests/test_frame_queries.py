@@ -43,3 +43,19 @@ def test_frames_keep_their_numbers(spark, tmp_path, name):
     ours = QUERIES[name](spark, str(tmp_path))
     got = pd.DataFrame([r.asDict() for r in ours.collect()], columns=ours.columns)
     assert len(got) > 10 and rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", ["src07_planes", "src08_frame_upsampled", "src09_frames_to_full_range", "src10_first_frame", "pck14_planar_16bit"])
+def test_components_that_are_no_numbers(spark, tmp_path, name):
+    """NaN is the largest number to least and greatest; infinite and null components are bounded."""
+    import tessera.plans.queries  # noqa: F401  registers the queries
+
+    db = duckdb.connect()
+    odd = "list_transform(embedding, lambda e, i: case i when 2 then cast('nan' as float) when 3 then cast('inf' as float) when 4 then cast('-inf' as float) when 5 then null else e end)"
+    db.sql(f"copy (select * replace (case when vec_id % 3 = 0 then {odd} else embedding end as embedding) from '{DATA}/embeddings.parquet' where vec_id < 48) to '{tmp_path}/embeddings.parquet'")
+    db.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    relation = db.sql(ORACLES[name])
+    want = pd.DataFrame(relation.fetchall(), columns=relation.columns)
+    ours = QUERIES[name](spark, str(tmp_path))
+    got = pd.DataFrame([r.asDict() for r in ours.collect()], columns=ours.columns)
+    assert len(got) > 10 and rows(got) == rows(want)
