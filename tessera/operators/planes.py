@@ -57,8 +57,10 @@ def quantised(e: str, depth: int) -> str:
 
 
 def planes(spark: SparkSession, sf_dir: str, depth: int = 8) -> DataFrame:
-    """image_id, label, v: the embeddings as 8 x 8 planes of the depth."""
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), "label", F.expr(f"transform(embedding, e -> {quantised('e', depth)})").alias("v"))
+    """image_id, label, v: the embeddings as 8 x 8 planes of the depth. A longer vector is cut, a shorter one filled with black; null stays null."""
+    n = SIDE * SIDE
+    whole = f"if(size(embedding) = {n}, embedding, slice(concat(embedding, array_repeat(cast(null as float), {n})), 1, {n}))"
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), "label", F.expr(f"transform({whole}, e -> {quantised('e', depth)})").alias("v"))
 
 
 def samples(df: DataFrame, width: int | str = SIDE, **arrays: str) -> DataFrame:

@@ -59,3 +59,19 @@ def test_components_that_are_no_numbers(spark, tmp_path, name):
     ours = QUERIES[name](spark, str(tmp_path))
     got = pd.DataFrame([r.asDict() for r in ours.collect()], columns=ours.columns)
     assert len(got) > 10 and rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", ["src07_planes", "src08_frame_upsampled", "src09_frames_to_full_range", "src10_first_frame", "snk03_stream_bytes"])
+def test_vectors_of_other_sizes(spark, tmp_path, name):
+    """A vector's first 64 components are the image; those it lacks are black."""
+    import tessera.plans.queries  # noqa: F401  registers the queries
+
+    db = duckdb.connect()
+    odd = "case vec_id % 6 when 0 then embedding[1:40] when 1 then embedding || embedding[1:9] when 2 then [] when 3 then null else embedding end"
+    db.sql(f"copy (select * replace ({odd} as embedding) from '{DATA}/embeddings.parquet' where vec_id < 48) to '{tmp_path}/embeddings.parquet'")
+    db.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    relation = db.sql(ORACLES[name])
+    want = pd.DataFrame(relation.fetchall(), columns=relation.columns)
+    ours = QUERIES[name](spark, str(tmp_path))
+    got = pd.DataFrame([r.asDict() for r in ours.collect()], columns=ours.columns)
+    assert len(got) > 10 and rows(got) == rows(want)
